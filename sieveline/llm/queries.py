@@ -5,23 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import lines, mixing
+from sieveline.llm import lines, mixing, neighbours, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), width=3, max_bits=3)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op8_line_dedup": op8_line_dedup}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_sharding": op4_sharding,
+    "op5_warc_revisit": op5_warc_revisit,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op8_line_dedup": op8_line_dedup,
+}
 
 _OP3 = r"""
 WITH rows AS (
@@ -96,4 +119,21 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM marked GROUP BY r, doc_id
 """
 
-ORACLES = {"op3_mix_sources": _OP3, "op8_line_dedup": _OP8}
+_OP5 = r"""
+WITH rows AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+digests AS (
+  SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  CAST(((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest
+  FROM rows),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS k,
+         first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS origin
+  FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k > 1 THEN origin END AS refers_to
+FROM numbered
+"""
+
+ORACLES = {"op3_mix_sources": _OP3, "op5_warc_revisit": _OP5, "op8_line_dedup": _OP8}
