@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import lines, mixing, neighbours, quality, sharding, simhash, toxicity, warc
+from sieveline.llm import decontaminate, lines, mixing, neighbours, quality, sharding, simhash, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,20 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.section_tokens(table(spark, sf_dir, "documents"), fields=("text",), separator="\n", rule="first")
+    return counted.select("doc_id", "section", "char_start", "char_end", F.col("tokens").cast("long").alias("tokens"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +61,9 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_warc_revisit": op5_warc_revisit,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
 
