@@ -92,8 +92,8 @@ def mix_sources(
     Sources sorted by code point, null last, get the weights in turn and share the total of all sizes; a source's target
     stops at max_repeat times its size and the rest shares the excess. A source's documents lie end to end in each of 16
     shards, in a seeded order, cut into blocks of equal tokens. Sources win blocks by highest quotients target / (2k + 1),
-    a source's shards by size / (2k + 1); within a shard every block is taken quota // n times and a seeded,
-    evenly spaced choice of quota % n blocks once more, so none above max_repeat. At most about blocks rows meet in one
+    a source's shards by size / (2k + 1); within a shard every block is taken quota // n times and quota % n blocks in a row
+    from a seeded one on (round the end) once more, so none above max_repeat, and few documents are cut. At most about blocks rows meet in one
     task, however many documents there are.
 
     A null or blank text has size 0 and nothing taken. A null id sorts first. Rows that repeat an id are documents of
@@ -127,14 +127,14 @@ def mix_sources(
         .withColumn("copies", F.when(F.col("n") > 0, F.expr("quota div n")).otherwise(F.lit(0)).cast("long"))
         .withColumn("extra", F.when(F.col("n") > 0, F.expr("quota % n")).otherwise(F.lit(0)).cast("long"))
     )
-    span = F.expr(
-        """CASE WHEN size > 0 AND extra > 0 THEN
-             transform(filter(sequence(((start + 1) * n - 1) div cell_size, (end * n - 1) div cell_size),
-                              j -> ((j + 1 + turn) * extra) div n > ((j + turn) * extra) div n),
-                       j -> struct(greatest(start, (j * cell_size) div n) - start AS from,
-                                   least(end, ((j + 1) * cell_size) div n) - start AS to))
+    # the blocks taken once more are `extra` in a row from `turn` on, and if they run over the end, the rest from 0 on
+    run = F.expr(
+        """CASE WHEN size > 0 AND extra > 0 THEN transform(
+             array(struct(turn AS f, least(turn + extra, n) AS t), struct(0L AS f, greatest(turn + extra - n, 0L) AS t)),
+             r -> struct(greatest(start, (r.f * cell_size) div n) - start AS from, least(end, (r.t * cell_size) div n) - start AS to))
            ELSE array() END"""
     )
+    span = F.array_sort(F.filter(run, lambda x: x["from"] < x["to"]))
     more = F.aggregate("pieces", F.lit(0).cast("long"), lambda total, x: total + x["to"] - x["from"])
     return laid.withColumn("pieces", span).select(
         F.col("id").alias(id_col), *[F.col(f"_sl_keep{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size",

@@ -119,9 +119,8 @@ spans AS (
   FROM laid l JOIN plan p USING (skey, shard))
 SELECT id AS doc_id, size, source_size, target,
        CAST(copies * size + CASE WHEN size > 0 AND extra > 0 THEN
-         coalesce(list_sum(list_transform(
-           list_filter(range(((start + 1) * n - 1) // cell, (fin * n - 1) // cell + 1), lambda j: ((j + 1 + turn) * extra) // n > ((j + turn) * extra) // n),
-           lambda j: least(fin, ((j + 1) * cell) // n) - greatest(start, (j * cell) // n))), 0) ELSE 0 END AS BIGINT) AS taken
+         greatest(0, least(fin, (least(turn + extra, n) * cell) // n) - greatest(start, (turn * cell) // n))
+         + greatest(0, least(fin, (greatest(turn + extra - n, 0) * cell) // n) - start) ELSE 0 END AS BIGINT) AS taken
 FROM spans
 """
 
