@@ -35,6 +35,11 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit(_END)), F.lit(""))
 
 
+def _meeting() -> Column:
+    """One column for page and payload, never null, so that a join and a window over it share a shuffle."""
+    return F.concat_ws("|", "payload_digest", F.col("page_id").cast("string")).alias("meeting")
+
+
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, payload) with payload_bytes, payload_digest, refers_to, refers_to_url; refers_to_page is null
     for responses. Only headers are shuffled by digest; payloads move once, by page_id, to meet the decision."""
@@ -46,10 +51,10 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     # only groups of two or more need to meet their original, once per page
     repeats = first.where("n > 1").select(*key, F.col("first.page_id").alias("origin"), F.col("first.url").alias("origin_url"))
     links = headers.join(repeats, key).select(
-        F.col("page_id").alias("page"), F.col("payload_digest").alias("digest"), "origin", "origin_url"
+        _meeting(), F.col("page_id").alias("page"), F.col("payload_digest").alias("digest"), "origin", "origin_url"
     ).distinct()
-    joined = sized.join(links, sized["page_id"].eqNullSafe(links["page"]) & (sized["payload_digest"] == links["digest"]), "left")
-    same = Window.partitionBy("page_id", "payload_digest").orderBy("url")
+    joined = sized.withColumn("meeting", _meeting()).join(links, "meeting", "left")
+    same = Window.partitionBy("meeting").orderBy("url")  # dealt as the join has dealt them
     twin = joined.withColumn("again", F.when(F.col("digest").isNotNull(), F.row_number().over(same)).otherwise(F.lit(1)))
     first_one = F.col("page").eqNullSafe(F.col("origin")) & (F.col("again") == 1)
     revisit = F.col("digest").isNotNull() & ~first_one
