@@ -1,10 +1,738 @@
-"""Names of the reference operators' queries, each with its function and its SQL."""
+"""The reference operators' queries by name, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sieveline.functions import cleaning as cl
+from sieveline.functions.criteria import CRITERIA, with_any_risk, with_criteria
+from sieveline.operators import evolve, governance, learn, metrics, pareto, prepare, profile, ranking, statistics, validation
+from sieveline.plans import sql as q
+from sieveline.sources import fixtures as fx
+from sieveline.sources.readers import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+ST = ["strategy", "target"]
+CONFIG = ["normalization", "weighting", "method"]
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name."""
+
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return put
+
+
+# ---- inputs shared by many queries
+
+
+def criteria_rows(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
+    df = with_any_risk(with_criteria(fx.predictions(spark, sf_dir)))
+    return df.where(F.col("split") == split) if split else df
+
+
+def _test_scores(spark, sf_dir, method="topsis") -> DataFrame:
+    """Test rows scored with equal weights on min-max criteria, fitted on validation rows."""
+    rows = ranking.normalized(criteria_rows(spark, sf_dir, "test"), criteria_rows(spark, sf_dir, "val"), ["minmax"])
+    weights = ranking.weights(rows, ["normalization"], ["equal"])
+    return ranking.scored(rows, weights, ["normalization"], [method])
+
+
+def _wide(spark, sf_dir) -> DataFrame:
+    scores = _test_scores(spark, sf_dir).select("sample_row_id", F.col("score").alias("topsis"))
+    return criteria_rows(spark, sf_dir, "test").join(scores, "sample_row_id")
+
+
+def _long(spark, sf_dir) -> DataFrame:
+    named = {"raw": F.col("p_cri_high"), "baseline": F.col("topsis"), "consensus": F.col("risk_consensus_mean")}
+    return validation.strategies(_wide(spark, sf_dir), named, ("y_cri_high", "y_any_risk"))
+
+
+def _rounded(df: DataFrame, columns, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ---- profiles and governance
+
+
+@query(q.ask(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(sum(CASE WHEN {c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '' THEN 1 ELSE 0 END) AS BIGINT) AS missing, round(sum(CASE WHEN {c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '' THEN 1 ELSE 0 END) / {q.d('count(*)')}, 9) AS missing_rate FROM lots"
+    for c in ("procedure_type", "supply_type", "buyer_type", "lot_bidscount", "cpv_code", *q.S))))
+def profile_missingness(spark, sf_dir):
+    return profile.missingness(fx.lots(spark, sf_dir).select("procedure_type", "supply_type", "buyer_type", "lot_bidscount", "cpv_code", *fx.SCORES))
+
+
+_CATS = ("procedure_type", "supply_type", "buyer_type", "buyer_country", "cpv_code", "cpv_group")
+
+
+@query(q.ask(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_values FROM lots" for c in _CATS)))
+def profile_cardinality(spark, sf_dir):
+    return profile.cardinality(fx.lots(spark, sf_dir), _CATS)
+
+
+_NUMS = ("lot_bidscount", "label_corr_proc", "label_corr_buyer_concentration", "label_cri")
+
+
+@query(q.ask(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, CAST(sum(CAST({c} >= (SELECT quantile_cont({c}, 0.75) FROM lots) AS INT)) AS BIGINT) AS at_least_p75 FROM lots"
+    for c in _NUMS)))
+def profile_quantiles(spark, sf_dir):
+    return profile.quantiles(fx.lots(spark, sf_dir), _NUMS)
+
+
+@query(q.ask("SELECT \"column\", value, n AS rows, round(n / sum(n) OVER (PARTITION BY \"column\"), 9) AS share, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value NULLS LAST) AS place FROM ("
+             + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM lots GROUP BY 2" for c in ("procedure_type", "cpv_group"))
+             + ") QUALIFY place <= 8"))
+def category_top_n(spark, sf_dir):
+    return profile.top_categories(fx.lots(spark, sf_dir), ("procedure_type", "cpv_group"), 8)
+
+
+@query(q.ask(" UNION ALL ".join(
+    [f"SELECT '{c}' AS \"column\", 'binary' AS kind, count({c}) AS labelled, CAST(sum(CAST({c} > 0 AS INT)) AS BIGINT) AS positives FROM lots" for c in ("label_corr_singleb", "label_corr_nocft")]
+    + [f"SELECT '{c}', 'numeric', count({c}), CAST(sum(CAST({c} >= (SELECT quantile_cont({c}, 0.75) FROM lots) AS INT)) AS BIGINT) FROM lots" for c in ("label_corr_proc", "label_corr_buyer_concentration")])))
+def label_feasibility(spark, sf_dir):
+    return profile.label_feasibility(fx.lots(spark, sf_dir), ("label_corr_singleb", "label_corr_nocft"), ("label_corr_proc", "label_corr_buyer_concentration"))
+
+
+@query(q.ask("SELECT CAST(y_cri_high AS INT) AS y_cri_high, CAST(least(floor(round(p_cri_high * 30, 9)), 29) AS INT) AS bin, count(*) AS rows FROM preds GROUP BY 1, 2"))
+def score_histogram(spark, sf_dir):
+    return profile.histogram(fx.predictions(spark, sf_dir), "p_cri_high", "y_cri_high", 30)
+
+
+@query(q.ask("""SELECT 'procedure_type' AS "column", round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) AS total_variation FROM
+  (SELECT procedure_type AS v, count(*) / CAST((SELECT count(*) FROM marked WHERE split = 'train') AS DOUBLE) AS p FROM marked WHERE split = 'train' GROUP BY 1) a
+  FULL JOIN (SELECT procedure_type AS v, count(*) / CAST((SELECT count(*) FROM marked WHERE split = 'test') AS DOUBLE) AS q FROM marked WHERE split = 'test' GROUP BY 1) b USING (v)"""))
+def total_variation(spark, sf_dir):
+    lot = fx.with_targets(fx.lots(spark, sf_dir))
+    return profile.total_variation(lot.where("split = 'train'"), lot.where("split = 'test'"), "procedure_type")
+
+
+@query(q.ask("""SELECT count(*) AS lots, round(avg(CASE WHEN lot_bidscount > 1 THEN 1.0 ELSE 0 END), 9) AS share_over_one, round(avg(CASE WHEN lot_bidscount >= 5 THEN 1.0 ELSE 0 END), 9) AS share_five_or_more,
+  quantile_cont(lot_bidscount, 0.5) AS median_bids, quantile_cont(lot_bidscount, 0.99) AS p99_bids, min(award_year) AS first_year, max(award_year) AS last_year,
+  round(avg(CASE WHEN award_year BETWEEN 1996 AND 1998 THEN 1.0 ELSE 0 END), 9) AS share_1996_1998 FROM lots"""))
+def dataset_composition(spark, sf_dir):
+    return profile.composition(fx.lots(spark, sf_dir))
+
+
+_RAW = ("tender_id", "lot_bidscount", "bid_priceUsd", "bid_price", "corr_singleb", "cri", "buyer_country", "tender_year", "filter_ok", "bid_priceCurrency", "tender_proceduretype", "lot_title", "tender_cpvs", "corr_proc")
+_PROCESSED = ("lot_id", "client_group", "federated_site", "trace_hash", "label_cri", "log_bid_price", "reported_bid_count", "buyer_type", "row_id")
+_MANIFEST = (
+    ("lot_bidscount", "feature", "numeric", True), ("award_criteria_count", "feature", "numeric", True), ("buyer_type", "feature", "categorical", True), ("buyer_country", "feature", "categorical", True),
+    ("label_cri", "target", "risk outcome", False), ("y_cri_high", "target", "numeric", False), ("procedure_type", "feature", "categorical", True), ("award_year", "feature", "numeric", True), ("cpv_code", "feature", "categorical", False),
+)
+_STRICT = ("award_criteria_count", "buyer_type", "procedure_type")
+
+
+def _values(names) -> str:
+    return "names(\"column\") AS (VALUES " + ", ".join(f"('{n}')" for n in names) + ")"
+
+
+def _rule_sql(rules) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(lower("column"), '{p}')''' for p in ps)} THEN '{r}' END" for r, ps in rules) + "], lambda x: x IS NOT NULL)"
+
+
+_TARGET_IN = f"lower(\"column\") IN ({', '.join(repr(t) for t in governance.TARGETS)})"
+
+
+@query(f"""WITH {_values(_RAW)}, judged AS (SELECT "column", {_TARGET_IN} AS t, list_sort(list_distinct(list_concat(list_filter([CASE WHEN {_TARGET_IN} THEN 'target source' END,
+  CASE WHEN starts_with(lower("column"), 'filter_') THEN 'filter flag' END, CASE WHEN contains(lower("column"), 'currency') THEN 'currency' END], lambda x: x IS NOT NULL), {_rule_sql(governance.RAW_RULES)}))) AS r FROM names)
+  SELECT "column", CASE WHEN t THEN 'target' WHEN len(r) > 0 THEN 'exclude' ELSE 'candidate' END AS decision, array_to_string(r, '; ') AS reasons FROM judged""")
+def column_governance_raw(spark, sf_dir):
+    return governance.raw_columns(spark.createDataFrame([(n,) for n in _RAW], "column string"))
+
+
+@query(f"""WITH {_values(_PROCESSED)}, judged AS (SELECT "column", CASE WHEN starts_with(lower("column"), 'label_') THEN 'risk outcome' WHEN ends_with(lower("column"), '_id') THEN 'identifier' WHEN contains(lower("column"), 'trace') THEN 'trace'
+  WHEN contains(lower("column"), 'federated') OR contains(lower("column"), 'client') THEN 'client grouping' ELSE '' END AS reason FROM names)
+  SELECT "column", CASE WHEN reason = '' THEN 'candidate' WHEN reason = 'risk outcome' THEN 'target' ELSE 'exclude' END AS decision, reason FROM judged""")
+def column_governance_processed(spark, sf_dir):
+    return governance.processed_columns(spark.createDataFrame([(n,) for n in _PROCESSED], "column string"))
+
+
+@query(f"""WITH {_values(_RAW)} SELECT "column", len(r) > 0 AS forbidden, array_to_string(r, '; ') AS reasons FROM (SELECT "column", {_rule_sql(governance.FEATURE_RULES)} AS r FROM names)""")
+def forbidden_features(spark, sf_dir):
+    return governance.forbidden_features(spark.createDataFrame([(n,) for n in _RAW], "column string"))
+
+
+def _manifest(spark):
+    return spark.createDataFrame([*_MANIFEST], "column string, role string, type string, used_as_feature boolean")
+
+
+_MANIFEST_SQL = 'm("column", role, type, used) AS (VALUES ' + ", ".join(f"('{a}', '{b}', '{c}', {str(u).lower()})" for a, b, c, u in _MANIFEST) + ")"
+
+
+@query(f"""WITH {_MANIFEST_SQL} SELECT "column", type, used AND len({_rule_sql(governance.FEATURE_RULES)}) = 0 AS audit_priority,
+  used AND len({_rule_sql(governance.FEATURE_RULES)}) = 0 AND "column" IN ({', '.join(repr(s) for s in _STRICT)}) AS strict_ex_ante FROM m""")
+def feature_sets(spark, sf_dir):
+    return governance.feature_sets(_manifest(spark), _STRICT)
+
+
+@query(f"""WITH {_MANIFEST_SQL} SELECT "column", CASE WHEN contains(lower(type), 'numeric') OR contains(lower(type), 'risk outcome') OR starts_with("column", 'label_') OR starts_with("column", 'y_') THEN 'numeric' ELSE 'categorical' END AS kind FROM m""")
+def inferred_types(spark, sf_dir):
+    return governance.inferred_types(_manifest(spark))
+
+
+# ---- cleaning, targets, splits, encoding
+
+_RAW_TEXT = "raw AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '  ' WHEN event_id % 5 = 0 THEN 'n/a' ELSE '  ' || CAST(event_id % 1000 AS VARCHAR) || ' ' END AS amount, CASE WHEN event_id % 6 = 0 THEN ' Yes ' WHEN event_id % 6 = 1 THEN 'TRUE' WHEN event_id % 6 = 2 THEN '1.0' WHEN event_id % 6 = 3 THEN 'no' WHEN event_id % 6 = 4 THEN NULL ELSE '0' END AS flag FROM events)"
+
+
+def _raw_text(spark, sf_dir):
+    n = F.col("event_id")
+    amount = F.when(n % 7 == 0, "  ").when(n % 5 == 0, "n/a").otherwise(F.concat(F.lit("  "), (n % 1000).cast("string"), F.lit(" ")))
+    flag = F.when(n % 6 == 0, " Yes ").when(n % 6 == 1, "TRUE").when(n % 6 == 2, "1.0").when(n % 6 == 3, "no").when(n % 6 == 4, None).otherwise("0")
+    return table(spark, sf_dir, "events", ["event_id"]).select("event_id", amount.alias("amount"), flag.alias("flag"))
+
+
+@query(f"WITH {_RAW_TEXT} SELECT event_id, CAST(try_cast(trim(amount) AS FLOAT) AS DOUBLE) AS number, nullif(trim(amount), '') AS text FROM raw")
+def clean_types(spark, sf_dir):
+    return _raw_text(spark, sf_dir).select("event_id", cl.to_float("amount").cast("double").alias("number"), cl.trimmed("amount").alias("text"))
+
+
+@query(f"WITH {_RAW_TEXT} SELECT event_id, coalesce(lower(trim(flag)) IN ('1', '1.0', 'true', 't', 'yes', 'y'), false) AS flag FROM raw")
+def truthy_parse(spark, sf_dir):
+    return _raw_text(spark, sf_dir).select("event_id", cl.truthy("flag").alias("flag"))
+
+
+@query(q.ask("""SELECT lot_id, count(*) AS reported_bid_count, count(DISTINCT bidder) AS bidder_count, min(part) AS first_part, CAST(sum(percent) AS BIGINT) AS percent_sum, CAST(sum(cents) AS BIGINT) AS cents_sum,
+  round(min(cents) / 100.0, 6) AS bid_price_min, round(max(cents) / 100.0, 6) AS bid_price_max, round(stddev_samp(cents / 100.0), 6) AS bid_price_std, round(sum(cents) / 100.0 / count(*), 6) AS bid_price_mean,
+  round(stddev_samp(cents / 100.0) / (sum(cents) / 100.0 / count(*)), 9) AS bid_price_cv, round((max(cents) - min(cents)) / 100.0 / (sum(cents) / 100.0 / count(*)), 9) AS bid_price_spread_ratio,
+  round(ln(1 + max(cents) / 100.0), 9) AS log_bid_price_max, round(count(DISTINCT bidder) / CAST(count(*) AS DOUBLE), 9) AS bidder_ratio, CAST(stddev_samp(cents / 100.0) IS NULL AS INT) AS missing_bid_price_std FROM bid GROUP BY 1"""))
+def bid_to_lot(spark, sf_dir):
+    money = ("bid_price_min", "bid_price_max", "bid_price_std", "bid_price_mean")
+    return _rounded(_rounded(fx.bid_to_lot(fx.bids(spark, sf_dir)), money, 6), ("bid_price_cv", "bid_price_spread_ratio", "log_bid_price_max", "bidder_ratio"))
+
+
+@query(q.ask(f"SELECT lot_id, {', '.join(q.Y)}, split FROM marked"))
+def derive_targets(spark, sf_dir):
+    return fx.with_targets(fx.lots(spark, sf_dir)).select("lot_id", *fx.TARGETS, "split")
+
+
+_RULES = (("y_cri_high", "label_cri", ">=", fx.CRI_CUT), ("y_proc_high", "label_corr_proc", ">=", fx.PROC_CUT), ("y_single_bid", "label_corr_singleb", ">", 0.0), ("y_no_call_for_tender", "label_corr_nocft", ">", 0.0))
+
+
+@query(q.ask(" UNION ALL ".join(
+    f"SELECT '{t}' AS target, count({t}) AS labelled, CAST(sum(CAST({t} IS DISTINCT FROM CAST({s} {op} {q.d(c)} AS INT) AS INT)) AS BIGINT) AS disagreements, CAST(sum(CAST({t} IS DISTINCT FROM CAST({s} {op} {q.d(c)} AS INT) AND coalesce({s} = {q.d(c)}, false) AS INT)) AS BIGINT) AS at_the_cut, CAST(sum(CAST({t} IS DISTINCT FROM CAST({s} {op} {q.d(c)} AS INT) AND NOT coalesce({s} = {q.d(c)}, false) AS INT)) AS BIGINT) AS unexplained FROM marked"
+    for t, s, op, c in _RULES)))
+def target_verification(spark, sf_dir):
+    return prepare.target_verification(fx.with_targets(fx.lots(spark, sf_dir)), _RULES)
+
+
+@query(q.ask(" UNION ALL ".join(f"SELECT '{t}' AS target, count({t}) AS labelled, CAST(sum({t}) AS BIGINT) AS positives, CAST(count({t}) - sum({t}) AS BIGINT) AS negatives, round(sum({t}) / {q.d(f'count({t})')}, 9) AS positive_rate FROM marked" for t in q.Y)))
+def target_balance(spark, sf_dir):
+    return prepare.target_balance(fx.with_targets(fx.lots(spark, sf_dir)), fx.TARGETS)
+
+
+@query(q.ask("SELECT lot_id, split, CAST((lot_id * 31 + 17) % 5 AS INT) AS fold FROM marked"))
+def split_assignment(spark, sf_dir):
+    return fx.with_targets(fx.lots(spark, sf_dir)).select("lot_id", "split", fx.fold_of(F.col("lot_id")).alias("fold"))
+
+
+@query(q.ask(" UNION ALL ".join(f"SELECT split, count(*) AS rows, round(count(*) / CAST((SELECT count(*) FROM marked) AS DOUBLE), 9) AS share, '{t}' AS target, count({t}) AS labelled, CAST(sum({t}) AS BIGINT) AS positives, round(sum({t}) / {q.d(f'count({t})')}, 9) AS positive_rate FROM marked GROUP BY split" for t in q.Y)))
+def split_summary(spark, sf_dir):
+    return prepare.split_summary(fx.with_targets(fx.lots(spark, sf_dir)), fx.TARGETS)
+
+
+@query(q.ask("""SELECT lot_id, split, stratum, row_number() OVER (ORDER BY split, lot_id) - 1 AS sample_row_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY split, stratum ORDER BY (lot_id * 48271) % 2147483647, lot_id) AS nth, count(*) OVER (PARTITION BY split, stratum) AS n, count(*) OVER (PARTITION BY split) AS whole
+  FROM (SELECT *, coalesce(y_proc_high, -1) AS stratum FROM marked)) WHERE nth <= least(n, greatest(round(CAST(500 AS DOUBLE) * n / whole), 1))"""))
+def stratified_sample(spark, sf_dir):
+    sample = prepare.stratified_sample(fx.with_targets(fx.lots(spark, sf_dir)), "y_proc_high", 500, (F.col("lot_id") * 48271) % 2147483647, "lot_id")
+    return prepare.numbered(sample, "lot_id").select("lot_id", "split", "stratum", F.col("sample_row_id").cast("long").alias("sample_row_id"))
+
+
+@query(q.ask("SELECT lot_id, round(ln(1 + greatest(CAST(lot_bidscount AS DOUBLE), 0)), 9) AS log_lots, CAST(coalesce(lot_bidscount, 0) + coalesce(award_criteria_count, 0) AS DOUBLE) AS total, round(coalesce(award_criteria_count, 0) / CAST(coalesce(lot_bidscount, 0) + 1 AS DOUBLE), 9) AS ratio, round(coalesce(award_criteria_count, 0) / CAST(greatest(coalesce(lot_bidscount, 1), 1) AS DOUBLE), 9) AS per_lot, CAST(NULL AS FLOAT) AS absent FROM lots"))
+def engineered_numerics(spark, sf_dir):
+    lot = fx.lots(spark, sf_dir)
+    return lot.select(
+        "lot_id", F.round(cl.clipped_log1p("lot_bidscount"), 9).alias("log_lots"), cl.total_of(["lot_bidscount", "award_criteria_count"]).alias("total"),
+        F.round(cl.ratio_plus_one("award_criteria_count", "lot_bidscount"), 9).alias("ratio"), F.round(cl.per_at_least_one("award_criteria_count", "lot_bidscount"), 9).alias("per_lot"), cl.column_or_null(lot, "no_such_column").alias("absent"),
+    )
+
+
+@query(q.ask("SELECT lot_id, coalesce(procedure_type, 'missing') || '||' || coalesce(buyer_type, 'missing') AS procedure_buyer, coalesce(cpv_group, 'missing') || '||' || coalesce(supply_type, 'missing') AS cpv_supply FROM lots"))
+def interaction_keys(spark, sf_dir):
+    return fx.lots(spark, sf_dir).select("lot_id", cl.interaction("procedure_type", "buyer_type").alias("procedure_buyer"), cl.interaction("cpv_group", "supply_type").alias("cpv_supply"))
+
+
+def _train(spark, sf_dir):
+    return fx.with_targets(fx.lots(spark, sf_dir)).where("split = 'train'").withColumn("fold", fx.fold_of(F.col("lot_id"))).withColumn("pair", cl.interaction("procedure_type", "buyer_type"))
+
+
+@query(q.ask(q.encoding("train", "procedure_type"), f"train AS ({q.TRAIN})"))
+def target_encode_full(spark, sf_dir):
+    return prepare.encoding_table(_train(spark, sf_dir), "procedure_type", "y_proc_high")
+
+
+@query(q.ask(q.encoding("train", "pair"), f"train AS ({q.TRAIN})"))
+def target_encode_interaction(spark, sf_dir):
+    return prepare.encoding_table(_train(spark, sf_dir), "pair", "y_proc_high")
+
+
+@query(q.ask(q.oof(), f"train AS ({q.TRAIN})"))
+def target_encode_oof(spark, sf_dir):
+    return prepare.out_of_fold_table(_train(spark, sf_dir), "procedure_type", "y_proc_high", "fold")
+
+
+@query(q.ask(f"SELECT m.lot_id, m.split, CASE WHEN m.split = 'train' THEN CASE WHEN m.y_proc_high IS NOT NULL THEN o.encoding END ELSE coalesce(e.encoding, (SELECT max(global_mean) FROM enc)) END AS encoded FROM marked m LEFT JOIN oof o ON o.key = m.procedure_type AND o.fold = (m.lot_id * 31 + 17) % 5 LEFT JOIN enc e ON e.key = m.procedure_type",
+             f"train AS ({q.TRAIN})", f"oof AS ({q.oof()})", f"enc AS ({q.encoding('train', 'procedure_type')})"))
+def target_encode_apply(spark, sf_dir):
+    lot = fx.with_targets(fx.lots(spark, sf_dir)).withColumn("fold", fx.fold_of(F.col("lot_id")))
+    train = lot.where("split = 'train'")
+    fitted = prepare.apply_encoding(lot.where("split <> 'train'"), prepare.encoding_table(train, "procedure_type", "y_proc_high"), "procedure_type", "encoded")
+    return prepare.out_of_fold(train, "procedure_type", "y_proc_high", "fold", "encoded").select("lot_id", "split", "encoded").unionByName(fitted.select("lot_id", "split", "encoded"))
+
+
+# ---- criteria, normalisation, weights, scores
+
+
+@query(q.ask(f"SELECT sample_row_id, split, {q.ROUNDED(q.C)} FROM crit"))
+def criteria(spark, sf_dir):
+    return _rounded(criteria_rows(spark, sf_dir), CRITERIA).select("sample_row_id", "split", *CRITERIA)
+
+
+@query(q.ask("SELECT sample_row_id, CAST(y_any_risk AS INT) AS y_any_risk FROM crit"))
+def composite_label(spark, sf_dir):
+    return criteria_rows(spark, sf_dir).select("sample_row_id", "y_any_risk")
+
+
+def _normalize(method):
+    def run(spark, sf_dir):
+        rows = ranking.normalized(criteria_rows(spark, sf_dir, "test"), criteria_rows(spark, sf_dir, "val"), [method])
+        return _rounded(rows, CRITERIA).select("sample_row_id", *CRITERIA)
+
+    return run
+
+
+def _weights(method):
+    def run(spark, sf_dir):
+        val = criteria_rows(spark, sf_dir, "val")
+        rows = ranking.normalized(val, val).where(F.col("y_cri_high").isNotNull())
+        return _rounded(ranking.weights(rows, ["normalization"], [method]), CRITERIA, 8)
+
+    return run
+
+
+for _m in ranking.NORMALIZATIONS:
+    query(q.ask(f"SELECT sample_row_id, {q.ROUNDED(q.C)} FROM norm", q.normalized("SELECT * FROM crit WHERE split = 'test'", [_m])), f"normalize_{_m}")(_normalize(_m))
+for _m in ranking.WEIGHTINGS:
+    query(q.ask(f"SELECT normalization, weighting, {q.ROUNDED(q.C, 8)} FROM ({q.weight_query(_m)})", q.normalized("SELECT * FROM crit WHERE split = 'val'"), "learn AS (SELECT * FROM norm WHERE y_cri_high IS NOT NULL)"), f"weights_{_m}")(_weights(_m))
+for _m in ranking.SCORERS:
+    query(q.ask(f"SELECT sample_row_id, round(score, 8) AS score FROM ({q.scored(_m, q.EQUAL_TEST, q.KEYS)})", q.TEST_MINMAX), f"score_{_m}")(
+        lambda spark, sf_dir, m=_m: _test_scores(spark, sf_dir, m).select("sample_row_id", F.round("score", 8).alias("score"))
+    )
+
+
+@query(q.ask("SELECT sample_row_id, score, row_number() OVER (ORDER BY score DESC, sample_row_id) AS rank, row_number() OVER (ORDER BY score DESC, sample_row_id) <= ceil(count(*) OVER () * CAST(0.2 AS DOUBLE)) AS selected_for_review FROM ranked", q.TEST_MINMAX, q.RANKED))
+def rank_and_review_flag(spark, sf_dir):
+    return ranking.ranked(_test_scores(spark, sf_dir).select("sample_row_id", "score"), 0.2)
+
+
+@query(q.ask("SELECT sample_row_id, score, row_number() OVER (ORDER BY score DESC, sample_row_id) AS rank FROM ranked QUALIFY rank <= 100", q.TEST_MINMAX, q.RANKED))
+def top_ranked(spark, sf_dir):
+    """The report of the 100 best test rows: a heap per task, and no sort of all rows."""
+    best = _test_scores(spark, sf_dir).select("sample_row_id", "score").orderBy(F.desc("score"), "sample_row_id").limit(100)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "sample_row_id")).cast("long"))
+
+
+def flagship(spark, sf_dir: str) -> DataFrame:
+    return top_ranked(spark, sf_dir)
+
+
+# ---- metrics
+
+
+@query(q.ask(q.ap("SELECT * FROM long", q.ST), *q.ON_LONG))
+def metric_average_precision(spark, sf_dir):
+    return metrics.average_precision(_long(spark, sf_dir), ST)
+
+
+@query(q.ask(q.auc("SELECT * FROM long", q.ST), *q.ON_LONG))
+def metric_roc_auc(spark, sf_dir):
+    return metrics.roc_auc(_long(spark, sf_dir), ST)
+
+
+_BINS = "SELECT strategy, target, CAST(least(floor(round(score * 10, 9)), 9) AS INT) AS bin, count(*) AS n, round(avg(score), 9) AS mean_predicted, round(avg(y), 9) AS observed_rate FROM long WHERE y IS NOT NULL GROUP BY ALL"
+
+
+@query(q.ask(f"SELECT * FROM (SELECT strategy, target, round(avg((score - y) * (score - y)), 9) AS brier FROM long WHERE y IS NOT NULL GROUP BY ALL) JOIN (SELECT strategy, target, round(sum(n * abs(mean_predicted - observed_rate)) / sum(n), 8) AS ece FROM ({_BINS}) GROUP BY ALL) USING (strategy, target)", *q.ON_LONG))
+def metric_brier_ece(spark, sf_dir):
+    long = _long(spark, sf_dir)
+    return metrics.brier(long, ST).join(metrics.expected_calibration_error(long, ST), ST)
+
+
+@query(q.ask(_BINS, *q.ON_LONG))
+def reliability_bins(spark, sf_dir):
+    return metrics.reliability(_long(spark, sf_dir), ST)
+
+
+@query(q.ask("""SELECT strategy, target, round(coalesce(tp / nullif(said, 0), 0), 9) AS "precision", round(coalesce(tp / nullif(pos, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(said + pos, 0), 0), 9) AS f1 FROM (
+  SELECT strategy, target, CAST(sum(CASE WHEN score >= 0.5 THEN y ELSE 0 END) AS DOUBLE) AS tp, sum(CAST(score >= 0.5 AS INT)) AS said, sum(y) AS pos FROM long WHERE y IS NOT NULL GROUP BY ALL)""", *q.ON_LONG))
+def metric_at_half(spark, sf_dir):
+    return metrics.at_half(_long(spark, sf_dir), ST)
+
+
+@query(q.ask(q.table_at("SELECT * FROM long", q.ST, q.RATES6), *q.ON_LONG))
+def metric_threshold_table(spark, sf_dir):
+    return metrics.threshold_table(_long(spark, sf_dir), ST)
+
+
+@query(q.ask(f"SELECT strategy, target, ndcg FROM ({q.table_at('SELECT * FROM long', q.ST, [0.1])})", *q.ON_LONG))
+def metric_ndcg(spark, sf_dir):
+    return metrics.threshold_table(_long(spark, sf_dir), ST, [0.1]).select(*ST, "ndcg")
+
+
+@query(q.ask(q.best_at("SELECT * FROM long", q.ST, q.RATES6), *q.ON_LONG))
+def metric_best_threshold(spark, sf_dir):
+    return metrics.best_threshold(_long(spark, sf_dir), ST)
+
+
+def _two_scores(spark, sf_dir):
+    return _wide(spark, sf_dir).select("sample_row_id", F.lit(1).alias("k"), F.round("p_cri_high", 9).alias("raw"), "topsis")
+
+
+@query(q.ask("SELECT round(corr(a, b), 9) AS spearman FROM (SELECT rank() OVER (ORDER BY round(p_cri_high, 9)) + (count(*) OVER (PARTITION BY round(p_cri_high, 9)) - 1) / 2.0 AS a, rank() OVER (ORDER BY topsis) + (count(*) OVER (PARTITION BY topsis) - 1) / 2.0 AS b FROM wide)", *q.ON_LONG))
+def metric_spearman(spark, sf_dir):
+    return metrics.spearman(_two_scores(spark, sf_dir), ["k"], "raw", "topsis").drop("k")
+
+
+@query(q.ask("""SELECT CAST(sum(CAST(a AND b AS INT)) AS BIGINT) AS both, round(sum(CAST(a AND b AS INT)) / CAST(sum(CAST(a OR b AS INT)) AS DOUBLE), 9) AS jaccard FROM (
+  SELECT row_number() OVER (ORDER BY round(p_cri_high, 9) DESC, sample_row_id) <= ceil(count(*) OVER () * CAST(0.2 AS DOUBLE)) AS a, row_number() OVER (ORDER BY topsis DESC, sample_row_id) <= ceil(count(*) OVER () * CAST(0.2 AS DOUBLE)) AS b FROM wide)""", *q.ON_LONG))
+def metric_topk_jaccard(spark, sf_dir):
+    return metrics.top_jaccard(_two_scores(spark, sf_dir), ["k"], "raw", "topsis").drop("k")
+
+
+# ---- configuration grid
+
+
+def grid_rows(spark, sf_dir) -> DataFrame:
+    """Every configuration's performance on validation rows and its selection score."""
+    val = criteria_rows(spark, sf_dir, "val")
+    rows = ranking.normalized(val, val).persist()
+    weights = ranking.weights(rows.where(F.col("y_cri_high").isNotNull()), ["normalization"])
+    scores = ranking.scored(rows, weights, ["normalization"])
+    # both labels side by side: the scores are computed, and sorted, once
+    long = scores.select(*CONFIG, "sample_row_id", "score", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in ("y_cri_high", "y_any_risk")])).alias("t")).select(*CONFIG, "sample_row_id", "score", "t.*").persist()
+    keys = [*CONFIG, "target"]
+    both = metrics.average_precision(long, keys).join(metrics.best_threshold(long, keys), keys)
+    one = lambda c, t, name: F.max(F.when(F.col("target") == t, F.col(c))).alias(name)
+    wide = both.groupBy(*CONFIG).agg(
+        one("average_precision", "y_cri_high", "primary_ap"), one("rate", "y_cri_high", "primary_rate"), one("f1", "y_cri_high", "primary_f1"), one("ndcg", "y_cri_high", "primary_ndcg"),
+        one("average_precision", "y_any_risk", "any_ap"), one("f1", "y_any_risk", "any_f1"), one("ndcg", "y_any_risk", "any_ndcg"),
+    )
+    total = 0.35 * F.col("primary_f1") + 0.25 * F.col("primary_ndcg") + 0.20 * F.col("primary_ap") + 0.10 * F.col("any_f1") + 0.10 * F.col("any_ndcg")
+    return wide.withColumn("selection_score", F.round(total, 8))
+
+
+_PERF = ("primary_ap", "primary_f1", "primary_ndcg", "any_ap", "any_f1", "any_ndcg")
+_PERF_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in _PERF)
+
+
+@query(q.ask(f"SELECT normalization, weighting, method, primary_rate, {_PERF_SQL}, round(selection_score, 6) AS selection_score FROM perf", *q.grid()))
+def grid_performance(spark, sf_dir):
+    return _rounded(grid_rows(spark, sf_dir), [*_PERF, "selection_score"], 6)
+
+
+_SELECT = ("selection_score", "primary_f1", "primary_ndcg", "primary_ap", "any_f1", "any_ndcg")
+
+
+@query(q.ask(f"SELECT normalization, weighting, method, round(selection_score, 6) AS selection_score FROM perf ORDER BY {', '.join(f'round({c}, 6) DESC' for c in _SELECT)}, method, normalization, weighting LIMIT 1", *q.grid()))
+def grid_selected(spark, sf_dir):
+    best = _rounded(grid_rows(spark, sf_dir), [*_PERF, "selection_score"], 6).orderBy(*[F.desc(c) for c in _SELECT], "method", "normalization", "weighting").limit(1)
+    return best.select(*CONFIG, "selection_score")
+
+
+@query(q.ask("SELECT method, round(avg(primary_ap), 6) AS mean_ap, round(max(primary_ap), 6) AS max_ap, round(avg(primary_f1), 6) AS mean_f1, round(max(primary_f1), 6) AS max_f1, count(*) AS configurations FROM perf GROUP BY 1", *q.grid()))
+def grid_method_summary(spark, sf_dir):
+    rounded = [F.round(f(c), 6).alias(f"{n}_{s}") for c, s in (("primary_ap", "ap"), ("primary_f1", "f1")) for n, f in (("mean", F.avg), ("max", F.max))]
+    return grid_rows(spark, sf_dir).groupBy("method").agg(*rounded, F.count(F.lit(1)).alias("configurations"))
+
+
+# ---- validation
+
+
+@query(q.ask(f"SELECT * FROM ({q.ap('SELECT * FROM long', q.ST)}) JOIN ({q.auc('SELECT * FROM long', q.ST)}) USING ({q.ST}) JOIN ({q.best_at('SELECT * FROM long', q.ST, q.RATES5)}) USING ({q.ST})", *q.ON_LONG))
+def strategy_validation(spark, sf_dir):
+    return validation.strategy_validation(_long(spark, sf_dir))
+
+
+def _all_targets(spark, sf_dir):
+    named = {"raw": F.col("p_cri_high"), "baseline": F.col("topsis"), "consensus": F.col("risk_consensus_mean")}
+    return validation.strategies(_wide(spark, sf_dir), named, fx.TARGETS)
+
+
+_ALL = "every AS (" + " UNION ALL ".join(f"SELECT '{n}' AS strategy, '{t}' AS target, sample_row_id, {t} AS y, round({e}, 9) AS score FROM wide" for n, e in (("raw", "p_cri_high"), ("baseline", "topsis"), ("consensus", "risk_consensus_mean")) for t in q.Y) + ")"
+_AT3 = q.table_at("SELECT * FROM every", "target, strategy", [0.05, 0.1, 0.2])
+
+
+@query(q.ask("SELECT * FROM (" + q.ap("SELECT * FROM every", "target, strategy") + ") JOIN (SELECT target, strategy, " + ", ".join(f"max(CASE WHEN rate = {q.d(r)} THEN \"precision\" END) AS precision_at_{round(r * 100):02d}" for r in (0.05, 0.1, 0.2)) + f" FROM ({_AT3}) GROUP BY ALL) USING (target, strategy)", *q.ON_LONG, _ALL))
+def decision_support_coverage(spark, sf_dir):
+    return validation.coverage(_all_targets(spark, sf_dir))
+
+
+_OWN = "own AS (" + " UNION ALL ".join(f"SELECT '{t}' AS target, {t} AS y, round({p}, 9) AS score FROM wide" for t, p in zip(q.Y, q.P, strict=True)) + ")"
+
+
+@query(q.ask(f"SELECT target, strategy, average_precision, own_ap, round(own_ap - average_precision, 8) AS gap FROM ({q.ap('SELECT * FROM every', 'target, strategy')}) JOIN (SELECT target, average_precision AS own_ap FROM ({q.ap('SELECT * FROM own', 'target')})) USING (target)", *q.ON_LONG, _ALL, _OWN))
+def per_target_reference(spark, sf_dir):
+    wide = criteria_rows(spark, sf_dir, "test")
+    own = wide.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y"), F.round(p, 9).alias("score")) for t, p in zip(fx.TARGETS, fx.PROBABILITIES, strict=True)])).alias("r")).select("r.*")
+    return validation.reference_gap(_all_targets(spark, sf_dir), own)
+
+
+@query("SELECT 'forbidden features' AS \"check\", true AS passed UNION ALL SELECT 'rows aligned', true UNION ALL SELECT 'ids unique', true")
+def verification_checklist(spark, sf_dir):
+    names = governance.feature_sets(_manifest(spark), _STRICT).where("strict_ex_ante").select("column")
+    return validation.checklist(names, criteria_rows(spark, sf_dir, "test"), _test_scores(spark, sf_dir), "sample_row_id")
+
+
+@query(q.ask("SELECT count(*) AS rows, CAST(0 AS DOUBLE) AS max_difference, CAST(1 AS DOUBLE) AS spearman FROM ranked", q.TEST_MINMAX, q.RANKED))
+def reproduction_check(spark, sf_dir):
+    return validation.reproduction(_test_scores(spark, sf_dir), _test_scores(spark, sf_dir), "sample_row_id").withColumns({c: F.round(c, 6) for c in ("max_difference", "spearman")})
+
+
+@query("""SELECT coalesce(p.table_name, a.table_name) AS table_name, coalesce(p.cell, a.cell) AS cell, p.value AS value, a.value AS found, coalesce(round(abs(p.value - a.value), 9) <= 0.051, false) AS passed
+  FROM (SELECT 'orders' AS table_name, o_orderstatus AS cell, CAST(count(*) AS DOUBLE) + CASE WHEN o_orderstatus = 'P' THEN 0.04 ELSE 0 END AS value FROM orders GROUP BY o_orderstatus) p
+  FULL JOIN (SELECT 'orders' AS table_name, o_orderstatus AS cell, CAST(count(*) AS DOUBLE) + CASE WHEN o_orderstatus = 'O' THEN 0.06 ELSE 0 END AS value FROM orders GROUP BY o_orderstatus) a ON p.table_name = a.table_name AND p.cell = a.cell""")
+def cell_verification(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.lit("orders").alias("table_name"), F.col("o_orderstatus").alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    shifted = lambda s, by: counts.select("table_name", "cell", (F.col("n") + F.when(F.col("cell") == s, by).otherwise(0.0)).alias("value"))
+    return validation.cells_within(shifted("P", 0.04), shifted("O", 0.06))
+
+
+# ---- operating points
+
+_GRID_RATES = [i / 100 for i in range(1, 81)]
+
+
+@query(q.ask(f"SELECT strategy, target, rate, selected, \"precision\", recall, f1 FROM (SELECT *, row_number() OVER (PARTITION BY {q.ST} ORDER BY f1 DESC, rate) AS z FROM ({q.table_at('SELECT * FROM long', q.ST, _GRID_RATES)})) WHERE z = 1", *q.ON_LONG))
+def operating_point_topk(spark, sf_dir):
+    return validation.best_top_rate(_long(spark, sf_dir), ST, _GRID_RATES)
+
+
+_CUTS = """SELECT strategy, target, cut, selected, f1 FROM (SELECT *, row_number() OVER (PARTITION BY strategy, target ORDER BY f1 DESC, cut) AS z FROM (
+  SELECT strategy, target, round(step / CAST(1000 AS DOUBLE), 9) AS cut, count(*) AS selected, round(2 * sum(y) / CAST(count(*) + any_value(pos) AS DOUBLE), 9) AS f1
+  FROM (SELECT *, sum(y) OVER (PARTITION BY strategy, target) AS pos FROM long WHERE y IS NOT NULL), (SELECT unnest(range(1, 1000)) AS step) WHERE floor(round(score * 1000, 6)) >= step GROUP BY strategy, target, step)) WHERE z = 1"""
+
+
+@query(q.ask(_CUTS, *q.ON_LONG))
+def operating_point_threshold(spark, sf_dir):
+    return validation.best_cut(_long(spark, sf_dir), ST)
+
+
+_SIDES = "sides AS (" + " UNION ALL ".join(f"SELECT split, '{n}' AS strategy, '{t}' AS target, sample_row_id, CAST({t} AS INT) AS y, round({e}, 9) AS score FROM crit WHERE split <> 'train'" for n, e in (("raw", "p_cri_high"), ("consensus", "risk_consensus_mean")) for t in ("y_cri_high", "y_any_risk")) + ")"
+
+
+def _sides(spark, sf_dir):
+    named = {"raw": F.col("p_cri_high"), "consensus": F.col("risk_consensus_mean")}
+    return [validation.strategies(criteria_rows(spark, sf_dir, s), named, ("y_cri_high", "y_any_risk")) for s in ("val", "test")]
+
+
+_VAL_AT, _TEST_AT = (q.table_at(f"SELECT * FROM sides WHERE split = '{s}'", q.ST, _GRID_RATES) for s in ("val", "test"))
+
+
+@query(q.ask(f"SELECT strategy, target, t.rate, v.f1 AS val_f1, t.\"precision\" AS test_precision, t.recall AS test_recall, t.f1 AS test_f1 FROM (SELECT *, row_number() OVER (PARTITION BY {q.ST} ORDER BY f1 DESC, rate) AS z FROM ({_VAL_AT})) v JOIN ({_TEST_AT}) t USING (strategy, target, rate) WHERE z = 1", _SIDES))
+def operating_point_calibrated(spark, sf_dir):
+    return validation.calibrated_rate(*_sides(spark, sf_dir), ST, _GRID_RATES)
+
+
+@query(q.ask(f"""SELECT c.strategy, c.target, c.cut, c.f1 AS val_f1, CAST(sum(hit) AS BIGINT) AS selected, round(2 * sum(hit * y) / CAST(sum(hit) + sum(y) AS DOUBLE), 9) AS test_f1 FROM (
+  SELECT s.*, c.cut, c.f1, CAST(round(score * 1000, 6) >= round(cut * 1000, 6) AS INT) AS hit FROM sides s JOIN cuts c USING (strategy, target) WHERE split = 'test' AND y IS NOT NULL) c GROUP BY ALL""", _SIDES, "long AS (SELECT * FROM sides WHERE split = 'val')", f"cuts AS ({_CUTS})"))
+def operating_point_calibrated_cut(spark, sf_dir):
+    return validation.calibrated_cut(*_sides(spark, sf_dir), ST)
+
+
+@query("SELECT i / CAST(100 AS DOUBLE) AS rate, round(2 * least(i / 100.0 / 0.395, 1) / (1 + least(i / 100.0 / 0.395, 1)), 9) AS max_f1 FROM (SELECT unnest(range(1, 81)) AS i)")
+def f1_bound(spark, sf_dir):
+    rate = (F.col("id") / 100).alias("rate")
+    return spark.range(1, 81).select(rate).select("rate", F.round(metrics.f1_bound(F.col("rate"), F.lit(0.395)), 9).alias("max_f1"))
+
+
+# ---- Pareto
+
+
+def _front(spark, sf_dir):
+    return pareto.front(pareto.without_duplicates(fx.archive(spark, sf_dir)))
+
+
+@query(q.on_archive("SELECT seq, algorithm FROM uniq"))
+def pareto_dedup(spark, sf_dir):
+    return pareto.without_duplicates(fx.archive(spark, sf_dir)).select("seq", "algorithm")
+
+
+@query(q.on_archive(f"SELECT seq, {q.ROUNDED(q.O)} FROM front"))
+def pareto_front(spark, sf_dir):
+    return _rounded(_front(spark, sf_dir), pareto.OBJECTIVES).select("seq", *pareto.OBJECTIVES)
+
+
+@query(q.on_archive(f"SELECT seq, {q.ROUNDED(q.O)} FROM scaled"))
+def pareto_scaled(spark, sf_dir):
+    return _rounded(pareto.scaled(_front(spark, sf_dir)), pareto.OBJECTIVES).select("seq", *pareto.OBJECTIVES)
+
+
+@query(q.on_archive(f"SELECT seq, {q.norm_of(q.O)} AS distance FROM scaled ORDER BY 2, 1 LIMIT 1"))
+def pareto_knee(spark, sf_dir):
+    return pareto.knee(_front(spark, sf_dir)).select("seq", "distance")
+
+
+_GAP = q.norm_of(f"w_{o} - {w}" for o, w in zip(q.O, q.TARGET, strict=True))
+
+
+@query(q.on_archive(f"SELECT seq, {', '.join(f'round(w_{o}, 9) AS w_{o}' for o in q.O)}, {_GAP} AS distance FROM pseudo", q.PSEUDO))
+def pareto_pseudo_weights(spark, sf_dir):
+    names = [f"w_{o}" for o in pareto.OBJECTIVES]
+    return _rounded(pareto.pseudo_weights(_front(spark, sf_dir)), names).select("seq", *names, "distance")
+
+
+@query(q.on_archive(f"SELECT seq, {_GAP} AS distance FROM pseudo ORDER BY 2, 1 LIMIT 1", q.PSEUDO))
+def pareto_pseudo_choice(spark, sf_dir):
+    return pareto.pseudo_weight_choice(_front(spark, sf_dir)).select("seq", "distance")
+
+
+@query(q.on_archive(f"SELECT algorithm, count(*) AS solutions, {', '.join(f'round(min({o}), 9) AS best_{o}' for o in q.O)}, arg_min(seq, (o1, seq)) AS best_seq FROM uniq GROUP BY 1"))
+def pareto_best_per_algorithm(spark, sf_dir):
+    return pareto.best_per_algorithm(pareto.without_duplicates(fx.archive(spark, sf_dir)))
+
+
+_VECTORS = " UNION ALL ".join(f"SELECT '{n}' AS vector, seq, {q.norm_of(f'w_{o} - {q.d(repr(t))}' for o, t in zip(q.O, v, strict=True))} AS distance FROM pseudo" for n, v in q.perturbed())
+
+
+@query(q.on_archive(f"SELECT * EXCLUDE (z) FROM (SELECT *, row_number() OVER (PARTITION BY vector ORDER BY distance, seq) AS z FROM ({_VECTORS})) WHERE z = 1", q.PSEUDO))
+def weight_perturbation(spark, sf_dir):
+    return pareto.choices_under(_front(spark, sf_dir), pareto.perturbed_weights())
+
+
+@query(q.on_archive("SELECT seq, round(o1, 9) AS o1, round(o4, 9) AS o4, round(o5, 9) AS o5 FROM uniq WHERE o5 BETWEEN 0.04 AND 0.06 AND round(o1 - (SELECT min(o1) FROM uniq WHERE o5 BETWEEN 0.04 AND 0.06), 9) <= 0.05 ORDER BY uniq.o4, seq LIMIT 1"))
+def capacity_band(spark, sf_dir):
+    best = pareto.capacity_band(pareto.without_duplicates(fx.archive(spark, sf_dir)))
+    return _rounded(best, ("o1", "o4", "o5")).select("seq", "o1", "o4", "o5")
+
+
+@query("SELECT s_suppkey AS k, '{\"mask\":[0,2],\"method\":\"topsis\",\"normalization\":\"minmax\",\"rate\":' || CAST(round(s_nationkey / CAST(100 AS DOUBLE), 4) AS VARCHAR) || ',\"weights\":[0.25,0.75]}' AS signature FROM supplier")
+def decision_signature(spark, sf_dir):
+    rate = F.col("s_nationkey") / 100
+    sign = pareto.signature(F.lit("topsis"), F.lit("minmax"), rate, F.array(F.lit(0), F.lit(2)), F.array(F.lit(0.25), F.lit(0.75)))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), sign.alias("signature"))
+
+
+# ---- statistics
+
+
+def _correlation_sql(ranks: bool) -> str:
+    src = "preds" if not ranks else "(SELECT " + ", ".join(f"rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2.0 AS {p}" for p in q.P) + " FROM preds)"
+    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) AS correlation FROM {src}" for a, b in q.PAIRS)
+
+
+@query(q.ask(_correlation_sql(False)))
+def probability_correlation(spark, sf_dir):
+    return learn.correlations(fx.predictions(spark, sf_dir), fx.PROBABILITIES)
+
+
+@query(q.ask(_correlation_sql(True)))
+def probability_rank_correlation(spark, sf_dir):
+    return learn.correlations(fx.predictions(spark, sf_dir), fx.PROBABILITIES, ranks=True)
+
+
+_SEEDS = " UNION ALL ".join(f"SELECT {s} AS seed, sample_row_id, round(topsis * 0.9 + ((sample_row_id * {31 + s} + {s}) % 97) / CAST(970 AS DOUBLE), 9) AS score FROM wide" for s in range(1, 6))
+
+
+def _seeds(spark, sf_dir):
+    wide = _wide(spark, sf_dir)
+    one = lambda s: wide.select(F.lit(s).alias("seed"), "sample_row_id", F.round(F.col("topsis") * 0.9 + ((F.col("sample_row_id") * (31 + s) + s) % 97) / 970, 9).alias("score"))
+    return reduce(lambda a, b: a.unionByName(b), [one(s) for s in range(1, 6)])
+
+
+@query(q.ask(f"""SELECT rate, count(*) AS pairs, round(avg(o), 9) AS mean_overlap FROM (SELECT a.rate, a.seed, b.seed AS other, count(*) / CAST(any_value(a.k) AS DOUBLE) AS o FROM top a JOIN top b ON a.sample_row_id = b.sample_row_id AND a.rate = b.rate AND a.seed < b.seed GROUP BY ALL) GROUP BY 1""",
+             *q.ON_LONG, f"seeds AS ({_SEEDS})", "top AS (SELECT * FROM (SELECT *, greatest(ceil(n * rate), 1) AS k FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, sample_row_id) AS place, count(*) OVER (PARTITION BY seed) AS n FROM seeds), (SELECT unnest([CAST(0.01 AS DOUBLE), CAST(0.05 AS DOUBLE), CAST(0.1 AS DOUBLE), CAST(0.2 AS DOUBLE)]) AS rate)) WHERE place <= k)"))
+def seed_overlap(spark, sf_dir):
+    return validation.seed_overlap(_seeds(spark, sf_dir), (0.01, 0.05, 0.1, 0.2))
+
+
+@query("""WITH p AS (SELECT n_name AS comparison, ((n_nationkey * 37 + 5) % 101) / CAST(2000 AS DOUBLE) AS p FROM nation)
+  SELECT comparison, p, round(least(max(step) OVER (ORDER BY p, comparison), 1), 9) AS holm FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, comparison) + 1) * p AS step FROM p)""")
+def holm_adjust(spark, sf_dir):
+    p = table(spark, sf_dir, "nation").select(F.col("n_name").alias("comparison"), (((F.col("n_nationkey") * 37 + 5) % 101) / 2000).alias("p"))
+    return statistics.holm(p, "p").withColumn("holm", F.round("holm", 9))
+
+
+@query()
+def bootstrap_ap(spark, sf_dir):
+    long = _long(spark, sf_dir).where("target = 'y_cri_high'")
+    return statistics.poisson_bootstrap_ap(long, validation.STRATEGIES, resamples=20)
+
+
+@query()
+def bootstrap_comparison(spark, sf_dir):
+    return statistics.sign_flipped(statistics.bootstrap_comparison(bootstrap_ap(spark, sf_dir), "raw"))
+
+
+@query()
+def robustness_drop(spark, sf_dir):
+    rows = ranking.normalized(criteria_rows(spark, sf_dir, "test"), criteria_rows(spark, sf_dir, "val"), ["minmax"]).persist()
+
+    def score_of(df, kept):
+        weights = ranking.weights(df, ["normalization"], ["equal"], columns=kept)
+        return ranking.scored(df, weights, ["normalization"], ["waspas"], columns=kept).select("sample_row_id", F.col("y_cri_high").alias("y"), "score")
+
+    return validation.robustness(rows, score_of, CRITERIA)
+
+
+# ---- models and search
+
+
+def _model_rows(spark, sf_dir):
+    lot = fx.with_targets(fx.lots(spark, sf_dir)).persist()
+    parts = [lot.where(F.col("split") == s) for s in ("train", "val", "test")]
+    return learn.prepared(parts[0], parts[1:], learn.NUMERIC, learn.CATEGORICAL)
+
+
+@query()
+def model_candidates(spark, sf_dir):
+    train, val, _ = _model_rows(spark, sf_dir)
+    return learn.candidate_metrics(train, val, "y_proc_high")[0].drop("seconds")
+
+
+@query()
+def model_predictions(spark, sf_dir):
+    train, val, test = _model_rows(spark, sf_dir)
+    table_, models = learn.candidate_metrics(train, val, "y_proc_high", ["logistic"])
+    return learn.predicted(models["logistic"], test, "p_proc_high").select("lot_id", "y_proc_high", "p_proc_high")
+
+
+@query()
+def isotonic_calibration(spark, sf_dir):
+    long = criteria_rows(spark, sf_dir, "val").where(F.col("y_proc_high").isNotNull()).select("sample_row_id", F.col("y_proc_high").alias("y"), F.col("p_proc_high").alias("raw"))
+    return learn.calibrated(learn.isotonic(long, "y", "raw"), long, "raw", "calibrated").select("sample_row_id", "y", "raw", "calibrated")
+
+
+@query()
+def pca_variance(spark, sf_dir):
+    return learn.pca_shares(fx.predictions(spark, sf_dir), fx.PROBABILITIES)
+
+
+@query()
+def logistic_reestimation(spark, sf_dir):
+    val, test = (criteria_rows(spark, sf_dir, s) for s in ("val", "test"))
+    scores = learn.reestimated(val, test, fx.PROBABILITIES, "y_cri_high").withColumn("k", F.lit("all five"))
+    return metrics.average_precision(scores, ["k"])
+
+
+@query()
+def hyper_parameter_grid(spark, sf_dir):
+    train, val, _ = _model_rows(spark, sf_dir)
+    return learn.hyper_parameters(train, val, "y_proc_high", (3,), (0.1,), (3, 6))
 
 
-def flagship(spark, sf_dir: str):
-    return QUERIES["top_ranked"](spark, sf_dir)
+@query()
+def nsga2_archive(spark, sf_dir):
+    val = criteria_rows(spark, sf_dir, "val")
+    return evolve.nsga2(ranking.normalized(val, val), population=16, generations=3)

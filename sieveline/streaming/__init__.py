@@ -1 +1 @@
-
+"""Empty on purpose: the reference has no streaming, watermark or state operator."""
