@@ -59,14 +59,14 @@ def reliability(df: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame
     """Mean score and observed rate in equal bins of [0, 1], the last one closed."""
     edge = F.least(F.floor(F.round(F.col("score") * bins, 9)), F.lit(bins - 1)).cast("int")
     return _labelled(df).groupBy(*keys, edge.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean_predicted"), F.round(F.avg("y"), 9).alias("observed_rate")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_predicted"), F.round(F.avg("y"), 6).alias("observed_rate")
     )
 
 
 def expected_calibration_error(df: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
     part = reliability(df, keys, bins)
     gap = F.sum(F.col("n") * F.abs(F.col("mean_predicted") - F.col("observed_rate"))) / F.sum("n")
-    return part.groupBy(*keys).agg(F.round(gap, 8).alias("ece"))
+    return part.groupBy(*keys).agg(F.round(gap, 6).alias("ece"))
 
 
 def _placed(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:

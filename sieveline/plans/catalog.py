@@ -37,20 +37,21 @@ def query(oracle: str | None = None, name: str | None = None):
 
 
 def criteria_rows(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
-    df = with_any_risk(with_criteria(fx.predictions(spark, sf_dir)))
+    """Cached: statistics, weights and scores each read these rows again, and what they are made from is five joins."""
+    df = with_any_risk(with_criteria(fx.predictions(spark, sf_dir))).persist()
     return df.where(F.col("split") == split) if split else df
 
 
 def _test_scores(spark, sf_dir, method="topsis") -> DataFrame:
     """Test rows scored with equal weights on min-max criteria, fitted on validation rows."""
-    rows = ranking.normalized(criteria_rows(spark, sf_dir, "test"), criteria_rows(spark, sf_dir, "val"), ["minmax"])
+    rows = ranking.normalized(criteria_rows(spark, sf_dir, "test"), criteria_rows(spark, sf_dir, "val"), ["minmax"]).persist()
     weights = ranking.weights(rows, ["normalization"], ["equal"])
     return ranking.scored(rows, weights, ["normalization"], [method])
 
 
 def _wide(spark, sf_dir) -> DataFrame:
     scores = _test_scores(spark, sf_dir).select("sample_row_id", F.col("score").alias("topsis"))
-    return criteria_rows(spark, sf_dir, "test").join(scores, "sample_row_id")
+    return criteria_rows(spark, sf_dir, "test").join(scores, "sample_row_id").persist()
 
 
 def _long(spark, sf_dir) -> DataFrame:
@@ -327,8 +328,8 @@ for _m in ranking.NORMALIZATIONS:
 for _m in ranking.WEIGHTINGS:
     query(q.ask(f"SELECT normalization, weighting, {q.ROUNDED(q.C, 8)} FROM ({q.weight_query(_m)})", q.normalized("SELECT * FROM crit WHERE split = 'val'"), "learn AS (SELECT * FROM norm WHERE y_cri_high IS NOT NULL)"), f"weights_{_m}")(_weights(_m))
 for _m in ranking.SCORERS:
-    query(q.ask(f"SELECT sample_row_id, round(score, 8) AS score FROM ({q.scored(_m, q.EQUAL_TEST, q.KEYS)})", q.TEST_MINMAX), f"score_{_m}")(
-        lambda spark, sf_dir, m=_m: _test_scores(spark, sf_dir, m).select("sample_row_id", F.round("score", 8).alias("score"))
+    query(q.ask(f"SELECT sample_row_id, score FROM ({q.scored(_m, q.EQUAL_TEST, q.KEYS)})", q.TEST_MINMAX), f"score_{_m}")(
+        lambda spark, sf_dir, m=_m: _test_scores(spark, sf_dir, m).select("sample_row_id", "score")
     )
 
 
@@ -361,10 +362,10 @@ def metric_roc_auc(spark, sf_dir):
     return metrics.roc_auc(_long(spark, sf_dir), ST)
 
 
-_BINS = "SELECT strategy, target, CAST(least(floor(round(score * 10, 9)), 9) AS INT) AS bin, count(*) AS n, round(avg(score), 9) AS mean_predicted, round(avg(y), 9) AS observed_rate FROM long WHERE y IS NOT NULL GROUP BY ALL"
+_BINS = "SELECT strategy, target, CAST(least(floor(round(score * 10, 9)), 9) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_predicted, round(avg(y), 6) AS observed_rate FROM long WHERE y IS NOT NULL GROUP BY ALL"
 
 
-@query(q.ask(f"SELECT * FROM (SELECT strategy, target, round(avg((score - y) * (score - y)), 9) AS brier FROM long WHERE y IS NOT NULL GROUP BY ALL) JOIN (SELECT strategy, target, round(sum(n * abs(mean_predicted - observed_rate)) / sum(n), 8) AS ece FROM ({_BINS}) GROUP BY ALL) USING (strategy, target)", *q.ON_LONG))
+@query(q.ask(f"SELECT * FROM (SELECT strategy, target, round(avg((score - y) * (score - y)), 9) AS brier FROM long WHERE y IS NOT NULL GROUP BY ALL) JOIN (SELECT strategy, target, round(sum(n * abs(mean_predicted - observed_rate)) / sum(n), 6) AS ece FROM ({_BINS}) GROUP BY ALL) USING (strategy, target)", *q.ON_LONG))
 def metric_brier_ece(spark, sf_dir):
     long = _long(spark, sf_dir)
     return metrics.brier(long, ST).join(metrics.expected_calibration_error(long, ST), ST)
