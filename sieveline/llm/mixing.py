@@ -142,18 +142,23 @@ def mix_sources(
     )
 
 
-def written_mix(docs: DataFrame, **params) -> DataFrame:
+def written_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **params
+) -> DataFrame:
     """The mix itself, with the columns of docs: whole documents as often as they are taken, and the pieces taken once
-    more as rows of their own, cut between words. n_chars follows the text where there is such a column."""
-    columns, text_col = docs.columns, params.get("text_col", "text")
-    id_col = params.get("id_col", "doc_id")
-    mixed = mix_sources(docs, keep=[c for c in columns if c != id_col], **params)
+    more as rows of their own, cut between words. chars_col follows the text where there is such a column. Columns may have
+    any names; those that aren't named are carried along, and rows of which nothing is taken go."""
+    columns = docs.columns
+    own = {c: f"_sl_d{i}" for i, c in enumerate(columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    text = own[text_col]
+    mixed = mix_sources(renamed, own[id_col], text, own[source_col], keep=[n for c, n in own.items() if c != id_col], **params)
     # (?s) and an anchored count of words with the space after each, so that a piece is one substring of the text
-    ends = F.expr(f"regexp_replace(`{text_col}`, '^[\\\\x20\\\\x09-\\\\x0D]+', '')")
+    ends = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")
     parts = F.split(ends, r"(?<=[\x20\x09-\x0D])(?![\x20\x09-\x0D])")
     piece = F.transform("pieces", lambda x: F.rtrim(F.array_join(F.slice(parts, (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")), "")))
-    texts = F.concat(F.array_repeat(F.col(text_col), F.col("copies").cast("int")), piece)
-    rows = mixed.where(F.col("taken") > 0).withColumn(text_col, F.explode(texts))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns)
+    texts = F.concat(F.array_repeat(F.col(text), F.col("copies").cast("int")), piece)
+    rows = mixed.where(F.col("taken") > 0).withColumn(text, F.explode(texts))
+    if chars_col in columns:
+        rows = rows.withColumn(own[chars_col], F.length(text).cast(docs.schema[chars_col].dataType))
+    return rows.select(*[F.col(n).alias(c) for c, n in own.items()])
