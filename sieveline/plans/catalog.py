@@ -251,7 +251,7 @@ def stratified_sample(spark, sf_dir):
     return prepare.numbered(sample, "lot_id").select("lot_id", "split", "stratum", F.col("sample_row_id").cast("long").alias("sample_row_id"))
 
 
-@query(q.ask("SELECT lot_id, round(ln(1 + greatest(CAST(lot_bidscount AS DOUBLE), 0)), 9) AS log_lots, CAST(coalesce(lot_bidscount, 0) + coalesce(award_criteria_count, 0) AS DOUBLE) AS total, round(coalesce(award_criteria_count, 0) / CAST(coalesce(lot_bidscount, 0) + 1 AS DOUBLE), 9) AS ratio, round(coalesce(award_criteria_count, 0) / CAST(greatest(coalesce(lot_bidscount, 1), 1) AS DOUBLE), 9) AS per_lot, CAST(NULL AS FLOAT) AS absent FROM lots"))
+@query(q.ask("SELECT lot_id, CASE WHEN lot_bidscount IS NOT NULL THEN round(ln(1 + greatest(CAST(lot_bidscount AS DOUBLE), 0)), 9) END AS log_lots, CAST(coalesce(lot_bidscount, 0) + coalesce(award_criteria_count, 0) AS DOUBLE) AS total, round(coalesce(award_criteria_count, 0) / CAST(coalesce(lot_bidscount, 0) + 1 AS DOUBLE), 9) AS ratio, round(coalesce(award_criteria_count, 0) / CAST(greatest(coalesce(lot_bidscount, 1), 1) AS DOUBLE), 9) AS per_lot, CAST(NULL AS FLOAT) AS absent FROM lots"))
 def engineered_numerics(spark, sf_dir):
     lot = fx.lots(spark, sf_dir)
     return lot.select(
