@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.tables import SPACES, stored
+from sieveline.llm.tables import SPACES, in_slices, stored
 
 _SPACES = SPACES.encode()
 
@@ -27,7 +27,7 @@ def _line_hashes(min_chars: int):
     """Each document's distinct line hashes. A key has no fewer bytes than code points, so only short keys are decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, hashes = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys = {_key(line) for line in (text or "").encode().split(b"\n")}
@@ -41,7 +41,7 @@ def _line_hashes(min_chars: int):
 
 def _without(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             total, gone, kept = [], [], []
             for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = (text or "").encode().split(b"\n")
