@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sieveline.llm.tables import SPACES, in_slices, stored
 
 _SPACES = SPACES.encode()
+#: A line's documents are dealt to so many tasks when they are joined with the common lines.
+_SALTS = 16
 
 
 def _key(line: bytes) -> bytes:
@@ -78,7 +80,9 @@ def drop_common_lines(
         .where(F.col("docs") >= min_docs).select("line")
     )
     # one entry for each common line of a document, so a list is no longer than its document
-    per_doc = lines.join(common, "line").groupBy("id").agg(F.collect_set("line").alias("drop")).withColumnRenamed("id", "other")
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    per_doc = dealt.join(common, ["line", "salt"]).groupBy("id").agg(F.collect_set("line").alias("drop")).withColumnRenamed("id", "other")
     return (
         narrow.join(per_doc, narrow["id"].eqNullSafe(per_doc["other"]), "left")
         .select("id", "text", "drop")
