@@ -232,11 +232,15 @@ def near_duplicate_groups(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with one row of each group: the one whose id is the component's, and of rows that repeat that id the one with
     the smallest text. A row without id can't stand for a group and stays."""
-    groups = near_duplicate_groups(docs, id_col, text_col, width, max_bits)
     stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_sl_id")).distinct()
     kept = docs.join(stay, docs[id_col] == stay["_sl_id"]).drop("_sl_id")
     nth = F.expr(f"row_number() OVER (PARTITION BY `{id_col}` ORDER BY `{text_col}` NULLS LAST)")
     return kept.withColumn("_sl_nth", nth).where("_sl_nth = 1").drop("_sl_nth").unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
+    """docs with one row of each group of near_duplicate_groups, as one_of_each has it."""
+    return one_of_each(docs, near_duplicate_groups(docs, id_col, text_col, width, max_bits), id_col, text_col)
