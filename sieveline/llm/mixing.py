@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from sieveline.llm.tables import stored, words_in
 
 
+#: Sources of fewer blocks than _FEW, 25 in a shard, are cut into about _FINE blocks of their own, as whole blocks can't pay them.
+_FEW, _FINE = 400, 4_000
+
+
 def _source_key(source: Column) -> Column:
     """Never null; sorts by code point, null last."""
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("z"))
@@ -59,16 +63,19 @@ def source_plan(cells: DataFrame, weights: Sequence[float], max_repeat: int, blo
         .withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(blocks))).cast("long"))
         .withColumn("seats", F.round(F.col("total") / F.col("block")).cast("long"))
     )
-    cut = cells.join(aimed.select("skey", "block"), "skey").withColumn(
-        "n", F.when(F.col("size") > 0, F.greatest(F.lit(1), F.round(F.col("size") / F.col("block")))).otherwise(0).cast("long")
-    )
-    held = cut.groupBy("skey").agg(F.sum("n").alias("held"))
+    aimed = aimed.withColumn("rare", (F.col("block") > 1) & (F.col("source_size") < _FEW * F.col("block")))
+    aimed = aimed.withColumn("own", F.when(F.col("rare"), F.greatest(F.lit(1), F.expr(f"source_size div {_FINE}"))).otherwise(F.col("block")).cast("long"))
+    in_blocks = lambda block: F.when(F.col("size") > 0, F.greatest(F.lit(1), F.round(F.col("size") / F.col(block)))).otherwise(0).cast("long")
+    cut = cells.join(aimed.select("skey", "block", "own", "rare"), "skey").withColumn("n", in_blocks("own"))
+    held = cut.groupBy("skey").agg(F.sum(in_blocks("block")).alias("held"), F.sum("n").alias("own_held"))
     roomy = F.least(F.col("held") * max_repeat, F.ceil(F.col("target") / F.col("block")) + 2).cast("long")
     by_source = _seats("target", "seats", roomy, ["total"], ["skey"], aimed.join(held, "skey"))
-    by_source = by_source.select("skey", "source_size", "target", F.col("quota").alias("source_quota"))
+    # a rare source is paid its target in its own blocks, not the blocks that it won; the others' quotas are as they were
+    paid = F.when(F.col("rare"), F.round(F.col("target") * F.col("own_held") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.col("quota"))
+    by_source = by_source.select("skey", "source_size", "target", paid.cast("long").alias("source_quota"))
     fair = F.ceil(F.col("source_quota") * F.col("size") / F.greatest(F.col("source_size"), F.lit(1))) + 2
-    inner = cut.drop("block").join(by_source, "skey")
-    limit = F.least(F.col("n") * max_repeat, fair).cast("long")
+    inner = cut.drop("block", "own").join(by_source, "skey")
+    limit = F.when(F.col("rare"), F.col("n") * max_repeat).otherwise(F.least(F.col("n") * max_repeat, fair)).cast("long")
     return _seats("size", "source_quota", limit, ["skey"], ["skey", "shard"], inner).select(
         "skey", "shard", F.col("size").alias("cell_size"), "n", "source_size", "target", F.col("quota").cast("long").alias("quota")
     )
@@ -94,7 +101,7 @@ def mix_sources(
     shards, in a seeded order, cut into blocks of equal tokens. Sources win blocks by highest quotients target / (2k + 1),
     a source's shards by size / (2k + 1); within a shard every block is taken quota // n times and quota % n blocks in a row
     from a seeded one on (round the end) once more, so none above max_repeat, and few documents are cut. At most about blocks rows meet in one
-    task, however many documents there are.
+    task, however many documents there are. A source of fewer than 400 blocks is paid its target in smaller blocks of its own.
 
     A null or blank text has size 0 and nothing taken. A null id sorts first. Rows that repeat an id are documents of
     their own. Columns that are neither named nor in keep are ignored. An empty table gives no rows.
