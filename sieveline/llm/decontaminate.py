@@ -39,8 +39,29 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def _in_order(part: list[str], passage: list[str]) -> int:
+    """The most of part's words that a stretch of the passage, a quarter longer than part at most, has in the same order.
+    Bit i of state is 0 where a longest common subsequence grows at part's word i."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(part):
+        places[word] = places.get(word, 0) | 1 << i
+    at = [places.get(word, 0) for word in passage]
+    full, length, best = (1 << len(part)) - 1, len(part) + max(1, len(part) // 4), 0
+    for start in (i for i, here in enumerate(at) if here):
+        stretch = [here for here in at[start : start + length] if here]
+        if len(stretch) <= best:
+            continue
+        state = full
+        for here in stretch:
+            grown = state & here
+            state = (state + grown | state - grown) & full
+        best = max(best, len(part) - state.bit_count())
+    return best
+
+
 def overlap(part: list[str], passage: list[str]) -> float:
-    """The share of part's words that lie in a run of five (or all, if fewer) which the passage has too; 1 for no words."""
+    """The share of part's words that lie in a run of five (or all, if fewer) which the passage has too, or, if that is
+    more, that a stretch of the passage has in order, so that a changed word takes no other with it; 1 for no words."""
     if not part:
         return 1.0
     n = min(_SHINGLE, len(part))
@@ -49,7 +70,7 @@ def overlap(part: list[str], passage: list[str]) -> float:
     for i, run in enumerate(zip(*[part[i:] for i in range(n)], strict=False)):
         if run in there:
             covered[i : i + n] = True
-    return float(covered.mean())
+    return 1.0 if covered.all() else max(int(covered.sum()), _in_order(part, passage)) / len(part)
 
 
 @dataclass(frozen=True)
@@ -209,7 +230,7 @@ def contaminated(
 ) -> DataFrame:
     """(id, item, score, question_overlap, answer_overlap), once for each document and item that it holds: a passage
     reaches `least` of the item's own BM25 score, and `covered` of the words of its question and of its answer lie in
-    runs of five words that the passage has.
+    runs of five words that the passage has, or in order in a stretch of it (see overlap).
 
     Words are runs of letters and digits, in lower case. Null and empty texts hold nothing, null and empty items are held
     by nothing. Rows that repeat a document's id count as one document, items that repeat an id as one item; null ids
