@@ -17,6 +17,8 @@ from sieveline.llm.tables import stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES, _SUFFIXES, _LONGEST = (3, 4, 5, 6, 7, 8), (3, 4, 5), 24
+#: Voters on groups of the lexicon's words, and on groups of patterns; texts of fewer words than this they don't call clean.
+_LEXICON_VOTERS, _PATTERN_VOTERS, _LEAST_WORDS = 8, 48, 5
 #: Words that vote on their own, whatever the labels say of them.
 LEXICON = (
     "idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "pathetic", "worthless", "disgusting", "trash",
@@ -82,40 +84,80 @@ def _presence(place: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Finder(place)
         for batch in batches:
-            has = [sorted(find(t.as_py())) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(has, pa.list_(pa.int32()))], ["id", "label", "has"])
+            texts = batch.column(1).to_pylist()
+            has = pa.array([sorted(find(t)) for t in texts], pa.list_(pa.int16()))
+            long = pa.array([sum(1 for _, _ in zip(_WORD.finditer(t or ""), range(_LEAST_WORDS), strict=False)) == _LEAST_WORDS for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), has, long], ["id", "has", "long"])
 
     return run
 
 
-def posterior(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """P(toxic) of each row, from its votes (rows x voters, 1: has it, 0: abstains) and the given label, by EM.
-
-    Every voter has a rate of voting for either class, and the given label is one more voter, whose accuracy is estimated
-    like the others'. Voters that go together within a class, as a stem and its beginning do, would count double: their
-    correlations given the class are estimated in every fifth round, and a voter's weight is one over the sum of its
-    own with all others (negative ones left out). Given labels are held to be right in nine of ten cases at least."""
-    q = np.where(given == 1, 0.9, 0.05)
-    x = votes.astype(np.float64)
-    weight = np.ones(x.shape[1])
+@dataclass(frozen=True)
+class LabelModel:
+    """What voters do given the class. rates[y, j, v]: how often voter j votes v - 1 (-1: clean, 0: abstains, 1: toxic) on
+    rows of class y. parent[j] is the voter that j depends on within a class (-1: none), and given[y, j, u, v] how often j
+    votes v - 1 there if its parent votes u - 1."""
+
+    prior: float
+    rates: np.ndarray
+    parent: np.ndarray
+    given: np.ndarray
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        code = votes.astype(np.int64) + 1
+        logit = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for j, p in enumerate(self.parent):
+            odds = np.log(self.rates[1, j] / self.rates[0, j]) if p < 0 else np.log(self.given[1, j] / self.given[0, j])
+            logit += odds[code[:, j]] if p < 0 else odds[code[:, p], code[:, j]]
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def _strongest_tree(counts: np.ndarray, voters: int) -> np.ndarray:
+    """Each voter's parent in the spanning tree of largest mutual information within the classes (Chow and Liu)."""
+    told = np.zeros((voters, voters))
+    for own in counts:
+        pairs = own.reshape(voters, 3, voters, 3).transpose(0, 2, 1, 3) + 0.05
+        n = pairs.sum(axis=(2, 3), keepdims=True)
+        share = pairs / n
+        told += n[:, :, 0, 0] * (share * np.log(share / share.sum(axis=3, keepdims=True) / share.sum(axis=2, keepdims=True))).sum(axis=(2, 3))
+    parent, source, best = np.full(voters, -1), np.zeros(voters, np.int64), told[0].copy()
+    best[0] = -np.inf
+    for _ in range(voters - 1):
+        j = int(best.argmax())
+        parent[j], best[j] = source[j], -np.inf
+        closer = (told[j] > best) & (best > -np.inf)
+        best[closer], source[closer] = told[j][closer], j
+    return parent
+
+
+def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 40, every: int = 5, smooth: float = 1.0) -> LabelModel:
+    """A generative model of votes (rows x voters of -1, 0, 1) by EM, without any label: the share of toxic rows, prior,
+    is all that is given. Rows start as toxic that are in the share of highest mean votes.
+
+    A voter's rates of voting either way are its accuracies. Correlations within a class are kept where they are strongest:
+    every voter but one depends on one other, in a tree that is fitted anew every so many rounds, with tables of both
+    voters' votes; the first rounds take voters as independent."""
+    n, voters = votes.shape
+    cell = np.arange(voters) * 3 + votes.astype(np.int64) + 1
+    hot = np.zeros((n, 3 * voters), np.float32)
+    hot[np.arange(n)[:, None], cell] = 1
+    mean = votes.mean(axis=1)
+    q = np.where(mean > np.quantile(mean, 1 - prior), 0.9, 0.1 * prior)
+    parent = np.full(voters, -1)
     for turn in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        pos, neg = q.sum() + 2, (1 - q).sum() + 2
-        alpha = np.clip((q @ x + 0.2) / pos, 1e-4, 1 - 1e-4)
-        beta = np.clip(((1 - q) @ x + 0.2) / neg, 1e-4, 1 - 1e-4)
-        right = np.clip(((q * (given == 1)).sum() + 1.9) / pos, 0.9, 0.99)
-        wrong = np.clip((((1 - q) * (given == 1)).sum() + 0.02) / neg, 0.0005, 0.005)
-        if turn % 5 == 0:
-            rest = x - (q[:, None] * alpha + (1 - q)[:, None] * beta)
-            cov = rest.T @ rest / len(x)
-            spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            together = np.maximum(cov / spread[:, None] / spread[None, :], 0)
-            np.fill_diagonal(together, 1)
-            weight = 1 / np.where(together > 0.1, together, 0).sum(axis=1)
-        logit = np.log(prior / (1 - prior)) + x @ (weight * np.log(alpha / beta)) + (1 - x) @ (weight * np.log((1 - alpha) / (1 - beta)))
-        logit = logit + np.where(given == 1, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return q
+        counts = np.stack([(hot * w[:, None]).T @ hot for w in (1 - q.astype(np.float32), q.astype(np.float32))]).astype(np.float64)
+        if turn and turn % every == 0:
+            parent = _strongest_tree(counts, voters)
+        single = np.diagonal(counts, axis1=1, axis2=2).reshape(2, voters, 3)
+        rates = (single + smooth) / (single.sum(axis=2, keepdims=True) + 3 * smooth)
+        given = np.zeros((2, voters, 3, 3))
+        for j, p in enumerate(parent):
+            if p >= 0:  # a row of few votes is drawn to the voter's own rates
+                both = counts[:, 3 * p : 3 * p + 3, 3 * j : 3 * j + 3] + 5 * smooth * rates[:, j, None, :]
+                given[:, j] = both / both.sum(axis=2, keepdims=True)
+        model = LabelModel(prior, rates, parent, given)
+        q = model.posterior(votes)
+    return model
 
 
 def fit_linear(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, width: int, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -146,8 +188,11 @@ def fit_toxicity(
     """The classifier, from at most `most` labelled documents that aren't held out.
 
     Words' beginnings, ends and whole words are counted by label in Spark; the `chosen` features that tell the classes apart
-    best (by likelihood ratio) become the classifier's, and the first `patterns` of them that are commoner in toxic texts vote, with the lexicon's words. What comes to the
-    driver is bounded: most rows, each with some of the chosen features.
+    best (by likelihood ratio) become the classifier's. Voters are groups of the lexicon's words, and groups of the first
+    `patterns` features that are commoner in toxic texts, dealt in turn: one votes toxic on a text with any of its group,
+    clean on one with none, and abstains on a short text with none. Labels choose patterns and give the share of toxic
+    texts; the label model is fitted to votes alone. What comes to the driver is bounded: most rows, each with some of the
+    chosen features, in Arrow arrays.
     """
     away = held_out(id_col, divisor, left)
     train = stored(training_rows(docs, labels, id_col, text_col, label_col, away, most), "toxicity")
@@ -173,20 +218,21 @@ def fit_toxicity(
     top = counted.orderBy(F.desc("gain"), "feature").limit(chosen).collect()
     names = sorted({r["feature"] for r in top} | {f"={w}" for w in LEXICON})
     place = {f: i for i, f in enumerate(names)}
-    voting = [r for r in top if r["more"]][:patterns]
-    voters = sorted({place[r["feature"]] for r in voting} | {place[f"={w}"] for w in LEXICON})
-    ids = train.select(F.col("id").cast("string").alias("id"), "label", "text")
-    found = ids.mapInArrow(_presence(place), "id string, label int, has array<int>")
-    rows = sorted((r["id"], r["label"], r["has"]) for r in found.toLocalIterator())
-    given = np.array([int(y > 0) for _, y, _ in rows])
-    at = np.repeat(np.arange(len(rows)), [len(h) for _, _, h in rows])
-    cols = np.array([f for _, _, h in rows for f in h], np.int64)
-    slot = np.full(len(names), -1)
-    slot[voters] = np.arange(len(voters))
-    votes = np.zeros((len(rows), len(voters)), np.float32)
-    is_vote = slot[cols] >= 0
-    votes[at[is_vote], slot[cols[is_vote]]] = 1
-    q = posterior(votes, given)
+    pattern = [place[r["feature"]] for r in top if r["more"]][:patterns]
+    word = [place[f"={w}"] for w in LEXICON]
+    groups = [word[i::_LEXICON_VOTERS] for i in range(_LEXICON_VOTERS)] + [pattern[i::_PATTERN_VOTERS] for i in range(min(_PATTERN_VOTERS, len(pattern)))]
+    texts = train.select(F.col("id").cast("string").alias("id"), "text")
+    rows = texts.mapInArrow(_presence(place), "id string, has array<smallint>, long boolean").toArrow().combine_chunks().sort_by("id")
+    has = rows["has"].combine_chunks()
+    lengths, cols = np.diff(has.offsets.to_numpy()), has.flatten().to_numpy().astype(np.int32)
+    at = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    silent = np.where(rows["long"].to_numpy(), -1, 0)
+    votes = np.repeat(silent[:, None], len(groups), axis=1).astype(np.int8)
+    for j, group in enumerate(groups):
+        votes[at[np.isin(cols, group)], j] = 1
+    del rows, has
+    share = min(max(toxic / (toxic + clean), 1e-3), 1 - 1e-3)
+    q = fit_label_model(votes, share).posterior(votes)
     w, bias = fit_linear(at, cols, q, len(names))
     return Linear({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-3}, bias)
 
