@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.tables import stored
+from sieveline.llm.tables import join_counted, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node links its larger neighbours to the least of itself and its neighbours."""
     around = _both_ways(edges)
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("m"))
-    return around.where("b > a").join(least, F.col("a") == F.col("key")).select(F.col("b").alias("x"), F.col("m").alias("y"))
+    least = stored(around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "components")
+    return join_counted(around.where("b > a"), least, "a", total=2 * total).select(F.col("b").alias("x"), F.col("m").alias("y"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them. Edges go from x to a smaller y."""
-    least = edges.groupBy("x").agg(F.min("y").alias("m"))
-    moved = edges.join(least.withColumnRenamed("x", "key"), F.col("x") == F.col("key")).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+    least = stored(edges.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")), "components")
+    moved = join_counted(edges, least, "x", total=total).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
     return least.select("x", F.col("m").alias("y")).unionByName(moved)
 
 
@@ -40,5 +40,5 @@ def connected_components(links: DataFrame) -> DataFrame:
                 edges.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()
             )
         before = now
-        stars = _large_star(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        edges = stored(_small_star(stored(stars.distinct(), "components")).distinct(), "components")
+        stars = _large_star(edges.select(F.col("x").alias("a"), F.col("y").alias("b")), now[0])
+        edges = stored(_small_star(stored(stars.distinct(), "components"), now[0]).distinct(), "components")

@@ -6,18 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from sieveline.llm.components import connected_components
-from sieveline.llm.tables import stored
+from sieveline.llm.tables import content_of, join_counted, stored
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Nodes of the index have so many children.
-_FANOUT = 16
+_FANOUT = 4
 #: Queries that walk the index together; bounds the walk's arrays.
 _TOGETHER = 256
+#: Neighbours in Gray order that are compared before the walk, which then passes over nodes of one component.
+_BESIDE = 8
+#: Cells of the index hold so many fingerprints, or more where the table would have more than _MOST_CELLS of them.
+_CELL, _MOST_CELLS = 1 << 16, 1 << 14
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42, chunk: int = 1 << 15) -> int:
@@ -39,7 +43,7 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64()), batch.column(2)], ["id", "fp", "content"])
 
     return run
 
@@ -52,46 +56,55 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
     return rank
 
 
-class GrayIndex:
-    """A tree over fingerprints in Gray order. A node's pattern is the bits on which all below it agree; what its parent
+class GrayTree:
+    """A tree over rows of bits in Gray order. A node's pattern is the bits on which all below it agree; what its parent
     has already is left out of its mask, so that differences add up on the way down and a node whose sum exceeds the
-    bound is left with all below it."""
+    bound is left with all below it. Rows may themselves stand for groups: masks are the bits that they agree on."""
 
-    def __init__(self, bits: np.ndarray):
-        self.order = np.argsort(gray_rank(bits), kind="stable")
-        self.bits = bits[self.order]
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the root down: own mask, pattern
-        both, any_ = self.bits, self.bits
-        levels = [(np.full(len(bits), _ONES), self.bits)]
+    def __init__(self, bits: np.ndarray, masks: np.ndarray | None = None):
+        masks = np.full(len(bits), _ONES) if masks is None else masks
+        both, any_ = bits & masks, bits | ~masks
+        levels = [(masks, both)]
         while len(both) > 1:
             cuts = np.arange(0, len(both), _FANOUT)
             both, any_ = np.bitwise_and.reduceat(both, cuts), np.bitwise_or.reduceat(any_, cuts)
             levels.append((~(both ^ any_), both))
         levels.reverse()
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the root down: own mask, pattern
         above = np.zeros(1, np.uint64)
         for mask, pattern in levels:
             up = above[np.arange(len(mask)) // _FANOUT] if len(mask) > 1 else above[:1]
             self.levels.append((mask & ~up, pattern))
             above = mask
 
-    def pairs(self, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places in the bits given, each once, some queries at a time."""
-        for at in range(0, len(self.bits), _TOGETHER):
-            who = np.arange(at, min(at + _TOGETHER, len(self.bits)))
-            node, sums = np.zeros(len(who), np.int64), np.zeros(len(who), np.uint8)
-            for depth, (mask, pattern) in enumerate(self.levels):
-                if depth:
-                    width = len(mask)
-                    node = (node[:, None] * _FANOUT + np.arange(_FANOUT)).ravel()
-                    who, sums = np.repeat(who, _FANOUT), np.repeat(sums, _FANOUT)
-                    inside = node < width
-                    node, who, sums = node[inside], who[inside], sums[inside]
-                sums = sums + np.bitwise_count((self.bits[who] ^ pattern[node]) & mask[node])
-                near = sums <= max_bits
-                node, who, sums = node[near], who[near], sums[near]
-            later = node > who
-            if later.any():
-                yield self.order[who[later]], self.order[node[later]]
+    def uniform(self, label: np.ndarray) -> list[np.ndarray]:
+        """The label of each node whose rows have one label, and -1 for the others, from the root down."""
+        low = high = label
+        levels = [label]
+        while len(low) > 1:
+            cuts = np.arange(0, len(low), _FANOUT)
+            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            levels.append(np.where(low == high, low, -1))
+        return levels[::-1]
+
+    def near(self, bits: np.ndarray, max_bits: int, after: np.ndarray, own: np.ndarray, uniform: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) for all rows beyond `after` whose bits are within max_bits of a query's, but for rows below nodes
+        whose one label is the query's own."""
+        who, node, sums = np.arange(len(bits)), np.zeros(len(bits), np.int64), np.zeros(len(bits), np.uint8)
+        below = _FANOUT ** (len(self.levels) - 1)
+        for depth, (mask, pattern) in enumerate(self.levels):
+            if depth:
+                below //= _FANOUT
+                node = (node[:, None] * _FANOUT + np.arange(_FANOUT)).ravel()
+                who, sums = np.repeat(who, _FANOUT), np.repeat(sums, _FANOUT)
+            open_ = (node < len(mask)) & ((node + 1) * below - 1 > after[who])
+            node, who, sums = node[open_], who[open_], sums[open_]
+            sums = sums + np.bitwise_count((bits[who] ^ pattern[node]) & mask[node])
+            stay = sums <= max_bits
+            if uniform is not None:
+                stay &= uniform[depth][node] != own[who]
+            node, who, sums = node[stay], who[stay], sums[stay]
+        return who, node
 
 
 class _Merged:
@@ -115,97 +128,155 @@ class _Merged:
                 self.least = up
 
 
-def _links_in(bits: np.ndarray, cuts: np.ndarray, max_bits: int) -> np.ndarray:
-    """For sorted groups of fingerprints that begin at cuts: the least place linked with each, within its group."""
-    merged = _Merged(len(bits))
-    sizes = np.diff(np.append(cuts, len(bits)))
-    for at, n in zip(cuts[sizes > 2 * _FANOUT], sizes[sizes > 2 * _FANOUT], strict=True):
-        for a, b in GrayIndex(bits[at : at + n]).pairs(max_bits):
-            merged.add(at + a, at + b)
-    # a small group is one leaf: every row against the next, the next but one, ...
-    left = np.concatenate([np.arange(n, 0, -1) if n <= 2 * _FANOUT else np.ones(n, np.int64) for n in sizes]) if len(sizes) else np.zeros(0, np.int64)
-    row, step = np.flatnonzero(left > 1), 1
-    while len(row):
-        near = np.bitwise_count(bits[row] ^ bits[row + step]) <= max_bits
-        merged.add(row[near], row[near] + step)
-        step += 1
-        row = row[left[row] > step]
-    return merged.least
-
-
-def _links(max_bits: int):
-    """Rows (mask, value, fp) sorted by mask and value in, links between fingerprints out: one for each but the first of
-    a component within a group."""
+class GrayCell:
+    """Fingerprints of one cell, in Gray order, with the components of those within max_bits of each other."""
+
+    def __init__(self, bits: np.ndarray, max_bits: int):
+        self.rank = gray_rank(bits)
+        order = np.argsort(self.rank)
+        self.bits, self.rank, self.max_bits = bits[order], self.rank[order], max_bits
+        self.tree, merged, n = GrayTree(self.bits), _Merged(len(bits)), len(bits)
+        for step in range(1, min(_BESIDE, n - 1) + 1):
+            row = np.flatnonzero(np.bitwise_count(self.bits[:-step] ^ self.bits[step:]) <= max_bits)
+            merged.add(row, row + step)
+        anew = 0
+        for turn, at in enumerate(range(0, n, _TOGETHER)):
+            if turn == anew:  # labels are taken anew at every doubling
+                uniform, anew = self.tree.uniform(merged.least), 2 * turn + 1
+            rows = np.arange(at, min(at + _TOGETHER, n))
+            who, found = self.tree.near(self.bits[rows], max_bits, rows, merged.least[rows], uniform)
+            merged.add(rows[who], found)
+        self.part = merged.least
+        self.uniform = self.tree.uniform(self.part)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        row = np.flatnonzero(self.part != np.arange(len(self.part)))
+        return self.bits[self.part[row]], self.bits[row]
+
+    def visited(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of fingerprints of other cells with this one's components, one for each component."""
+        out_a, out_b = [], []
+        for at in range(0, len(bits), _TOGETHER):
+            own = bits[at : at + _TOGETHER]
+            place, label = np.searchsorted(self.rank, gray_rank(own)), np.full(len(own), -2)
+            for step in range(-_BESIDE, _BESIDE):
+                row = np.clip(place + step, 0, len(self.bits) - 1)
+                label = np.where(np.bitwise_count(own ^ self.bits[row]) <= self.max_bits, self.part[row], label)
+            who, row = self.tree.near(own, self.max_bits, np.full(len(own), -1), label, self.uniform)
+            beside = np.flatnonzero(label >= 0)
+            pairs = np.unique(np.stack([np.append(who, beside), np.append(self.part[row], label[beside])]), axis=1)
+            out_a.append(self.bits[pairs[1]])
+            out_b.append(own[pairs[0]])
+        none = np.zeros(0, np.uint64)
+        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
+def _visits(tree: GrayTree, max_bits: int):
+    """Every fingerprint with its own cell, and with the later cells of the index that may hold others near it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 3
-        for batch in _then_none(batches):
-            if batch is not None:
-                kept = [np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept)]
-            mask, value, fp = kept
-            if not len(fp):
-                continue
-            cuts = np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])))
-            end = len(fp) if batch is None else cuts[-1]  # the last group may go on in the next batch
-            if not end:
-                continue
-            bits = fp[:end].view(np.uint64)
-            least = _links_in(bits, cuts[cuts < end], max_bits)
-            row = np.flatnonzero(least != np.arange(end))
-            kept = [k[end:] for k in kept]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[least[row]]), pa.array(fp[row])], ["a", "b"])
+        for batch in batches:
+            cell, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for at in range(0, len(bits), _TOGETHER):
+                own = np.arange(at, min(at + _TOGETHER, len(bits)))
+                who, to = tree.near(bits[own], max_bits, cell[own].astype(np.int64), own, None)
+                columns = [np.append(cell[own], to).astype(np.int32), np.append(np.zeros(len(own), bool), np.ones(len(who), bool)), np.append(bits[own], bits[own][who]).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "visits", "fp"])
 
     return run
 
 
-def _then_none(batches):
-    yield from batches
-    yield None
+def _links(max_bits: int, batch_rows: int = 1 << 16):
+    """Rows (cell, visits, fp) sorted by cell, a cell's own fingerprints before its visitors; links between fingerprints
+    out: one for each own fingerprint but the first of a component, one for each visitor and component that it is near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, cell = None, [], None
+
+        def out(pair: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(pair[0]), batch_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + batch_rows].view(np.int64)) for x in pair], ["a", "b"])
 
+        def closed() -> GrayCell:
+            return GrayCell(np.concatenate(own), max_bits)
+
+        for batch in batches:
+            cells, visits, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)
+            cuts = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]) | (visits[1:] != visits[:-1])))
+            for a, b in zip(cuts, np.append(cuts[1:], len(cells)), strict=True):
+                if cells[a] != at:
+                    if own and cell is None:
+                        yield from out(closed().links())
+                    at, own, cell = cells[a], [], None
+                if not visits[a]:
+                    own.append(bits[a:b])
+                elif own:
+                    if cell is None:
+                        cell = closed()
+                        yield from out(cell.links())
+                    yield from out(cell.visited(bits[a:b]))
+        if own and cell is None:
+            yield from out(closed().links())
 
-def _parts(mask: int, parts: int) -> list[int]:
-    """mask with each of so many parts of the bits that it leaves free. Two fingerprints that agree on mask and differ in
-    fewer bits than there are parts agree on one of the results."""
-    free = [i for i in range(64) if not mask >> i & 1]
-    cut = [free[len(free) * k // parts : len(free) * (k + 1) // parts] for k in range(parts)]
-    return [mask | sum(1 << i for i in bits) for bits in cut]
+    return run
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _in_gray_order(fp: Column) -> Column:
+    """Sorts as the unsigned Gray rank does."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 3, most: int = 8192) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int = 3, per_cell: int = _CELL) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints of fps (fp long) that differ in max_bits bits or fewer,
     directly or through others.
 
-    The index's top levels are Spark's: a node is a mask and the bits under it, and every fingerprint goes to the
-    max_bits + 1 nodes of the first level. A node with more than most fingerprints is replaced by its children, whose
-    masks take in a part of the bits left, until all are small enough for one task; no pair is lost on the way, and no
-    node can stay large, as its free bits run out. Within a node a GrayIndex finds the pairs, which leave the task as one
-    link for each fingerprint at most.
+    All fingerprints are sorted by Gray rank over the cluster and cut into cells of about per_cell, 16,384 at most. A cell
+    is a node: the bits that all its fingerprints share are its pattern. The tree above the cells is built of these
+    patterns alone (at most 16,384 rows reach the driver, however many fingerprints there are) and goes to every task, where
+    it sends a fingerprint on to the later cells whose patterns differ in max_bits bits or fewer. The tree below a cell
+    is built and walked in the task that has the cell; its visitors stream by. Within a task, links that only repeat
+    what others have joined are left out, so a dense cloud costs a link for each fingerprint and not for each pair.
     """
-    spark = fps.sparkSession
-    masks = _parts(0, max_bits + 1)
-    rows = fps.select("fp").distinct().withColumn("mask", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])))
-    rows = stored(rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp"), "simhash-nodes")
-    found = None
-    while True:
-        large = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("mask", "value")
-        large = stored(large, "simhash-large")
-        some = not large.isEmpty()
-        small = rows.join(large, ["mask", "value"], "left_anti") if some else rows
-        # groups must be whole and in order within a task; a group is at most `most` rows
-        sorted_ = small.repartition(F.col("mask"), F.col("value")).sortWithinPartitions("mask", "value")
-        links = sorted_.select("mask", "value", "fp").mapInArrow(_links(max_bits), "a long, b long")
-        found = links if found is None else found.unionByName(links)
-        if not some:
-            return found
-        next_masks = {_signed(m): [_signed(x) for x in _parts(m, max_bits + 1)] for m in masks}
-        masks = [x % (1 << 64) for xs in next_masks.values() for x in xs]
-        children = spark.createDataFrame([(m, x) for m, xs in next_masks.items() for x in xs], "mask long, child long")
-        below = rows.join(large, ["mask", "value"], "left_semi").join(F.broadcast(children), "mask")  # (max_bits+1)^depth rows
-        rows = stored(below.select(F.col("child").alias("mask"), F.col("child").bitwiseAND(F.col("fp")).alias("value"), "fp"), "simhash-nodes")
+    once = stored(fps.select("fp").distinct(), "simhash-distinct")
+    n = once.count()
+    cells = min(_MOST_CELLS, max(1, -(-n // per_cell)))
+    dealt = once.repartitionByRange(cells, _in_gray_order(F.col("fp"))).select(F.spark_partition_id().alias("cell"), "fp")
+    dealt = stored(dealt, "simhash-cells")
+    shared = dealt.groupBy("cell").agg(F.expr("bit_and(fp)").alias("both"), F.expr("bit_or(fp)").alias("any")).orderBy("cell").toArrow()
+    number = shared["cell"].to_numpy()
+    both, any_ = np.zeros(int(number.max(initial=-1)) + 1, np.uint64), np.full(int(number.max(initial=-1)) + 1, _ONES)
+    both[number], any_[number] = shared["both"].to_numpy().view(np.uint64), shared["any"].to_numpy().view(np.uint64)
+    upper = GrayTree(both, ~(both ^ any_)) if len(both) else GrayTree(np.zeros(1, np.uint64))
+    routed = dealt.select("cell", "fp").mapInArrow(_visits(upper, max_bits), "cell int, visits boolean, fp long")
+    # cells must be whole and in order within a task
+    whole = routed.repartition("cell").sortWithinPartitions("cell", "visits")
+    return stored(whole.mapInArrow(_links(max_bits), "a long, b long"), "simhash-links")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, content, fp) for each row, content being a hash of its text, and for each fingerprint (fp, n, least): its
+    number of rows and the least (id, content) of its component, ids before none."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), content_of(F.col(text_col)).alias("content"))
+    printed = narrow.mapInArrow(_fingerprints(width), f"id {kind}, fp long, content long")
+    printed = stored(printed, "simhash")
+    distinct = stored(printed.groupBy("fp").agg(F.min(least_row()).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-groups")
+    parts = connected_components(fingerprint_links(distinct, max_bits))  # only fingerprints that have a link
+    return printed, with_least(distinct, parts, "fp")
+
+
+def least_row() -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), "id", "content")
+
+
+def with_least(distinct: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """distinct (key, least, n) with least as the component's in parts (node, component)."""
+    linked = stored(parts.join(distinct, parts["node"] == distinct[key]).select(key, "component", "least"), "groups-parts")
+    lowest = linked.groupBy("component").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("n"))
+    named = join_counted(linked.select(key, "component"), lowest, "component").select(key, "lowest")
+    return stored(distinct.join(named, key, "left").select(key, F.coalesce("lowest", "least").alias("least"), "n"), "groups-least")
 
 
 def near_duplicate_groups(
@@ -218,29 +289,22 @@ def near_duplicate_groups(
     other, which makes it null. Other columns are ignored. An empty table gives no rows. Documents with equal
     fingerprints are one fingerprint in the search, however many there are.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    printed = stored(narrow.mapInArrow(_fingerprints(width), f"id {kind}, fp long"), "simhash")
-    distinct = printed.groupBy("fp").agg(F.min("id").alias("least"))
-    parts = connected_components(fingerprint_links(printed, max_bits))  # only fingerprints that have a link
-    linked = stored(parts.join(distinct, parts["node"] == distinct["fp"]).select("fp", "component", "least"), "simhash-parts")
-    lowest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(lowest, "component").select("fp", "component_id")
-    groups = distinct.join(by_fp, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(groups, printed["fp"] == groups["key"]).select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    printed, groups = _groups(docs, id_col, text_col, width, max_bits)
+    return join_counted(printed, groups, "fp").select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with one row of each group: the one whose id is the component's, and of rows that repeat that id the one with
-    the smallest text. A row without id can't stand for a group and stays."""
-    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_sl_id")).distinct()
-    kept = docs.join(stay, docs[id_col] == stay["_sl_id"]).drop("_sl_id")
-    nth = F.expr(f"row_number() OVER (PARTITION BY `{id_col}` ORDER BY `{text_col}` NULLS LAST)")
-    return kept.withColumn("_sl_nth", nth).where("_sl_nth = 1").drop("_sl_nth").unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each group: the one with the least id and, of rows that repeat it, the least hash of the text
+    (groups.least). A row without id can't stand for a group and stays."""
+    stay = groups.select("least.id", "least.content").where(F.col("id").isNotNull()).select(F.col("id").alias("_sl_id"), F.col("content").alias("_sl_is")).distinct()
+    rows = docs.withColumn("_sl_content", content_of(F.col(text_col)))
+    kept = rows.join(stay, (F.col(id_col) == F.col("_sl_id")) & (F.col("_sl_content") == F.col("_sl_is"))).drop("_sl_id", "_sl_is")
+    nth = F.expr(f"row_number() OVER (PARTITION BY `{id_col}`, _sl_content ORDER BY `{text_col}` NULLS LAST)")
+    return kept.withColumn("_sl_nth", nth).where("_sl_nth = 1").drop("_sl_nth", "_sl_content").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
     """docs with one row of each group of near_duplicate_groups, as one_of_each has it."""
-    return one_of_each(docs, near_duplicate_groups(docs, id_col, text_col, width, max_bits), id_col, text_col)
+    return one_of_each(docs, _groups(docs, id_col, text_col, width, max_bits)[1], id_col, text_col)

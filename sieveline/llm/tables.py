@@ -55,6 +55,22 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def content_of(text: Column) -> Column:
+    """A hash that tells texts apart; null is not the empty text."""
+    return F.xxhash64(text, text.isNull())
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
+    """rows joined with counted, which has one row for each key and n, the number of rows with it; total is the sum of n
+    where that is known. counted is read several times: give a stored table. A key of more than a thousand rows and more than one in 10,000 of all is hot: there are fewer
+    than 10,000 such keys, whatever the table's size, so they are broadcast, and their rows stay in the tasks that they
+    are in. The others meet by a shuffle."""
+    total = counted.agg(F.sum(n).alias("all")).first()["all"] or 0 if total is None else total
+    hot = F.col(n) > max(1000, total // 10_000)
+    left = rows.join(F.broadcast(counted.where(hot).select(key)), key, "left_anti")
+    return rows.join(F.broadcast(counted.where(hot)), key).unionByName(left.join(counted.where(~hot), key))
+
+
 def with_position(
     df: DataFrame, out: str, group: Sequence[str], spread: Column, order: Sequence[str], buckets: int = 256
 ) -> DataFrame:
