@@ -9,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.tables import SPACES, in_slices, stored
+from sieveline.llm.tables import SPACES, in_slices, join_counted, stored
 
 _SPACES = SPACES.encode()
-#: A line's documents are dealt to so many tasks when they are joined with the common lines.
-_SALTS = 16
 
 
 def _key(line: bytes) -> bytes:
@@ -36,7 +34,7 @@ def _line_hashes(min_chars: int):
                 own = {_hash(k) for k in keys if len(k.decode()) >= min_chars}
                 ids += [doc] * len(own)
                 hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(hashes, pa.binary())], ["id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], ["doc", "line"])
 
     return run
 
@@ -69,22 +67,19 @@ def drop_common_lines(
     documents or more.
 
     Texts are split at \\n; null and empty texts are one empty line. A key shorter than min_chars code points never goes.
-    Documents are told apart by their id: rows that repeat an id count as one document (rows without id, too, together),
-    and each of them is cleaned. Other columns are ignored, so their names can't clash; an empty table gives no rows.
+    Each row is a document, so rows that repeat an id, or have none, count each for itself. Other columns are ignored, so
+    their names can't clash; an empty table gives no rows. A line's number of documents is known before documents meet
+    the common lines, so lines of very many documents are joined where they are (see join_counted).
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc"))
     kind = docs.schema[id_col].dataType.simpleString()
-    lines = stored(narrow.mapInArrow(_line_hashes(min_chars), f"id {kind}, line binary"), "lines")
-    common = (
-        lines.groupBy("line", "id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("docs"))
-        .where(F.col("docs") >= min_docs).select("line")
-    )
-    # one entry for each common line of a document, so a list is no longer than its document
-    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
-    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-    per_doc = dealt.join(common, ["line", "salt"]).groupBy("id").agg(F.collect_set("line").alias("drop")).withColumnRenamed("id", "other")
+    lines = stored(narrow.select("doc", "text").mapInArrow(_line_hashes(min_chars), "doc long, line binary"), "lines")
+    # each row has a line once, so rows are documents
+    common = stored(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs), "lines-common")
+    # one entry for each common line of a document, so a list is no longer than its document; rows of equal id and text share it
+    per_doc = join_counted(lines, common, "line").groupBy("doc").agg(F.collect_set("line").alias("drop")).withColumnRenamed("doc", "other")
     return (
-        narrow.join(per_doc, narrow["id"].eqNullSafe(per_doc["other"]), "left")
+        narrow.join(per_doc, narrow["doc"] == per_doc["other"], "left")
         .select("id", "text", "drop")
         .mapInArrow(_without(min_chars), f"id {kind}, n_lines long, n_dropped long, text string")
         .withColumnRenamed("id", id_col)

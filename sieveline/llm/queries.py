@@ -132,7 +132,7 @@ keyed AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM exploded),
 common AS (
-  SELECT key FROM (SELECT DISTINCT key, doc_id FROM keyed WHERE length(key) >= 1) GROUP BY key HAVING count(*) >= 10),
+  SELECT key FROM (SELECT DISTINCT key, r FROM keyed WHERE length(key) >= 1) GROUP BY key HAVING count(*) >= 10),
 marked AS (SELECT k.*, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c USING (key))
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, lines, mixing, neighbours, quality, sharding, simhash, tokens, toxicity, warc
+from sieveline.llm import decontaminate, lines, mixing, nearcopies, neighbours, quality, sharding, simhash, tokens, toxicity, warc
 from sieveline.llm.components import connected_components
 from sieveline.llm.tables import new_path
 from tests.llm.fixtures import LONG, no_documents, no_labels, odd_documents, some_labels
@@ -28,25 +28,45 @@ def test_simhash(spark):
     assert simhash.near_duplicate_groups(no_documents(spark)).count() == 0
 
 
-def test_simhash_index_loses_no_link_when_nodes_split(spark):
-    rng = np.random.default_rng(8)
-    base = (rng.integers(0, 2**63, 12, dtype=np.uint64) >> np.uint64(16)) << np.uint64(16)  # one node of the first level has nearly all
-    flips = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 4), replace=False)) for b in base for _ in range(12)]
-    fps = sorted({x - (1 << 64) if x >> 63 else x for x in flips})
-    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), most=60)
-    got = {r["node"]: r["component"] for r in connected_components(links).collect()}
-    near = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    assert near and all(got[a] == got[b] for a, b in near)
-    parent = {f: f for f in fps}
+def _brute_components(fps, bits):
+    """{fingerprint: least of its component}, by comparing all pairs."""
+    own, part = np.array(fps, np.int64).view(np.uint64), {f: f for f in fps}
 
     def root(x):
-        while parent[x] != x:
-            x = parent[x]
+        while part[x] != x:
+            x = part[x]
         return x
 
-    for a, b in near:
-        parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert all(got.get(f, f) == root(f) for f in fps)
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(own[:i] ^ own[i]) <= bits).tolist():
+            low, high = sorted((root(fps[i]), root(fps[j])))
+            part[high] = low
+    return {f: root(f) for f in fps}
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize(("bits", "groups", "each", "flips", "per_cell"), [(3, 60, 12, 4, 40), (3, 40, 5, 6, 1 << 16), (10, 30, 30, 10, 50), (0, 5, 3, 2, 4)])
+def test_simhash_index_equals_brute_force(spark, bits, groups, each, flips, per_cell):
+    """Many cells, one cell, dense clouds under a wide bound, and equality."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, groups, dtype=np.uint64)
+    base[: groups // 2] = base[0] ^ (base[: groups // 2] & np.uint64(0xFFFF))  # half of them lie close together
+    fps = sorted({_signed(int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, flips), replace=False))) for b in base for _ in range(each)} | {0, -1})
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), bits, per_cell)
+    got = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    want = _brute_components(fps, bits)
+    assert {f: got.get(f, f) for f in fps} == want
+    assert links.count() <= 8 * len(fps)
+
+
+def test_near_duplicates_that_share_an_id_are_told_apart(spark):
+    words = [" ".join(f"{w}{i}" for i in range(40)) for w in "ab"]
+    docs = spark.createDataFrame([(1, words[0]), (2, words[0]), (2, words[1])], "doc_id long, text string")
+    for drop in (simhash.drop_near_duplicates, nearcopies.drop_near_copies):
+        assert sorted((r["doc_id"], r["text"]) for r in drop(docs).collect()) == [(1, words[0]), (2, words[1])]
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -153,7 +173,12 @@ def test_lines(spark):
     by = {r["doc_id"]: r for r in rows}
     assert (by[1]["n_lines"], by[1]["n_dropped"], by[1]["text"]) == (1, 1, "") and by[4]["n_lines"] == 1 and by[8]["n_lines"] == 3
     assert by[6]["n_dropped"] == 0 and by[6]["text"] == LONG
-    assert lines.drop_common_lines(docs, min_docs=3).where("n_dropped > 0").count() == 0  # rows that repeat an id are one document
+    assert lines.drop_common_lines(docs, min_docs=3).where("n_dropped > 0").count() == 3  # a row that repeats an id is a document
+    assert lines.drop_common_lines(docs, min_docs=4).where("n_dropped > 0").count() == 0
+    for shift in (0, 2000):  # with and without a line that more than a thousand documents have
+        many = spark.range(shift, shift + 1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("Hot line\n"), (F.col("id") % (60 + shift)).cast("string")).alias("text"))
+        got = Counter((r["n_dropped"], r["text"] == "") for r in lines.drop_common_lines(many, min_docs=20).collect())
+        assert got == ({(2, True): 1500} if not shift else {(1, False): 1500})
     assert lines.drop_common_lines(no_documents(spark)).count() == 0
 
 
