@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.tables import stored, with_position
+from sieveline.llm.tables import buckets_for, join_counted, stored, with_position
 
 
 def _spread(name: str):
@@ -19,12 +19,12 @@ def _allowed(demand: DataFrame, pool: DataFrame, used: DataFrame, shards: int) -
     back = demand.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("n").alias("back"))
     over = Window.partitionBy("dst")
     order = over.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
-    left = pool.join(used, "dst", "left").select("dst", F.coalesce("used", F.lit(0)).alias("used"), (F.col("size") - F.coalesce("used", F.lit(0))).alias("left"))
+    left = pool.join(F.broadcast(used), "dst", "left").select("dst", F.coalesce("used", F.lit(0)).alias("used"), (F.col("size") - F.coalesce("used", F.lit(0))).alias("left"))
     return (
-        demand.join(back, ["src", "dst"], "left")
+        demand.join(F.broadcast(back), ["src", "dst"], "left")
         .withColumn("swap", F.least("n", F.coalesce("back", F.lit(0))))
         .withColumn("excess", F.col("n") - F.col("swap"))
-        .join(left, "dst", "left")
+        .join(F.broadcast(left), "dst", "left")
         .fillna(0, ["used", "left"])
         .withColumn("wanted", F.sum("excess").over(over))
         .withColumn("fill", F.least("excess", F.expr("CASE WHEN wanted > 0 THEN excess * left div wanted ELSE 0 END")))
@@ -48,37 +48,39 @@ def balanced_shards(rows: DataFrame, link_col: str, shards: int = 16, rounds: in
     spark, columns = rows.sparkSession, rows.columns
     renamed = rows.select(*[F.col(c).alias(f"_sl_c{i}") for i, c in enumerate(columns)], F.col(link_col).alias("hub"))
     renamed = stored(renamed, "shard-rows")
-    by_content = F.xxhash64(*[c for c in renamed.columns if c != "hub"])
-    state = stored(with_position(renamed, "rid", [], by_content, [c for c in renamed.columns if c != "hub"]), "shard-state")
+    total, content = renamed.count(), [c for c in renamed.columns if c != "hub"]
+    state = stored(with_position(renamed, "rid", [], F.xxhash64(*content), content, buckets_for(total)), "shard-state")
     state = state.withColumn("shard", (F.col("rid") % shards).cast("int"))
-    groups = stored(state.where(F.col("hub").isNotNull()).groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub"), "shard-groups")
-    linked = stored(state.join(groups, "hub", "left_semi").select("rid", "hub", "shard"), "shard-linked")
+    groups = stored(state.where(F.col("hub").isNotNull()).groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-groups")
+    linked = stored(join_counted(state, groups, "hub").select("rid", "hub", "shard"), "shard-linked")
     free = state.join(linked.select("rid"), "rid", "left_anti").select("rid", "shard")
-    free = stored(with_position(free, "place", ["shard"], _spread("rid"), ["rid"]), "shard-free")
+    each = buckets_for(-(-total // shards))
+    free = stored(with_position(free, "place", ["shard"], _spread("rid"), ["rid"], each), "shard-free")
     pool = stored(free.groupBy(F.col("shard").alias("dst")).agg(F.count(F.lit(1)).alias("size")), "shard-pool")
     deals = spark.createDataFrame([], "src int, dst int, swap long, fill long, first long")
 
+    # tables by shard or by pair of shards, of at most shards² rows for each round, are broadcast
     for turn in range(rounds):
         used = deals.groupBy("dst").agg(F.sum("fill").alias("used"))
-        room = pool.join(used, "dst", "left").where(F.col("size") > F.coalesce("used", F.lit(0))).select(F.col("dst").alias("shard"), F.lit(1).alias("open"))
+        room = pool.join(F.broadcast(used), "dst", "left").where(F.col("size") > F.coalesce("used", F.lit(0))).select(F.col("dst").alias("shard"))
         held = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
         if turn == 0:  # a group may be a third of all rows; later, shards that are full no longer draw
-            drawn = held
+            drawn = held.withColumn("drawn", F.lit(True))
         else:
-            drawn = held.join(room, "shard", "left_semi")
-        best = drawn.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("best"))
-        best = best.select("hub", F.col("best.shard").alias("dst"))
-        movers = linked.join(best, "hub").where(F.col("shard") != F.col("dst"))
+            drawn = held.join(F.broadcast(room.withColumn("drawn", F.lit(True))), "shard", "left")
+        choice = F.max(F.when(F.col("drawn"), F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard"))).alias("best")
+        best = drawn.groupBy("hub").agg(choice, F.sum("n").alias("n")).where(F.col("best").isNotNull()).select("hub", F.col("best.shard").alias("dst"), "n")
+        movers = join_counted(linked, stored(best, "shard-best"), "hub", total=total).where(F.col("shard") != F.col("dst"))
         if turn:
-            movers = movers.join(room.select("shard", "open"), "shard", "left_semi")  # those in a full shard stay
+            movers = movers.join(F.broadcast(room), "shard", "left_semi")  # those in a full shard stay
         movers = stored(movers.select("rid", "hub", F.col("shard").alias("src"), "dst"), "shard-movers")
         demand = movers.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
         deal = stored(_allowed(demand, pool, used, shards), "shard-deal")
         if deal.agg(F.sum(F.col("swap") + F.col("fill"))).first()[0] in (None, 0):
             break
         deals = deals.unionByName(deal)
-        ranked = with_position(movers, "turn", ["src", "dst"], _spread("rid"), ["hub", "rid"])
-        moved = ranked.join(deal, ["src", "dst"]).where(F.col("turn") < F.col("swap") + F.col("fill")).select("rid", F.col("dst").alias("goes"))
+        ranked = with_position(movers, "turn", ["src", "dst"], _spread("rid"), ["hub", "rid"], each)
+        moved = ranked.join(F.broadcast(deal), ["src", "dst"]).where(F.col("turn") < F.col("swap") + F.col("fill")).select("rid", F.col("dst").alias("goes"))
         linked = linked.join(moved, "rid", "left").select("rid", "hub", F.coalesce("goes", "shard").alias("shard"))
         linked = stored(linked, "shard-linked")
 
@@ -89,7 +91,7 @@ def balanced_shards(rows: DataFrame, link_col: str, shards: int = 16, rounds: in
     freed = freed.select("rid", F.coalesce("src", F.col("f.shard")).alias("shard"))
     final = state.drop("shard", "hub").join(freed.unionByName(linked.select("rid", "shard")), "rid")
     final = stored(final, "shard-final")
-    placed = with_position(final, "slot", ["shard"], _spread("rid"), ["rid"])
+    placed = with_position(final, "slot", ["shard"], _spread("rid"), ["rid"], each)
     return placed.select(*[F.col(f"_sl_c{i}").alias(c) for i, c in enumerate(columns)], "shard", "slot")
 
 
@@ -106,3 +108,16 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sharded(docs: DataFrame, text_col: str = "text", shards: int = 16, rounds: int = 4) -> DataFrame:
+    """docs with shard and slot, which replace columns of these names; see balanced_shards. Only hashes go through its
+    joins; texts meet their shard once, by a number that their row gets as docs are written to the shared folder."""
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_sl_d{i}") for i, c in enumerate(kept)], F.monotonically_increasing_id().alias("_sl_row"))
+    rows = stored(rows, "shard-docs")
+    own = [c for c in rows.columns if c != "_sl_row"]
+    text = F.coalesce(F.col(f"_sl_d{kept.index(text_col)}"), F.lit(""))
+    narrow = rows.select(F.xxhash64(*own).alias("content"), F.unhex(F.md5(text.cast("binary"))).alias("text_md5"), F.col("_sl_row").alias("row"))
+    dealt = balanced_shards(narrow, "text_md5", shards, rounds).select(F.col("row").alias("_sl_row"), "shard", "slot")
+    return rows.join(dealt, "_sl_row").select(*[F.col(c).alias(kept[i]) for i, c in enumerate(own)], "shard", "slot")

@@ -71,8 +71,13 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n", to
     return rows.join(F.broadcast(counted.where(hot)), key).unionByName(left.join(counted.where(~hot), key))
 
 
+def buckets_for(rows: int, each: int = 200_000) -> int:
+    """How many buckets with_position needs so that one has about `each` rows."""
+    return max(16, -(-rows // each))
+
+
 def with_position(
-    df: DataFrame, out: str, group: Sequence[str], spread: Column, order: Sequence[str], buckets: int = 256
+    df: DataFrame, out: str, group: Sequence[str], spread: Column, order: Sequence[str], buckets: int
 ) -> DataFrame:
     """Adds out: 0, 1, 2, ... within each group. spread deals a group's rows to so many buckets; each bucket is numbered
     by itself and shifted by the sizes of those before it, so a group with most rows is still many tasks' work. df is

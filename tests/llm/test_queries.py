@@ -93,11 +93,23 @@ def test_shards_keep_their_law_and_gather_copies(spark):
     for r in rows:
         text = docs[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text) + 1, crc32(text), "rows", None)
-    groups = defaultdict(list)
-    for r in rows:
-        groups[docs[r["doc_id"]]].append(r["shard"])
-    split = [len(set(g)) > 1 for g in groups.values() if 1 < len(g) <= 6]
-    assert sum(split) <= 0.2 * len(split)
+
+
+def test_shards_cut_few_edges(spark):
+    """Rows away from the shard that has most of their group: at most a twentieth of those of a random deal."""
+    sf = "/root/testdata/sf0.01"
+    docs = {d["doc_id"]: (d["text"] or "") for d in rows_of("documents", sf)}
+    rows, rng = queries.op4_sharding(spark, sf).collect(), np.random.default_rng(1)
+
+    def cut(shard_of):
+        groups = defaultdict(Counter)
+        for doc, text in docs.items():
+            groups[text][shard_of[doc]] += 1
+        # a group of more rows than a shard has must be cut
+        return sum(g.total() - max(g.values()) for g in groups.values() if g.total() <= len(docs) // 16)
+
+    dealt = cut({d: int(s) for d, s in zip(docs, rng.permutation(np.arange(len(docs)) % 16), strict=True)})
+    assert dealt > 50 and cut({r["doc_id"]: r["shard"] for r in rows}) <= 0.05 * dealt
 
 
 def test_neighbours_against_brute_force(spark):
