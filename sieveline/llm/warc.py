@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from base64 import b32encode
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.tables import new_path, stored
+from sieveline.llm.tables import join_counted, new_path, stored
 
 _END = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -26,8 +27,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*fours), _RADIX32, _BASE32)
 
 
-def _urn(page: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
+def _urn(page: Column, nth: Column) -> Column:
+    """A record's name: no other has its page, payload and number among the rows that repeat both."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.col("payload_digest"), F.lit(":"), nth.cast("string"), F.lit(">"))
 
 
 def _field(name: str, value: Column) -> Column:
@@ -40,32 +42,36 @@ def _meeting() -> Column:
     return F.concat_ws("|", "payload_digest", F.col("page_id").cast("string")).alias("meeting")
 
 
-def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, payload) with payload_bytes, payload_digest, refers_to, refers_to_url; refers_to_page is null
-    for responses. Only headers are shuffled by digest; payloads move once, by page_id, to meet the decision."""
+def resolve(pages: DataFrame, min_bytes: int = 0, per_file: int = 128 << 20) -> DataFrame:
+    """pages (page_id, url, payload) with payload_bytes, payload_digest, nth, revisit, refers_to and refers_to_url, which are
+    null for responses. Only headers are shuffled by digest; payloads move once, by page and digest, to meet the decision,
+    in as many partitions as hold about per_file bytes each."""
     sized = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     headers = stored(sized.select("page_id", "url", "payload_digest", "payload_bytes"), "warc-headers")
-    key = ["payload_digest", "payload_bytes"]
+    total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
+    parts = max(-(-total // per_file), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = headers.withColumn("key", F.concat_ws("|", "payload_digest", "payload_bytes"))
     ordered = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
-    first = headers.where(F.col("payload_bytes") >= min_bytes).groupBy(*key).agg(F.min(ordered).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = keyed.where(F.col("payload_bytes") >= min_bytes).groupBy("key").agg(F.min(ordered).alias("first"), F.count(F.lit(1)).alias("n"))
     # only groups of two or more need to meet their original, once per page
-    repeats = first.where("n > 1").select(*key, F.col("first.page_id").alias("origin"), F.col("first.url").alias("origin_url"))
-    links = headers.join(repeats, key).select(
+    repeats = stored(first.where("n > 1").select("key", F.col("first.page_id").alias("origin"), F.col("first.url").alias("origin_url"), "n"), "warc-repeats")
+    links = join_counted(keyed, repeats, "key").select(
         _meeting(), F.col("page_id").alias("page"), F.col("payload_digest").alias("digest"), "origin", "origin_url"
     ).distinct()
-    joined = sized.withColumn("meeting", _meeting()).join(links, "meeting", "left")
+    joined = sized.withColumn("meeting", _meeting()).repartition(parts, "meeting").join(links, "meeting", "left")
     same = Window.partitionBy("meeting").orderBy("url")  # dealt as the join has dealt them
-    twin = joined.withColumn("again", F.when(F.col("digest").isNotNull(), F.row_number().over(same)).otherwise(F.lit(1)))
-    first_one = F.col("page").eqNullSafe(F.col("origin")) & (F.col("again") == 1)
+    twin = joined.withColumn("nth", F.row_number().over(same))
+    first_one = F.col("page").eqNullSafe(F.col("origin")) & (F.col("nth") == 1)
     revisit = F.col("digest").isNotNull() & ~first_one
     return twin.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", revisit.alias("revisit"),
+        "page_id", "url", "payload", "payload_bytes", "payload_digest", "nth", revisit.alias("revisit"),
         F.when(revisit, F.col("origin")).alias("refers_to"), F.when(revisit, F.col("origin_url")).alias("refers_to_url"),
     )
 
 
-def records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """Each row's record as text, without the two line ends that close a record."""
+def records(resolved: DataFrame, date: str | None = None) -> DataFrame:
+    """Each row's record as bytes. date (by default the time of the call) is that of all records."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "),
         F.col("payload_bytes").cast("string"), F.lit(_END + _END),
@@ -75,7 +81,7 @@ def records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFram
     head = F.concat(
         F.lit("WARC/1.1" + _END),
         _field("WARC-Type", kind),
-        _field("WARC-Record-ID", _urn(F.col("page_id"))),
+        _field("WARC-Record-ID", _urn(F.col("page_id"), F.col("nth"))),
         _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", F.col("url")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
@@ -83,7 +89,7 @@ def records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFram
             F.col("revisit"),
             F.concat(
                 _field("WARC-Profile", F.lit(_PROFILE)),
-                _field("WARC-Refers-To", _urn(F.col("refers_to"))),
+                _field("WARC-Refers-To", _urn(F.col("refers_to"), F.lit(1))),
                 _field("WARC-Refers-To-Target-URI", F.col("refers_to_url")),
                 _field("WARC-Refers-To-Date", F.lit(date)),
             ),
@@ -92,21 +98,52 @@ def records(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFram
         _field("Content-Length", F.octet_length(block).cast("string")),
         F.lit(_END),
     )
-    return resolved.select(F.concat(head, block).alias("record"))
+    return resolved.select(F.concat(head, block, F.lit(_END * 2)).cast("binary").alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = 20_000) -> None:
-    """Writes one record per row of pages (page_id, url, payload string) under path, as gzipped WARC files of at most
-    per_file records."""
-    # the text writer ends each row with lineSep, which is just what ends a WARC record
-    records(resolve(pages, min_bytes)).write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+#: Of an empty gzip member, which any member may be followed by.
+_EMPTY = zlib.compress(b"", wbits=31)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A gzip member for each record, without its last byte. That is the highest one of the record's length, so 0 below
+    16 MB; a longer record is followed by an empty member, which ends with 0 too."""
+    for batch in batches:
+        for row in batch.column(0):
+            member = zlib.compress(row.as_buffer(), wbits=31)
+            member += b"" if member[-1] == 0 else _EMPTY
+            yield pa.RecordBatch.from_arrays([pa.array([member[:-1]], pa.binary())], ["member"])
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 20_000, bytes_per_file: int = 128 << 20) -> None:
+    """Writes one record per row of pages (page_id, url, payload string) under path, as WARC files of at most
+    records_per_file records and about bytes_per_file payload bytes, each record a gzip member of its own, so that readers
+    can seek to it."""
+    members = records(resolve(pages, min_bytes, bytes_per_file)).mapInArrow(_members, "member binary")
+    # the text writer takes any bytes for a string, and ends each row with lineSep, which is a member's last byte
+    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _page(urn: bytes | None) -> int | None:
-    digits = (urn or b"").removeprefix(b"<urn:page:").removesuffix(b">")
+    digits = (urn or b"").removeprefix(b"<urn:page:").partition(b":")[0]
     return int(digits) if digits else None
 
 
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The members of a gzip file, one at a time."""
+    at = 0
+    while at < len(data):
+        step, out = 1 << 20, []
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends within a record")
+            out.append(member.decompress(data[at : at + step]))
+            at += step
+        at -= len(member.unused_data) + max(0, at - len(data))
+        yield b"".join(out)
+
+
 def _records_of(data: bytes) -> Iterator[tuple]:
     """Follows Content-Length from record to record, whatever a payload holds."""
     at = 0
@@ -138,12 +175,13 @@ def _parse(with_payload: bool):
         names = [f.split()[0] for f in RECORDS.split(", ")]
         for batch in batches:
             for i in range(batch.num_rows):
-                found = []
-                for row in _records_of(gzip.decompress(batch.column(0)[i].as_py())):
+                found, held = [], 0
+                for row in (r for member in _unpacked(batch.column(0)[i].as_py()) for r in _records_of(member)):
                     found.append(row if with_payload else (*row[:5], None))
-                    if len(found) == 2000:
+                    held += len(row[5] or b"") if with_payload else 0
+                    if len(found) == 2000 or held > 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
-                        found = []
+                        found, held = [], 0
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
@@ -152,8 +190,8 @@ def _parse(with_payload: bool):
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of the archives under path. A response's payload is checked against its digest. Each archive is read
-    by one task, so write_archives' per_file bounds a task's memory."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    by one task, which unpacks a record at a time, so write_archives' bytes_per_file bounds a task's memory."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(_parse(payloads), RECORDS)
 
 

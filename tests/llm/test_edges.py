@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections import Counter
 
@@ -135,6 +136,20 @@ def test_warc(spark):
     assert back == {p[0]: (p[2] or "").encode() for p in pages}  # payloads under nine bytes are all responses
 
 
+def test_warc_records_are_members_with_names_of_their_own(spark):
+    noise = np.random.default_rng(2).integers(0x4E00, 0x9FFF, 7_000_000).astype(np.uint16).tobytes().decode("utf-16-le")
+    pages = [(1, "u", "x"), (1, "u", "x"), (1, "u", "y"), (None, None, "x"), (2, "u", noise), (3, "u", "z")]  # one of more than 16 MB
+    path = new_path(spark, "members")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, payload string").coalesce(1), path, bytes_per_file=1 << 20)
+    files = [r["content"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    members = [m for f in files for m in warc._unpacked(f) if m]
+    assert len(members) == 6 and len(files) > 2 and sorted(gzip.decompress(f) for f in files) == sorted(b"".join(warc._unpacked(f)) for f in files)
+    assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
+    names = [re.search(rb"WARC-Record-ID: (\S+)", m)[1] for m in members]
+    assert len(set(names)) == 6 and {re.search(rb"WARC-Refers-To: (\S+)", m)[1] for m in members if b"WARC-Refers-To:" in m} <= set(names)
+    assert {r["page_id"] for r in warc.read_archives(spark, path).where("payload_bytes > 16777216").collect()} == {2}
+
+
 def test_neighbours(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 0.5]), (100, [3.0, 4.0])]
