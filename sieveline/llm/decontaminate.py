@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.tables import stored
+from sieveline.llm.tables import buckets_for, stored, with_position
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -158,21 +158,22 @@ class ItemIndex:
 
 
 def _postings(items: DataFrame, k1: float, b: float) -> DataFrame:
-    """(place, term, weight): statistics are over all items."""
-    counted = items.select("place", F.explode("words").alias("term")).groupBy("place", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = items.select("place", F.size("words").alias("length"))
+    """(item, term, weight): statistics are over all items."""
+    counted = items.select("item", F.explode("words").alias("term")).groupBy("item", "term").agg(F.count(F.lit(1)).alias("tf"))
+    lengths = items.select("item", F.size("words").alias("length"))
     whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     bm25 = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1)
     bm25 = bm25 / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    own = Window.partitionBy("place")
-    scored = counted.join(df, "term").join(lengths, "place").crossJoin(F.broadcast(whole)).withColumn("bm25", bm25)  # one row
-    return scored.select("place", "term", (F.col("bm25") / F.sum("bm25").over(own)).alias("weight"))
+    own = Window.partitionBy("item")
+    scored = counted.join(df, "term").join(lengths, "item").crossJoin(F.broadcast(whole)).withColumn("bm25", bm25)  # one row
+    return scored.select("item", "term", (F.col("bm25") / F.sum("bm25").over(own)).alias("weight"))
 
 
 def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, most: int = 500_000) -> Iterator[ItemIndex]:
-    """Indexes over all items with a word, each of most postings or fewer (or of one item), so that what is collected and
-    broadcast at once is bounded however many items there are. Weights are the same as in one index over all."""
+    """Indexes over all items with a word, each of about most postings (or of one item), so that what is collected and
+    broadcast at once is bounded however many items there are. Weights are the same as in one index over all. Items are
+    numbered by a hash of id and text: neither goes through the numbering."""
 
     def with_words(batches):
         for batch in batches:
@@ -181,18 +182,19 @@ def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
     kind = benchmark.schema[id_col].dataType.simpleString()
     worded = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(with_words, f"id {kind}, text string, words array<string>")
-    size = F.size(F.array_distinct("words"))
-    order = Window.partitionBy(F.lit(1)).orderBy("id", "text")  # test items only; their texts stay behind
-    placed = worded.where(F.size("words") > 0).withColumn("place", F.row_number().over(order) - 1)
-    placed = placed.withColumn("part", F.expr(f"CAST((sum(size(array_distinct(words))) OVER (ORDER BY place) - size(array_distinct(words))) div {most} AS INT)"))
-    items = stored(placed.withColumn("postings", size), "items")
+    own = worded.where(F.size("words") > 0).withColumn("item", F.xxhash64("id", F.col("id").isNull(), "text")).dropDuplicates(["item"])
+    items = stored(own.withColumn("postings", F.size(F.array_distinct("words"))), "items")
+    n, postings = items.agg(F.count(F.lit(1)), F.sum("postings")).first()
+    parts = -(-(postings or 0) // most)
+    dealt = items.select("item", F.pmod(F.xxhash64(F.lit(1), "item"), F.lit(max(1, parts))).cast("int").alias("part"))
+    placed = stored(with_position(dealt, "place", ["part"], F.col("item"), ["item"], buckets_for(n)), "items-placed")
     weights = stored(_postings(items, k1, b), "postings")
-    parts = items.groupBy("part").agg(F.min("place").alias("first")).orderBy("part").toLocalIterator()
-    for part in parts:
-        own = items.where(F.col("part") == part["part"])
-        rows = own.select("place", "id", "text").orderBy("place").collect()
-        post = weights.join(own.select("place"), "place", "left_semi").select("term", (F.col("place") - part["first"]).alias("item"), "weight").toArrow()
-        yield _index(post, [r["id"] for r in rows], [r["text"] for r in rows])
+    for part in range(parts):
+        held = placed.where(F.col("part") == part).select("item", "place")
+        rows = items.join(held, "item").select("place", "id", "text").orderBy("place").collect()
+        if rows:
+            post = weights.join(held, "item").select("term", F.col("place").alias("item"), "weight").toArrow()
+            yield _index(post, [r["id"] for r in rows], [r["text"] for r in rows])
 
 
 def _index(postings: pa.Table, ids: list, texts: list[str]) -> ItemIndex:
