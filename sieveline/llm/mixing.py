@@ -106,7 +106,8 @@ def mix_sources(
     A null or blank text has size 0 and nothing taken. A null id sorts first. Rows that repeat an id are documents of
     their own. Columns that are neither named nor in keep are ignored. An empty table gives no rows.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    # rows that repeat an id, or have none, are dealt by their texts too
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     kept = [F.col(c).alias(f"_sl_keep{i}") for i, c in enumerate(keep)]
     rows = docs.select(
         F.col(id_col).alias("id"), _source_key(F.col(source_col)).alias("skey"), key.alias("key"),

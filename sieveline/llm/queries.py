@@ -69,7 +69,7 @@ QUERIES = {
 
 _OP3 = r"""
 WITH rows AS (
-  SELECT doc_id AS id, coalesce('s' || source, 'z') AS skey, md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id AS id, coalesce('s' || source, 'z') AS skey, md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 laid AS (
