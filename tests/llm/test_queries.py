@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from sieveline.llm import decontaminate, queries, tokens
+from sieveline.llm import decontaminate, quality, queries, tokens, toxicity
 from tests.llm.fixtures import SF, rows_of
 from tests.oracle import same, tables
 
@@ -70,6 +70,104 @@ def test_scores_hold_on_held_out_rows(spark, query, label, divisor, left, thresh
     assert _auc([s for s, _ in away], [y for _, y in away]) > 0.85
 
 
+def test_label_model_recovers_what_votes_were_drawn_from():
+    """Votes of known accuracies, half of them drawn together with another voter's: no label is given."""
+    rng = np.random.default_rng(3)
+    n, voters, prior = 20_000, 14, 0.15
+    y = (rng.random(n) < prior).astype(int)
+    right = rng.uniform(0.65, 0.95, (2, voters))  # P(votes for the class | it votes, class)
+    speaks = rng.uniform(0.6, 0.95, voters)
+    votes = np.where(rng.random((n, voters)) < speaks, np.where(rng.random((n, voters)) < right[y], 2 * y[:, None] - 1, 1 - 2 * y[:, None]), 0)
+    copies = {9: 2, 10: 3, 11: 4, 12: 5, 13: 6}
+    for j, p in copies.items():
+        same = rng.random(n) < 0.6
+        votes[same, j] = votes[same, p]
+    model = toxicity.fit_label_model(votes.astype(np.int8), prior)
+    want = np.stack([np.stack([(votes[y == c] == v).mean(axis=0) for v in (-1, 0, 1)], axis=1) for c in (0, 1)])
+    assert np.abs(model.rates - want).max() < 0.03
+    edges = {frozenset((j, int(p))) for j, p in enumerate(model.parent) if p >= 0}
+    assert len(edges) == voters - 1 and all(frozenset(e) in edges for e in copies.items())
+    for j, p in copies.items():
+        child, parent = (j, p) if model.parent[j] == p else (p, j)
+        for c in (0, 1):
+            both = np.array([[((votes[y == c, parent] == u) & (votes[y == c, child] == v)).sum() for v in (-1, 0, 1)] for u in (-1, 0, 1)])
+            seen = both.sum(axis=1) > 100
+            assert np.abs(model.given[c, child] - both / both.sum(axis=1, keepdims=True))[seen].max() < 0.06
+    q = model.posterior(votes.astype(np.int8))
+    assert ((q > 0.5) == y).mean() > 0.96 and abs(q.mean() - prior) < 0.02
+
+
+def test_toxicity_scores_equal_plain_sums(spark):
+    """The fitted weights, added up text by text without batches, caches or numbered features."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in queries.op2_toxicity(spark, SF).collect()}
+    assert len(model.weights) > 100
+    for d in rows_of("documents"):
+        words = {w.lower() for w in re.findall(r"[^\W\d_]+", (d["text"] or "").lower())}
+        counts = Counter()
+        for w in words:
+            counts.update([f"={w}"] * (len(w) <= 24) + [f"^{w[:k]}" for k in range(3, 9) if len(w) >= k] + [f"{w[-k:]}$" for k in range(3, 6) if len(w) >= k])
+        raw = model.bias + sum(model.weights.get(f, 0) + (model.weights.get(f"2{f}", 0) if k > 1 else 0) for f, k in counts.items())
+        assert got[d["doc_id"]] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9)
+
+
+def _plain_trees(x, y, trees, depth, rate, bins, least, ridge):
+    """Boosting row by row: every split of every node is tried on the rows themselves."""
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    raw = [float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))] * len(y)
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-r)) for r in raw]
+        g, h = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        nodes = [list(range(len(y)))]
+        for _ in range(depth):
+            split = []
+            for rows in nodes:
+                total, best = (sum(g[i] for i in rows), sum(h[i] for i in rows)), (1e-9, None, None)
+                for j in range(x.shape[1]):
+                    for e in edges[j]:
+                        low = [i for i in rows if x[i, j] <= e]
+                        if min(len(low), len(rows) - len(low)) < least:
+                            continue
+                        a, b = sum(g[i] for i in low), sum(h[i] for i in low)
+                        gain = a * a / (b + ridge) + (total[0] - a) ** 2 / (total[1] - b + ridge) - total[0] ** 2 / (total[1] + ridge)
+                        if gain > best[0] * (1 + 1e-9):
+                            best = (gain, j, e)
+                _, j, e = best
+                split += [rows, []] if j is None else [[i for i in rows if x[i, j] <= e], [i for i in rows if x[i, j] > e]]
+            nodes = split
+        for rows in nodes:
+            step = -rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + ridge)
+            for i in rows:
+                raw[i] += step
+    return [1 / (1 + np.exp(-r)) for r in raw]
+
+
+def test_boosted_trees_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    y = ((x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=90) * 0.4) > 0).astype(float)
+    params = {"trees": 4, "depth": 3, "rate": 0.3, "bins": 8, "least": 4, "ridge": 1.0}
+    model = quality.fit_trees(x, y, **params)
+    assert model.predict(x) == pytest.approx(_plain_trees(x, y, **params), abs=1e-9)
+    for row, score in zip(x, model.predict(x), strict=True):  # and the arrays, walked node by node
+        raw = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            raw += leaf[node - len(feature)]
+        assert score == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-12)
+
+
+def test_quality_scores_equal_rows_scored_one_by_one(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in queries.op10_quality(spark, SF).collect()}
+    for d in rows_of("documents"):
+        assert got[d["doc_id"]] == pytest.approx(model.predict(quality.statistics(d["text"])[None])[0], abs=1e-9)
+
+
 def test_mix_comes_near_its_targets_and_agrees_on_rerun(spark):
     rows = queries.op3_mix_sources(spark, SF).collect()
     assert Counter(rows) == Counter(queries.op3_mix_sources(spark, SF).collect())
