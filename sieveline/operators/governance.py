@@ -7,68 +7,79 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names and parts of names that the rules look for.
+TARGETS = ("corr_singleb", "corr_proc", "corr_nocft", "corr_buyer_concentration", "cri")
+TARGET_PREFIXES = ("label_", "y_")
+TEMPORAL = ("year", "date", "deadline", "period", "duration")
+GEOGRAPHIC = ("country", "city", "nuts", "postcode", "street", "address")
+IDENTIFIERS = ("id", "name", "email", "phone", "url", "source", "contact")
+GROUPING = ("trace", "federated", "client", "email", "phone", "url", "source", "contact")
+EXCLUDED, NO_REASON = "exclude from model features", "no automatic exclusion"
 
-def _hits(name: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """The reasons of the rules of which a pattern occurs in the name, in the rules' order."""
-    low = F.lower(name)
-    each = [F.when(F.greatest(*[F.contains(low, F.lit(p)) for p in ps], F.lit(False)), F.lit(reason)) for reason, ps in rules]
-    return F.array_compact(F.array(*each))
-
-
-#: Patterns of the audit of raw columns, by reason.
-RAW_RULES = (
-    ("geographic", ("country", "nuts", "city", "region", "postcode", "address")),
-    ("temporal", ("date", "year", "month", "day", "deadline")),
-    ("identifier", ("id", "name", "url", "source")),
-)
-#: Patterns of the check of features.
-FEATURE_RULES = (
-    ("target", ("label_", "y_", "corr_", "cri")),
-    ("temporal", ("year", "date", "month")),
-    ("geographic", ("country", "nuts", "region", "city")),
-    ("identifier", ("_id", "lot_id", "row_id")),
-)
-TARGETS = ("cri", "corr_singleb", "corr_proc", "corr_nocft", "corr_buyer_concentration")
+
+def _has(name: Column, parts: Sequence[str]) -> Column:
+    return F.greatest(*[F.contains(F.lower(name), F.lit(p)) for p in parts], F.lit(False))
+
+
+def _begins(name: Column, prefixes: Sequence[str]) -> Column:
+    return F.greatest(*[F.startswith(name, F.lit(p)) for p in prefixes], F.lit(False))
+
+
+def _reasons(*rules: tuple[Column, str]) -> Column:
+    """The reasons whose rule holds, in the rules' order."""
+    return F.array_compact(F.array(*[F.when(holds, F.lit(reason)) for holds, reason in rules]))
+
+
+def _decided(names: DataFrame, reasons: Column, free: str) -> DataFrame:
+    found = F.array_sort(F.array_distinct(reasons))
+    out = F.when(F.size(found) > 0, F.lit(EXCLUDED)).otherwise(F.lit(free))
+    return names.select("column", out.alias("decision"), F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise(F.lit(NO_REASON)).alias("reasons"))
 
 
 def raw_columns(names: DataFrame) -> DataFrame:
     """column, decision and sorted reasons for names of raw columns."""
     name = F.col("column")
-    target = F.lower(name).isin(*TARGETS)
-    reasons = F.array_compact(F.array(
-        F.when(target, F.lit("target source")), F.when(F.lower(name).startswith("filter_"), F.lit("filter flag")), F.when(F.contains(F.lower(name), F.lit("currency")), F.lit("currency"))
-    ))
-    all_ = F.array_sort(F.array_distinct(F.concat(reasons, _hits(name, RAW_RULES))))
-    decision = F.when(target, "target").when(F.size(all_) > 0, "exclude").otherwise("candidate")
-    return names.select("column", decision.alias("decision"), F.array_join(all_, "; ").alias("reasons"))
+    reasons = _reasons(
+        (name.isin(*TARGETS), "target or validation label"), (F.startswith(F.lower(name), F.lit("filter_")), "filter or derived screening field"),
+        (_has(name, ("currency",)), "currency proxy"), (_has(name, TEMPORAL), "temporal variable"), (_has(name, GEOGRAPHIC), "geographic variable"),
+        (_has(name, IDENTIFIERS), "identifier or contact field"),
+    )
+    return _decided(names, reasons, "candidate feature after preprocessing")
 
 
 def processed_columns(names: DataFrame) -> DataFrame:
-    """column, decision and reason for names of a processed table."""
-    low = F.lower("column")
-    reason = (
-        F.when(low.startswith("label_"), "risk outcome").when(low.endswith("_id"), "identifier").when(F.contains(low, F.lit("trace")), "trace")
-        .when(F.contains(low, F.lit("federated")) | F.contains(low, F.lit("client")), "client grouping").otherwise("")
+    """column, decision and sorted reasons for names of a processed table."""
+    name = F.col("column")
+    own = _has(name, ("trace",)) | F.endswith(F.lower(name), F.lit("_id")) | (F.lower(name) == "id")
+    reasons = _reasons(
+        (_begins(name, TARGET_PREFIXES), "label or evaluation target"), (_has(name, ("federated", "client")), "federated grouping field"),
+        (own, "trace or identifier field"), (_has(name, TEMPORAL), "temporal variable"), (_has(name, GEOGRAPHIC), "geographic variable"),
     )
-    decision = F.when(reason == "", "candidate").when(reason == "risk outcome", "target").otherwise("exclude")
-    return names.select("column", decision.alias("decision"), reason.alias("reason"))
+    return _decided(names, reasons, "candidate model feature")
 
 
 def forbidden_features(names: DataFrame) -> DataFrame:
     """column, forbidden, and reasons in the rules' order."""
-    hits = _hits(F.col("column"), FEATURE_RULES)
-    return names.select("column", (F.size(hits) > 0).alias("forbidden"), F.array_join(hits, "; ").alias("reasons"))
+    name = F.col("column")
+    reasons = _reasons(
+        (_begins(name, TARGET_PREFIXES), "target"), (name.isin(*TARGETS), "raw label source"), (_has(name, TEMPORAL), "temporal"),
+        (_has(name, GEOGRAPHIC), "geographic"), (_has(name, GROUPING), "identifier or grouping"),
+    )
+    return names.select("column", (F.size(reasons) > 0).alias("forbidden"), F.array_join(reasons, "; ").alias("reasons"))
 
 
 def feature_sets(manifest: DataFrame, allowed: Sequence[str]) -> DataFrame:
-    """manifest's columns with audit_priority and strict_ex_ante: used and not forbidden, and for strict also allowed."""
-    judged = manifest.join(forbidden_features(manifest.select("column")), "column")
+    """manifest's columns with audit_priority and strict_ex_ante: used and not forbidden, and for strict also allowed; and
+    the reason of those that are forbidden. Rows that repeat a name are judged each for itself."""
+    judged = manifest.join(forbidden_features(manifest.select("column").distinct()), "column")
     usable = F.col("used_as_feature") & ~F.col("forbidden")
-    return judged.select("column", "type", usable.alias("audit_priority"), (usable & F.col("column").isin(*allowed)).alias("strict_ex_ante"))
+    return judged.select(
+        "column", "type", usable.alias("audit_priority"), (usable & F.col("column").isin(*allowed)).alias("strict_ex_ante"), F.col("reasons").alias("exclusion_reason"),
+    )
 
 
 def inferred_types(manifest: DataFrame) -> DataFrame:
     """column and numeric or categorical: by the manifest's type, or a name that begins like a label."""
     kind, name = F.lower("type"), F.col("column")
-    numeric = F.contains(kind, F.lit("numeric")) | F.contains(kind, F.lit("risk outcome")) | name.startswith("label_") | name.startswith("y_")
-    return manifest.select("column", F.when(numeric, "numeric").otherwise("categorical").alias("kind"))
+    numeric = F.contains(kind, F.lit("numeric")) | F.contains(kind, F.lit("risk outcome")) | _begins(name, TARGET_PREFIXES)
+    return manifest.select("column", F.when(F.coalesce(numeric, F.lit(False)), "numeric").otherwise("categorical").alias("kind"))

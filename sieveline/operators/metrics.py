@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.ordering import with_place
+from sieveline.operators.ordering import running, with_place
 
 RATES = (0.01, 0.03, 0.05, 0.10, 0.15, 0.20)
 
@@ -18,11 +18,9 @@ def _labelled(df: DataFrame) -> DataFrame:
 
 
 def _by_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row for each distinct score, with what is at it and at or above it. Windows run over these rows, which
-    partial aggregation has made few, and not over records."""
-    at = _labelled(df).groupBy(*keys, "score").agg(F.sum("y").cast("double").alias("tp"), F.count(F.lit(1)).cast("double").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return at.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down))
+    """One row for each distinct score, with what is at it (tp, n) and at or above it (ctp, cn)."""
+    sums = {"tp": F.sum("y").cast("double"), "n": F.count(F.lit(1)).cast("double")}
+    return running(_labelled(df), keys, "score", sums).withColumnsRenamed({"c_tp": "ctp", "c_n": "cn"})
 
 
 def average_precision(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -35,9 +33,11 @@ def average_precision(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def roc_auc(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of pairs of a positive and a negative that are in the right order, ties half; null if one class is missing."""
     steps = _by_score(df, keys)
-    below = F.col("tp") * ((F.col("n") - F.col("tp")) / 2 + F.col("_neg") - (F.col("cn") - F.col("ctp")))
-    whole = steps.withColumn("_neg", F.sum(F.col("n") - F.col("tp")).over(Window.partitionBy(*keys)))
-    return whole.groupBy(*keys).agg(F.round(F.try_divide(F.sum(below), F.sum("tp") * F.max("_neg")), 9).alias("roc_auc"))
+    above = F.col("cn") - F.col("ctp")
+    # with all negatives known only at the end: positives times those at half or above, summed, leave the pairs below
+    beaten = F.sum(F.col("tp") * (above - (F.col("n") - F.col("tp")) / 2))
+    pairs = F.sum("tp") * F.sum(F.col("n") - F.col("tp"))
+    return steps.groupBy(*keys).agg(F.round(F.try_divide(pairs - beaten, pairs), 9).alias("roc_auc"))
 
 
 def at_half(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,9 +113,8 @@ def best_threshold(df: DataFrame, keys: Sequence[str], rates: Sequence[float] =
 
 def mid_ranks(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Average rank of each distinct value of column."""
-    at = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    return at.withColumn("mid_rank", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    at = running(df, keys, column, {"_n": F.count(F.lit(1))}, down=False)
+    return at.select(*keys, column, (F.col("c__n") - (F.col("_n") - 1) / 2).alias("mid_rank"))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:

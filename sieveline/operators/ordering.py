@@ -1,8 +1,9 @@
-"""Places in a total order without a window over all rows."""
+"""Places in a total order, sums along it and order statistics without a window or a buffer over all rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,3 +27,81 @@ def with_place(df: DataFrame, keys: Sequence[str], score: str, id_col: str, plac
     inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(score), id_col)
     numbered = dealt.withColumn(place, F.row_number().over(inside)).join(shift, [*keys, "_range"])
     return numbered.withColumn(place, F.col(place) + F.col("_shift")).drop("_range", "_shift")
+
+
+def running(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], down: bool = True, buckets: int = 1024) -> DataFrame:
+    """One row for each distinct value per keys, with sums over its rows and, as c_<name>, over those at it and before it:
+    above it if down, else below. Values are dealt to ranges as in with_place; a window sees the distinct values of one range,
+    and ranges' own sums, of which there are buckets per keys, shift it."""
+    x = F.col(value)
+    at = F.floor(((1 - x) if down else x) * buckets)
+    dealt = df.withColumn("_range", F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1)).cast("int"))
+    aggregates = [e.alias(n) for n, e in sums.items()]
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = dealt.groupBy(*keys, "_range").agg(*aggregates).select(*keys, "_range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    order = F.desc(value) if down else F.asc(value)
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = dealt.groupBy(*keys, "_range", value).agg(*aggregates).withColumns({f"c_{n}": F.sum(n).over(inside) for n in sums})
+    return own.join(shift, [*keys, "_range"]).select(*keys, value, *sums, *[(F.col(f"c_{n}") + F.col(f"_b_{n}")).alias(f"c_{n}") for n in sums])
+
+
+def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], bins: int = 1024, few: int = 4096) -> dict[str, list[float | None]]:
+    """The exact percentiles of each column (nulls left out; None for an empty one), interpolated between order statistics.
+
+    Each order statistic's interval is cut by a histogram, and the bin that holds it is the next interval, until few
+    values are left there, which are fetched. So no task or buffer holds a column, and what comes to the driver is bounded
+    by bins and few for each statistic. df is read once for each cut, three times for a billion even values: give a stored
+    table."""
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    ends = df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    wanted = {(c, p): p * (ends[f"{c}_n"] - 1) for c in columns for p in shares if ends[f"{c}_n"]}
+    # (column, rank) -> lowest and highest value it can have, rows below that, rows there
+    open_ = {(c, r): (ends[f"{c}_lo"], ends[f"{c}_hi"], 0, ends[f"{c}_n"]) for (c, _), at in wanted.items() for r in (math.floor(at), math.ceil(at))}
+    found: dict[tuple[str, int], float] = {}
+    while True:
+        found |= {k: v[0] for k, v in open_.items() if v[0] == v[1]}
+        open_ = {k: v for k, v in open_.items() if v[0] != v[1]}
+        if not open_:
+            break
+        parts = sorted({(k[0], *v) for k, v in open_.items()})
+        small = [p for p in parts if p[4] <= few]
+        large = [p for p in parts if p[4] > few]
+
+        def inside(some):
+            each = F.array(*[F.struct(F.lit(i).alias("i"), F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.col(c)).alias("x"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, (c, lo, hi, _, _) in enumerate(some)])
+            return df.select(F.explode(each).alias("e")).select("e.*").where(F.col("x").isNotNull())
+
+        if small:
+            values: dict[int, list[float]] = {}
+            for r in inside(small).select("i", "x").collect():
+                values.setdefault(r["i"], []).append(r["x"])
+            for i, (c, lo, hi, below, n) in enumerate(small):
+                ordered = sorted(values[i])
+                found |= {k: ordered[k[1] - below] for k, v in open_.items() if (k[0], *v) == (c, lo, hi, below, n)}
+        if large:
+            at = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).alias("bin")
+            cells: dict[int, list] = {}
+            for r in inside(large).groupBy("i", at).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", "bin").collect():
+                cells.setdefault(r["i"], []).append((r["n"], r["lo"], r["hi"]))
+        left = {}
+        for key, state in open_.items():
+            part = (key[0], *state)
+            if part in small:
+                continue
+            below = state[2]
+            for n, lo, hi in cells[large.index(part)]:
+                if key[1] < below + n:
+                    left[key] = (lo, hi, below, n)
+                    break
+                below += n
+        open_ = left
+    out: dict[str, list[float | None]] = {c: [] for c in columns}
+    for c in columns:
+        for p in shares:
+            at = wanted.get((c, p))
+            if at is None:
+                out[c].append(None)
+                continue
+            low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
+            out[c].append(low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+    return out

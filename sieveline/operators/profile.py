@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.ordering import percentiles
+
 
 def _long(one_row: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
     return one_row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias(value)) for n in names])).alias("r")).select("r.*")
@@ -26,22 +28,15 @@ def cardinality(df: DataFrame, columns: Sequence[str], relative_error: float | N
     return _long(df.agg(*[count(c).alias(c) for c in columns]), "distinct_values", columns)
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """Mean, quartiles and how many values reach the third, of each column.
-
-    Exact quartiles hold each distinct value of a column once in an aggregate's buffer; where there are too many of them
-    for that, accuracy (a sketch's size) makes them approximate.
-    """
-    at = F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])
-    of = (lambda c: F.percentile(c, at)) if accuracy is None else (lambda c: F.percentile_approx(F.col(c).cast("double"), at, F.lit(accuracy)))
-    stats = df.agg(*[of(c).alias(f"{c}__q") for c in columns])
-    with_stats = df.select(*columns).crossJoin(F.broadcast(stats))  # one row
-    wanted = [e for c in columns for e in (F.avg(c).alias(f"{c}__m"), F.first(f"{c}__q").alias(f"{c}__q"), F.sum((F.col(c) >= F.col(f"{c}__q")[2]).cast("int")).alias(f"{c}__n"))]
+def quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean, quartiles and how many values reach the third, of each column. df is read several times (see percentiles)."""
+    at = percentiles(df, columns, (0.25, 0.5, 0.75))
+    wanted = [e for c in columns for e in (F.avg(c).alias(f"{c}__m"), F.sum((F.col(c) >= F.lit(at[c][2])).cast("int")).alias(f"{c}__n"))]
     each = [
-        F.struct(F.lit(c).alias("column"), F.round(f"{c}__m", 6).alias("mean"), *[F.round(F.col(f"{c}__q")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], F.col(f"{c}__n").alias("at_least_p75"))
+        F.struct(F.lit(c).alias("column"), F.round(f"{c}__m", 6).alias("mean"), *[F.round(F.lit(at[c][i]).cast("double"), 6).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], F.col(f"{c}__n").alias("at_least_p75"))
         for c in columns
     ]
-    return with_stats.agg(*wanted).select(F.explode(F.array(*each)).alias("r")).select("r.*")
+    return df.agg(*wanted).select(F.explode(F.array(*each)).alias("r")).select("r.*")
 
 
 def top_categories(df: DataFrame, columns: Sequence[str], n: int = 8) -> DataFrame:
@@ -83,8 +78,9 @@ def composition(df: DataFrame) -> DataFrame:
     their median and 99th percentile, the span of years and the share of the late ones."""
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 9)
     count = F.col("lot_bidscount")
+    median, last = percentiles(df, ["lot_bidscount"], (0.5, 0.99))["lot_bidscount"]
     return df.agg(
         F.count(F.lit(1)).alias("lots"), share(count > 1).alias("share_over_one"), share(count >= 5).alias("share_five_or_more"),
-        F.percentile("lot_bidscount", 0.5).alias("median_bids"), F.percentile("lot_bidscount", 0.99).alias("p99_bids"),
+        F.lit(median).cast("double").alias("median_bids"), F.lit(last).cast("double").alias("p99_bids"),
         F.min("award_year").alias("first_year"), F.max("award_year").alias("last_year"), share(F.col("award_year").between(1996, 1998)).alias("share_1996_1998"),
     )

@@ -1,13 +1,15 @@
 """Normalisation, objective weights and multi-criterion scores.
 
 All of them need statistics of a set of rows. Those are aggregated per configuration (the columns in keys) into a row
-each, which is broadcast back: one row per configuration, whatever the number of records. Criteria stay nine scalar
-columns, so that a score is one expression inside generated code.
+each, computed at once and broadcast back: one row per configuration, whatever the number of records, so plans don't
+repeat what the statistics were made from. Criteria stay nine scalar columns, so that a score is one expression inside
+generated code. Rows that are passed in are read several times: give stored tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.criteria import CRITERIA
 from sieveline.operators.metrics import average_precision
-from sieveline.operators.ordering import with_place
+from sieveline.operators.ordering import percentiles, with_place
+from sieveline.sources.shared import small
 
 NORMALIZATIONS = ("minmax", "vector", "sum", "robust")
 WEIGHTINGS = ("equal", "entropy", "critic", "validation_ap")
@@ -30,41 +33,34 @@ def _safe(span: Column) -> Column:
 
 
 def per_group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
-    """df with aggregates over the rows of equal keys, by way of a broadcast row per configuration."""
-    stats = df.groupBy(*keys).agg(*aggregates)
-    return df.join(F.broadcast(stats), [*keys]) if keys else df.crossJoin(F.broadcast(stats))
+    """df with aggregates over the rows of equal keys, by way of a row per configuration."""
+    stats = small(df.groupBy(*keys).agg(*aggregates))
+    return df.join(stats, [*keys]) if keys else df.crossJoin(stats)  # without keys, one row
 
 
 def normalized(df: DataFrame, reference: DataFrame, methods: Sequence[str] = NORMALIZATIONS, columns: Sequence[str] = CRITERIA) -> DataFrame:
     """df with the column normalization and, for each method, the criteria scaled to [0, 1] by statistics of reference.
-    Nulls become the reference's median (0 if it has none)."""
-    medians = reference.agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(f"{c}_fill") for c in columns])
-    filled = lambda rows: rows.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, F.col(f"{c}_fill")) for c in columns}).drop(*medians.columns)
-    wanted = []
-    for c in columns:
-        wanted += [F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi")]
-        if "vector" in methods:
-            wanted.append(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"{c}_l2"))
-        if "sum" in methods:
-            wanted.append(F.sum(c).alias(f"{c}_sum"))
-        if "robust" in methods:
-            wanted.append(F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"{c}_p"))
-    stats = filled(reference).agg(*wanted)
+    Nulls become the reference's median (0 if it has none). Statistics are numbers in the plan."""
+    median = {c: v[0] or 0.0 for c, v in percentiles(reference, columns, (0.5,)).items()}
+    filled = {c: F.coalesce(c, F.lit(median[c])) for c in columns}
+    known = reference.withColumns(filled)
+    wanted = [f(e).alias(f"{c}_{n}") for c in columns for e in (F.col(c),) for n, f in (("lo", F.min), ("hi", F.max), ("l2", lambda x: F.sqrt(F.sum(x * x))), ("sum", F.sum))]
+    stats = known.agg(*wanted).first()
+    ends = percentiles(known, columns, (0.01, 0.99)) if "robust" in methods else {}
 
     def scaled(c: str, method: str) -> Column:
-        x, lo, hi = F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi")
+        x, lo, hi = filled[c], F.lit(stats[f"{c}_lo"]), F.lit(stats[f"{c}_hi"])
         if method == "robust":
-            lo, hi = F.col(f"{c}_p")[0], F.col(f"{c}_p")[1]
+            lo, hi = (F.lit(e) for e in ends[c])
             x = F.least(F.greatest(x, lo), hi)
         elif method in ("vector", "sum"):
-            by = _safe(F.col(f"{c}_l2" if method == "vector" else f"{c}_sum"))
+            by = _safe(F.lit(stats[f"{c}_l2" if method == "vector" else f"{c}_sum"]))
             x, lo, hi = x / by, lo / by, hi / by
         return F.least(F.greatest((x - lo) / _safe(hi - lo), F.lit(0.0)), F.lit(1.0))
 
     kept = [c for c in df.columns if c not in columns]
-    wide = filled(df).crossJoin(F.broadcast(stats))  # one row
     every = F.array(*[F.struct(F.lit(m).alias("normalization"), *[scaled(c, m).alias(c) for c in columns]) for m in methods])
-    return wide.select(*kept, F.explode(every).alias("_n")).select(*kept, "_n.*")
+    return df.select(*kept, F.explode(every).alias("_n")).select(*kept, "_n.*")
 
 
 def _shares(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -115,8 +111,8 @@ WEIGHT_FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
 
 
 def weights(df: DataFrame, keys: Sequence[str], methods: Sequence[str] = WEIGHTINGS, columns: Sequence[str] = CRITERIA, label: str = "y_cri_high") -> DataFrame:
-    """keys, weighting and a weight for each criterion."""
-    parts = [WEIGHT_FUNCTIONS[m](df, keys, columns, label).withColumn("weighting", F.lit(m)) for m in methods]
+    """keys, weighting and a weight for each criterion: a row per configuration, computed at once."""
+    parts = [small(WEIGHT_FUNCTIONS[m](df, keys, columns, label).withColumn("weighting", F.lit(m))) for m in methods]
     return reduce(lambda a, b: a.unionByName(b), parts).select(*keys, "weighting", *columns)
 
 
@@ -124,69 +120,84 @@ def _w(c: str) -> Column:
     return F.col(f"w_{c}")
 
 
-def topsis(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    v = {c: F.col(c) * _w(c) for c in columns}
-    wide = per_group(df, keys, [f(e).alias(f"{c}_{n}") for c, e in v.items() for n, f in (("hi", F.max), ("lo", F.min))])
-    far = {n: F.sqrt(_add([F.pow(e - F.col(f"{c}_{n}"), 2) for c, e in v.items()])) for n in ("hi", "lo")}
-    return wide.withColumn("raw", far["lo"] / F.greatest(far["hi"] + far["lo"], F.lit(1e-12)))
+@dataclass(frozen=True)
+class Scorer:
+    """A score in two steps: parts are expressions over criteria c, their weights w_c and, over the rows of a configuration
+    without its weights, c_lo, c_hi and c_avg; raw also sees part_lo, part_hi and part_sum, over the rows of a configuration.
+    Both are functions of the criteria's names."""
 
+    raw: Callable[[Sequence[str]], Column]
+    parts: Callable[[Sequence[str]], Mapping[str, Column]] = field(default=lambda columns: {})
 
-def vikor(df: DataFrame, keys: Sequence[str], columns: Sequence[str], v: float = 0.5) -> DataFrame:
-    wide = per_group(df, keys, [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("hi", F.max), ("lo", F.min))])
+
+def _floor(e: Column) -> Column:
+    return F.greatest(e, F.lit(1e-12))
+
+
+def _unit(part: str) -> Column:
+    return (F.col(part) - F.col(f"{part}_lo")) / _floor(F.col(f"{part}_hi") - F.col(f"{part}_lo"))
+
+
+def _topsis(columns: Sequence[str]) -> Column:
+    # weights aren't negative, so the best weighted value is the best value's
+    best, worst = (F.sqrt(_add([F.pow(F.col(c) * _w(c) - F.col(f"{c}_{n}") * _w(c), 2) for c in columns])) for n in ("hi", "lo"))
+    return worst / _floor(best + worst)
+
+
+def _vikor(columns: Sequence[str]) -> Mapping[str, Column]:
     regret = [_w(c) * (F.col(f"{c}_hi") - F.col(c)) / _safe(F.col(f"{c}_hi") - F.col(f"{c}_lo")) for c in columns]
-    both = wide.select(*df.columns, _add(regret).alias("_s"), F.greatest(*regret).alias("_r"))
-    both = per_group(both, keys, [f(c).alias(f"{c}_{n}") for c in ("_s", "_r") for n, f in (("hi", F.max), ("lo", F.min))])
-    part = lambda c: (F.col(c) - F.col(f"{c}_lo")) / F.greatest(F.col(f"{c}_hi") - F.col(f"{c}_lo"), F.lit(1e-12))
-    return both.withColumn("raw", 1 - (v * part("_s") + (1 - v) * part("_r")))
+    return {"vikor_s": _add(regret), "vikor_r": F.greatest(*regret)}
 
 
-def edas(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    wide = per_group(df, keys, [F.greatest(F.avg(c), F.lit(1e-12)).alias(f"{c}_m") for c in columns])
-    off = lambda sign: _add([_w(c) * F.greatest(sign * (F.col(c) - F.col(f"{c}_m")), F.lit(0.0)) / F.col(f"{c}_m") for c in columns])
-    both = wide.select(*df.columns, off(1).alias("_p"), off(-1).alias("_n"))
-    both = per_group(both, keys, [F.max(c).alias(f"{c}_hi") for c in ("_p", "_n")])
-    part = lambda c: F.col(c) / F.greatest(F.col(f"{c}_hi"), F.lit(1e-12))
-    return both.withColumn("raw", 0.5 * (part("_p") + 1 - part("_n")))
+def _edas(columns: Sequence[str]) -> Mapping[str, Column]:
+    mean = {c: _floor(F.col(f"{c}_avg")) for c in columns}
+    off = lambda sign: _add([_w(c) * F.greatest(sign * (F.col(c) - mean[c]), F.lit(0.0)) / mean[c] for c in columns])
+    return {"edas_p": off(1), "edas_n": off(-1)}
 
 
-def cocoso(df: DataFrame, keys: Sequence[str], columns: Sequence[str], blend: float = 0.5) -> DataFrame:
-    x = {c: F.least(F.greatest(F.col(c), F.lit(1e-9)), F.lit(1.0)) for c in columns}
-    both = df.select("*", _add([x[c] * _w(c) for c in columns]).alias("_s"), _add([F.pow(x[c], _w(c)) for c in columns]).alias("_p"))
-    tops = [F.sum(F.col("_s") + F.col("_p")).alias("_all"), *[f(c).alias(f"{c}_{n}") for c in ("_s", "_p") for n, f in (("hi", F.max), ("lo", F.min))]]
-    both = per_group(both, keys, tops)
-    floor = lambda e: F.greatest(e, F.lit(1e-12))
-    mixed = lambda s, p: blend * F.col(s) + (1 - blend) * F.col(p)
-    a = (F.col("_s") + F.col("_p")) / floor(F.col("_all"))
-    b = F.col("_s") / floor(F.col("_s_lo")) + F.col("_p") / floor(F.col("_p_lo"))
-    k = mixed("_s", "_p") / floor(mixed("_s_hi", "_p_hi"))
-    return both.withColumn("raw", F.cbrt(F.greatest(a * b * k, F.lit(0.0))) + (a + b + k) / 3)
+def _clipped(c: str) -> Column:
+    return F.least(F.greatest(F.col(c), F.lit(1e-9)), F.lit(1.0))
 
 
-def waspas(df: DataFrame, keys: Sequence[str], columns: Sequence[str], blend: float = 0.5) -> DataFrame:
-    x = {c: F.least(F.greatest(F.col(c), F.lit(1e-9)), F.lit(1.0)) for c in columns}
-    product = reduce(lambda a, b: a * b, [F.pow(x[c], _w(c)) for c in columns])
-    return df.withColumn("raw", blend * _add([x[c] * _w(c) for c in columns]) + (1 - blend) * product)
+def _cocoso(columns: Sequence[str]) -> Column:
+    s, p = F.col("cocoso_s"), F.col("cocoso_p")
+    a = (s + p) / _floor(F.col("cocoso_s_sum") + F.col("cocoso_p_sum"))
+    b = s / _floor(F.col("cocoso_s_lo")) + p / _floor(F.col("cocoso_p_lo"))
+    k = (0.5 * s + 0.5 * p) / _floor(0.5 * F.col("cocoso_s_hi") + 0.5 * F.col("cocoso_p_hi"))
+    return F.cbrt(F.greatest(a * b * k, F.lit(0.0))) + (a + b + k) / 3
 
 
-#: How to add a scorer: a function of (rows with criteria and w_ weights, keys, columns) that adds raw.
-SCORERS: dict[str, Callable[..., DataFrame]] = {"topsis": topsis, "vikor": vikor, "edas": edas, "cocoso": cocoso, "waspas": waspas}
+#: How to add a scorer: under its name, a Scorer.
+SCORERS: dict[str, Scorer] = {
+    "topsis": Scorer(_topsis),
+    "vikor": Scorer(lambda columns: 1 - (0.5 * _unit("vikor_s") + 0.5 * _unit("vikor_r")), _vikor),
+    "edas": Scorer(lambda columns: 0.5 * (F.col("edas_p") / _floor(F.col("edas_p_hi")) + 1 - F.col("edas_n") / _floor(F.col("edas_n_hi"))), _edas),
+    "cocoso": Scorer(_cocoso, lambda columns: {"cocoso_s": _add([_clipped(c) * _w(c) for c in columns]), "cocoso_p": _add([F.when(_w(c) > 0, F.pow(_clipped(c), _w(c))).otherwise(F.lit(0.0)) for c in columns])}),
+    "waspas": Scorer(lambda columns: 0.5 * _add([_clipped(c) * _w(c) for c in columns]) + 0.5 * reduce(lambda a, b: a * b, [F.pow(_clipped(c), _w(c)) for c in columns])),
+}
 
 
 def scored(df: DataFrame, weight_rows: DataFrame, keys: Sequence[str], methods: Sequence[str] = tuple(SCORERS), columns: Sequence[str] = CRITERIA) -> DataFrame:
     """df's other columns, weighting, method and score in [0, 1] (9 digits), for every weighting of df's configuration.
-    Scores depend on the rows that are scored together: those of equal keys and weighting."""
-    named = weight_rows.select(*keys, "weighting", *[F.col(c).alias(f"w_{c}") for c in columns])
-    wide = df.join(F.broadcast(named), [*keys]) if keys else df.crossJoin(F.broadcast(named))  # a row for each weighting
-    config = [*keys, "weighting"]
-    kept = [c for c in df.columns if c not in columns and c not in keys]
+    Scores depend on the rows that are scored together: those of equal keys and weighting.
 
-    def one(method: str) -> DataFrame:
-        raw = SCORERS[method](wide, config, columns).select(*config, *kept, "raw")
-        raw = per_group(raw, config, [F.min("raw").alias("lo"), F.max("raw").alias("hi")])
-        score = F.round((F.col("raw") - F.col("lo")) / _safe(F.col("hi") - F.col("lo")), 9)
-        return raw.select(*config, F.lit(method).alias("method"), *kept, score.alias("score"))
-
-    return reduce(lambda a, b: a.unionByName(b), [one(m) for m in methods])
+    Statistics come in three passes over df, each for all methods together: of criteria, of the scorers' parts, and of raw
+    scores. Each is a row per configuration, so the last plan is df, three broadcast joins and one projection. A criterion
+    whose weight is 0 takes no part in any score."""
+    kept = [c for c in df.columns if c not in columns and c not in keys]
+    named = small(weight_rows.select(*keys, "weighting", *[F.col(c).alias(f"w_{c}") for c in columns]))
+    basic = small(df.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max), ("avg", F.avg))]))
+    meet = lambda a, b, on: a.join(b, [*on]) if on else a.crossJoin(b)  # noqa: E731  (one row a configuration)
+    config = [*keys, "weighting"]
+    parts = {n: e for m in methods for n, e in SCORERS[m].parts(columns).items()}
+    wide = meet(meet(df, named, keys), basic, keys).select(*config, *kept, *columns, *[f"w_{c}" for c in columns], *[f"{c}_{n}" for c in columns for n in ("lo", "hi", "avg")], *[e.alias(n) for n, e in parts.items()])
+    if parts:
+        wide = per_group(wide, config, [f(n).alias(f"{n}_{k}") for n in parts for k, f in (("lo", F.min), ("hi", F.max), ("sum", F.sum))])
+    raw = wide.select(*config, *kept, *[SCORERS[m].raw(columns).alias(f"raw_{m}") for m in methods])
+    ends = per_group(raw, config, [f(f"raw_{m}").alias(f"{n}_{m}") for m in methods for n, f in (("lo", F.min), ("hi", F.max))])
+    score = lambda m: F.round((F.col(f"raw_{m}") - F.col(f"lo_{m}")) / _safe(F.col(f"hi_{m}") - F.col(f"lo_{m}")), 9)
+    every = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), score(m).alias("score")) for m in methods])).alias("_s")
+    return ends.select(*config, *kept, every).select(*config, "_s.method", *kept, "_s.score")
 
 
 def ranked(df: DataFrame, rate: float, keys: Sequence[str] = (), id_col: str = "sample_row_id") -> DataFrame:

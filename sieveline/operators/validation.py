@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.metrics import average_precision, best_threshold, roc_auc, spearman, threshold_table, top_jaccard
+from sieveline.operators import ranking
 from sieveline.operators.ordering import with_place
+from sieveline.sources.shared import stored
 
 STRATEGIES = ("raw", "baseline", "consensus")
 VALIDATION_RATES = (0.01, 0.03, 0.05, 0.10, 0.20)
@@ -52,9 +54,22 @@ def checklist(feature_names: DataFrame, left: DataFrame, right: DataFrame, id_co
     return forbidden.unionByName(apart).unionByName(twice)
 
 
-def reproduction(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:
-    """Rows that two rankings share, their largest difference, and their rank correlation."""
-    both = a.select(id_col, F.col("score").alias("s1")).join(b.select(id_col, F.col("score").alias("s2")), id_col).withColumn("k", F.lit(1))
+def config_json(method: Column, normalization: Column, weights: Mapping[str, Column]) -> Column:
+    """A configuration as text: its method, its normalisation, and a map of weights by criterion."""
+    pairs = [e for c, w in weights.items() for e in (F.lit(c), w)]
+    return F.to_json(F.struct(method.alias("method"), normalization.alias("normalization"), F.create_map(*pairs).alias("weights")))
+
+
+def reproduction(written: DataFrame, reference: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """written (id, score, config) against scores of rows computed anew from the configuration that the text names: rows in
+    both, their largest difference, and their rank correlation."""
+    config = F.from_json("config", "method string, normalization string, weights map<string,double>").alias("c")
+    one = written.select(config).limit(1).select("c.*").first()
+    names = [*one["weights"]]
+    weights = written.sparkSession.createDataFrame([(one["normalization"], "decoded", *one["weights"].values())], "normalization string, weighting string, " + ", ".join(f"`{n}` double" for n in names))
+    anew = ranking.scored(ranking.normalized(rows, reference, [one["normalization"]], names), weights, ["normalization"], [one["method"]], names)
+    both = written.select(id_col, F.col("score").alias("s1")).join(anew.select(id_col, F.col("score").alias("s2")), id_col).withColumn("k", F.lit(1))
+    both = stored(both, "reproduction")
     gap = both.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("s1") - F.col("s2"))), 8).alias("max_difference"))
     return gap.join(spearman(both, ["k"], "s1", "s2"), "k").drop("k")
 
@@ -118,16 +133,27 @@ def seed_overlap(long: DataFrame, rates: Sequence[float], seed: str = "seed", id
     return pairs.groupBy("rate").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("overlap"), 9).alias("mean_overlap"))
 
 
-def robustness(df: DataFrame, score_of, columns: Sequence[str], drop: int = 1, id_col: str = "sample_row_id") -> DataFrame:
-    """What a ranking loses without each choice of so many criteria: score_of(df, kept) gives id, y, score. All choices
-    are enumerated, and kept criteria are what is scored: no zero weights are left in."""
-    base = score_of(df, columns).select(id_col, F.col("score").alias("full"))
-    parts = None
-    for gone in combinations(columns, drop):
-        kept = [c for c in columns if c not in gone]
-        part = score_of(df, kept).withColumn("dropped", F.lit("+".join(gone)))
-        parts = part if parts is None else parts.unionByName(part)
-    whole = average_precision(score_of(df, columns).withColumn("k", F.lit(1)), ["k"]).select(F.col("average_precision").alias("full_ap"))
-    both = parts.join(base, id_col)
-    merged = average_precision(parts, ["dropped"]).join(spearman(both, ["dropped"], "score", "full"), "dropped").join(top_jaccard(both, ["dropped"], "score", "full", 0.2, id_col), "dropped")
-    return merged.crossJoin(F.broadcast(whole)).select("dropped", "average_precision", F.round(F.col("average_precision") - F.col("full_ap"), 8).alias("ap_change"), "spearman", "jaccard")
+def robustness(df: DataFrame, columns: Sequence[str], method: str, y: str, counts: Sequence[int] = (1, 2), id_col: str = "sample_row_id") -> DataFrame:
+    """What a ranking of labelled rows with equal weights loses without each choice of so many criteria: dropped, average
+    precision and its change, rank correlation and overlap of the top fifth with the whole ranking.
+
+    df has normalised criteria. All choices are enumerated, each is a row of weights (0 for what is dropped), and all are
+    scored in one go."""
+    choices = [(n, gone) for n in counts for gone in combinations(columns, n)]
+    rows = [("+".join(gone), *[0.0 if c in gone else 1.0 / (len(columns) - n) for c in columns]) for n, gone in [(0, ()), *choices]]
+    weights = df.sparkSession.createDataFrame(rows, "weighting string, " + ", ".join(f"{c} double" for c in columns))
+    scores = ranking.scored(df.select(id_col, F.col(y).alias("y"), *columns), weights, [], [method], columns).where(F.col("y").isNotNull())
+    scores = stored(scores.select(F.col("weighting").alias("dropped"), id_col, "y", "score"), "robustness")
+    ap = average_precision(scores, ["dropped"])
+    whole = ap.where("dropped = ''").select(F.col("average_precision").alias("full_ap"))
+    base = scores.where("dropped = ''").select(id_col, F.col("score").alias("full"))
+    both = stored(scores.where("dropped <> ''").join(base, id_col), "robustness-pairs")
+    merged = ap.join(spearman(both, ["dropped"], "score", "full"), "dropped").join(top_jaccard(both, ["dropped"], "score", "full", 0.2, id_col), "dropped")
+    count = F.size(F.split("dropped", r"\+")).alias("dropped_count")
+    return merged.crossJoin(F.broadcast(whole)).select("dropped", count, "average_precision", (F.col("average_precision") - F.col("full_ap")).alias("ap_change"), "spearman", "jaccard")  # one row
+
+
+def robustness_summary(choices: DataFrame) -> DataFrame:
+    """Mean, spread and ends of what choices of so many criteria cost."""
+    of = {"ap_delta_mean": F.avg("ap_change"), "ap_delta_std": F.stddev_samp("ap_change"), "ap_delta_min": F.min("ap_change"), "ap_delta_max": F.max("ap_change"), "jaccard_mean": F.avg("jaccard"), "spearman_mean": F.avg("spearman")}
+    return choices.groupBy("dropped_count").agg(F.count(F.lit(1)).alias("choices"), *[F.round(e, 6).alias(n) for n, e in of.items()])

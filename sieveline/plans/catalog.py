@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from sieveline.operators import evolve, governance, learn, metrics, pareto, prep
 from sieveline.plans import sql as q
 from sieveline.sources import fixtures as fx
 from sieveline.sources.readers import table
+from sieveline.sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,21 +39,30 @@ def query(oracle: str | None = None, name: str | None = None):
 
 
 def criteria_rows(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
-    """Cached: statistics, weights and scores each read these rows again, and what they are made from is five joins."""
-    df = with_any_risk(with_criteria(fx.predictions(spark, sf_dir))).persist()
+    """Stored: statistics, weights and scores each read these rows again, and what they are made from is five joins."""
+    df = stored(with_any_risk(with_criteria(fx.predictions(spark, sf_dir))), "criteria")
     return df.where(F.col("split") == split) if split else df
 
 
+def _val_and_test(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    df = criteria_rows(spark, sf_dir)
+    return df.where("split = 'val'"), df.where("split = 'test'")
+
+
+def _equally_scored(val: DataFrame, test: DataFrame, method: str) -> DataFrame:
+    rows = ranking.normalized(test, val, ["minmax"])
+    return ranking.scored(rows, ranking.weights(rows, ["normalization"], ["equal"]), ["normalization"], [method])
+
+
 def _test_scores(spark, sf_dir, method="topsis") -> DataFrame:
     """Test rows scored with equal weights on min-max criteria, fitted on validation rows."""
-    rows = ranking.normalized(criteria_rows(spark, sf_dir, "test"), criteria_rows(spark, sf_dir, "val"), ["minmax"]).persist()
-    weights = ranking.weights(rows, ["normalization"], ["equal"])
-    return ranking.scored(rows, weights, ["normalization"], [method])
+    return _equally_scored(*_val_and_test(spark, sf_dir), method)
 
 
 def _wide(spark, sf_dir) -> DataFrame:
-    scores = _test_scores(spark, sf_dir).select("sample_row_id", F.col("score").alias("topsis"))
-    return criteria_rows(spark, sf_dir, "test").join(scores, "sample_row_id").persist()
+    val, test = _val_and_test(spark, sf_dir)
+    scores = _equally_scored(val, test, "topsis").select("sample_row_id", F.col("score").alias("topsis"))
+    return stored(test.join(scores, "sample_row_id"), "wide")
 
 
 def _long(spark, sf_dir) -> DataFrame:
@@ -88,7 +99,7 @@ _NUMS = ("lot_bidscount", "label_corr_proc", "label_corr_buyer_concentration", "
     f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, CAST(sum(CAST({c} >= (SELECT quantile_cont({c}, 0.75) FROM lots) AS INT)) AS BIGINT) AS at_least_p75 FROM lots"
     for c in _NUMS)))
 def profile_quantiles(spark, sf_dir):
-    return profile.quantiles(fx.lots(spark, sf_dir), _NUMS)
+    return profile.quantiles(stored(fx.lots(spark, sf_dir), "lots"), _NUMS)
 
 
 @query(q.ask("SELECT \"column\", value, n AS rows, round(n / sum(n) OVER (PARTITION BY \"column\"), 9) AS share, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value NULLS LAST) AS place FROM ("
@@ -102,7 +113,7 @@ def category_top_n(spark, sf_dir):
     [f"SELECT '{c}' AS \"column\", 'binary' AS kind, count({c}) AS labelled, CAST(sum(CAST({c} > 0 AS INT)) AS BIGINT) AS positives FROM lots" for c in ("label_corr_singleb", "label_corr_nocft")]
     + [f"SELECT '{c}', 'numeric', count({c}), CAST(sum(CAST({c} >= (SELECT quantile_cont({c}, 0.75) FROM lots) AS INT)) AS BIGINT) FROM lots" for c in ("label_corr_proc", "label_corr_buyer_concentration")])))
 def label_feasibility(spark, sf_dir):
-    return profile.label_feasibility(fx.lots(spark, sf_dir), ("label_corr_singleb", "label_corr_nocft"), ("label_corr_proc", "label_corr_buyer_concentration"))
+    return profile.label_feasibility(stored(fx.lots(spark, sf_dir), "lots"), ("label_corr_singleb", "label_corr_nocft"), ("label_corr_proc", "label_corr_buyer_concentration"))
 
 
 @query(q.ask("SELECT CAST(y_cri_high AS INT) AS y_cri_high, CAST(least(floor(round(p_cri_high * 30, 9)), 29) AS INT) AS bin, count(*) AS rows FROM preds GROUP BY 1, 2"))
@@ -122,11 +133,11 @@ def total_variation(spark, sf_dir):
   quantile_cont(lot_bidscount, 0.5) AS median_bids, quantile_cont(lot_bidscount, 0.99) AS p99_bids, min(award_year) AS first_year, max(award_year) AS last_year,
   round(avg(CASE WHEN award_year BETWEEN 1996 AND 1998 THEN 1.0 ELSE 0 END), 9) AS share_1996_1998 FROM lots"""))
 def dataset_composition(spark, sf_dir):
-    return profile.composition(fx.lots(spark, sf_dir))
+    return profile.composition(stored(fx.lots(spark, sf_dir), "lots"))
 
 
-_RAW = ("tender_id", "lot_bidscount", "bid_priceUsd", "bid_price", "corr_singleb", "cri", "buyer_country", "tender_year", "filter_ok", "bid_priceCurrency", "tender_proceduretype", "lot_title", "tender_cpvs", "corr_proc")
-_PROCESSED = ("lot_id", "client_group", "federated_site", "trace_hash", "label_cri", "log_bid_price", "reported_bid_count", "buyer_type", "row_id")
+_RAW = ("tender_id", "lot_bidscount", "bid_priceUsd", "bid_price", "corr_singleb", "cri", "buyer_country", "tender_year", "filter_ok", "bid_priceCurrency", "tender_proceduretype", "lot_title", "tender_cpvs", "corr_proc", "tender_awarddecisiondate", "buyer_phone", "tender_contractduration", "CRI")
+_PROCESSED = ("lot_id", "client_group", "federated_site", "trace_hash", "label_cri", "log_bid_price", "reported_bid_count", "buyer_type", "row_id", "y_award_year", "client_city_id", "ID")
 _MANIFEST = (
     ("lot_bidscount", "feature", "numeric", True), ("award_criteria_count", "feature", "numeric", True), ("buyer_type", "feature", "categorical", True), ("buyer_country", "feature", "categorical", True),
     ("label_cri", "target", "risk outcome", False), ("y_cri_high", "target", "numeric", False), ("procedure_type", "feature", "categorical", True), ("award_year", "feature", "numeric", True), ("cpv_code", "feature", "categorical", False),
@@ -134,32 +145,39 @@ _MANIFEST = (
 _STRICT = ("award_criteria_count", "buyer_type", "procedure_type")
 
 
-def _values(names) -> str:
-    return "names(\"column\") AS (VALUES " + ", ".join(f"('{n}')" for n in names) + ")"
-
+def _rows_sql(columns: str, rows) -> str:
+    """Rows worked out by hand."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(repr(x) if isinstance(x, str) else str(x).lower() for x in r) + ')' for r in rows)}) AS t({columns})"
 
-def _rule_sql(rules) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(lower("column"), '{p}')''' for p in ps)} THEN '{r}' END" for r, ps in rules) + "], lambda x: x IS NOT NULL)"
 
+_OUT, _FREE = "exclude from model features", "no automatic exclusion"
 
-_TARGET_IN = f"lower(\"column\") IN ({', '.join(repr(t) for t in governance.TARGETS)})"
 
-
-@query(f"""WITH {_values(_RAW)}, judged AS (SELECT "column", {_TARGET_IN} AS t, list_sort(list_distinct(list_concat(list_filter([CASE WHEN {_TARGET_IN} THEN 'target source' END,
-  CASE WHEN starts_with(lower("column"), 'filter_') THEN 'filter flag' END, CASE WHEN contains(lower("column"), 'currency') THEN 'currency' END], lambda x: x IS NOT NULL), {_rule_sql(governance.RAW_RULES)}))) AS r FROM names)
-  SELECT "column", CASE WHEN t THEN 'target' WHEN len(r) > 0 THEN 'exclude' ELSE 'candidate' END AS decision, array_to_string(r, '; ') AS reasons FROM judged""")
+@query(_rows_sql('"column", decision, reasons', (
+    ("tender_id", _OUT, "identifier or contact field"), ("lot_bidscount", _OUT, "identifier or contact field"), ("bid_priceUsd", _OUT, "identifier or contact field"), ("bid_price", _OUT, "identifier or contact field"),
+    ("corr_singleb", _OUT, "target or validation label"), ("cri", _OUT, "target or validation label"), ("buyer_country", _OUT, "geographic variable"), ("tender_year", _OUT, "temporal variable"),
+    ("filter_ok", _OUT, "filter or derived screening field"), ("bid_priceCurrency", _OUT, "currency proxy; identifier or contact field"), ("tender_proceduretype", "candidate feature after preprocessing", _FREE),
+    ("lot_title", "candidate feature after preprocessing", _FREE), ("tender_cpvs", "candidate feature after preprocessing", _FREE), ("corr_proc", _OUT, "target or validation label"),
+    ("tender_awarddecisiondate", _OUT, "temporal variable"), ("buyer_phone", _OUT, "identifier or contact field"), ("tender_contractduration", _OUT, "temporal variable"), ("CRI", "candidate feature after preprocessing", _FREE),
+)))
 def column_governance_raw(spark, sf_dir):
     return governance.raw_columns(spark.createDataFrame([(n,) for n in _RAW], "column string"))
 
 
-@query(f"""WITH {_values(_PROCESSED)}, judged AS (SELECT "column", CASE WHEN starts_with(lower("column"), 'label_') THEN 'risk outcome' WHEN ends_with(lower("column"), '_id') THEN 'identifier' WHEN contains(lower("column"), 'trace') THEN 'trace'
-  WHEN contains(lower("column"), 'federated') OR contains(lower("column"), 'client') THEN 'client grouping' ELSE '' END AS reason FROM names)
-  SELECT "column", CASE WHEN reason = '' THEN 'candidate' WHEN reason = 'risk outcome' THEN 'target' ELSE 'exclude' END AS decision, reason FROM judged""")
+@query(_rows_sql('"column", decision, reasons', (
+    ("lot_id", _OUT, "trace or identifier field"), ("client_group", _OUT, "federated grouping field"), ("federated_site", _OUT, "federated grouping field"), ("trace_hash", _OUT, "trace or identifier field"),
+    ("label_cri", _OUT, "label or evaluation target"), ("log_bid_price", "candidate model feature", _FREE), ("reported_bid_count", "candidate model feature", _FREE), ("buyer_type", "candidate model feature", _FREE),
+    ("row_id", _OUT, "trace or identifier field"), ("y_award_year", _OUT, "label or evaluation target; temporal variable"), ("client_city_id", _OUT, "federated grouping field; geographic variable; trace or identifier field"), ("ID", _OUT, "trace or identifier field"),
+)))
 def column_governance_processed(spark, sf_dir):
     return governance.processed_columns(spark.createDataFrame([(n,) for n in _PROCESSED], "column string"))
 
 
-@query(f"""WITH {_values(_RAW)} SELECT "column", len(r) > 0 AS forbidden, array_to_string(r, '; ') AS reasons FROM (SELECT "column", {_rule_sql(governance.FEATURE_RULES)} AS r FROM names)""")
+@query(_rows_sql('"column", forbidden, reasons', (
+    ("tender_id", False, ""), ("lot_bidscount", False, ""), ("bid_priceUsd", False, ""), ("bid_price", False, ""), ("corr_singleb", True, "raw label source"), ("cri", True, "raw label source"), ("buyer_country", True, "geographic"),
+    ("tender_year", True, "temporal"), ("filter_ok", False, ""), ("bid_priceCurrency", False, ""), ("tender_proceduretype", False, ""), ("lot_title", False, ""), ("tender_cpvs", False, ""), ("corr_proc", True, "raw label source"),
+    ("tender_awarddecisiondate", True, "temporal"), ("buyer_phone", True, "identifier or grouping"), ("tender_contractduration", True, "temporal"), ("CRI", False, ""),
+)))
 def forbidden_features(spark, sf_dir):
     return governance.forbidden_features(spark.createDataFrame([(n,) for n in _RAW], "column string"))
 
@@ -171,8 +189,10 @@ def _manifest(spark):
 _MANIFEST_SQL = 'm("column", role, type, used) AS (VALUES ' + ", ".join(f"('{a}', '{b}', '{c}', {str(u).lower()})" for a, b, c, u in _MANIFEST) + ")"
 
 
-@query(f"""WITH {_MANIFEST_SQL} SELECT "column", type, used AND len({_rule_sql(governance.FEATURE_RULES)}) = 0 AS audit_priority,
-  used AND len({_rule_sql(governance.FEATURE_RULES)}) = 0 AND "column" IN ({', '.join(repr(s) for s in _STRICT)}) AS strict_ex_ante FROM m""")
+@query(_rows_sql('"column", type, audit_priority, strict_ex_ante, exclusion_reason', (
+    ("lot_bidscount", "numeric", True, False, ""), ("award_criteria_count", "numeric", True, True, ""), ("buyer_type", "categorical", True, True, ""), ("buyer_country", "categorical", False, False, "geographic"),
+    ("label_cri", "risk outcome", False, False, "target"), ("y_cri_high", "numeric", False, False, "target"), ("procedure_type", "categorical", True, True, ""), ("award_year", "numeric", False, False, "temporal"), ("cpv_code", "categorical", False, False, ""),
+)))
 def feature_sets(spark, sf_dir):
     return governance.feature_sets(_manifest(spark), _STRICT)
 
@@ -415,14 +435,18 @@ def metric_topk_jaccard(spark, sf_dir):
 # ---- configuration grid
 
 
-def grid_rows(spark, sf_dir) -> DataFrame:
-    """Every configuration's performance on validation rows and its selection score."""
-    val = criteria_rows(spark, sf_dir, "val")
-    rows = ranking.normalized(val, val).persist()
+def grid_scores(val: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scores of every configuration on validation rows, and the weights that the labelled ones give."""
+    rows = stored(ranking.normalized(val, val), "grid-rows")
     weights = ranking.weights(rows.where(F.col("y_cri_high").isNotNull()), ["normalization"])
-    scores = ranking.scored(rows, weights, ["normalization"])
-    # both labels side by side: the scores are computed, and sorted, once
-    long = scores.select(*CONFIG, "sample_row_id", "score", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in ("y_cri_high", "y_any_risk")])).alias("t")).select(*CONFIG, "sample_row_id", "score", "t.*").persist()
+    return ranking.scored(rows, weights, ["normalization"]), weights
+
+
+def grid_rows(scores: DataFrame) -> DataFrame:
+    """Every configuration's performance on validation rows and its selection score."""
+    # both labels side by side: the scores are computed once
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in ("y_cri_high", "y_any_risk")])).alias("t")
+    long = stored(scores.select(*CONFIG, "sample_row_id", "score", each).select(*CONFIG, "sample_row_id", "score", "t.*"), "grid-scores")
     keys = [*CONFIG, "target"]
     both = metrics.average_precision(long, keys).join(metrics.best_threshold(long, keys), keys)
     one = lambda c, t, name: F.max(F.when(F.col("target") == t, F.col(c))).alias(name)
@@ -434,13 +458,17 @@ def grid_rows(spark, sf_dir) -> DataFrame:
     return wide.withColumn("selection_score", F.round(total, 8))
 
 
+def _grid(spark, sf_dir) -> DataFrame:
+    return grid_rows(grid_scores(criteria_rows(spark, sf_dir, "val"))[0])
+
+
 _PERF = ("primary_ap", "primary_f1", "primary_ndcg", "any_ap", "any_f1", "any_ndcg")
 _PERF_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in _PERF)
 
 
 @query(q.ask(f"SELECT normalization, weighting, method, primary_rate, {_PERF_SQL}, round(selection_score, 6) AS selection_score FROM perf", *q.grid()))
 def grid_performance(spark, sf_dir):
-    return _rounded(grid_rows(spark, sf_dir), [*_PERF, "selection_score"], 6)
+    return _rounded(_grid(spark, sf_dir), [*_PERF, "selection_score"], 6)
 
 
 _SELECT = ("selection_score", "primary_f1", "primary_ndcg", "primary_ap", "any_f1", "any_ndcg")
@@ -448,14 +476,14 @@ _SELECT = ("selection_score", "primary_f1", "primary_ndcg", "primary_ap", "any_f
 
 @query(q.ask(f"SELECT normalization, weighting, method, round(selection_score, 6) AS selection_score FROM perf ORDER BY {', '.join(f'round({c}, 6) DESC' for c in _SELECT)}, method, normalization, weighting LIMIT 1", *q.grid()))
 def grid_selected(spark, sf_dir):
-    best = _rounded(grid_rows(spark, sf_dir), [*_PERF, "selection_score"], 6).orderBy(*[F.desc(c) for c in _SELECT], "method", "normalization", "weighting").limit(1)
+    best = _rounded(_grid(spark, sf_dir), [*_PERF, "selection_score"], 6).orderBy(*[F.desc(c) for c in _SELECT], "method", "normalization", "weighting").limit(1)
     return best.select(*CONFIG, "selection_score")
 
 
 @query(q.ask("SELECT method, round(avg(primary_ap), 6) AS mean_ap, round(max(primary_ap), 6) AS max_ap, round(avg(primary_f1), 6) AS mean_f1, round(max(primary_f1), 6) AS max_f1, count(*) AS configurations FROM perf GROUP BY 1", *q.grid()))
 def grid_method_summary(spark, sf_dir):
     rounded = [F.round(f(c), 6).alias(f"{n}_{s}") for c, s in (("primary_ap", "ap"), ("primary_f1", "f1")) for n, f in (("mean", F.avg), ("max", F.max))]
-    return grid_rows(spark, sf_dir).groupBy("method").agg(*rounded, F.count(F.lit(1)).alias("configurations"))
+    return _grid(spark, sf_dir).groupBy("method").agg(*rounded, F.count(F.lit(1)).alias("configurations"))
 
 
 # ---- validation
@@ -490,15 +518,34 @@ def per_target_reference(spark, sf_dir):
     return validation.reference_gap(_all_targets(spark, sf_dir), own)
 
 
-@query("SELECT 'forbidden features' AS \"check\", true AS passed UNION ALL SELECT 'rows aligned', true UNION ALL SELECT 'ids unique', true")
+@query(q.ask(f"""SELECT 'forbidden features' AS "check", count(*) = 0 AS passed FROM (SELECT unnest([{', '.join(f"'{m[0]}'" for m in _MANIFEST if m[3])}]) AS c) WHERE regexp_matches(lower(c), 'year|date|deadline|period|duration|country|city|nuts|postcode|street|address|trace|federated|client|email|phone|url|source|contact') OR c LIKE 'label~_%' ESCAPE '~' OR c LIKE 'y~_%' ESCAPE '~'
+  UNION ALL SELECT 'rows aligned', NOT EXISTS (SELECT sample_row_id FROM crit WHERE split = 'test' EXCEPT SELECT sample_row_id FROM ranked) AND (SELECT count(*) FROM ranked) = (SELECT count(*) FROM crit WHERE split = 'test')
+  UNION ALL SELECT 'ids unique', count(*) = count(DISTINCT sample_row_id) FROM crit WHERE split = 'test'""", q.TEST_MINMAX, q.RANKED))
 def verification_checklist(spark, sf_dir):
-    names = governance.feature_sets(_manifest(spark), _STRICT).where("strict_ex_ante").select("column")
-    return validation.checklist(names, criteria_rows(spark, sf_dir, "test"), _test_scores(spark, sf_dir), "sample_row_id")
+    """Over all columns that the manifest uses, two of which it shouldn't."""
+    val, test = _val_and_test(spark, sf_dir)
+    return validation.checklist(_manifest(spark).where("used_as_feature").select("column"), test, _equally_scored(val, test, "topsis"), "sample_row_id")
+
 
+_WEIGHTS = [(3 + i * i % 7) / 100 for i in range(len(CRITERIA))]
+_ANEW = "sqrt(" + " + ".join(f"power(w_{c} * {c} - min(w_{c} * {c}) OVER (), 2)" for c in q.C) + ")"
+_BACK = "sqrt(" + " + ".join(f"power(max(w_{c} * {c}) OVER () - w_{c} * {c}, 2)" for c in q.C) + ")"
+_GIVEN = f"given AS (SELECT n.*, 'given' AS weighting, {', '.join(f'{q.d(w)} AS w_{c}' for c, w in zip(q.C, _WEIGHTS, strict=True))} FROM norm n)"
 
-@query(q.ask("SELECT count(*) AS rows, CAST(0 AS DOUBLE) AS max_difference, CAST(1 AS DOUBLE) AS spearman FROM ranked", q.TEST_MINMAX, q.RANKED))
+
+@query(q.ask("""SELECT count(*) AS rows, round(max(abs(a - b)), 6) AS max_difference, round(corr(ra, rb), 6) AS spearman FROM (
+  SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM (
+    SELECT k.score AS a, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 9) AS b FROM kept k JOIN anew USING (sample_row_id)))""",
+             q.TEST_MINMAX, _GIVEN, f"kept AS ({q.scored('topsis', 'SELECT * FROM given', q.KEYS)})", f"anew AS (SELECT sample_row_id, {_ANEW} / ({_ANEW} + {_BACK}) AS raw FROM given)"))
 def reproduction_check(spark, sf_dir):
-    return validation.reproduction(_test_scores(spark, sf_dir), _test_scores(spark, sf_dir), "sample_row_id").withColumns({c: F.round(c, 6) for c in ("max_difference", "spearman")})
+    """A ranking is written with its configuration as text; the text is decoded, rows are normalised and scored anew with
+    what it says, and the two are compared."""
+    val, test = _val_and_test(spark, sf_dir)
+    given = spark.createDataFrame([("minmax", "given", *_WEIGHTS)], "normalization string, weighting string, " + ", ".join(f"{c} double" for c in CRITERIA))
+    first = ranking.scored(ranking.normalized(test, val, ["minmax"]), given, ["normalization"], ["topsis"])
+    text = validation.config_json(F.lit("topsis"), F.lit("minmax"), {c: F.lit(w) for c, w in zip(CRITERIA, _WEIGHTS, strict=True)})
+    written = stored(first.select("sample_row_id", "score", text.alias("config")), "ranking")
+    return validation.reproduction(written, val, test, "sample_row_id").withColumns({c: F.round(c, 6) for c in ("max_difference", "spearman")})
 
 
 @query("""SELECT coalesce(p.table_name, a.table_name) AS table_name, coalesce(p.cell, a.cell) AS cell, p.value AS value, a.value AS found, coalesce(round(abs(p.value - a.value), 9) <= 0.051, false) AS passed
@@ -676,22 +723,28 @@ def bootstrap_comparison(spark, sf_dir):
     return statistics.sign_flipped(statistics.bootstrap_comparison(bootstrap_ap(spark, sf_dir), "raw"))
 
 
-@query()
-def robustness_drop(spark, sf_dir):
-    rows = ranking.normalized(criteria_rows(spark, sf_dir, "test"), criteria_rows(spark, sf_dir, "val"), ["minmax"]).persist()
+_DROPS = [(n, gone) for n in (1, 2) for gone in combinations(range(len(CRITERIA)), n)]
+_KEPT_SQL = " UNION ALL ".join(f"SELECT {len(g)} AS dropped_count, '{'+'.join(CRITERIA[i] for i in g)}' AS weighting, " + ", ".join(f"{q.d(0 if i in g else f'1.0 / {len(CRITERIA) - len(g)}')} AS w_{c}" for i, c in enumerate(q.C)) for g in [(), *[g for _, g in _DROPS]])
 
-    def score_of(df, kept):
-        weights = ranking.weights(df, ["normalization"], ["equal"], columns=kept)
-        return ranking.scored(df, weights, ["normalization"], ["waspas"], columns=kept).select("sample_row_id", F.col("y_cri_high").alias("y"), "score")
 
-    return validation.robustness(rows, score_of, CRITERIA)
+@query(q.ask(f"""SELECT dropped_count, CAST(count(*) AS BIGINT) AS choices, round(avg(d), 6) AS ap_delta_mean, round(stddev_samp(d), 6) AS ap_delta_std, round(min(d), 6) AS ap_delta_min, round(max(d), 6) AS ap_delta_max, round(avg(jaccard), 6) AS jaccard_mean, round(avg(spearman), 6) AS spearman_mean FROM (
+    SELECT a.dropped_count, weighting, a.average_precision - (SELECT average_precision FROM aps WHERE weighting = '') AS d, jaccard, spearman FROM aps a JOIN (
+      SELECT weighting, round(sum(CAST(p <= k AND f <= k AS INT)) / CAST(sum(CAST(p <= k OR f <= k AS INT)) AS DOUBLE), 9) AS jaccard, round(corr(r, g), 9) AS spearman FROM (
+        SELECT o.weighting, o.p, b.p AS f, o.r, b.r AS g, greatest(ceil(o.n * CAST(0.2 AS DOUBLE)), 1) AS k FROM placed o JOIN placed b USING (sample_row_id) WHERE b.weighting = '' AND o.weighting <> '') GROUP BY 1) USING (weighting)) GROUP BY 1""",
+             q.TEST_MINMAX, f"kept AS ({_KEPT_SQL})", f"dropped AS ({q.scored('waspas', 'SELECT n.*, k.* FROM norm n, kept k', 'normalization, weighting')})", "scores AS (SELECT dropped_count, weighting, sample_row_id, y_cri_high AS y, score FROM dropped WHERE y_cri_high IS NOT NULL)",
+             f"aps AS ({q.ap('SELECT * FROM scores', 'dropped_count, weighting')})", "placed AS (SELECT weighting, sample_row_id, count(*) OVER (PARTITION BY weighting) AS n, row_number() OVER (PARTITION BY weighting ORDER BY score DESC, sample_row_id) AS p, rank() OVER (PARTITION BY weighting ORDER BY score) + (count(*) OVER (PARTITION BY weighting, score) - 1) / 2.0 AS r FROM scores)"))
+def robustness_drop(spark, sf_dir):
+    """Every choice of one and of two criteria left out."""
+    val, test = _val_and_test(spark, sf_dir)
+    rows = stored(ranking.normalized(test, val, ["minmax"]), "robustness-rows")
+    return validation.robustness_summary(validation.robustness(rows, CRITERIA, "waspas", "y_cri_high", (1, 2)))
 
 
 # ---- models and search
 
 
 def _model_rows(spark, sf_dir):
-    lot = fx.with_targets(fx.lots(spark, sf_dir)).persist()
+    lot = stored(fx.with_targets(fx.lots(spark, sf_dir)), "model-rows")
     parts = [lot.where(F.col("split") == s) for s in ("train", "val", "test")]
     return learn.prepared(parts[0], parts[1:], learn.NUMERIC, learn.CATEGORICAL)
 

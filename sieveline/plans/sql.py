@@ -174,7 +174,7 @@ def scored(method: str, source: str, keys: str, columns=None) -> str:
         raw = f"SELECT *, 0.5 * (p_ / greatest(max(p_) OVER w, 1e-12) + 1 - n_ / greatest(max(n_) OVER w, 1e-12)) AS raw FROM ({both}) {w}"
         gone += ", p_, n_" + "".join(f", {c}_m" for c in columns)
     elif method == "cocoso":
-        both = f"SELECT *, {_cumulative(f'{clip[c]} * w_{c}' for c in columns)} AS s_, {_cumulative(f'pow({clip[c]}, w_{c})' for c in columns)} AS p_ FROM ({source})"
+        both = f"SELECT *, {_cumulative(f'{clip[c]} * w_{c}' for c in columns)} AS s_, {_cumulative(f'(CASE WHEN w_{c} > 0 THEN pow({clip[c]}, w_{c}) ELSE 0 END)' for c in columns)} AS p_ FROM ({source})"
         parts = f"""SELECT *, (s_ + p_) / greatest(sum(s_ + p_) OVER w, 1e-12) AS a_, s_ / greatest(min(s_) OVER w, 1e-12) + p_ / greatest(min(p_) OVER w, 1e-12) AS b_,
           (0.5 * s_ + 0.5 * p_) / greatest(0.5 * max(s_) OVER w + 0.5 * max(p_) OVER w, 1e-12) AS k_ FROM ({both}) {w}"""
         raw = f"SELECT *, cbrt(greatest(a_ * b_ * k_, 0)) + (a_ + b_ + k_) / 3 AS raw FROM ({parts})"

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.cleaning import binarize
+from sieveline.operators.ordering import percentiles
 from sieveline.sources.readers import table
+from sieveline.sources.shared import stored
 
 SCORES = ("label_cri", "label_corr_proc", "label_corr_buyer_concentration", "label_corr_singleb", "label_corr_nocft")
 TARGETS = ("y_cri_high", "y_proc_high", "y_buyer_concentration_high", "y_single_bid", "y_no_call_for_tender")
@@ -101,13 +103,13 @@ def fold_of(key: Column, folds: int = 5) -> Column:
 
 def with_targets(lot: DataFrame) -> DataFrame:
     """lots with the five binary targets and the split. The concentration cutoff is the scores' own third quartile."""
-    cut = lot.agg(F.percentile("label_corr_buyer_concentration", 0.75).alias("_cut"))
-    known = lot.crossJoin(F.broadcast(cut))  # one row
+    known = stored(lot, "lots")
+    cut = percentiles(known, ["label_corr_buyer_concentration"], (0.75,))["label_corr_buyer_concentration"][0]
     return known.select(
         *lot.columns,
         binarize("label_cri", F.lit(CRI_CUT), ">=").alias("y_cri_high"),
         binarize("label_corr_proc", F.lit(PROC_CUT), ">=").alias("y_proc_high"),
-        binarize("label_corr_buyer_concentration", F.col("_cut"), ">=").alias("y_buyer_concentration_high"),
+        binarize("label_corr_buyer_concentration", F.lit(cut), ">=").alias("y_buyer_concentration_high"),
         binarize("label_corr_singleb", F.lit(0.0), ">").alias("y_single_bid"),
         binarize("label_corr_nocft", F.lit(0.0), ">").alias("y_no_call_for_tender"),
         split_of(F.col("lot_id")).alias("split"),

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import evolve, governance, metrics, pareto, ranking, statistics, validation
+from sieveline.operators import evolve, metrics, ordering, pareto, ranking, statistics, validation
 from sieveline.operators.ordering import with_place
 from sieveline.sources import readers, writers
 
@@ -105,10 +105,28 @@ def test_bootstrap_is_seeded_and_near_the_whole(spark):
     assert runs[0] == runs[1] and abs(np.mean(runs[0]) - ap) < 0.05
 
 
-def test_governance_keeps_both_rule_sets(spark):
-    names = spark.createDataFrame([("lot_bidscount",), ("cri",), ("filter_ok",)], "column string")
-    audit = {r["column"]: r["decision"] for r in governance.raw_columns(names).collect()}
-    assert audit == {"lot_bidscount": "exclude", "cri": "target", "filter_ok": "exclude"}
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    x = np.stack([rng.random(3000), rng.integers(0, 5, 3000), np.exp(rng.normal(0, 9, 3000)), np.full(3000, 7.0)], axis=1)
+    df = spark.createDataFrame([(*map(float, r), None) for r in x] + [(None,) * 5], "a double, b double, c double, d double, e double")
+    shares = (0.0, 0.01, 0.25, 0.5, 0.99, 1.0)
+    for bins, few in ((1024, 4096), (4, 3)):
+        got = ordering.percentiles(df, list("abcde"), shares, bins, few)
+        assert got["e"] == [None] * 6
+        for j, c in enumerate("abcd"):
+            assert got[c] == pytest.approx(np.quantile(x[:, j], shares), rel=1e-12)
+
+
+def test_running_sums_equal_numpy(spark):
+    rng = np.random.default_rng(7)
+    v = rng.choice([-0.5, 0.0, 0.25, 0.2501, 0.9, 1.0, 1.7], 400)
+    df = spark.createDataFrame([(f"k{i % 2}", float(x)) for i, x in enumerate(v)], "k string, v double")
+    for down in (True, False):
+        rows = ordering.running(df, ["k"], "v", {"n": F.count(F.lit(1))}, down, buckets=16).collect()
+        assert len(rows) == 14
+        for r in rows:
+            own = v[int(r["k"][1]) :: 2]
+            assert (r["n"], r["c_n"]) == ((own == r["v"]).sum(), (own >= r["v"] if down else own <= r["v"]).sum())
 
 
 def test_empty_tables_give_no_rows(spark):
