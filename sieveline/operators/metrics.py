@@ -105,6 +105,23 @@ def threshold_table(df: DataFrame, keys: Sequence[str], rates: Sequence[float] =
     )
 
 
+def at_own_rate(df: DataFrame, keys: Sequence[str], rate: str, id_col: str = "sample_row_id") -> DataFrame:
+    """precision, recall, f1 and ndcg of each configuration's top ceil(rate * rows), rate being a column that is the same in
+    all rows of its keys."""
+    placed = _placed(df, keys, id_col)
+    discount, k = 1 / F.log2(F.col("_place") + 1.0), _limit(F.col(rate))
+    top = F.col("_place") <= k
+    sums = placed.groupBy(*keys).agg(
+        F.max(k).alias("_k"), F.max("_pos").alias("_pos"), F.sum(F.when(top, F.col("y"))).alias("tp"), F.sum(F.when(top, F.col("y") * discount)).alias("dcg"),
+        F.sum(F.when(top & (F.col("_place") <= F.col("_pos")), discount)).alias("ideal"),
+    )
+    zero = lambda e: F.round(F.coalesce(e, F.lit(0.0)), 9)
+    return sums.select(
+        *keys, zero(F.col("tp") / F.col("_k")).alias("precision"), zero(F.col("tp") / F.greatest(F.col("_pos"), F.lit(1))).alias("recall"),
+        zero(F.try_divide(2 * F.col("tp"), F.col("_k") + F.col("_pos"))).alias("f1"), zero(F.try_divide(F.col("dcg"), F.col("ideal"))).alias("ndcg"),
+    )
+
+
 def best_threshold(df: DataFrame, keys: Sequence[str], rates: Sequence[float] = RATES, id_col: str = "sample_row_id") -> DataFrame:
     """The rate with the highest f1, then ndcg, then precision, then the smallest."""
     order = Window.partitionBy(*keys).orderBy(F.desc("f1"), F.desc("ndcg"), F.desc("precision"), "rate")

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators import metrics, ranking
+from sieveline.sources.shared import small
+
 OBJECTIVES = ("o1", "o2", "o3", "o4", "o5", "o6")
 #: What the objectives should weigh in the chosen compromise.
 TARGET_WEIGHTS = (0.30, 0.20, 0.20, 0.15, 0.10, 0.05)
@@ -112,3 +115,47 @@ def capacity_band(df: DataFrame, low: float = 0.04, high: float = 0.06, slack: f
     band = df.where((F.col("o5") >= low) & (F.col("o5") <= high))
     best = band.agg(F.min("o1").alias("_best"))
     return band.crossJoin(F.broadcast(best)).where(F.round(F.col("o1") - F.col("_best"), 9) <= slack).drop("_best").orderBy("o4", "seq").limit(1)
+
+
+def decoded(archive: DataFrame, criteria: Sequence[str]) -> DataFrame:
+    """archive with its weight_<criterion> columns replaced by a column for each criterion: its weight as a share of those that
+    sel_<criterion> takes in, 0 for the others; and criteria_share, the share that takes part."""
+    taken = {c: F.when(F.col(f"sel_{c}"), F.col(f"weight_{c}")).otherwise(F.lit(0.0)) for c in criteria}
+    total = F.greatest(reduce(lambda a, b: a + b, taken.values()), F.lit(1e-12))
+    share = reduce(lambda a, b: a + b, [F.col(f"sel_{c}").cast("int") for c in criteria]) / len(criteria)
+    gone = [f"{k}_{c}" for k in ("sel", "weight") for c in criteria]
+    return archive.withColumns({c: e / total for c, e in taken.items()} | {"criteria_share": share}).drop(*gone)
+
+
+def archive_scores(configs: DataFrame, rows: DataFrame, criteria: Sequence[str]) -> DataFrame:
+    """Scores of rows (normalised, with the column normalization) by every decoded configuration: seq, rate, and rows' other
+    columns. Configurations of one method are scored together; each meets its own normalisation's rows only."""
+    weights = configs.select("normalization", F.col("seq").cast("string").alias("weighting"), *criteria, "method")
+    known = [r["method"] for r in configs.select("method").distinct().orderBy("method").collect()]
+    parts = [ranking.scored(rows, weights.where(F.col("method") == m).drop("method"), ["normalization"], [m], criteria) for m in known]
+    scores = reduce(lambda a, b: a.unionByName(b), parts).withColumn("seq", F.col("weighting").cast("long")).drop("weighting", "method", "normalization")
+    return scores.join(F.broadcast(small(configs.select("seq", "rate"))), "seq")  # a row per configuration
+
+
+def evaluated(configs: DataFrame, scores: DataFrame, y: str, any_risk: str) -> DataFrame:
+    """Each configuration's metrics on scored rows: average precision, AUC, metrics at its own rate and at 20%, and the F1
+    of any risk at its own rate. scores is read several times: give a stored table."""
+    long = scores.withColumn("y", F.col(y).cast("int"))
+    own = metrics.at_own_rate(long, ["seq"], "rate")
+    fixed = metrics.threshold_table(long, ["seq"], [0.2]).select("seq", *[F.col(c).alias(f"{c}_at_20pct") for c in ("f1", "precision", "recall", "ndcg")])
+    other = metrics.at_own_rate(scores.withColumn("y", F.col(any_risk).cast("int")), ["seq"], "rate").select("seq", F.col("f1").alias("any_f1"))
+    found = metrics.average_precision(long, ["seq"]).join(metrics.roc_auc(long, ["seq"]), "seq").join(own, "seq").join(fixed, "seq").join(other, "seq")
+    return configs.select("seq", "algorithm", "method", "normalization", "rate", "criteria_share").join(found, "seq")
+
+
+def objectives_of(results: DataFrame) -> DataFrame:
+    """results with o1 to o6, all to minimise: losses of average precision, NDCG, F1 and any-risk F1, the review rate and the
+    share of criteria, to six digits."""
+    of = (1 - F.col("average_precision"), 1 - F.col("ndcg"), 1 - F.col("f1"), 1 - F.col("any_f1"), F.col("rate"), F.col("criteria_share"))
+    return results.withColumns({o: F.round(e, 6) for o, e in zip(OBJECTIVES, of, strict=True)})
+
+
+def best_on_test(results: DataFrame) -> DataFrame:
+    """Each algorithm's configuration with the highest average precision."""
+    nth = F.row_number().over(Window.partitionBy("algorithm").orderBy(F.desc(F.round("average_precision", 6)), "seq"))
+    return results.withColumn("_n", nth).where("_n = 1").drop("_n")

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,39 +19,62 @@ def holm(df: DataFrame, p: str, group: Sequence[str] = (), ties: str = "comparis
     return df.withColumn("_step", step).withColumn("holm", F.least(F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(1.0))).drop("_step")
 
 
-def poisson_bootstrap_ap(long: DataFrame, strategies: Sequence[str], resamples: int = 200, seed: int = 7, id_col: str = "sample_row_id") -> DataFrame:
-    """iteration, strategy, average_precision of resampled rows; all strategies see the same resamples.
+def poisson_bootstrap(long: DataFrame, strategies: Sequence[str], resamples: int = 1000, seed: int = 7, rate: float = 0.2, id_col: str = "sample_row_id") -> DataFrame:
+    """iteration, strategy, average_precision and f1_at_rate of resampled rows; all strategies see the same resamples.
 
-    Each row enters each resample as often as a Poisson(1) draw from a hash of its id and the iteration says. This is the
-    bootstrap that needs no row to know of others: a resample differs from one of exactly n rows in its size only. Rows
-    are expanded by those resamples alone in which they occur, and average precision comes from sums per distinct score.
+    Each row enters each resample as often as a Poisson(1) draw from an MD5 hash of its id and the iteration says; one hash
+    gives four draws. This is the bootstrap that needs no row to know of others: a resample differs from one of exactly n
+    rows in its size only. Draws of 0 are dropped in the stage that makes them. Metrics come from sums per distinct
+    score; of rows with equal scores at the edge of the top, the share that fits is taken.
     """
-    # cumulative Poisson(1) probabilities; 12 and more have less than 1e-9
-    cumulative, term = [], math.exp(-1)
-    for k in range(12):
-        cumulative.append((cumulative[-1] if cumulative else 0.0) + term)
-        term /= k + 1
-    unit = (F.pmod(F.xxhash64(id_col, "iteration", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    times = sum(((F.col("u") >= c).cast("int") for c in cumulative[1:]), (F.col("u") >= cumulative[0]).cast("int"))
+    # cumulative Poisson(1) probabilities in 2^-32; 12 and more have less than 1e-9
+    cuts = poisson_cuts()
     rows = long.where(F.col("y").isNotNull() & F.col("strategy").isin(*strategies))
-    drawn = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("u", unit).withColumn("w", times).where("w > 0")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("four").cast("string")))
+    hashed = rows.withColumn("four", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1)))).withColumn("digest", digest)
+    drawn = hashed.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("iteration", F.col("four") * 4 + F.col("part")).where(F.col("iteration") < resamples)
+    u = F.conv(F.substring("digest", F.col("part") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    drawn = drawn.withColumn("u", u).withColumn("w", sum(((F.col("u") >= c).cast("int") for c in cuts[1:]), (F.col("u") >= cuts[0]).cast("int"))).where("w > 0")
     keys = ["iteration", "strategy"]
     at = drawn.groupBy(*keys, "score").agg(F.sum(F.col("w") * F.col("y")).alias("tp"), F.sum("w").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = at.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down))
-    return steps.groupBy(*keys).agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp")), F.lit(0.0)), 9).alias("average_precision"))
-
-
-def bootstrap_comparison(boot: DataFrame, reference: str, value: str = "average_precision") -> DataFrame:
-    """comparison, mean_difference, probability_better and raw p = 2 min(P, 1 - P) against the reference strategy. A
-    difference of zero counts as not better."""
-    base = boot.where(F.col("strategy") == reference).select("iteration", F.col(value).alias("base"))
-    gap = boot.where(F.col("strategy") != reference).join(base, "iteration").withColumn("d", F.col(value) - F.col("base"))
-    sums = gap.groupBy(F.col("strategy").alias("comparison")).agg(
-        F.round(F.avg("d"), 9).alias("mean_difference"), F.avg((F.col("d") > 0).cast("double")).alias("probability_better"),
-        F.round(F.percentile("d", 0.025), 9).alias("ci_low"), F.round(F.percentile("d", 0.975), 9).alias("ci_high"),
+    over = Window.partitionBy(*keys)
+    down = over.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = at.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down)).withColumn("k", F.ceil(F.sum("n").over(over) * F.lit(float(rate))))
+    inside = F.col("tp") * F.least(F.greatest(F.col("k") - (F.col("cn") - F.col("n")), F.lit(0)), F.col("n")) / F.col("n")
+    zero = lambda e: F.round(F.coalesce(e, F.lit(0.0)), 9)
+    return steps.groupBy(*keys).agg(
+        zero(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp"))).alias("average_precision"),
+        zero(F.try_divide(2 * F.sum(inside), F.max("k") + F.sum("tp"))).alias("f1_at_rate"),
     )
-    return sums.withColumn("raw_p", 2 * F.least("probability_better", 1 - F.col("probability_better")))
+
+
+def poisson_cuts() -> list[int]:
+    cumulative, term = [], math.exp(-1)
+    for k in range(12):
+        cumulative.append((cumulative[-1] if cumulative else 0.0) + term)
+        term /= k + 1
+    return [math.ceil(c * 2**32) for c in cumulative]
+
+
+def bootstrap_comparison(boot: DataFrame, observed: DataFrame, reference: str, metrics: Sequence[str] = ("average_precision", "f1_at_rate")) -> DataFrame:
+    """For each strategy and metric against the reference: observed and mean difference, bias-corrected interval, share of
+    resamples in which it is better (a difference of 0 isn't), the strategy that the mean favours, raw and Holm-adjusted
+    p = 2 min(P, 1 - P), and all seen from the reference's side. observed has a row per strategy with the metrics. The
+    differences, one for each resample, strategy and metric, come to the driver."""
+    seen = {r["strategy"]: r for r in observed.collect()}
+    base = boot.where(F.col("strategy") == reference).select("iteration", *[F.col(m).alias(f"_{m}") for m in metrics])
+    gaps = boot.where(F.col("strategy") != reference).join(base, "iteration").select("iteration", "strategy", *[(F.col(m) - F.col(f"_{m}")).alias(m) for m in metrics])
+    drawn: dict[tuple[str, str], list[float]] = {}
+    for r in gaps.orderBy("strategy", "iteration").collect():
+        for m in metrics:
+            drawn.setdefault((r["strategy"], m), []).append(r[m])
+    rows = []
+    for (strategy, m), d in drawn.items():
+        gap, mean, better = seen[strategy][m] - seen[reference][m], float(np.mean(d)), float(np.mean(np.array(d) > 0))
+        low, high = bca_interval(d, gap)
+        rows.append((f"{strategy}|{m}", strategy, m, gap, mean, low, high, better, strategy if mean > 0 else reference, 2 * min(better, 1 - better)))
+    schema = "comparison string, strategy string, metric string, observed_difference double, mean_difference double, ci_low double, ci_high double, probability_better double, favoured string, raw_p double"
+    return sign_flipped(holm(boot.sparkSession.createDataFrame(rows, schema), "raw_p"))
 
 
 def bca_interval(replicates: Sequence[float], observed: float, level: float = 0.95) -> tuple[float, float]:
@@ -86,28 +108,3 @@ def dirichlet_choices(front: DataFrame, base: Sequence[float], draws: int = 500,
     vectors = np.random.default_rng(seed).dirichlet(concentration * len(base) * np.asarray(base), draws)
     picked = choices_under(front, [(f"d{i:04d}", 0, 1.0, *v) for i, v in enumerate(vectors.tolist())])
     return picked.groupBy("seq").agg(F.count(F.lit(1)).alias("times"))
-
-
-def row_bootstrap(df: DataFrame, y: str, score: str, resamples: int, seed: int) -> DataFrame:
-    """Average precision of resamples of exactly n rows, for tables whose rows are few enough (10^6) to be sent to every
-    task; larger ones take poisson_bootstrap_ap."""
-    spark, limit = df.sparkSession, 1_000_000
-    rows = df.where(F.col(y).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(score).cast("double").alias("s")).limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows: use poisson_bootstrap_ap")
-    rows = rows.sort_values(["s", "y"], ascending=[False, True])
-    held = spark.sparkContext.broadcast((rows["y"].to_numpy(), rows["s"].to_numpy()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ys, ss = held.value
-        last = np.append(ss[1:] != ss[:-1], True)
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                w = np.bincount(np.random.default_rng([seed, int(i)]).integers(0, len(ys), len(ys)), minlength=len(ys))
-                ctp, cn = np.cumsum(w * ys)[last], np.cumsum(w)[last]
-                gained = np.diff(np.append(0.0, ctp))
-                out.append(float((gained * np.divide(ctp, cn, out=np.zeros_like(ctp), where=cn > 0)).sum() / max(ctp[-1], 1)))
-            yield pd.DataFrame({"iteration": batch["id"], "average_precision": out})
-
-    return spark.range(resamples).mapInPandas(run, "iteration long, average_precision double")

@@ -133,6 +133,33 @@ def seed_overlap(long: DataFrame, rates: Sequence[float], seed: str = "seed", id
     return pairs.groupBy("rate").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("overlap"), 9).alias("mean_overlap"))
 
 
+def queue_report(df: DataFrame, scores: Sequence[str], targets: Sequence[str], rate: float, id_col: str = "sample_row_id") -> DataFrame:
+    """For the queue that each score fills with its top rows: rows reviewed, the share and the Jaccard overlap with the first
+    score's queue, positives of each target that it catches (nulls count as none), rows with two or more, and all."""
+    long = df.select(id_col, *targets, F.explode(F.array(*[F.struct(F.lit(s).alias("queue"), F.round(s, 9).alias("score")) for s in scores])).alias("s")).select(id_col, *targets, "s.*")
+    limit = F.greatest(F.ceil(F.col("_rows") * F.lit(float(rate))), F.lit(1))
+    queued = stored(with_place(long, ["queue"], "score", id_col).where(F.col("_place") <= limit).drop("_place", "_rows", "score"), "queues")
+    first = queued.where(F.col("queue") == scores[0]).select(id_col, F.lit(1).alias("_in"))
+    hits = [F.coalesce(F.col(t).cast("int"), F.lit(0)) for t in targets]
+    total = sum(hits[1:], hits[0])
+    sums = queued.join(first, id_col, "left").groupBy("queue").agg(
+        F.count(F.lit(1)).alias("reviewed"), F.count("_in").alias("shared"), *[F.sum(h).alias(f"captured_{t}") for t, h in zip(targets, hits, strict=True)],
+        F.sum((total >= 2).cast("int")).alias("flagged_twice"), F.sum(total).alias("captured_all"),
+    )
+    base = F.broadcast(first.agg(F.count(F.lit(1)).alias("_base")))  # one row
+    return sums.crossJoin(base).select(
+        "queue", "reviewed", F.round(F.col("shared") / F.col("_base"), 9).alias("overlap"), F.round(F.col("shared") / (F.col("reviewed") + F.col("_base") - F.col("shared")), 9).alias("jaccard"),
+        *[f"captured_{t}" for t in targets], "flagged_twice", "captured_all",
+    )
+
+
+def run_summary(runs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean, sample deviation, least and most of each metric over runs (a row each)."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")
+    of = {"mean": F.avg("x"), "std": F.stddev_samp("x"), "min": F.min("x"), "max": F.max("x")}
+    return runs.select(each).select("r.*").groupBy("metric").agg(F.count("x").alias("runs"), *[F.round(e, 6).alias(n) for n, e in of.items()])
+
+
 def robustness(df: DataFrame, columns: Sequence[str], method: str, y: str, counts: Sequence[int] = (1, 2), id_col: str = "sample_row_id") -> DataFrame:
     """What a ranking of labelled rows with equal weights loses without each choice of so many criteria: dropped, average
     precision and its change, rank correlation and overlap of the top fifth with the whole ranking.

@@ -299,6 +299,19 @@ def target_encode_interaction(spark, sf_dir):
     return prepare.encoding_table(_train(spark, sf_dir), "pair", "y_proc_high")
 
 
+_ENCODED = ("procedure_type", "supply_type", "buyer_type", "buyer_country", "cpv_code", "cpv_group")
+_CROSSED = (("procedure_type", "supply_type"), ("buyer_type", "cpv_group"), ("cpv_code", "procedure_type"))
+_KEYED = "SELECT t.*, " + ", ".join(f"coalesce({a}, 'missing') || '||' || coalesce({b}, 'missing') AS {a}_x_{b}" for a, b in _CROSSED) + " FROM train t"
+
+
+@query(q.ask(" UNION ALL ".join(f"SELECT '{k}' AS feature, * FROM ({q.encoding('keyed', k)})" for k in (*_ENCODED, *[f"{a}_x_{b}" for a, b in _CROSSED])), f"train AS ({q.TRAIN})", f"keyed AS ({_KEYED})"))
+def target_encode_list(spark, sf_dir):
+    """Every category and every pair of them that is encoded."""
+    train = stored(_train(spark, sf_dir).withColumns({f"{a}_x_{b}": cl.interaction(a, b) for a, b in _CROSSED}), "encode-rows")
+    tables = [prepare.encoding_table(train, k, "y_proc_high").withColumn("feature", F.lit(k)) for k in (*_ENCODED, *[f"{a}_x_{b}" for a, b in _CROSSED])]
+    return reduce(lambda a, b: a.unionByName(b), tables)
+
+
 @query(q.ask(q.oof(), f"train AS ({q.TRAIN})"))
 def target_encode_oof(spark, sf_dir):
     return prepare.out_of_fold_table(_train(spark, sf_dir), "procedure_type", "y_proc_high", "fold")
@@ -486,6 +499,68 @@ def grid_method_summary(spark, sf_dir):
     return _grid(spark, sf_dir).groupBy("method").agg(*rounded, F.count(F.lit(1)).alias("configurations"))
 
 
+_PICK = f"SELECT * FROM perf ORDER BY {', '.join(f'round({c}, 6) DESC' for c in _SELECT)}, method, normalization, weighting LIMIT 1"
+_QUEUE = "row_number() OVER (PARTITION BY split ORDER BY score DESC, sample_row_id)"
+
+
+@query(q.ask(f"""SELECT split, sample_row_id, score, {_QUEUE} AS rank, {_QUEUE} <= greatest(ceil(count(*) OVER (PARTITION BY split) * rate), 1) AS selected_for_review FROM (
+    SELECT 'val' AS split, sample_row_id, score, primary_rate AS rate FROM every JOIN pick USING (normalization, weighting, method)
+    UNION ALL SELECT 'test', sample_row_id, score, primary_rate FROM every_t JOIN pick USING (normalization, weighting, method))""", *q.grid(), *q.on_test(), f"pick AS ({_PICK})"))
+def selected_ranking(spark, sf_dir):
+    """The configuration that validation rows select, with the weights that they give, on both splits."""
+    val, test = _val_and_test(spark, sf_dir)
+    scores, weights = grid_scores(val)
+    best = _rounded(grid_rows(scores), [*_PERF, "selection_score"], 6).orderBy(*[F.desc(c) for c in _SELECT], "method", "normalization", "weighting").first()
+    own = weights.where((F.col("normalization") == best["normalization"]) & (F.col("weighting") == best["weighting"]))
+    parts = []
+    for split, rows in (("val", val), ("test", test)):
+        made = ranking.scored(ranking.normalized(rows, val, [best["normalization"]]), own, ["normalization"], [best["method"]])
+        parts.append(ranking.ranked(made.select("sample_row_id", "score"), best["primary_rate"]).withColumn("split", F.lit(split)))
+    return parts[0].unionByName(parts[1]).select("split", "sample_row_id", "score", "rank", "selected_for_review")
+
+
+def _evaluated(spark, sf_dir, split: str):
+    """The archive's configurations, their scores on a split's rows, and their metrics there."""
+    val, test = _val_and_test(spark, sf_dir)
+    configs = stored(pareto.decoded(fx.configurations(spark, sf_dir, CRITERIA), CRITERIA), "configurations")
+    rows = stored(ranking.normalized(val if split == "val" else test, val).select("normalization", "sample_row_id", "y_cri_high", "y_any_risk", *CRITERIA), "archive-rows")
+    scores = stored(pareto.archive_scores(configs, rows, CRITERIA), "archive-scores")
+    return configs, scores, stored(pareto.evaluated(configs, scores, "y_cri_high", "y_any_risk"), "archive-results")
+
+
+_MEASURES = ("average_precision", "roc_auc", "f1", "precision", "recall", "ndcg", "f1_at_20pct", "precision_at_20pct", "recall_at_20pct", "ndcg_at_20pct", "any_f1")
+_RESULTS = f"""results AS (SELECT c.seq, algorithm, method, normalization, rate, round(criteria_share, 6) AS criteria_share, {', '.join(f'round("{m}", 6) AS "{m}"' for m in _MEASURES)} FROM (SELECT seq, algorithm, method, normalization, rate, criteria_share FROM conf) c
+  JOIN ({q.ap('SELECT * FROM labelled', 'seq')}) USING (seq) JOIN ({q.auc('SELECT * FROM labelled', 'seq')}) USING (seq)
+  JOIN (SELECT seq, "precision", recall, f1, ndcg FROM ({q.at_own('SELECT * FROM labelled', 'seq')})) USING (seq)
+  JOIN (SELECT seq, "precision" AS precision_at_20pct, recall AS recall_at_20pct, f1 AS f1_at_20pct, ndcg AS ndcg_at_20pct FROM ({q.table_at('SELECT * EXCLUDE (rate) FROM labelled', 'seq', [0.2])})) USING (seq)
+  JOIN (SELECT seq, f1 AS any_f1 FROM ({q.at_own('SELECT seq, rate, sample_row_id, CAST(y_any_risk AS INT) AS y, score FROM runs', 'seq')})) USING (seq))"""
+
+
+@query(q.ask("SELECT * FROM results", *q.configurations("test"), _RESULTS))
+def archive_on_test(spark, sf_dir):
+    return _rounded(_evaluated(spark, sf_dir, "test")[2], (*_MEASURES, "criteria_share"), 6)
+
+
+@query(q.ask("SELECT algorithm, seq, method, normalization, average_precision, f1 FROM results QUALIFY row_number() OVER (PARTITION BY algorithm ORDER BY average_precision DESC, seq) = 1", *q.configurations("test"), _RESULTS))
+def archive_best_on_test(spark, sf_dir):
+    best = pareto.best_on_test(_evaluated(spark, sf_dir, "test")[2])
+    return _rounded(best.select("algorithm", "seq", "method", "normalization", "average_precision", "f1"), ("average_precision", "f1"), 6)
+
+
+_AIMS = "aims AS (SELECT seq, rate, round(1 - average_precision, 6) AS o1, round(1 - ndcg, 6) AS o2, round(1 - f1, 6) AS o3, round(1 - any_f1, 6) AS o4, round(rate, 6) AS o5, criteria_share AS o6 FROM results)"
+_DOMINATED = f"EXISTS (SELECT 1 FROM aims b WHERE {' AND '.join(f'b.{o} <= a.{o}' for o in q.O)} AND ({' OR '.join(f'b.{o} < a.{o}' for o in q.O)}))"
+_NEAREST = "SELECT seq, rate FROM (SELECT seq, rate, " + q.norm_of(f"(({o} - min({o}) OVER ()) / (CASE WHEN max({o}) OVER () = min({o}) OVER () THEN 1 ELSE max({o}) OVER () - min({o}) OVER () END))" for o in q.O) + f" AS distance FROM aims a WHERE NOT {_DOMINATED}) ORDER BY distance, seq LIMIT 1"
+
+
+@query(q.ask(f"SELECT seq, sample_row_id, score, {_QUEUE.replace('PARTITION BY split ', '')} AS rank, {_QUEUE.replace('PARTITION BY split ', '')} <= greatest(ceil(count(*) OVER () * rate), 1) AS selected_for_review FROM (SELECT r.seq, r.rate, sample_row_id, score FROM runs r JOIN knee k ON r.seq = k.seq)", *q.configurations("val"), _RESULTS, _AIMS, f"knee AS ({_NEAREST})"))
+def pareto_selected_ranking(spark, sf_dir):
+    """The knee of the archive's front on validation rows, and the queue that it makes of them."""
+    _, scores, results = _evaluated(spark, sf_dir, "val")
+    knee = pareto.knee(pareto.front(pareto.objectives_of(results))).first()
+    own = scores.where(F.col("seq") == knee["seq"]).select("sample_row_id", "score")
+    return ranking.ranked(own, knee["rate"]).select(F.lit(knee["seq"]).alias("seq"), "sample_row_id", "score", "rank", "selected_for_review")
+
+
 # ---- validation
 
 
@@ -665,6 +740,17 @@ def capacity_band(spark, sf_dir):
     return _rounded(best, ("o1", "o4", "o5")).select("seq", "o1", "o4", "o5")
 
 
+_TOTAL = "(" + " + ".join(f"coalesce({y}, 0)" for y in q.Y) + ")"
+
+
+@query(q.ask(f"""SELECT queue, count(*) AS reviewed, round(count(b.id) / CAST(any_value(base) AS DOUBLE), 9) AS overlap, round(count(b.id) / CAST(count(*) + any_value(base) - count(b.id) AS DOUBLE), 9) AS jaccard,
+    {', '.join(f'CAST(sum(coalesce({y}, 0)) AS BIGINT) AS captured_{y}' for y in q.Y)}, CAST(sum(CAST({_TOTAL} >= 2 AS INT)) AS BIGINT) AS flagged_twice, CAST(sum({_TOTAL}) AS BIGINT) AS captured_all
+  FROM queued LEFT JOIN (SELECT sample_row_id AS id FROM queued WHERE queue = 'p_cri_high') b ON id = sample_row_id, (SELECT count(*) AS base FROM queued WHERE queue = 'p_cri_high') GROUP BY queue""",
+             *q.ON_LONG, "queued AS (" + " UNION ALL ".join(f"SELECT * FROM (SELECT '{s}' AS queue, sample_row_id, {', '.join(q.Y)}, row_number() OVER (ORDER BY round({s}, 9) DESC, sample_row_id) AS place, count(*) OVER () AS n FROM wide) WHERE place <= greatest(ceil(n * CAST(0.05 AS DOUBLE)), 1)" for s in ("p_cri_high", "topsis", "risk_consensus_mean")) + ")"))
+def multirisk_queues(spark, sf_dir):
+    return validation.queue_report(_wide(spark, sf_dir), ("p_cri_high", "topsis", "risk_consensus_mean"), fx.TARGETS, 0.05)
+
+
 @query("SELECT s_suppkey AS k, '{\"mask\":[0,2],\"method\":\"topsis\",\"normalization\":\"minmax\",\"rate\":' || CAST(round(s_nationkey / CAST(100 AS DOUBLE), 4) AS VARCHAR) || ',\"weights\":[0.25,0.75]}' AS signature FROM supplier")
 def decision_signature(spark, sf_dir):
     rate = F.col("s_nationkey") / 100
@@ -695,7 +781,7 @@ _SEEDS = " UNION ALL ".join(f"SELECT {s} AS seed, sample_row_id, round(topsis *
 
 def _seeds(spark, sf_dir):
     wide = _wide(spark, sf_dir)
-    one = lambda s: wide.select(F.lit(s).alias("seed"), "sample_row_id", F.round(F.col("topsis") * 0.9 + ((F.col("sample_row_id") * (31 + s) + s) % 97) / 970, 9).alias("score"))
+    one = lambda s: wide.select(F.lit(s).alias("seed"), "sample_row_id", F.col("y_cri_high").cast("int").alias("y"), F.round(F.col("topsis") * 0.9 + ((F.col("sample_row_id") * (31 + s) + s) % 97) / 970, 9).alias("score"))
     return reduce(lambda a, b: a.unionByName(b), [one(s) for s in range(1, 6)])
 
 
@@ -705,6 +791,15 @@ def seed_overlap(spark, sf_dir):
     return validation.seed_overlap(_seeds(spark, sf_dir), (0.01, 0.05, 0.1, 0.2))
 
 
+@query(q.ask(f"""SELECT metric, count(x) AS runs, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max FROM (
+    SELECT 'average_precision' AS metric, average_precision AS x FROM ({q.ap('SELECT * FROM runs', 'seed')}) UNION ALL SELECT unnest(['f1', 'ndcg']), unnest([f1, ndcg]) FROM ({q.table_at('SELECT * FROM runs', 'seed', [0.2])})) GROUP BY 1""",
+             *q.ON_LONG, f"seeds AS ({_SEEDS})", "runs AS (SELECT seed, sample_row_id, score, CAST(y_cri_high AS INT) AS y FROM seeds JOIN (SELECT sample_row_id, y_cri_high FROM wide) USING (sample_row_id))"))
+def seed_run_summary(spark, sf_dir):
+    runs = stored(_seeds(spark, sf_dir), "seeds")
+    at = metrics.threshold_table(runs, ["seed"], [0.2]).select("seed", "f1", "ndcg")
+    return validation.run_summary(metrics.average_precision(runs, ["seed"]).join(at, "seed"), ("average_precision", "f1", "ndcg"))
+
+
 @query("""WITH p AS (SELECT n_name AS comparison, ((n_nationkey * 37 + 5) % 101) / CAST(2000 AS DOUBLE) AS p FROM nation)
   SELECT comparison, p, round(least(max(step) OVER (ORDER BY p, comparison), 1), 9) AS holm FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, comparison) + 1) * p AS step FROM p)""")
 def holm_adjust(spark, sf_dir):
@@ -712,15 +807,29 @@ def holm_adjust(spark, sf_dir):
     return statistics.holm(p, "p").withColumn("holm", F.round("holm", 9))
 
 
-@query()
+_CUTS_SQL = " + ".join(f"CAST(u >= {c} AS INT)" for c in statistics.poisson_cuts())
+_DRAWN = f"""drawn AS (SELECT iteration, strategy, score, y, {_CUTS_SQL} AS w FROM (
+  SELECT l.*, four * 4 + part AS iteration, CAST('0x' || substr(md5('7|' || CAST(sample_row_id AS VARCHAR) || '|' || CAST(four AS VARCHAR)), CAST(part * 8 + 1 AS BIGINT), 8) AS BIGINT) AS u
+  FROM long l, (SELECT unnest(range(0, 250)) AS four), (SELECT unnest(range(0, 4)) AS part) WHERE target = 'y_cri_high' AND y IS NOT NULL) WHERE {_CUTS_SQL} > 0)"""
+
+
+def _resampled(spark, sf_dir):
+    long = stored(_long(spark, sf_dir).where("target = 'y_cri_high'"), "bootstrap-rows")
+    return long, stored(statistics.poisson_bootstrap(long, validation.STRATEGIES), "bootstrap")
+
+
+@query(q.ask("""SELECT iteration, strategy, round(round(coalesce(sum(tp * ctp / cn) / nullif(sum(tp), 0), 0), 9), 6) AS average_precision, round(round(coalesce(2 * sum(tp * least(greatest(k - (cn - n), 0), n) / n) / nullif(max(k) + sum(tp), 0), 0), 9), 6) AS f1_at_rate FROM (
+    SELECT *, sum(tp) OVER (PARTITION BY iteration, strategy ORDER BY score DESC) AS ctp, sum(n) OVER (PARTITION BY iteration, strategy ORDER BY score DESC) AS cn, ceil(sum(n) OVER (PARTITION BY iteration, strategy) * CAST(0.2 AS DOUBLE)) AS k FROM (
+      SELECT CAST(iteration AS INT) AS iteration, strategy, score, CAST(sum(w * y) AS DOUBLE) AS tp, CAST(sum(w) AS DOUBLE) AS n FROM drawn GROUP BY ALL)) GROUP BY 1, 2""", *q.ON_LONG, _DRAWN))
 def bootstrap_ap(spark, sf_dir):
-    long = _long(spark, sf_dir).where("target = 'y_cri_high'")
-    return statistics.poisson_bootstrap_ap(long, validation.STRATEGIES, resamples=20)
+    return _rounded(_resampled(spark, sf_dir)[1], ("average_precision", "f1_at_rate"), 6)
 
 
 @query()
 def bootstrap_comparison(spark, sf_dir):
-    return statistics.sign_flipped(statistics.bootstrap_comparison(bootstrap_ap(spark, sf_dir), "raw"))
+    long, boot = _resampled(spark, sf_dir)
+    at = metrics.threshold_table(long, ["strategy"], [0.2]).select("strategy", F.col("f1").alias("f1_at_rate"))
+    return statistics.bootstrap_comparison(boot, metrics.average_precision(long, ["strategy"]).join(at, "strategy"), "raw")
 
 
 _DROPS = [(n, gone) for n in (1, 2) for gone in combinations(range(len(CRITERIA)), n)]

@@ -122,6 +122,36 @@ def table_at(source: str, keys: str, rates) -> str:
                 (SELECT unnest([{', '.join(d(r) for r in rates)}]) AS rate)) GROUP BY {keys}, rate)"""
 
 
+def at_own(source: str, keys: str) -> str:
+    """A query: keys, precision, recall, f1, ndcg at the rate that the source's rows have in a column."""
+    table = table_at(source, keys, [0.5])
+    cross = f",\n                (SELECT unnest([{d(0.5)}]) AS rate)"
+    assert cross in table
+    return table.replace(cross, "")
+
+
+def on_test() -> tuple[str, ...]:
+    """CTEs norm_t and every_t: what norm and every of grid() are, for test rows."""
+    norm = normalized("SELECT * FROM crit WHERE split = 'test'").split(", norm AS (", 1)[1]
+    wide = f"wide_t AS (SELECT n.*, weighting, {', '.join(f'w.{c} AS w_{c}' for c in C)} FROM norm_t n JOIN weights w USING (normalization))"
+    every = " UNION ALL ".join(f"SELECT normalization, weighting, '{m}' AS method, sample_row_id, score FROM ({scored(m, 'SELECT * FROM wide_t', KEYS)})" for m in ("topsis", "vikor", "edas", "cocoso", "waspas"))
+    return (f"norm_t AS ({norm}", wide, f"every_t AS ({every})")
+
+
+def configurations(split: str) -> tuple[str, ...]:
+    """CTEs conf (decoded configurations) and runs (their scores on a split's rows), after normalized() of those rows."""
+    k, methods, norms = "n_nationkey", "['topsis', 'vikor', 'edas', 'cocoso', 'waspas']", "['minmax', 'vector', 'sum', 'robust']"
+    taken = [f"CASE WHEN ({k} * 7 + {i} * 5) % 9 < {k} % 7 + 3 THEN {d(f'({k} * ({i} + 3) + {i}) % 11 + 1')} ELSE 0 END" for i in range(len(C))]
+    total = "(" + " + ".join(taken) + ")"
+    conf = f"""conf AS (SELECT CAST({k} AS BIGINT) AS seq, CAST({k} % 5 AS INT) AS algorithm, {methods}[CAST({k} % 5 + 1 AS INT)] AS method, {norms}[CAST(({k} // 5) % 4 + 1 AS INT)] AS normalization,
+      {d(f'{k} % 8 + 2')} / 100 AS rate, {d(' + '.join(f'CAST(({k} * 7 + {i} * 5) % 9 < {k} % 7 + 3 AS INT)' for i in range(len(C))))} / {len(C)} AS criteria_share,
+      {', '.join(f'{t} / {total} AS w_{c}' for t, c in zip(taken, C, strict=True))} FROM nation)"""
+    rows = f"SELECT n.*, seq, rate, {', '.join(f'c.w_{c} AS w_{c}' for c in C)} FROM norm n JOIN conf c USING (normalization) WHERE c.method = "
+    every = [scored(m, f"{rows}'{m}'", "seq") for m in ("topsis", "vikor", "edas", "cocoso", "waspas")]
+    runs = " UNION ALL ".join(f"SELECT seq, rate, sample_row_id, y_cri_high, y_any_risk, score FROM ({s})" for s in every)
+    return (normalized(f"SELECT * FROM crit WHERE split = '{split}'"), conf, f"runs AS ({runs})", "labelled AS (SELECT seq, rate, sample_row_id, CAST(y_cri_high AS INT) AS y, score FROM runs)")
+
+
 def best_at(source: str, keys: str, rates) -> str:
     return f"""SELECT * EXCLUDE (z) FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY f1 DESC, ndcg DESC, "precision" DESC, rate) AS z FROM ({table_at(source, keys, rates)})) WHERE z = 1"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +141,15 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CAST(0.01 AS DOUBLE) + CAST(0.19 AS DOUBLE) * nk / 24").alias("o5"),
         F.expr("CAST(3 + k % 7 AS DOUBLE) / 9").alias("o6"),
     )
+
+
+def configurations(spark: SparkSession, sf_dir: str, criteria: Sequence[str]) -> DataFrame:
+    """A deterministic archive of configurations, one a nation: a method, a normalisation, a review rate, and which criteria
+    take part with what weight."""
+    k = F.col("n_nationkey")
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (at + 1).cast("int"))
+    columns = [k.cast("long").alias("seq"), (k % 5).cast("int").alias("algorithm"), pick(("topsis", "vikor", "edas", "cocoso", "waspas"), k % 5).alias("method")]
+    columns += [pick(("minmax", "vector", "sum", "robust"), F.floor(k / 5) % 4).alias("normalization"), ((k % 8 + 2) / 100).alias("rate")]
+    for i, c in enumerate(criteria):
+        columns += [((k * 7 + i * 5) % 9 < k % 7 + 3).alias(f"sel_{c}"), ((k * (i + 3) + i) % 11 + 1).cast("double").alias(f"weight_{c}")]
+    return table(spark, sf_dir, "nation").select(*columns)

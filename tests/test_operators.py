@@ -101,7 +101,7 @@ def test_bootstrap_is_seeded_and_near_the_whole(spark):
     s = rng.random(400).round(6)
     long = _long(spark, s.tolist(), (rng.random(400) < s).astype(int).tolist()).withColumn("strategy", F.lit("raw"))
     ap = metrics.average_precision(long, ["k"]).first()["average_precision"]
-    runs = [sorted(r["average_precision"] for r in statistics.poisson_bootstrap_ap(long, ["raw"], 12).collect()) for _ in range(2)]
+    runs = [sorted(r["average_precision"] for r in statistics.poisson_bootstrap(long, ["raw"], 12).collect()) for _ in range(2)]
     assert runs[0] == runs[1] and abs(np.mean(runs[0]) - ap) < 0.05
 
 
