@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import evolve, metrics, ordering, pareto, ranking, statistics, validation
+from sieveline.functions import cleaning
+from sieveline.operators import evolve, learn, metrics, ordering, pareto, ranking, statistics, validation
 from sieveline.operators.ordering import with_place
 from sieveline.sources import readers, writers
 
@@ -152,3 +153,67 @@ def test_search_returns_an_archive_with_the_size_asked_for(spark):
     x, df = _rows(spark, 60)
     assert len(evolve.decode(np.linspace(0, 1, evolve.GENES))[0]) == len(evolve.CRITERIA)
     assert evolve.decode(np.zeros(evolve.GENES))[0].sum() == pytest.approx(1)
+
+
+def test_objectives_of_a_search_equal_the_metrics(spark):
+    rng = np.random.default_rng(9)
+    s, y, a = rng.random(50).round(6), rng.integers(0, 2, 50).astype(float), rng.integers(0, 2, 50).astype(float)
+    y[:5] = np.nan
+    got = evolve.objectives(s, y, a, 0.1, 4)
+    long = _long(spark, s.tolist(), [None if math.isnan(v) else int(v) for v in y]).withColumn("rate", F.lit(0.1))
+    own = metrics.at_own_rate(long, ["k"], "rate").first()
+    other = metrics.at_own_rate(_long(spark, s.tolist(), a.astype(int).tolist()).withColumn("rate", F.lit(0.1)), ["k"], "rate").first()
+    ap = metrics.average_precision(long, ["k"]).first()["average_precision"]
+    assert got == pytest.approx([1 - ap, 1 - own["ndcg"], 1 - own["f1"], 1 - other["f1"], 0.1, 4 / len(evolve.CRITERIA)], abs=1e-8)
+
+
+def test_decoded_configurations_keep_what_takes_part(spark):
+    rows = [(1, True, False, True, 2.0, 5.0, 6.0), (2, False, False, False, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "seq long, " + ", ".join(f"sel_{c} boolean" for c in COLUMNS) + ", " + ", ".join(f"weight_{c} double" for c in COLUMNS))
+    got = {r["seq"]: r for r in pareto.decoded(df, COLUMNS).collect()}
+    assert (got[1]["a"], got[1]["b"], got[1]["c"], got[1]["criteria_share"]) == pytest.approx((0.25, 0.0, 0.75, 2 / 3))
+    assert (got[2]["a"], got[2]["b"], got[2]["c"]) == (0.0, 0.0, 0.0)
+
+
+def test_hypervolume_of_a_box():
+    assert evolve.hypervolume(np.array([[0.55, 0.0], [1.0, 0.0]]), 1.1, 40_000) == pytest.approx(0.5, abs=0.01)
+    assert evolve.hypervolume(np.array([[0.0, 0.0]]), 1.0, 1000) == 1.0
+
+
+def test_dirichlet_draws_choose_solutions(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, *map(float, rng.random(6))) for i in range(12)], "seq long, " + ", ".join(f"{o} double" for o in pareto.OBJECTIVES))
+    rows = statistics.dirichlet_choices(df, pareto.TARGET_WEIGHTS, draws=60).collect()
+    assert sum(r["times"] for r in rows) == 60 and {r["seq"] for r in rows} <= set(range(12))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, statistics.dirichlet_choices(df, pareto.TARGET_WEIGHTS, draws=60).collect()))
+
+
+def test_small_expressions(spark):
+    row = spark.createDataFrame([(0.0, "a_b  c_d")], "x double, t string").select(cleaning.sigmoid("x").alias("s"), cleaning.caption("t").alias("c")).first()
+    assert row["s"] == 0.5 and row["c"] == "a b c d"
+
+
+def test_importance_and_spread(spark):
+    class Trees:
+        class featureImportances:  # noqa: N801
+            @staticmethod
+            def toArray():  # noqa: N802
+                return np.array([1.0, 3.0, 0.0])
+
+    rows = learn.importance(Trees, ["a", "b", "c"], spark, 2).collect()
+    assert [(r["feature"], r["importance"]) for r in rows] == [("b", 0.75), ("a", 0.25)]
+    grid = spark.createDataFrame([(0.1,), (0.2,), (0.4,)], "val_ap double")
+    assert learn.grid_spread(grid).first().asDict() == {"configurations": 3, "best": 0.4, "median": 0.2, "range": 0.3, "iqr": 0.15}
+
+
+def test_writers_and_sizes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
+    writers.write_table(df, f"{tmp_path}/t")
+    writers.write_table(df.where("a = 1"), f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+    assert [r["size_mb"] for r in readers.sizes_mb(spark, f"{tmp_path}/t").where("file LIKE 'part-%'").collect()] == [0.0]
+    writers.write_csv(df, f"{tmp_path}/c")
+    assert sorted(map(tuple, readers.csv_typed(spark, f"{tmp_path}/c", "a int, b string").collect())) == [(1, "x"), (2, "y")]
+    writers.write_report(df, f"{tmp_path}/r")
+    writers.write_summary(spark, {"rows": 2}, f"{tmp_path}/s")
+    assert "rows" in writers.text_report("Title", {"rows": 2}) and spark.read.text(f"{tmp_path}/s").count() > 0
