@@ -228,6 +228,18 @@ def _in_gray_order(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def _cut(bounds: np.ndarray):
+    """Every fingerprint with the number of its cell: how many of the bounds (Gray ranks, as _in_gray_order has them) lie
+    below its rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = (gray_rank(batch.column(0).to_numpy().view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, rank).astype(np.int32)), batch.column(0)], ["cell", "fp"])
+
+    return run
+
+
 def fingerprint_links(fps: DataFrame, max_bits: int = 3, per_cell: int = _CELL) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints of fps (fp long) that differ in max_bits bits or fewer,
     directly or through others.
@@ -240,10 +252,12 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, per_cell: int = _CELL)
     what others have joined are left out, so a dense cloud costs a link for each fingerprint and not for each pair.
     """
     once = stored(fps.select("fp").distinct(), "simhash-distinct")
-    n = once.count()
-    cells = min(_MOST_CELLS, max(1, -(-n // per_cell)))
-    dealt = once.repartitionByRange(cells, _in_gray_order(F.col("fp"))).select(F.spark_partition_id().alias("cell"), "fp")
-    dealt = stored(dealt, "simhash-cells")
+    cells = min(_MOST_CELLS, max(1, -(-once.count() // per_cell)))
+    bounds = np.zeros(0, np.int64)
+    if cells > 1:  # a sketch's error moves a bound by a part of a cell
+        at = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+        bounds = np.unique(np.array(once.agg(F.percentile_approx(_in_gray_order(F.col("fp")), at, F.lit(max(10_000, 8 * cells)))).first()[0], np.int64))
+    dealt = stored(once.mapInArrow(_cut(bounds), "cell int, fp long"), "simhash-cells")
     shared = dealt.groupBy("cell").agg(F.expr("bit_and(fp)").alias("both"), F.expr("bit_or(fp)").alias("any")).orderBy("cell").toArrow()
     number = shared["cell"].to_numpy()
     both, any_ = np.zeros(int(number.max(initial=-1)) + 1, np.uint64), np.full(int(number.max(initial=-1)) + 1, _ONES)
