@@ -871,10 +871,16 @@ def model_predictions(spark, sf_dir):
     return learn.predicted(models["logistic"], test, "p_proc_high").select("lot_id", "y_proc_high", "p_proc_high")
 
 
-@query()
+@query(q.ask("SELECT c.sample_row_id, c.y_proc_high AS y, round(c.p_proc_high, 9) AS raw, round(f.value, 6) AS calibrated FROM crit c JOIN fitted f ON f.x = c.p_proc_high WHERE split = 'val' AND y_proc_high IS NOT NULL",
+             "points AS (SELECT p_proc_high AS x, CAST(sum(y_proc_high) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM crit WHERE split = 'val' AND y_proc_high IS NOT NULL GROUP BY 1)",
+             "placed AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(n) OVER (ORDER BY x) AS cn FROM points)",
+             # the fit at a point: of all runs that begin at it or before, the highest of the lowest means of those that end at it or later
+             "means AS (SELECT j.i AS j, k.i AS i, (k.cs - j.cs + j.s) / (k.cn - j.cn + j.n) AS mean FROM placed j JOIN placed k ON k.i >= j.i)",
+             "lowest AS (SELECT i, min(mean) OVER (PARTITION BY j ORDER BY i DESC) AS low FROM means)",
+             "fitted AS (SELECT x, max(low) AS value FROM lowest JOIN placed USING (i) GROUP BY x)"))
 def isotonic_calibration(spark, sf_dir):
     long = criteria_rows(spark, sf_dir, "val").where(F.col("y_proc_high").isNotNull()).select("sample_row_id", F.col("y_proc_high").alias("y"), F.col("p_proc_high").alias("raw"))
-    return learn.calibrated(learn.isotonic(long, "y", "raw"), long, "raw", "calibrated").select("sample_row_id", "y", "raw", "calibrated")
+    return learn.calibrated(learn.isotonic(long, "y", "raw"), long, "raw", "calibrated").select("sample_row_id", "y", F.round("raw", 9).alias("raw"), F.round("calibrated", 6).alias("calibrated"))
 
 
 @query()

@@ -217,3 +217,29 @@ def test_writers_and_sizes(spark, tmp_path):
     writers.write_report(df, f"{tmp_path}/r")
     writers.write_summary(spark, {"rows": 2}, f"{tmp_path}/s")
     assert "rows" in writers.text_report("Title", {"rows": 2}) and spark.read.text(f"{tmp_path}/s").count() > 0
+
+
+def test_pca_shares_equal_eigenvalues(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(80, 3)) @ np.array([[1.0, 0.5, 0.0], [0.0, 2.0, 0.3], [0.0, 0.0, 0.1]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    rows = sorted(map(tuple, learn.pca_shares(df, COLUMNS).collect()))
+    want = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1] / 3
+    assert [r[1] for r in rows] == pytest.approx(want, abs=1e-8) and rows[-1][2] == pytest.approx(1)
+
+
+def test_a_candidate_that_fails_is_a_row(spark, monkeypatch):
+    def broken(y):
+        raise ValueError("no such model")
+
+    monkeypatch.setitem(learn.CANDIDATES, "broken", broken)
+    rng = np.random.default_rng(12)
+    rows = [(i, int(x + rng.normal() * 0.5 > 0), float(x), "k" if x > 0 else None) for i, x in enumerate(rng.normal(size=120))]
+    df = spark.createDataFrame(rows, "lot_id long, y int, x double, c string")
+    train, val = learn.prepared(df.where("lot_id < 80"), [df.where("lot_id >= 80")], ["x"], ["c"])
+    table, models = learn.candidate_metrics(train, val, "y", ["broken", "logistic"])
+    got = {r["model"]: r for r in table.collect()}
+    assert got["broken"]["error"] == "no such model" and got["broken"]["cal_ap"] is None and models.keys() == {"logistic"}
+    assert got["logistic"]["error"] is None and got["logistic"]["raw_auc"] > 0.8 and table.first()["model"] == "logistic"
+    scores = learn.predicted(models["logistic"], val, "p").select("p").collect()
+    assert len(scores) == 40 and all(0 <= r["p"] <= 1 for r in scores)
