@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from sieveline.llm import decontaminate, quality, queries, tokens, toxicity
+from sieveline.llm import decontaminate, neighbours, quality, queries, tokens, toxicity
 from tests.llm.fixtures import SF, rows_of
 from tests.oracle import same, tables
 
@@ -210,8 +210,9 @@ def test_shards_cut_few_edges(spark):
     assert dealt > 50 and cut({r["doc_id"]: r["shard"] for r in rows}) <= 0.05 * dealt
 
 
-def test_neighbours_against_brute_force(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("sf", "most"), [("/root/testdata/sf0.01", 1.0), ("/root/testdata/sf0.1", 0.6)])
+def test_neighbours_against_brute_force(spark, sf, most):
+    """Recall, exact order and scores, and the share of rows that a query is compared with."""
     data = rows_of("embeddings", sf)
     ids, x = np.array([d["vec_id"] for d in data]), np.array([d["embedding"] for d in data], float)
     got = defaultdict(list)
@@ -229,6 +230,11 @@ def test_neighbours_against_brute_force(spark):
         assert [(s, v) for _, v, s in hits] == sorted((s, v) for _, v, s in hits)
         assert all(s == pytest.approx(d[at[v]], rel=1e-12, abs=1e-12) for _, v, s in hits)
     assert found / (10 * len(got)) >= 0.9
+    base = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    known = {64: neighbours.Hashes(64, 8, 2, 42)}
+    reach = neighbours.measured_reach(base, base.where("vec_id % 100 = 0"), known, 10, 0.95, 64, 42)[64]
+    share = np.mean([(known[64].reach(np.repeat(x[at[q]][None], len(x), axis=0), x) <= reach).mean() for q in got])
+    assert 0.05 < share <= most
 
 
 def brute_leaks(docs, items):
