@@ -183,13 +183,13 @@ class Linear:
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    divisor: int = 3, left: int = 1, most: int = 20_000, chosen: int = 2500, patterns: int = 256, support: int = 3,
+    divisor: int = 3, left: int = 1, most: int = 20_000, chosen: int = 2500, patterns: int = 256, support: int = 3, purity: float = 0.6,
 ) -> Linear:
     """The classifier, from at most `most` labelled documents that aren't held out.
 
     Words' beginnings, ends and whole words are counted by label in Spark; the `chosen` features that tell the classes apart
     best (by likelihood ratio) become the classifier's. Voters are groups of the lexicon's words, and groups of the first
-    `patterns` features that are commoner in toxic texts, dealt in turn: one votes toxic on a text with any of its group,
+    `patterns` features of which `purity` of the texts that have them are labelled toxic, dealt in turn: one votes toxic on a text with any of its group,
     clean on one with none, and abstains on a short text with none. Labels choose patterns and give the share of toxic
     texts; the label model is fitted to votes alone. What comes to the driver is bounded: most rows, each with some of the
     chosen features, in Arrow arrays.
@@ -213,12 +213,11 @@ def fit_toxicity(
         .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((both >= support) & (both <= 0.5 * (toxic + clean) + support))
         .withColumn("gain", F.round(gain(F.col("toxic"), toxic) + gain(F.col("clean"), clean), 6))
-        .withColumn("more", F.col("toxic") / toxic > F.col("clean") / clean)
     )
     top = counted.orderBy(F.desc("gain"), "feature").limit(chosen).collect()
     names = sorted({r["feature"] for r in top} | {f"={w}" for w in LEXICON})
     place = {f: i for i, f in enumerate(names)}
-    pattern = [place[r["feature"]] for r in top if r["more"]][:patterns]
+    pattern = [place[r["feature"]] for r in top if r["toxic"] >= purity * (r["toxic"] + r["clean"])][:patterns]
     word = [place[f"={w}"] for w in LEXICON]
     groups = [word[i::_LEXICON_VOTERS] for i in range(_LEXICON_VOTERS)] + [pattern[i::_PATTERN_VOTERS] for i in range(min(_PATTERN_VOTERS, len(pattern)))]
     texts = train.select(F.col("id").cast("string").alias("id"), "text")
