@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.sources.shared import stored
+
 
 def target_balance(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """target, labelled, positives, negatives, positive_rate."""
@@ -49,15 +51,20 @@ def stratified_sample(df: DataFrame, target: str, cap: int, order: Column, id_co
     limit = F.least(F.col("_n"), F.greatest(F.round(F.lit(float(cap)) * share), F.lit(1)).cast("long")) if cap > 0 else F.col("_n")
     limits = sizes.select("split", "stratum", limit.alias("_limit"))
     nth = F.row_number().over(Window.partitionBy("split", "stratum").orderBy(order, id_col))
-    return strata.withColumn("_nth", nth).join(F.broadcast(limits), ["split", "stratum"]).where("_nth <= _limit").drop("_nth", "_limit")  # nine rows
+    placed = strata.withColumn("_nth", nth)
+    if cap > 0:  # no stratum gives more than cap, so tasks keep so many of each before any shuffle
+        placed = placed.where(F.col("_nth") <= cap)
+    return placed.join(F.broadcast(limits), ["split", "stratum"]).where("_nth <= _limit").drop("_nth", "_limit")  # nine rows
 
 
 def numbered(df: DataFrame, id_col: str, out: str = "sample_row_id") -> DataFrame:
-    """df with 0, 1, ... by split, then id: by split's offset and place within it."""
-    sizes = df.groupBy("split").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("split").orderBy(id_col))
-    return df.withColumn("_nth", nth).join(F.broadcast(sizes.select("split", before.alias("_before"))), "split").withColumn(out, F.col("_before") + F.col("_nth") - 1).drop("_nth", "_before")
+    """df with 0, 1, ... by split, then id. Rows are sorted over the cluster; each range is numbered by itself and shifted by
+    the sizes of those before it, a row for each range."""
+    dealt = stored(df.repartitionByRange("split", id_col).withColumn("_part", F.spark_partition_id()), "numbered")
+    earlier = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("split", id_col))
+    return dealt.withColumn("_nth", nth).join(F.broadcast(sizes), "_part").withColumn(out, F.col("_before") + F.col("_nth") - 1).drop("_part", "_nth", "_before")
 
 
 def _encoding(n: Column, mean: Column, variance: Column, all_mean: Column, all_variance: Column) -> Column:
