@@ -31,10 +31,12 @@ def poisson_bootstrap(long: DataFrame, strategies: Sequence[str], resamples: int
     cuts = poisson_cuts()
     rows = long.where(F.col("y").isNotNull() & F.col("strategy").isin(*strategies))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("four").cast("string")))
-    hashed = rows.withColumn("four", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1)))).withColumn("digest", digest)
+    each = rows.groupBy(id_col).agg(F.collect_list(F.struct("strategy", "score", "y")).alias("each"))  # a row per strategy
+    hashed = each.withColumn("four", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1)))).withColumn("digest", digest)
     drawn = hashed.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("iteration", F.col("four") * 4 + F.col("part")).where(F.col("iteration") < resamples)
     u = F.conv(F.substring("digest", F.col("part") * 8 + 1, F.lit(8)), 16, 10).cast("long")
     drawn = drawn.withColumn("u", u).withColumn("w", sum(((F.col("u") >= c).cast("int") for c in cuts[1:]), (F.col("u") >= cuts[0]).cast("int"))).where("w > 0")
+    drawn = drawn.select("iteration", "w", F.inline("each"))
     keys = ["iteration", "strategy"]
     at = drawn.groupBy(*keys, "score").agg(F.sum(F.col("w") * F.col("y")).alias("tp"), F.sum("w").alias("n"))
     over = Window.partitionBy(*keys)

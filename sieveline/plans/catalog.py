@@ -904,4 +904,4 @@ def hyper_parameter_grid(spark, sf_dir):
 @query()
 def nsga2_archive(spark, sf_dir):
     val = criteria_rows(spark, sf_dir, "val")
-    return evolve.nsga2(ranking.normalized(val, val), population=16, generations=3)
+    return evolve.nsga2(ranking.normalized(val, val), population=100, generations=20)
