@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, lines, mixing, neighbours, quality, sharding, simhash, tokens, toxicity, warc
+from sieveline.llm import codebooks, decontaminate, lines, mixing, neighbours, quality, sharding, simhash, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.code_table(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 _OP3 = r"""
@@ -156,4 +161,36 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN k = 1 THEN 'response' E
 FROM numbered
 """
 
-ORACLES = {"op3_mix_sources": _OP3, "op5_warc_revisit": _OP5, "op8_line_dedup": _OP8}
+_NEAREST = """
+  SELECT r, p, CAST(min(d) AS BIGINT) AS d, CAST(arg_min(e, d * 64 + e) AS BIGINT) AS e
+  FROM (SELECT x.r, x.p, c.e, list_sum(list_transform(range(1, len(x.x) + 1), lambda i: (x.x[i] - c.x[i]) * (x.x[i] - c.x[i]))) AS d
+        FROM parts x JOIN {book} c USING (p)) GROUP BY ALL"""
+
+# the floor of sum / count: DuckDB's integer division cuts towards zero
+_MOVED = """
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+      SELECT p, e, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT x.p, a.e, unnest(x.x) AS v, unnest(range(len(x.x))) AS i FROM parts x JOIN {assigned} a USING (r, p)) GROUP BY ALL)
+    GROUP BY ALL) m USING (p, e)"""
+
+_OP11 = f"""
+WITH ints AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r FROM ints),
+parts AS MATERIALIZED (
+  SELECT r, p, v[CAST(p * (len(v) // 16) + 1 AS BIGINT) : CAST((p + 1) * (len(v) // 16) AS BIGINT)] AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+book0 AS MATERIALIZED (SELECT p, r AS e, x FROM parts WHERE r < 64),
+assigned0 AS MATERIALIZED ({_NEAREST.format(book="book0")}),
+book1 AS MATERIALIZED ({_MOVED.format(book="book0", assigned="assigned0")}),
+assigned1 AS MATERIALIZED ({_NEAREST.format(book="book1")}),
+book2 AS MATERIALIZED ({_MOVED.format(book="book1", assigned="assigned1")}),
+assigned2 AS MATERIALIZED ({_NEAREST.format(book="book2")}),
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM assigned2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+ORACLES = {"op3_mix_sources": _OP3, "op5_warc_revisit": _OP5, "op8_line_dedup": _OP8, "op11_vector_codes": _OP11}
