@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import codebooks, decontaminate, lines, mixing, neighbours, quality, sharding, simhash, tokens, toxicity, warc
+from sieveline.llm import alignment, codebooks, decontaminate, lines, mixing, neighbours, quality, sharding, simhash, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.code_table(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "op11_vector_codes": op11_vector_codes,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _OP3 = r"""
