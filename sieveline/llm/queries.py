@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import alignment, codebooks, decontaminate, lines, mixing, neighbours, quality, sharding, simhash, tokens, toxicity, warc
+from sieveline.llm import alignment, codebooks, decontaminate, language_model, lines, mixing, neighbours, quality, sharding, simhash, tokens, toxicity, warc
+from sieveline.llm.labels import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.code_table(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"), away=held_out("doc_id", 7, 2), order=2)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "op11_vector_codes": op11_vector_codes,
+    "op12_language_model": op12_language_model,
     "op13_token_alignment": op13_token_alignment,
 }
 
