@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.ordering import running, with_place
+from sieveline.operators.ordering import mid_ranked, running, with_place
 
 RATES = (0.01, 0.03, 0.05, 0.10, 0.15, 0.20)
 
@@ -134,10 +134,10 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return at.select(*keys, column, (F.col("c__n") - (F.col("_n") - 1) / 2).alias("mid_rank"))
 
 
-def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Correlation of mid-ranks; null if either is constant."""
-    with_ranks = df.join(mid_ranks(df, keys, a).withColumnRenamed("mid_rank", "_ra"), [*keys, a]).join(mid_ranks(df, keys, b).withColumnRenamed("mid_rank", "_rb"), [*keys, b])
-    sums = with_ranks.groupBy(*keys).agg(F.covar_pop("_ra", "_rb").alias("c"), F.stddev_pop("_ra").alias("sa"), F.stddev_pop("_rb").alias("sb"))
+def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, id_col: str = "sample_row_id") -> DataFrame:
+    """Correlation of mid-ranks; null if either is constant. Rows with a null in either take no part."""
+    ranks = mid_ranked(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b], id_col, keys)
+    sums = ranks.groupBy(*keys).agg(F.covar_pop(a, b).alias("c"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"))
     return sums.select(*keys, F.round(F.try_divide(F.col("c"), F.col("sa") * F.col("sb")), 9).alias("spearman"))
 
 

@@ -71,7 +71,7 @@ def reproduction(written: DataFrame, reference: DataFrame, rows: DataFrame, id_c
     both = written.select(id_col, F.col("score").alias("s1")).join(anew.select(id_col, F.col("score").alias("s2")), id_col).withColumn("k", F.lit(1))
     both = stored(both, "reproduction")
     gap = both.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("s1") - F.col("s2"))), 8).alias("max_difference"))
-    return gap.join(spearman(both, ["k"], "s1", "s2"), "k").drop("k")
+    return gap.join(spearman(both, ["k"], "s1", "s2", id_col), "k").drop("k")
 
 
 def cells_within(printed: DataFrame, artifact: DataFrame, tolerance: float = 0.051) -> DataFrame:
@@ -175,7 +175,7 @@ def robustness(df: DataFrame, columns: Sequence[str], method: str, y: str, count
     whole = ap.where("dropped = ''").select(F.col("average_precision").alias("full_ap"))
     base = scores.where("dropped = ''").select(id_col, F.col("score").alias("full"))
     both = stored(scores.where("dropped <> ''").join(base, id_col), "robustness-pairs")
-    merged = ap.join(spearman(both, ["dropped"], "score", "full"), "dropped").join(top_jaccard(both, ["dropped"], "score", "full", 0.2, id_col), "dropped")
+    merged = ap.join(spearman(both, ["dropped"], "score", "full", id_col), "dropped").join(top_jaccard(both, ["dropped"], "score", "full", 0.2, id_col), "dropped")
     count = F.size(F.split("dropped", r"\+")).alias("dropped_count")
     return merged.crossJoin(F.broadcast(whole)).select("dropped", count, "average_precision", (F.col("average_precision") - F.col("full_ap")).alias("ap_change"), "spearman", "jaccard")  # one row
 

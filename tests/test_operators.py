@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,72 @@ def test_percentiles_equal_numpy(spark):
             assert got[c] == pytest.approx(np.quantile(x[:, j], shares), rel=1e-12)
 
 
+def test_percentiles_end_on_any_distribution(spark, monkeypatch):
+    """A million log-normal values over 300 decades, both infinities, NaN, ties, constants and two values only: a sketch and a
+    counting pass, and one pass more where brackets are large."""
+    rng = np.random.default_rng(9)
+    n = 1_000_000
+    x = {"wide": np.exp(rng.normal(0, 110, n).clip(-340, 340)), "ends": rng.normal(size=n), "same": np.full(n, -3.0), "ties": np.where(rng.random(n) < 0.7, 0.0, rng.random(n)), "two": (rng.random(n) < 0.5) * 1e300}
+    x["ends"][:1000], x["ends"][1000:3000], x["ends"][3000:9000] = np.inf, -np.inf, np.nan
+    assert np.log10(x["wide"].max() / x["wide"].min()) > 290
+    df = spark.createDataFrame(pd.DataFrame(x)).repartition(4).persist()
+    shares = (0.0, 0.001, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
+    passes = []
+    for f in ("_counted", "_narrowed"):
+        monkeypatch.setattr(ordering, f, lambda *a, f=getattr(ordering, f), n=f: (passes.append(n), f(*a))[1])
+    for few, most in ((200_000, 1), (2_000, 2)):
+        passes.clear()
+        got = ordering.percentiles(df, [*x], shares, few=few)
+        assert len(passes) <= most, passes
+        for c, v in x.items():
+            own = np.sort(v[~np.isnan(v)])
+            at = [p * (len(own) - 1) for p in shares]
+            want = [a if (a := own[int(np.floor(i))]) == (b := own[int(np.ceil(i))]) else (np.ceil(i) - i) * a + (i - np.floor(i)) * b for i in at]
+            assert got[c] == pytest.approx(want, rel=1e-12), c
+    df.unpersist()
+
+
+def test_percentiles_of_few_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(nan, inf, nan, 1), (1.0, -inf, nan, None), (3.0, None, None, 4), (None, inf, nan, 1)], "a double, b double, c double, d int")
+    got = ordering.percentiles(df, list("abcd"), (0.0, 0.5, 1.0))
+    assert got == {"a": [1.0, 2.0, 3.0], "b": [-inf, inf, inf], "c": [None] * 3, "d": [1.0, 1.0, 4.0]}
+    between = ordering.percentiles(df, ["b"], (0.25,))["b"][0]
+    assert np.isnan(between)
+    assert ordering.percentiles(df.where("false"), ["a"], (0.5,)) == {"a": [None]}
+
+
+def _range_sizes(table, keys):
+    return [r["count"] for r in table.groupBy("_range").count().collect()]
+
+
+@pytest.mark.parametrize("scores", [lambda rng, n: np.where(rng.random(n) < 0.99, rng.random(n) / 1000, rng.random(n)), lambda rng, n: np.where(rng.random(n) < 0.5, 0.0, rng.random(n)), lambda rng, n: np.exp(rng.normal(0, 30, n))])
+def test_ranges_are_of_equal_depth(spark, scores):
+    """Scores crowded near 0, half of them equal, and money over many decades."""
+    n = 40_000
+    s = scores(np.random.default_rng(5), n)
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "id": np.arange(n), "s": s}))
+    sizes = _range_sizes(ordering._dealt(df, ["k", F.desc("s"), "id"], 16, "t"), ["k"])
+    assert len(sizes) == 16 and max(sizes) <= 2 * n / 16, sizes
+    got = {r["id"]: r["_place"] for r in with_place(df, ["k"], "s", "id", buckets=16).select("id", "_place").collect()}
+    order = np.lexsort((np.arange(n), -s))
+    assert [got[i] for i in order.tolist()] == list(range(1, n + 1))
+
+
+def test_mid_ranks_of_many_columns(spark):
+    rng = np.random.default_rng(6)
+    n = 6000
+    x = {"a": np.where(rng.random(n) < 0.5, 0.0, rng.random(n).round(2)), "b": rng.random(n), "c": np.full(n, 2.0), "d": np.where(rng.random(n) < 0.3, np.nan, rng.integers(0, 4, n))}
+    pdf = pd.DataFrame({"k": np.arange(n) % 2, "id": np.arange(n) // 2, **x})
+    want = pdf.groupby("k")[list(x)].rank()
+    df = spark.createDataFrame(pdf).withColumn("d", F.when(~F.isnan("d"), F.col("d")))
+    rows = ordering.mid_ranked(df.repartition(7), list(x), "id", ["k"]).collect()
+    assert len(rows) == n
+    for r in rows:
+        own = want.loc[2 * r["id"] + r["k"]]
+        assert [r[c] for c in x] == [None if np.isnan(own[c]) else own[c] for c in x]
+
+
 def test_running_sums_equal_numpy(spark):
     rng = np.random.default_rng(7)
     v = rng.choice([-0.5, 0.0, 0.25, 0.2501, 0.9, 1.0, 1.7], 400)
