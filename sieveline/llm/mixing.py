@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sieveline.llm.tables import stored, words_in
 
 
-#: Sources of fewer blocks than _FEW, 25 in a shard, are cut into about _FINE blocks of their own, as whole blocks can't pay them.
-_FEW, _FINE = 400, 4_000
+#: Blocks that the smallest source is cut into at least, if it has as many words.
+_LEAST = 4_000
 
 
 def _source_key(source: Column) -> Column:
@@ -19,27 +19,37 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("z"))
 
 
-def _seats(votes: str, seats: str, limit: Column, group: Sequence[str], ties: Sequence[str], df: DataFrame) -> DataFrame:
+def _seats(df: DataFrame, votes: str, seats: str, limit: Column, group: Sequence[str], ties: Sequence[str]) -> DataFrame:
     """df with quota: of each group's seats, those that go to a row, which are its quotients votes / (2k + 1) among the
-    group's highest. No row gets more than limit."""
-    order = Window.partitionBy(*group).orderBy(F.desc("_sl_quotient"), *ties, "_sl_k")
+    group's highest, ties by the columns named ties. No row gets more than limit.
+
+    Were seats divided in proportion, a row's last quotient would be near where they end. Rounding n rows moves that end by n / 2
+    seats, and limits by 25 a row at most (each of 16 cells rounds its blocks), so only quotients within 26 n seats of it are compared;
+    those before are won. So rows grow with the number of rows and not with that of seats."""
+    within, order = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(F.desc("_sl_quotient"), *ties, "_sl_k")
+    fair = F.col(votes) * F.col(seats) / F.greatest(F.sum(votes).over(within), F.lit(1e-300))
+    near = 3 + F.ceil(F.col("_sl_fair") * 26 * F.count(F.lit(1)).over(within) / F.greatest(F.col(seats), F.lit(1)))
+    cut = (
+        df.where(limit > 0).withColumn("_sl_limit", limit).withColumn("_sl_fair", fair).withColumn("_sl_near", near)
+        .withColumn("_sl_from", F.least(F.col("_sl_limit"), F.greatest(F.lit(0), F.floor(F.col("_sl_fair") - F.col("_sl_near")))).cast("long"))
+        .withColumn("_sl_to", F.least(F.col("_sl_limit"), F.ceil(F.col("_sl_fair") + F.col("_sl_near"))).cast("long"))
+        .withColumn("_sl_left", F.col(seats) - F.sum("_sl_from").over(within))
+    )
     won = (
-        df.where(limit > 0)
-        .withColumn("_sl_k", F.explode(F.sequence(F.lit(0).cast("long"), limit - 1)))
+        cut.withColumn("_sl_k", F.explode(F.expr("CASE WHEN _sl_from < _sl_to THEN sequence(_sl_from, _sl_to - 1) ELSE array(CAST(NULL AS BIGINT)) END")))
         .withColumn("_sl_quotient", F.col(votes) / (2 * F.col("_sl_k") + 1).cast("double"))
         .withColumn("_sl_place", F.row_number().over(order))
-        .where(F.col("_sl_place") <= F.col(seats))
         .groupBy(*ties)
-        .agg(F.count(F.lit(1)).alias("quota"))
-    )
-    return df.join(won, [*ties], "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
+        .agg((F.max("_sl_from") + F.count_if(F.col("_sl_k").isNotNull() & (F.col("_sl_place") <= F.col("_sl_left")))).alias("quota"))
+    )
+    return df.join(won, [*ties], "left").withColumn("quota", F.coalesce("quota", F.lit(0)).cast("long"))
 
 
 def source_plan(cells: DataFrame, weights: Sequence[float], max_repeat: int, blocks: int) -> DataFrame:
     """One row per source and shard of cells (skey, shard, size), with what the source may give.
 
-    The windows over all sources see a row for each source, or for each of the given number of blocks; documents don't
-    reach them.
+    All blocks are of one size: a share of 1 / blocks of all words, or less, so that the smallest source is a few thousand
+    blocks or single words. The windows over all sources see some rows for each source; documents don't reach them.
     """
     per_source = cells.groupBy("skey").agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy(F.lit(1))
@@ -60,24 +70,18 @@ def source_plan(cells: DataFrame, weights: Sequence[float], max_repeat: int, blo
         .withColumn("capped", F.col("ratio") <= F.col("level"))
         .withColumn("level", F.max(F.when(~F.col("capped"), F.col("level"))).over(everything))
         .withColumn("target", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(F.col("level") * F.col("weight")))
-        .withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(blocks))).cast("long"))
+        .withColumn("least", F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(everything))
+        .withColumn("block", F.greatest(F.lit(1), F.least(F.ceil(F.col("total") / F.lit(blocks)), F.expr(f"least div {_LEAST}"))).cast("long"))
         .withColumn("seats", F.round(F.col("total") / F.col("block")).cast("long"))
     )
-    aimed = aimed.withColumn("rare", (F.col("block") > 1) & (F.col("source_size") < _FEW * F.col("block")))
-    aimed = aimed.withColumn("own", F.when(F.col("rare"), F.greatest(F.lit(1), F.expr(f"source_size div {_FINE}"))).otherwise(F.col("block")).cast("long"))
-    in_blocks = lambda block: F.when(F.col("size") > 0, F.greatest(F.lit(1), F.round(F.col("size") / F.col(block)))).otherwise(0).cast("long")
-    cut = cells.join(aimed.select("skey", "block", "own", "rare"), "skey").withColumn("n", in_blocks("own"))
-    held = cut.groupBy("skey").agg(F.sum(in_blocks("block")).alias("held"), F.sum("n").alias("own_held"))
-    roomy = F.least(F.col("held") * max_repeat, F.ceil(F.col("target") / F.col("block")) + 2).cast("long")
-    by_source = _seats("target", "seats", roomy, ["total"], ["skey"], aimed.join(held, "skey"))
-    # a rare source is paid its target in its own blocks, not the blocks that it won; the others' quotas are as they were
-    paid = F.when(F.col("rare"), F.round(F.col("target") * F.col("own_held") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.col("quota"))
-    by_source = by_source.select("skey", "source_size", "target", paid.cast("long").alias("source_quota"))
-    fair = F.ceil(F.col("source_quota") * F.col("size") / F.greatest(F.col("source_size"), F.lit(1))) + 2
-    inner = cut.drop("block", "own").join(by_source, "skey")
-    limit = F.when(F.col("rare"), F.col("n") * max_repeat).otherwise(F.least(F.col("n") * max_repeat, fair)).cast("long")
-    return _seats("size", "source_quota", limit, ["skey"], ["skey", "shard"], inner).select(
-        "skey", "shard", F.col("size").alias("cell_size"), "n", "source_size", "target", F.col("quota").cast("long").alias("quota")
+    in_blocks = F.when(F.col("size") > 0, F.greatest(F.lit(1), F.round(F.col("size") / F.col("block")))).otherwise(0).cast("long")
+    cut = cells.join(aimed.select("skey", "block"), "skey").withColumn("n", in_blocks)
+    held = cut.groupBy("skey").agg(F.sum("n").alias("held"))
+    by_source = _seats(aimed.join(held, "skey"), "target", "seats", F.col("held") * max_repeat, ["total"], ["skey"])
+    by_source = by_source.select("skey", "source_size", "target", F.col("quota").alias("source_quota"))
+    inner = cut.drop("block").join(by_source, "skey")
+    return _seats(inner, "size", "source_quota", F.col("n") * max_repeat, ["skey"], ["skey", "shard"]).select(
+        "skey", "shard", F.col("size").alias("cell_size"), "n", "source_size", "target", "quota"
     )
 
 
@@ -100,8 +104,8 @@ def mix_sources(
     stops at max_repeat times its size and the rest shares the excess. A source's documents lie end to end in each of 16
     shards, in a seeded order, cut into blocks of equal tokens. Sources win blocks by highest quotients target / (2k + 1),
     a source's shards by size / (2k + 1); within a shard every block is taken quota // n times and quota % n blocks in a row
-    from a seeded one on (round the end) once more, so none above max_repeat, and few documents are cut. At most about blocks rows meet in one
-    task, however many documents there are. A source of fewer than 400 blocks is paid its target in smaller blocks of its own.
+    from a seeded one on (round the end) once more, so none above max_repeat, and few documents are cut. Blocks are a share of
+    1 / blocks of all words at most, and small enough for the smallest source (see source_plan).
 
     A null or blank text has size 0 and nothing taken. A null id sorts first. Rows that repeat an id are documents of
     their own. Columns that are neither named nor in keep are ignored. An empty table gives no rows.
@@ -139,7 +143,7 @@ def mix_sources(
     run = F.expr(
         """CASE WHEN size > 0 AND extra > 0 THEN transform(
              array(struct(turn AS f, least(turn + extra, n) AS t), struct(0L AS f, greatest(turn + extra - n, 0L) AS t)),
-             r -> struct(greatest(start, (r.f * cell_size) div n) - start AS from, least(end, (r.t * cell_size) div n) - start AS to))
+             r -> struct(greatest(start, (CAST(r.f AS DECIMAL(19, 0)) * CAST(cell_size AS DECIMAL(18, 0))) div n) - start AS from, least(end, (CAST(r.t AS DECIMAL(19, 0)) * CAST(cell_size AS DECIMAL(18, 0))) div n) - start AS to))
            ELSE array() END"""
     )
     span = F.array_sort(F.filter(run, lambda x: x["from"] < x["to"]))

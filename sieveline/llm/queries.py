@@ -106,14 +106,14 @@ levels AS (
 aimed AS (
   SELECT *, CASE WHEN ratio <= level THEN CAST(3 * source_size AS DOUBLE)
                  ELSE max(CASE WHEN ratio > level THEN level END) OVER () * weight END AS target,
-         greatest(1, CAST(ceil(total / CAST(20000 AS DOUBLE)) AS BIGINT)) AS block FROM levels),
+         greatest(1, least(CAST(ceil(total / CAST(20000 AS DOUBLE)) AS BIGINT), (min(CASE WHEN source_size > 0 THEN source_size END) OVER ()) // 4000)) AS block FROM levels),
 cut AS (
   SELECT c.*, a.block, CASE WHEN c.size > 0 THEN greatest(1, CAST(round(c.size / CAST(a.block AS DOUBLE)) AS BIGINT)) ELSE 0 END AS n
   FROM cells c JOIN aimed a USING (skey)),
 held AS (SELECT skey, sum(n) AS held FROM cut GROUP BY ALL),
 quotients AS (
   SELECT skey, target / CAST(2 * k + 1 AS DOUBLE) AS quotient, k, CAST(round(total / CAST(block AS DOUBLE)) AS BIGINT) AS seats
-  FROM (SELECT a.*, unnest(range(0, CAST(least(h.held * 3, ceil(a.target / a.block) + 2) AS BIGINT))) AS k FROM aimed a JOIN held h USING (skey))),
+  FROM (SELECT a.*, unnest(range(0, CAST(least(h.held * 3, 2 * ceil(a.target / a.block) + 50) AS BIGINT))) AS k FROM aimed a JOIN held h USING (skey))),
 won AS (
   SELECT skey, count(*) AS source_quota
   FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, skey, k) AS place FROM quotients) WHERE place <= seats GROUP BY ALL),
@@ -123,7 +123,7 @@ per AS (
 won2 AS (
   SELECT skey, shard, count(*) AS quota
   FROM (SELECT *, row_number() OVER (PARTITION BY skey ORDER BY size / CAST(2 * k + 1 AS DOUBLE) DESC, shard, k) AS place
-        FROM (SELECT *, unnest(range(0, CAST(least(n * 3, ceil(source_quota * size / CAST(greatest(source_size, 1) AS DOUBLE)) + 2) AS BIGINT))) AS k FROM per))
+        FROM (SELECT *, unnest(range(0, CAST(least(n * 3, 2 * ceil(source_quota * size / CAST(greatest(source_size, 1) AS DOUBLE)) + 50) AS BIGINT))) AS k FROM per))
   WHERE place <= source_quota GROUP BY ALL),
 plan AS (
   SELECT p.*, coalesce(w.quota, 0) AS quota,
