@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,10 @@ _CUT, _WHITE_THEN_SPACE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
 def chunks(text: str) -> list[str]:
-    """A space and text, cut before each space that follows what isn't white space."""
+    """A space and text, cut before each space that follows what isn't white space; each chunk without its first space."""
     if _WHITE_THEN_SPACE.search(text) or text[:1].isspace():
-        return _CUT.split(f" {text}")
-    return [f" {word}" for word in text.split(" ")]
+        return [p[1:] for p in _CUT.split(f" {text}")]
+    return text.split(" ")
 
 
 def byte_level() -> dict[str, int]:
@@ -66,11 +67,32 @@ class Pair:
         piece = self.b.id_to_piece(k)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode()
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both kinds for each chunk. B adds a space of its own, so the chunk's goes; a space alone ends a text."""
-        a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b = [[self.space] if p == " " else ids for p, ids in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1), strict=True)]
-        return a, b
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+
+    def encode_b(self, texts: list[str]) -> list[list[int]]:
+        """B adds a space of its own to a text; alone it is one token, which an empty text wouldn't show."""
+        return [ids if t else [self.space] for t, ids in zip(texts, self.b.encode(texts, num_threads=1), strict=True)]
+
+
+def _encoded(parts: list[str], sizes: np.ndarray, lengths: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of chunks, none of which ends in white space, and how many each has. 256 chunks are encoded as one text, whose tokens
+    end where chunks do; if their bytes don't come back, one by one."""
+    starts = range(0, len(parts), 256)
+    ids, counts = [], []
+    for s, found in zip(starts, encode([" ".join(parts[s : s + 256]) for s in starts]), strict=True):
+        own = np.array(found, np.int64)
+        ends, want = lengths[own].cumsum(), sizes[s : s + 256].cumsum()
+        at = np.searchsorted(ends, want)
+        if len(ends) == at[-1] + 1 and (ends[at] == want).all():
+            ids.append(own)
+            counts.append(np.diff(at, prepend=-1))
+        else:
+            each = encode(parts[s : s + 256])
+            ids.append(np.fromiter(chain.from_iterable(each), np.int64))
+            counts.append(np.fromiter(map(len, each), np.int64))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *ids]), np.concatenate([none, *counts])
 
 
 class Chunks:
@@ -89,13 +111,21 @@ class Chunks:
         """Groups of many chunks at once: laid end to end, chunks end where tokens of both kinds do."""
         if not parts:
             return
-        a, b = self.pair.encode(parts)
-        good = [b"".join(map(self.pair.a_bytes.__getitem__, x)) == (own := p.encode()) and b"".join(map(self.pair.b_bytes.__getitem__, y)) == own for p, x, y in zip(parts, a, b, strict=True)]
-        a, b = ([x if ok else [] for x, ok in zip(own, good, strict=True)] for own in (a, b))
-        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        a_ids, b_ids = (np.array([i for x in own for i in x], np.int64) for own in (a, b))
+        parts = sorted(parts, key=lambda p: p[-1:].strip() == "")
+        inner = next((k for k, p in enumerate(parts) if not p[-1:].strip()), len(parts))
+        sizes = np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts))
+        found, good = [], np.ones(len(parts), bool)
+        for encode, own, lengths in ((self.pair.encode_a, self.pair.a_bytes, self.pair.a_length), (self.pair.encode_b, self.pair.b_bytes, self.pair.b_length)):
+            ids, n = _encoded(parts[:inner], sizes[:inner], lengths, encode)
+            more = encode(parts[inner:])
+            ids, n = np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.int64)]), np.append(n, [len(x) for x in more]).astype(np.int64)
+            if b"".join(map(own.__getitem__, ids.tolist())) != "".join(f" {p}" for p in parts).encode():
+                cuts = n.cumsum()
+                good &= [b"".join(map(own.__getitem__, x.tolist())) == f" {p}".encode() for p, x in zip(parts, np.split(ids, cuts[:-1]), strict=True)]
+            found.append((ids, n))
+        (a_ids, n_a), (b_ids, n_b) = ((ids[np.repeat(good, n)], np.where(good, n, 0)) for ids, n in found)
         a_ends, b_ends = self.pair.a_length[a_ids].cumsum(), self.pair.b_length[b_ids].cumsum()
-        both = np.intersect1d(a_ends, b_ends)
+        both = a_ends[b_ends[np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)] == a_ends] if len(a_ends) else a_ends
         a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
         in_a, in_b = np.bincount(a_group, minlength=len(both)), np.bincount(b_group, minlength=len(both))
         # each A token with each B token of its group
@@ -109,13 +139,13 @@ class Chunks:
         left, right = ([*map(str, ids.tolist())] for ids in (a_ids, b_ids))
         names, i, j = [], 0, 0
         for x, y in zip(in_a.tolist(), in_b.tolist(), strict=True):
-            names.append(f"{','.join(left[i : i + x])}|{','.join(right[j : j + y])}")
+            names.append(f"{left[i] if x == 1 else ','.join(left[i : i + x])}|{right[j] if y == 1 else ','.join(right[j : j + y])}")
             i, j = i + x, j + y
         cuts = groups.cumsum().tolist()
         self.names += [";".join(names[s:e]) for s, e in zip([0, *cuts[:-1]], cuts, strict=True)]
         self.place.update(zip(parts, range(self.size, self.size + len(parts)), strict=True))
         self.size += len(parts)
-        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, groups, np.array(good, np.int64)], axis=1)])
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, groups, good], axis=1)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + n_links.cumsum()])
         self.links = np.concatenate([self.links, links])
 
@@ -124,7 +154,7 @@ class Chunks:
         cut = [chunks(t) if t else [] for t in texts]
         if self.size > _KNOWN:
             self.clear()
-        new = {p for parts in cut for p in parts} - self.place.keys()
+        new = set().union(*cut) - self.place.keys()
         self.add(sorted(new))
         places = [np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts)) for parts in cut]
         for p in new:
@@ -133,8 +163,8 @@ class Chunks:
         return places
 
 
-def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _lists(values: np.ndarray, starts: np.ndarray, kind: type = np.int32) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(kind)))
 
 
 _POSTINGS = "batch long, kind int, doc int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a int, bs array<int>, docs array<int>, times array<int>"
@@ -199,7 +229,7 @@ def _linked(byte_json, piece_model):
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, kind, batch, bs, docs, times), sorted. An A id's counts by B id come first, so they are whole before its
     postings are met; then each posting adds to its document. Held: counts of one A id, which are no more than the B ids there
-    are, and the sums of documents until they are passed on."""
+    are, and the sums of documents until they are passed on, a row for each batch."""
     now, count, best = None, np.zeros(0, np.int64), 0
     keys, bests, sums, size = [], [], [], 0
 
@@ -208,7 +238,9 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         total = [np.zeros(len(key), np.int64) for _ in range(2)]
         for out, own in zip(total, (bests, sums), strict=True):
             np.add.at(out, at, np.concatenate(own))
-        return pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, total)], ["key", "n_best", "count_sum"])
+        start = np.flatnonzero(np.diff(key >> 12, prepend=-1))
+        lists = [_lists(key & 0xFFF, start), *(_lists(x, start, np.int64) for x in total)]
+        return pa.RecordBatch.from_arrays([pa.array(key[start] >> 12), *lists], ["batch", "docs", "n_best", "count_sum"])
 
     for batch in batches:
         a, salt, kind, number = (batch.column(i).to_numpy() for i in range(4))
@@ -240,6 +272,28 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield passed_on()
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, docs, n_best, count_sum), sorted by batch, in; their sums by document out."""
+    now, seen, total = None, np.zeros(_DOCS, bool), np.zeros((2, _DOCS), np.int64)
+
+    def summed() -> pa.RecordBatch:
+        doc = np.flatnonzero(seen)
+        return pa.RecordBatch.from_arrays([pa.array(now << 12 | doc), *(pa.array(x[doc]) for x in total)], ["key", "n_best", "count_sum"])
+
+    for batch in batches:
+        for k, number in enumerate(batch.column(0).to_pylist()):
+            if number != now:
+                if now is not None:
+                    yield summed()
+                now, seen, total = number, np.zeros(_DOCS, bool), np.zeros((2, _DOCS), np.int64)
+            doc, *more = (batch.column(i)[k].values.to_numpy() for i in (1, 2, 3))  # each document once
+            seen[doc] = True
+            for out, x in zip(total, more, strict=True):
+                out[doc] += x
+    if now is not None:
+        yield summed()
+
+
 def _read(path: str) -> bytes:
     with open(path, "rb") as file:
         found = file.read(_LARGEST_VOCABULARY + 1)
@@ -281,7 +335,8 @@ def align_tokens(
     salted = dealt.withColumn("salt", F.explode(F.when(F.col("kind") == 1, every).otherwise(own)))
     # an id's rows must be whole and in order within a task
     streams = salted.select("a", "salt", "kind", "batch", "bs", "docs", "times").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    sums = streams.mapInArrow(_contributions, "key long, n_best long, count_sum long").groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    parts = streams.mapInArrow(_contributions, "batch long, docs array<int>, n_best array<long>, count_sum array<long>")
+    sums = parts.repartition("batch").sortWithinPartitions("batch").mapInArrow(_by_document, "key long, n_best long, count_sum long")
     each = rows.where("kind = 0").withColumn("key", F.expr("shiftleft(batch, 12) | doc"))
     return each.join(sums, "key", "left").select(
         F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).cast("long").alias("n_best"),
