@@ -13,9 +13,11 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A report table; reports are small, so one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """A report table; reports are small, so one file. Other tables are as many files as they have partitions. Fields are quoted,
+    quotes within are doubled, white space and line ends stay; null and the empty text are both empty."""
+    options = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").options(**options).csv(path)
 
 
 def markdown_rows(df: DataFrame, limit: int = 1000) -> str:
