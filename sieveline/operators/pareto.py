@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators import metrics, ranking
-from sieveline.sources.shared import small
+from sieveline.sources.shared import small, stored
 
 OBJECTIVES = ("o1", "o2", "o3", "o4", "o5", "o6")
 #: What the objectives should weigh in the chosen compromise.
@@ -31,23 +33,88 @@ def without_duplicates(archive: DataFrame, objectives: Sequence[str] = OBJECTIVE
     return archive.withColumn("_key", key).withColumn("_n", nth).where("_n = 1").drop("_key", "_n")
 
 
-def front(archive: DataFrame, objectives: Sequence[str] = OBJECTIVES, seq: str = "seq", cells: int = 64) -> DataFrame:
-    """Solutions that no other dominates (no worse in all objectives, better in one).
-
-    Two steps, so that not every pair meets: rows are dealt to cells by a hash and thinned to each cell's own front,
-    which drops nearly all of a large archive; only what is left is compared with each other. Every dominated row is
-    dominated by one that is left, as dominance is transitive.
-    """
-
-    def thin(df: DataFrame, on: Sequence[str]) -> DataFrame:
-        other = df.select(*[F.col(c).alias(f"_{c}") for c in (*on, *objectives)])
-        no_worse = [F.col(f"_{o}") <= F.col(o) for o in objectives]
-        better = [F.col(f"_{o}") < F.col(o) for o in objectives]
-        same = [F.col(f"_{c}") == F.col(c) for c in on]
-        return df.join(other, reduce(lambda a, b: a & b, [*same, *no_worse, reduce(lambda a, b: a | b, better)]), "left_anti")
-
-    dealt = archive.withColumn("_cell", F.pmod(F.xxhash64(seq), F.lit(cells)))
-    return thin(thin(dealt, ["_cell"]).drop("_cell"), [])
+def _undominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which points none of by dominates. Both are in order of their sums, so a point's dominators have smaller sums or, with
+    rounding, equal ones."""
+    left, sums = np.arange(len(points)), points.sum(axis=1)
+    for s in range(0, len(by), 256):
+        part = by[s : s + 256]
+        if not len(left) or part[0].sum() > sums.max() * (1 + 1e-9) + 1e-9 and (part[0] >= 0).all():
+            break
+        x = points[left]
+        no_worse = np.ones((len(x), len(part)), bool)
+        better = np.zeros((len(x), len(part)), bool)
+        for k in range(points.shape[1]):
+            no_worse &= part[:, k] <= x[:, k, None]
+            better |= part[:, k] < x[:, k, None]
+        left = left[~(no_worse & better).any(axis=1)]
+    out = np.zeros(len(points), bool)
+    out[left] = True
+    return out
+
+
+def _own_front(points: np.ndarray) -> np.ndarray:
+    """Which points no other of them dominates, block by block in order of their sums: what a block keeps goes on to the next."""
+    order = np.argsort(points.sum(axis=1), kind="stable")
+    kept = np.zeros((0, points.shape[1]))
+    out = np.zeros(len(points), bool)
+    for s in range(0, len(order), 1024):
+        at = order[s : s + 1024]
+        at = at[_undominated(points[at], kept)]
+        at = at[_undominated(points[at], points[at])]
+        out[at] = True
+        kept = np.concatenate([kept, points[at]])
+    return out
+
+
+def front(archive: DataFrame, objectives: Sequence[str] = OBJECTIVES, seq: str = "seq", window: int = 4096) -> DataFrame:
+    """Solutions that no other dominates (no worse in all objectives, better in one). Null or NaN objectives take no part.
+
+    A dominator's scaled objectives have a smaller sum. So of the solutions that are left, the window with the smallest sums is
+    compared within itself, and what none of it dominates is final. These go to all tasks, at most a window of them, which drop
+    what they dominate; the rest is the next round's. Before the first, each batch of rows in a task is thinned by itself. A front of so many
+    solutions takes as many rounds as it has windows, each over fewer rows; no round compares more than a window with each row."""
+    spark = archive.sparkSession
+    names = [F.col(o).cast("double") for o in objectives]
+    usable = archive.where(reduce(lambda a, b: a & b, [x.isNotNull() & ~F.isnan(x) for x in names]))
+    ends = usable.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(names) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if ends["lo0"] is None:
+        return usable
+    unit = [(x - F.lit(ends[f"lo{i}"])) / F.lit((ends[f"hi{i}"] - ends[f"lo{i}"]) or 1.0) for i, x in enumerate(names)]
+    kind = usable.schema[seq].dataType.simpleString()
+
+    def against(by: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield batch.filter(pa.array(_own_front(x) if by is None else _undominated(x, by)))
+
+        return run
+
+    schema = f"id {kind}, x array<double>, s double"
+    # the sum is that of the scaled objectives in their order, so equal rows have equal sums
+    rows = usable.select(F.col(seq).alias("id"), F.array(*unit).alias("x")).withColumn("s", reduce(lambda a, b: a + b, [F.get("x", F.lit(i)) for i in range(len(names))]))
+    left, final = stored(rows.mapInArrow(against(None), schema), "front"), []
+    while True:
+        first = left.orderBy("s", "id").limit(window + 1).collect()
+        if not first:
+            break
+        points = np.array([r["x"] for r in first]).reshape(len(first), -1)
+        # rows whose sums equal the window's last may lie outside it, or be told apart by rounding only: they wait
+        whole = len(first) <= window
+        own = _own_front(points)
+        sure = np.ones(len(first), bool) if whole else points.sum(axis=1) < first[-1]["s"] * (1 - 1e-9) - 1e-12
+        if not sure.any():
+            window *= 2
+            continue
+        final += [(first[i]["id"],) for i in np.flatnonzero(own & sure)]
+        if whole:
+            break
+        by = points[own & sure]
+        last = first[-1]["s"] * (1 - 1e-9) - 1e-12
+        left = stored(left.where(F.col("s") >= last).mapInArrow(against(by), schema), "front")
+    ids = spark.createDataFrame(final, f"_id {kind}")
+    return usable.join(ids, F.col(seq) == F.col("_id"), "left_semi")
 
 
 def scaled(df: DataFrame, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:

@@ -858,17 +858,23 @@ def _model_rows(spark, sf_dir):
     return learn.prepared(parts[0], parts[1:], learn.NUMERIC, learn.CATEGORICAL)
 
 
+_FEATURES = (*learn.NUMERIC, *(f"{c}__c" for c in learn.CATEGORICAL))
+
+
 @query()
 def model_candidates(spark, sf_dir):
     train, val, _ = _model_rows(spark, sf_dir)
-    return learn.candidate_metrics(train, val, "y_proc_high")[0].drop("seconds")
+    return learn.all_candidates(train, val, fx.TARGETS, _FEATURES, trees=20)
 
 
 @query()
 def model_predictions(spark, sf_dir):
-    train, val, test = _model_rows(spark, sf_dir)
-    table_, models = learn.candidate_metrics(train, val, "y_proc_high", ["logistic"])
-    return learn.predicted(models["logistic"], test, "p_proc_high").select("lot_id", "y_proc_high", "p_proc_high")
+    """Calibrated probabilities of all five targets for all test rows."""
+    train, val, out = _model_rows(spark, sf_dir)
+    for y, p in zip(fx.TARGETS, fx.PROBABILITIES, strict=True):
+        _, models = learn.candidate_metrics(train, val, y, ["logistic"])
+        out = learn.predicted(models["logistic"], out, p)
+    return out.select("lot_id", *fx.TARGETS, *fx.PROBABILITIES)
 
 
 @query(q.ask("SELECT c.sample_row_id, c.y_proc_high AS y, round(c.p_proc_high, 9) AS raw, round(f.value, 6) AS calibrated FROM crit c JOIN fitted f ON f.x = c.p_proc_high WHERE split = 'val' AND y_proc_high IS NOT NULL",
@@ -890,15 +896,17 @@ def pca_variance(spark, sf_dir):
 
 @query()
 def logistic_reestimation(spark, sf_dir):
+    """All five probabilities together, each two of them, and each alone: average precision on test rows."""
     val, test = (criteria_rows(spark, sf_dir, s) for s in ("val", "test"))
-    scores = learn.reestimated(val, test, fx.PROBABILITIES, "y_cri_high").withColumn("k", F.lit("all five"))
-    return metrics.average_precision(scores, ["k"])
+    models = {"all five": fx.PROBABILITIES, **{"+".join(p): p for p in combinations(fx.PROBABILITIES, 2)}, **{p: (p,) for p in fx.PROBABILITIES}}
+    scores = stored(learn.reestimated_models(val, test, models, "y_cri_high"), "reestimated")
+    return metrics.average_precision(scores, ["model"])
 
 
 @query()
 def hyper_parameter_grid(spark, sf_dir):
     train, val, _ = _model_rows(spark, sf_dir)
-    return learn.hyper_parameters(train, val, "y_proc_high", (3,), (0.1,), (3, 6))
+    return learn.hyper_parameters(train, val, "y_cri_high", _FEATURES, trees=(5, 10, 20), incumbent=("leaves", 0.05, 10, 31))
 
 
 @query()

@@ -171,6 +171,41 @@ def test_ranges_are_of_equal_depth(spark, scores):
     assert [got[i] for i in order.tolist()] == list(range(1, n + 1))
 
 
+def test_logistic_models_equal_a_solver(spark):
+    rng = np.random.default_rng(8)
+    n = 500
+    x = rng.random((n, 3)) * [1, 5, 100]
+    y = (rng.random(n) < 1 / (1 + np.exp(-(3 * x[:, 0] - x[:, 1] + 1)))).astype(float)
+    df = spark.createDataFrame([(i, *r, int(t) if i % 9 else None) for i, (r, t) in enumerate(zip(x.tolist(), y.tolist(), strict=True))], "sample_row_id long, a double, b double, c double, y int")
+    models = {"a+b": ["a", "b"], "c": ["c"], "a+b+c": ["a", "b", "c"]}
+    got = learn.logistic_models(df, models, "y", c=0.5)
+    known = np.arange(n) % 9 > 0
+    for m, names in models.items():
+        z = np.column_stack([np.ones(known.sum()), *[x[known, "abc".index(c)] for c in names]])
+        w, ridge = np.zeros(len(names) + 1), np.diag([0.0, *[2.0] * len(names)])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-z @ w))
+            w = w - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y[known]) + ridge @ w)
+        assert got[m] == pytest.approx(w, abs=1e-8)
+    assert learn.reestimated_models(df, df, models, "y").count() == 3 * n
+
+
+@pytest.mark.parametrize(("kind", "n", "window"), [("plane", 30_000, 200), ("cloud", 100_000, 4096), ("ties", 5000, 16), ("same", 300, 8)])
+def test_front_equals_brute_force(spark, kind, n, window):
+    """Most solutions on the front; few; many equal objectives; all equal."""
+    rng = np.random.default_rng(4)
+    x = {"plane": lambda: (lambda d: np.column_stack([d[:, :5], d[:, 5] + (rng.random(n) < 0.97) * 3]))(rng.dirichlet(np.ones(6), n)), "cloud": lambda: rng.random((n, 6)), "ties": lambda: rng.integers(0, 4, (n, 6)).astype(float), "same": lambda: np.ones((n, 6))}[kind]()
+    df = spark.createDataFrame(pd.DataFrame({"seq": np.arange(n), **{f"o{k + 1}": x[:, k] for k in range(6)}})).repartition(4)
+    got = {r["seq"] for r in pareto.front(df, window=window).select("seq").collect()}
+    order, kept, want = np.argsort(x.sum(axis=1), kind="stable"), np.zeros((0, 6)), set()
+    for i in order.tolist():
+        if not ((kept <= x[i]).all(axis=1) & (kept < x[i]).any(axis=1)).any():
+            kept = np.vstack([kept, x[i]])
+            want.add(i)
+    want = {i for i in want if not ((kept <= x[i]).all(axis=1) & (kept < x[i]).any(axis=1)).any()}
+    assert got == want and len(want) > 0
+
+
 def test_mid_ranks_of_many_columns(spark):
     rng = np.random.default_rng(6)
     n = 6000
