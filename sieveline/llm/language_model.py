@@ -22,9 +22,11 @@ _SPACE = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
 #: Words longer than this are hashed one by one.
 _LONG = 256
 #: Grams that a task gathers before it passes counts on; tokens scored at a time; grams merged at a time.
-_GATHERED, _WINDOW, _MERGED = 2_000_000, 1_000_000, 4_000_000
-#: Bytes of text for each part of the filter, and the largest number of parts.
-_PART, _PARTS = 32 << 20, 1 << 16
+_GATHERED, _WINDOW, _MERGED = 1_000_000, 250_000, 1_000_000
+#: Characters that are scored together, but for a longer text; bytes of text for each part of the filter, and the largest number of parts.
+_TOGETHER, _PART, _PARTS = 1_500_000, 16 << 20, 1 << 16
+#: Bytes of tables that are broadcast at once.
+_PIECE = 16 << 20
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,7 @@ def log_probabilities(tokens: np.ndarray, place: np.ndarray, model: Model, look:
 
 
 def text_scores(texts: list[str | None], model: Model, look: Callable[[int, np.ndarray], np.ndarray]) -> list[np.ndarray]:
-    """[tokens, known tokens, base score, score] of the texts, a million tokens at a time. Sums are taken text by text in billionths,
+    """[tokens, known tokens, base score, score] of the texts, some tokens at a time. Sums are taken text by text in billionths,
     so they don't depend on what else is scored."""
     tokens, n = tokens_of(texts)
     place, doc = places(n), np.repeat(np.arange(len(n)), n)
@@ -198,7 +200,7 @@ class _Merged:
         self.keys, self.counts, self.waiting, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.waiting.append((keys, counts.astype(np.int64)))
+        self.waiting.append((keys, counts))
         self.size += len(keys)
         if self.size > max(_MERGED, len(self.keys)):
             self.merge()
@@ -214,9 +216,9 @@ class _Merged:
 
 
 _TABLES = pa.schema(
-    [("part", pa.int32()), ("kind", pa.int32()), ("n_bits", pa.int64()), ("data", pa.binary()), ("counts", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64()), ("ends", pa.int64()), ("by_level", pa.list_(pa.int64()))]
+    [("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("counts", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64()), ("ends", pa.int64()), ("by_level", pa.list_(pa.int64()))]
 )
-_TABLE_COLUMNS = "part int, kind int, n_bits long, data binary, counts binary, distinct long, total long, ends long, by_level array<long>"
+_TABLE_COLUMNS = "part int, kind int, data binary, counts binary, distinct long, total long, ends long, by_level array<long>"
 
 
 def _tables(growth: float, hashes: int):
@@ -231,11 +233,10 @@ def _tables(growth: float, hashes: int):
             level = levels.of(own.counts)
             ends = own.counts[own.keys == END].sum() if now[1] == 1 else 0
             if now[1] == 1:
-                n_bits, data, counts = 0, own.keys.tobytes(), own.counts.tobytes()
+                data, counts = own.keys.tobytes(), own.counts.astype(np.uint32 if own.counts.max(initial=0) < 1 << 32 else np.uint64).tobytes()
             else:
-                made = CountFilter.of(own.keys, level, hashes)
-                n_bits, data, counts = made.n_bits, made.bits.tobytes(), b""
-            return _batch([(*now, n_bits, data, counts, len(own.keys), int(own.counts.sum()), int(ends), np.bincount(level).tolist())], _TABLES)
+                data, counts = CountFilter.of(own.keys, level, hashes).words.tobytes(), b""
+            return _batch([(*now, data, counts, len(own.keys), int(own.counts.sum()), int(ends), np.bincount(level).tolist())], _TABLES)
 
         for batch in batches:
             for part, kind, keys, counts in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -253,8 +254,9 @@ def _tables(growth: float, hashes: int):
 def _table_of(row, hashes: int):
     """The table that a row of the stored tables holds."""
     if row["kind"] == 1:
-        return np.frombuffer(row["data"], np.uint64), np.frombuffer(row["counts"], np.int64)
-    return CountFilter(row["n_bits"], hashes, np.frombuffer(row["data"], np.uint8))
+        keys = np.frombuffer(row["data"], np.uint64)
+        return keys, np.frombuffer(row["counts"], np.uint64 if len(row["counts"]) == keys.nbytes else np.uint32)
+    return CountFilter(hashes, np.frombuffer(row["data"], np.uint64))
 
 
 def power_of(by_level: np.ndarray, levels: Levels, distinct: int) -> float:
@@ -278,7 +280,7 @@ class Trained:
     model: Model
 
 
-def train(texts: DataFrame, order: int = 2, growth: float = 1.3, hashes: int = 7) -> Trained:
+def train(texts: DataFrame, order: int = 2, growth: float = 1.3, hashes: int = 6) -> Trained:
     """The model of a column of texts. All grams of all texts are counted: tasks pass counts on by part of the filter, about 32 MB
     of text each, and one task merges a part and writes its table. A gram that most texts have is one key of each task, so no
     part is hot."""
@@ -302,12 +304,25 @@ def train(texts: DataFrame, order: int = 2, growth: float = 1.3, hashes: int = 7
 _SCORES = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def _scored(model):
+def _scored(model: Model, pieces, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = model.value
-        for batch in in_slices(batches):
-            found = text_scores(batch.column(1).to_pylist(), own, own.look)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, (_, t) in zip(found, _SCORES, strict=True))], ["id", *(n for n, _ in _SCORES)])
+        own = Model(**{**vars(model), "tables": {k: _table_of(r, hashes) for p in pieces for k, r in p.value.items()}})
+        ids, texts, size = [], [], 0
+
+        def scores() -> pa.RecordBatch:
+            found = text_scores(texts, own, own.look)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(x, t) for x, (_, t) in zip(found, _SCORES, strict=True))], ["id", *(n for n, _ in _SCORES)])
+
+        for batch in in_slices(batches, 64):
+            more = batch.column(1).to_pylist()
+            ids.append(batch.column(0))
+            texts += more
+            size += sum(map(len, filter(None, more)))
+            if size >= _TOGETHER:
+                yield scores()
+                ids, texts, size = [], [], 0
+        if ids:
+            yield scores()
 
     return run
 
@@ -350,7 +365,7 @@ _ANSWERED = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.
 
 
 def _answered(levels: Levels, hashes: int):
-    """Rows (part, question, kind, batch, n_bits, data, counts), sorted: a part's tables, then the questions to them."""
+    """Rows (part, question, kind, batch, data, counts), sorted: a part's tables, then the questions to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tables = None, {}
@@ -410,12 +425,20 @@ def score_rows(rows: DataFrame, trained: Trained, most_bytes: int = 256 << 20) -
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, n_known long, base_score double, score double"
     if trained.bytes <= most_bytes:
-        held = {(r["kind"], r["part"]): _table_of(r, trained.hashes) for r in trained.tables.select("part", "kind", "n_bits", "data", "counts").toLocalIterator()}
-        return rows.mapInArrow(_scored(spark.sparkContext.broadcast(Model(**{**vars(model), "tables": held}))), schema)
+        # in pieces, so that neither driver nor executors hold the whole more than once
+        pieces, held, size = [], {}, 0
+        for r in trained.tables.select("part", "kind", "data", "counts").toLocalIterator():
+            held[r["kind"], r["part"]] = r.asDict()
+            size += len(r["data"]) + len(r["counts"])
+            if size >= _PIECE:
+                pieces.append(spark.sparkContext.broadcast(held))
+                held, size = {}, 0
+        pieces.append(spark.sparkContext.broadcast(held))
+        return rows.mapInArrow(_scored(model, pieces, trained.hashes), schema)
     asked = stored(rows.mapInArrow(_asked(model.order, model.parts), f"id {kind}, {_ASKED}"), "model-asked")
     nothing = F.lit(None)
-    tables = trained.tables.select("part", F.lit(0).alias("question"), "kind", nothing.cast("long").alias("batch"), "n_bits", "data", "counts")
-    questions = asked.where("kind > 0").select("part", F.lit(1), "kind", "batch", nothing.cast("long"), "keys", nothing.cast("binary"))
+    tables = trained.tables.select("part", F.lit(0).alias("question"), "kind", nothing.cast("long").alias("batch"), "data", "counts")
+    questions = asked.where("kind > 0").select("part", F.lit(1), "kind", "batch", "keys", nothing.cast("binary"))
     # a part's rows, and then a batch's, must be whole and in order within a task
     met = tables.union(questions).repartition(model.parts, "part").sortWithinPartitions("part", "question")
     answers = met.mapInArrow(_answered(model.levels, trained.hashes), "batch long, kind int, part int, counts binary")
@@ -426,14 +449,14 @@ def score_rows(rows: DataFrame, trained: Trained, most_bytes: int = 256 << 20) -
 
 
 def score_texts(
-    docs: DataFrame, away: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, growth: float = 1.3, hashes: int = 7, most_bytes: int = 256 << 20
+    docs: DataFrame, away: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, growth: float = 1.3, hashes: int = 6, most_bytes: int = 256 << 20
 ) -> DataFrame:
     """Per row of docs: id, held_out (away; such rows aren't learned from), n_tokens (words and an end), n_known (tokens that
     training has), train_tokens, base_score and score: the log10 probability of the text by single tokens with one added to each
     count, and by the model of grams of up to order tokens (see log_probabilities).
 
     Words have A-Z in lower case. Tokens are told apart by 64-bit hashes and their own counts are exact; longer grams are in a
-    Bloom filter whose levels grow by growth and which takes hashes bits a probe. A null or empty text is an end alone. A null in
+    Bloom filter whose levels grow by growth and with hashes bits for each key and level. A null or empty text is an end alone. A null in
     away is false. Rows that repeat an id are texts of their own. Other columns are ignored. An empty table gives no rows; without
     training rows each token has probability 1.
     """
