@@ -58,6 +58,13 @@ def poisson_cuts() -> list[int]:
     return [math.ceil(c * 2**32) for c in cumulative]
 
 
+def percentile_interval(boot: DataFrame, keys: Sequence[str], metric: str, level: float = 0.95) -> DataFrame:
+    """keys, low and high: the metric's percentiles over resamples, of which there are some thousand for each keys."""
+    tail = (1 - level) / 2
+    at = F.percentile(metric, F.array(F.lit(tail), F.lit(1 - tail)))
+    return boot.groupBy(*keys).agg(at.alias("_at")).select(*keys, F.col("_at")[0].alias("low"), F.col("_at")[1].alias("high"))
+
+
 def bootstrap_comparison(boot: DataFrame, observed: DataFrame, reference: str, metrics: Sequence[str] = ("average_precision", "f1_at_rate")) -> DataFrame:
     """For each strategy and metric against the reference: observed and mean difference, bias-corrected interval, share of
     resamples in which it is better (a difference of 0 isn't), the strategy that the mean favours, raw and Holm-adjusted

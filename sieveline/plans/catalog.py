@@ -14,8 +14,9 @@ from sieveline.functions.criteria import CRITERIA, with_any_risk, with_criteria
 from sieveline.operators import evolve, governance, learn, metrics, pareto, prepare, profile, ranking, statistics, validation
 from sieveline.plans import sql as q
 from sieveline.sources import fixtures as fx
+from sieveline.sources import readers, writers
 from sieveline.sources.readers import table
-from sieveline.sources.shared import stored
+from sieveline.sources.shared import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -674,10 +675,81 @@ def operating_point_calibrated_cut(spark, sf_dir):
     return validation.calibrated_cut(*_sides(spark, sf_dir), ST)
 
 
-@query("SELECT i / CAST(100 AS DOUBLE) AS rate, round(2 * least(i / 100.0 / 0.395, 1) / (1 + least(i / 100.0 / 0.395, 1)), 9) AS max_f1 FROM (SELECT unnest(range(1, 81)) AS i)")
+@query(q.ask("SELECT target, i / CAST(100 AS DOUBLE) AS rate, round(2 * least(i / CAST(100 AS DOUBLE) / share, 1) / (1 + least(i / CAST(100 AS DOUBLE) / share, 1)), 9) AS max_f1 FROM ("
+             + " UNION ALL ".join(f"SELECT '{t}' AS target, avg(CAST({t} AS DOUBLE)) AS share FROM crit WHERE split = 'val'" for t in q.Y) + "), (SELECT unnest(range(1, 81)) AS i)"))
 def f1_bound(spark, sf_dir):
-    rate = (F.col("id") / 100).alias("rate")
-    return spark.range(1, 81).select(rate).select("rate", F.round(metrics.f1_bound(F.col("rate"), F.lit(0.395)), 9).alias("max_f1"))
+    """The best F1 that a queue of each rate can have, by the share of positives that each target has among validation rows."""
+    shares = criteria_rows(spark, sf_dir, "val").agg(*[F.avg(F.col(t).cast("double")).alias(t) for t in fx.TARGETS])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("share")) for t in fx.TARGETS])).alias("s")
+    rates = shares.select(each).select("s.*", F.explode(F.sequence(F.lit(1), F.lit(80))).alias("i")).withColumn("rate", F.col("i") / 100)
+    return rates.select("target", "rate", F.round(metrics.f1_bound(F.col("rate"), F.col("share")), 9).alias("max_f1"))
+
+
+# ---- files written and read back
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(lang, '') AS lang, nullif(source, '') AS source, md5(nullif(text, '')) AS text_md5, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+def csv_round_trip(spark, sf_dir):
+    """All documents, whose texts have line ends, quotes and commas, as CSV files and back."""
+    path = new_path(spark, "documents-csv")
+    writers.write_csv(table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text", "n_chars"]), path, one_file=False)
+    return readers.csv_strings(spark, path).select("doc_id", "lang", "source", F.md5("text").alias("text_md5"), "n_chars")
+
+
+@query("""SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1""")
+def csv_two_columns(spark, sf_dir):
+    """Two columns of a wide CSV, typed."""
+    path = new_path(spark, "orders-csv")
+    writers.write_csv(table(spark, sf_dir, "orders"), path, one_file=False)
+    rows = readers.csv_strings(spark, path, ["o_orderstatus", "o_totalprice"])
+    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("o_totalprice").cast("double") * 100).cast("long")).alias("cents"))
+
+
+@query("SELECT 'c_custkey' AS first_column, count(*) AS lines FROM customer")
+def csv_header_and_lines(spark, sf_dir):
+    path = new_path(spark, "customer-csv")
+    writers.write_csv(table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"]), path)
+    return spark.range(1).select(F.lit(readers.csv_header(spark, path)[0]).alias("first_column"), F.lit(readers.line_count(spark, path)).cast("long").alias("lines"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys, min(l_shipdate) AS first_day FROM lineitem GROUP BY 1")
+def parquet_round_trip(spark, sf_dir):
+    """A table written over another and read back, in zstd and by partition."""
+    path, line = new_path(spark, "lineitem"), table(spark, sf_dir, "lineitem")
+    writers.write_table(line.limit(5), path)
+    writers.write_table(line, path, ["l_returnflag"])
+    return spark.read.parquet(path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"), F.min("l_shipdate").alias("first_day"))
+
+
+@query("SELECT n_name AS name, CAST(count(c_custkey) AS BIGINT) AS customers, '| ' || n_name || ' | ' || CAST(count(c_custkey) AS VARCHAR) || ' |' AS markdown FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+def report_round_trip(spark, sf_dir):
+    """A report table as CSV and as Markdown, both read back."""
+    path = new_path(spark, "report")
+    customer = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("c"))
+    writers.write_report(table(spark, sf_dir, "nation").join(customer, "n_nationkey", "left").select(F.col("n_name").alias("name"), F.coalesce("c", F.lit(0)).alias("customers")), path)
+    lines = spark.read.text(f"{path}.md").where(F.col("value").startswith("|")).select(F.col("value").alias("markdown"), F.trim(F.split("value", r"\|")[1]).alias("name"))
+    return readers.csv_typed(spark, f"{path}.csv", "name string, customers long").join(lines, "name").select("name", "customers", "markdown")
+
+
+@query("SELECT o_orderpriority AS name, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+def summary_round_trip(spark, sf_dir):
+    """Counts as a JSON summary, read back."""
+    path = new_path(spark, "summary")
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").count().collect()  # a row per category
+    writers.write_summary(spark, {r["o_orderpriority"]: r["count"] for r in counts}, path)
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,bigint>").alias("m"))
+    return text.select(F.explode("m").alias("name", "n"))
+
+
+@query("""SELECT p_type AS "column", CASE WHEN count(*) FILTER (p_size > 25) > 0 THEN count(*) FILTER (p_size > 25) % 2 = 0 ELSE count(*) > 3 END AS used_as_feature FROM part GROUP BY 1""")
+def manifest_upsert(spark, sf_dir):
+    """A manifest of categories, updated by those of large parts."""
+    part = table(spark, sf_dir, "part")
+    entry = lambda df, used: df.groupBy(F.col("p_type").alias("column")).agg(used.alias("used_as_feature"))
+    small_ = part.join(part.where("p_brand < 'Brand#30'").select("p_type").distinct(), "p_type", "left_semi")
+    held, added = entry(small_, F.count(F.lit(1)) > 3), entry(part.where("p_size > 25"), F.count(F.lit(1)) % 2 == 0)
+    rest = entry(part.join(small_.select("p_type").distinct(), "p_type", "left_anti"), F.count(F.lit(1)) > 3)
+    return writers.upsert_manifest(writers.upsert_manifest(held, rest), added)
 
 
 # ---- Pareto
@@ -825,6 +897,16 @@ def bootstrap_ap(spark, sf_dir):
     return _rounded(_resampled(spark, sf_dir)[1], ("average_precision", "f1_at_rate"), 6)
 
 
+@query(q.ask("""SELECT strategy, round(quantile_cont(average_precision, 0.025), 6) AS low, round(quantile_cont(average_precision, 0.975), 6) AS high FROM (
+    SELECT iteration, strategy, round(coalesce(sum(tp * ctp / cn) / nullif(sum(tp), 0), 0), 9) AS average_precision FROM (
+      SELECT *, sum(tp) OVER (PARTITION BY iteration, strategy ORDER BY score DESC) AS ctp, sum(n) OVER (PARTITION BY iteration, strategy ORDER BY score DESC) AS cn FROM (
+        SELECT iteration, strategy, score, CAST(sum(w * y) AS DOUBLE) AS tp, CAST(sum(w) AS DOUBLE) AS n FROM drawn GROUP BY ALL)) GROUP BY 1, 2) GROUP BY 1""", *q.ON_LONG, _DRAWN))
+def bootstrap_interval(spark, sf_dir):
+    """Percentile interval of each strategy's average precision over its resamples."""
+    boot = _resampled(spark, sf_dir)[1]
+    return _rounded(statistics.percentile_interval(boot, ["strategy"], "average_precision"), ("low", "high"), 6)
+
+
 @query()
 def bootstrap_comparison(spark, sf_dir):
     long, boot = _resampled(spark, sf_dir)

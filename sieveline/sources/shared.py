@@ -4,23 +4,28 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the folder that spark.checkpoint.dir names and read again, so that what reads it several
-    times computes it once and lost executors cost a reread. Where the setting is missing, a local master gets a folder
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the folder that spark.checkpoint.dir names. Where the setting is missing, a local master gets a folder
     under /tmp/checkpoints; on a cluster that is an error, as no machine's own folder is seen by the others."""
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file:///tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/sieveline-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{folder.rstrip('/')}/sieveline-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet to a path of its own and read again, so that what reads it several times computes it once and lost
+    executors cost a reread."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame) -> DataFrame:
