@@ -110,10 +110,13 @@ def sign_flipped(df: DataFrame) -> DataFrame:
     return df.withColumns({"advantage": -F.col("mean_difference"), "advantage_low": -F.col("ci_high"), "advantage_high": -F.col("ci_low")})
 
 
+def dirichlet_vectors(base: Sequence[float], draws: int = 500, concentration: float = 12.0, seed: int = 5) -> list[list[float]]:
+    return np.random.default_rng(seed).dirichlet(concentration * len(base) * np.asarray(base), draws).tolist()
+
+
 def dirichlet_choices(front: DataFrame, base: Sequence[float], draws: int = 500, concentration: float = 12.0, seed: int = 5) -> DataFrame:
     """How often each solution is the pseudo-weight choice if the target weights are drawn round the base ones."""
     from sieveline.operators.pareto import choices_under
 
-    vectors = np.random.default_rng(seed).dirichlet(concentration * len(base) * np.asarray(base), draws)
-    picked = choices_under(front, [(f"d{i:04d}", 0, 1.0, *v) for i, v in enumerate(vectors.tolist())])
+    picked = choices_under(front, [(f"d{i:04d}", 0, 1.0, *v) for i, v in enumerate(dirichlet_vectors(base, draws, concentration, seed))])
     return picked.groupBy("seq").agg(F.count(F.lit(1)).alias("times"))

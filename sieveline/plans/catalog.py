@@ -806,6 +806,16 @@ def weight_perturbation(spark, sf_dir):
     return pareto.choices_under(_front(spark, sf_dir), pareto.perturbed_weights())
 
 
+_DRAWS = ", ".join(f"({i}, " + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in v) + ")" for i, v in enumerate(statistics.dirichlet_vectors(pareto.TARGET_WEIGHTS)))
+_DRAWN_GAP = q.norm_of(f"w_{o} - t_{o}" for o in q.O)
+
+
+@query(q.on_archive(f"SELECT seq, count(*) AS times FROM (SELECT seq, row_number() OVER (PARTITION BY draw ORDER BY {_DRAWN_GAP}, seq) AS z FROM pseudo, draws) WHERE z = 1 GROUP BY 1", q.PSEUDO, f"draws(draw, {', '.join(f't_{o}' for o in q.O)}) AS (VALUES {_DRAWS})"))
+def weight_draws(spark, sf_dir):
+    """How often each solution of the front is chosen if target weights are drawn from a Dirichlet distribution round the base ones."""
+    return statistics.dirichlet_choices(_front(spark, sf_dir), pareto.TARGET_WEIGHTS)
+
+
 @query(q.on_archive("SELECT seq, round(o1, 9) AS o1, round(o4, 9) AS o4, round(o5, 9) AS o5 FROM uniq WHERE o5 BETWEEN 0.04 AND 0.06 AND round(o1 - (SELECT min(o1) FROM uniq WHERE o5 BETWEEN 0.04 AND 0.06), 9) <= 0.05 ORDER BY uniq.o4, seq LIMIT 1"))
 def capacity_band(spark, sf_dir):
     best = pareto.capacity_band(pareto.without_duplicates(fx.archive(spark, sf_dir)))
