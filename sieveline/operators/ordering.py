@@ -16,7 +16,7 @@ _ACCURACY = 10_000
 _FEW = 200_000
 
 
-def _dealt(df: DataFrame, order: Sequence[Column | str], buckets: int | None, label: str) -> DataFrame:
+def dealt(df: DataFrame, order: Sequence[Column | str], buckets: int | None, label: str) -> DataFrame:
     """df in ranges of equal depth, stored, with _at: the range in the upper bits, the place within it in the lower 33. Spark
     measures where ranges end on a sample of rows, so a distribution can't fill one of them, and as order ends with an id,
     rows of one hot value are dealt to as many ranges as they need."""
@@ -29,7 +29,7 @@ def with_place(df: DataFrame, keys: Sequence[str], score: str, id_col: str, plac
 
     Rows are dealt to ranges (the session's shuffle partitions unless buckets says so) and sorted there. A row's place is its
     place in its range and the number of its keys' rows in ranges before; that table has a row for each range and keys that meet."""
-    known = _dealt(df, [*keys, F.desc(score), F.asc(id_col)], buckets, "places")
+    known = dealt(df, [*keys, F.desc(score), F.asc(id_col)], buckets, "places")
     sizes = known.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"), *[F.sum(t).alias(f"_t{i}") for i, t in enumerate(totals)])
     over = Window.partitionBy(*keys)
     above = over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,7 +46,7 @@ def running(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, C
     dealt to ranges as in with_place, a window sees those of one range, and ranges' own sums shift it."""
     order = F.desc(value) if down else F.asc(value)
     own = df.groupBy(*keys, value).agg(*[e.alias(n) for n, e in sums.items()])
-    known = _dealt(own, [*keys, order], buckets, "running")
+    known = dealt(own, [*keys, order], buckets, "running")
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = known.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in sums]).select(*keys, "_range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
     inside = Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -64,7 +64,7 @@ def mid_ranked(df: DataFrame, columns: Sequence[str], id_col: str, keys: Sequenc
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("_column"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)])).alias("e")
     long = df.select(*keys, F.col(id_col).alias("_id"), each).select(*keys, "_id", "e._column", "e._value").where(F.col("_value").isNotNull())
     by = [*keys, "_column"]
-    known = _dealt(long, [*by, "_value", "_id"], None, "ranks")
+    known = dealt(long, [*by, "_value", "_id"], None, "ranks")
     over = Window.partitionBy(*by)
     sizes = known.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
     earlier = over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,21 +81,6 @@ def mid_ranked(df: DataFrame, columns: Sequence[str], id_col: str, keys: Sequenc
     return wide.select(*keys, F.col("_id").alias(id_col), *[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def _apart(brackets: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Brackets that overlap made one, in order."""
-    out: list[tuple[float, float]] = []
-    for lo, hi in sorted(brackets):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
-
-
-def _inside(c: str, lo: float, hi: float) -> Column:
-    return F.when((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)), F.col(c))
-
-
 def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int = _ACCURACY, few: int = _FEW) -> dict[str, list[float | None]]:
     """The exact percentiles of each column, interpolated between order statistics. Nulls and NaN are left out; None for a
     column without a value. Infinities are values, the smallest and the largest; between two opposite ones is NaN.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
@@ -19,45 +18,6 @@ def holm(df: DataFrame, p: str, group: Sequence[str] = (), ties: str = "comparis
     return df.withColumn("_step", step).withColumn("holm", F.least(F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(1.0))).drop("_step")
 
 
-def poisson_bootstrap(long: DataFrame, strategies: Sequence[str], resamples: int = 1000, seed: int = 7, rate: float = 0.2, id_col: str = "sample_row_id") -> DataFrame:
-    """iteration, strategy, average_precision and f1_at_rate of resampled rows; all strategies see the same resamples.
-
-    Each row enters each resample as often as a Poisson(1) draw from an MD5 hash of its id and the iteration says; one hash
-    gives four draws. This is the bootstrap that needs no row to know of others: a resample differs from one of exactly n
-    rows in its size only. Draws of 0 are dropped in the stage that makes them. Metrics come from sums per distinct
-    score; of rows with equal scores at the edge of the top, the share that fits is taken.
-    """
-    # cumulative Poisson(1) probabilities in 2^-32; 12 and more have less than 1e-9
-    cuts = poisson_cuts()
-    rows = long.where(F.col("y").isNotNull() & F.col("strategy").isin(*strategies))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("four").cast("string")))
-    each = rows.groupBy(id_col).agg(F.collect_list(F.struct("strategy", "score", "y")).alias("each"))  # a row per strategy
-    hashed = each.withColumn("four", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1)))).withColumn("digest", digest)
-    drawn = hashed.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("iteration", F.col("four") * 4 + F.col("part")).where(F.col("iteration") < resamples)
-    u = F.conv(F.substring("digest", F.col("part") * 8 + 1, F.lit(8)), 16, 10).cast("long")
-    drawn = drawn.withColumn("u", u).withColumn("w", sum(((F.col("u") >= c).cast("int") for c in cuts[1:]), (F.col("u") >= cuts[0]).cast("int"))).where("w > 0")
-    drawn = drawn.select("iteration", "w", F.inline("each"))
-    keys = ["iteration", "strategy"]
-    at = drawn.groupBy(*keys, "score").agg(F.sum(F.col("w") * F.col("y")).alias("tp"), F.sum("w").alias("n"))
-    over = Window.partitionBy(*keys)
-    down = over.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = at.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down)).withColumn("k", F.ceil(F.sum("n").over(over) * F.lit(float(rate))))
-    inside = F.col("tp") * F.least(F.greatest(F.col("k") - (F.col("cn") - F.col("n")), F.lit(0)), F.col("n")) / F.col("n")
-    zero = lambda e: F.round(F.coalesce(e, F.lit(0.0)), 9)
-    return steps.groupBy(*keys).agg(
-        zero(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp"))).alias("average_precision"),
-        zero(F.try_divide(2 * F.sum(inside), F.max("k") + F.sum("tp"))).alias("f1_at_rate"),
-    )
-
-
-def poisson_cuts() -> list[int]:
-    cumulative, term = [], math.exp(-1)
-    for k in range(12):
-        cumulative.append((cumulative[-1] if cumulative else 0.0) + term)
-        term /= k + 1
-    return [math.ceil(c * 2**32) for c in cumulative]
-
-
 def percentile_interval(boot: DataFrame, keys: Sequence[str], metric: str, level: float = 0.95) -> DataFrame:
     """keys, low and high: the metric's percentiles over resamples, of which there are some thousand for each keys."""
     tail = (1 - level) / 2

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import cleaning as cl
 from sieveline.functions.criteria import CRITERIA, with_any_risk, with_criteria
-from sieveline.operators import evolve, governance, learn, metrics, pareto, prepare, profile, ranking, statistics, validation
+from sieveline.operators import evolve, governance, learn, metrics, pareto, prepare, profile, ranking, resampling, statistics, validation
 from sieveline.plans import sql as q
 from sieveline.sources import fixtures as fx
 from sieveline.sources import readers, writers
@@ -889,15 +889,15 @@ def holm_adjust(spark, sf_dir):
     return statistics.holm(p, "p").withColumn("holm", F.round("holm", 9))
 
 
-_CUTS_SQL = " + ".join(f"CAST(u >= {c} AS INT)" for c in statistics.poisson_cuts())
+_CUTS_SQL = " + ".join(f"CAST(u >= {c} AS INT)" for c in resampling.poisson_cuts())
 _DRAWN = f"""drawn AS (SELECT iteration, strategy, score, y, {_CUTS_SQL} AS w FROM (
   SELECT l.*, four * 4 + part AS iteration, CAST('0x' || substr(md5('7|' || CAST(sample_row_id AS VARCHAR) || '|' || CAST(four AS VARCHAR)), CAST(part * 8 + 1 AS BIGINT), 8) AS BIGINT) AS u
   FROM long l, (SELECT unnest(range(0, 250)) AS four), (SELECT unnest(range(0, 4)) AS part) WHERE target = 'y_cri_high' AND y IS NOT NULL) WHERE {_CUTS_SQL} > 0)"""
 
 
-def _resampled(spark, sf_dir):
+def _resampled(spark, sf_dir, draw=resampling.poisson_repeats):
     long = stored(_long(spark, sf_dir).where("target = 'y_cri_high'"), "bootstrap-rows")
-    return long, stored(statistics.poisson_bootstrap(long, validation.STRATEGIES), "bootstrap")
+    return long, stored(resampling.bootstrap(long, validation.STRATEGIES, draw=draw), "bootstrap")
 
 
 @query(q.ask("""SELECT iteration, strategy, round(round(coalesce(sum(tp * ctp / cn) / nullif(sum(tp), 0), 0), 9), 6) AS average_precision, round(round(coalesce(2 * sum(tp * least(greatest(k - (cn - n), 0), n) / n) / nullif(max(k) + sum(tp), 0), 0), 9), 6) AS f1_at_rate FROM (
@@ -917,9 +917,15 @@ def bootstrap_interval(spark, sf_dir):
     return _rounded(statistics.percentile_interval(boot, ["strategy"], "average_precision"), ("low", "high"), 6)
 
 
+@query()
+def bootstrap_exact(spark, sf_dir):
+    """Metrics of 1,000 resamples of exactly as many rows as there are."""
+    return _rounded(_resampled(spark, sf_dir, resampling.exact_repeats)[1], ("average_precision", "f1_at_rate"), 6)
+
+
 @query()
 def bootstrap_comparison(spark, sf_dir):
-    long, boot = _resampled(spark, sf_dir)
+    long, boot = _resampled(spark, sf_dir, resampling.exact_repeats)
     at = metrics.threshold_table(long, ["strategy"], [0.2]).select("strategy", F.col("f1").alias("f1_at_rate"))
     return statistics.bootstrap_comparison(boot, metrics.average_precision(long, ["strategy"]).join(at, "strategy"), "raw")
 

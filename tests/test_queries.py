@@ -7,6 +7,7 @@ from functools import cache
 import pytest
 
 import __spark_entry__
+from sieveline.operators import resampling
 from sieveline.plans import catalog
 from sieveline.sources import fixtures
 from sieveline.sources.shared import stored
@@ -50,7 +51,7 @@ def test_every_oracle_has_a_query():
 def test_comparison_of_resamples(spark):
     rows = {(r["strategy"], r["metric"]): r for r in catalog.bootstrap_comparison(spark, SF).collect()}
     assert rows.keys() == {(s, m) for s in ("baseline", "consensus") for m in ("average_precision", "f1_at_rate")}
-    boot = catalog._resampled(spark, SF)[1].collect()
+    boot = catalog._resampled(spark, SF, resampling.exact_repeats)[1].collect()
     at = {(r["strategy"], r["iteration"]): r for r in boot}
     assert len(at) == 3000
     for (strategy, metric), r in rows.items():
