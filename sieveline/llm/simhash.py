@@ -309,16 +309,21 @@ def near_duplicate_groups(
     )
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with one row of each group: the one with the least id and, of rows that repeat it, the least hash of the text
-    (groups.least). A row without id can't stand for a group and stays."""
-    stay = groups.select("least.id", "least.content").where(F.col("id").isNotNull()).select(F.col("id").alias("_sl_id"), F.col("content").alias("_sl_is")).distinct()
-    rows = docs.withColumn("_sl_content", content_of(F.col(text_col)))
-    kept = rows.join(stay, (F.col(id_col) == F.col("_sl_id")) & (F.col("_sl_content") == F.col("_sl_is"))).drop("_sl_id", "_sl_is")
-    nth = F.expr(f"row_number() OVER (PARTITION BY `{id_col}`, _sl_content ORDER BY `{text_col}` NULLS LAST)")
-    return kept.withColumn("_sl_nth", nth).where("_sl_nth = 1").drop("_sl_nth", "_sl_content").unionByName(docs.where(F.col(id_col).isNull()))
+def one_of_each(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each group: the one with the least id, none coming last, and, of rows that repeat it, the least hash of
+    the text (groups.least). Of rows that repeat both, the least hash of all columns but maps stays. rows has id and content of each of docs."""
+    counted = rows.groupBy(F.struct("id", "content").alias("_sl_key")).agg(F.count(F.lit(1)).alias("_sl_n"))
+    stay = groups.select(F.struct("least.id", "least.content").alias("_sl_key")).distinct()
+    stay = stored(counted.join(stay, "_sl_key"), "groups-stay")
+    keyed = docs.withColumn("_sl_key", F.struct(F.col(id_col).alias("id"), content_of(F.col(text_col)).alias("content")))
+    kept = join_counted(keyed, stay, "_sl_key", "_sl_n")
+    # repeats are few rows or of few keys, which meet in tasks before they are shuffled
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    again = kept.where("_sl_n > 1").groupBy("_sl_key").agg(F.min_by(F.struct(*columns), order).alias("_sl_row")).select("_sl_row.*")
+    return kept.where("_sl_n = 1").select(*columns).unionByName(again)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
     """docs with one row of each group of near_duplicate_groups, as one_of_each has it."""
-    return one_of_each(docs, _groups(docs, id_col, text_col, width, max_bits)[1], id_col, text_col)
+    return one_of_each(docs, *_groups(docs, id_col, text_col, width, max_bits), id_col, text_col)

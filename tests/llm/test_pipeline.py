@@ -63,9 +63,9 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
             n, most = out.count(), docs.count()
-            if name in ("toxicity", "simhash", "decontamination"):
-                # of eleven rows three have one text, four are blank, and the one without id can't stand for a group
-                assert n == (6 if name == "simhash" else 11) * (most > 0)
+            if name in ("toxicity", "near_copies", "decontamination"):
+                # of eleven rows three have one text and four are blank
+                assert n == (6 if name == "near_copies" else 11) * (most > 0)
             elif name == "sharding":
                 assert n == most and set(out.columns) == {*docs.columns, "shard", "slot"}
             else:
