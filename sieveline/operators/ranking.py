@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sieveline.functions.criteria import CRITERIA
 from sieveline.operators.metrics import average_precision
 from sieveline.operators.ordering import percentiles, with_place
-from sieveline.sources.shared import small
+from sieveline.sources.shared import small, stored
 
 NORMALIZATIONS = ("minmax", "vector", "sum", "robust")
 WEIGHTINGS = ("equal", "entropy", "critic", "validation_ap")
@@ -177,27 +177,29 @@ SCORERS: dict[str, Scorer] = {
 }
 
 
-def scored(df: DataFrame, weight_rows: DataFrame, keys: Sequence[str], methods: Sequence[str] = tuple(SCORERS), columns: Sequence[str] = CRITERIA) -> DataFrame:
+def scored(df: DataFrame, weight_rows: DataFrame, keys: Sequence[str], methods: Sequence[str] = tuple(SCORERS), columns: Sequence[str] = CRITERIA, store: bool = False) -> DataFrame:
     """df's other columns, weighting, method and score in [0, 1] (9 digits), for every weighting of df's configuration.
     Scores depend on the rows that are scored together: those of equal keys and weighting.
 
-    Statistics come in three passes over df, each for all methods together: of criteria, of the scorers' parts, and of raw
-    scores. Each is a row per configuration, so the last plan is df, three broadcast joins and one projection. A criterion
-    whose weight is 0 takes no part in any score."""
+    Statistics come in three passes over df: of criteria, of the scorers' parts, and of raw scores. Each is a row per configuration, so
+    the last plan is df, three broadcast joins and one projection. Each method has a projection of its own: one of all methods is
+    more code in a method than the JVM compiles. store: raw scores are written once, for callers that read them
+    several times. A criterion whose weight is 0 takes no part in any score."""
     kept = [c for c in df.columns if c not in columns and c not in keys]
     named = small(weight_rows.select(*keys, "weighting", *[F.col(c).alias(f"w_{c}") for c in columns]))
     basic = small(df.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max), ("avg", F.avg))]))
     meet = lambda a, b, on: a.join(b, [*on]) if on else a.crossJoin(b)  # noqa: E731  (one row a configuration)
-    config = [*keys, "weighting"]
-    parts = {n: e for m in methods for n, e in SCORERS[m].parts(columns).items()}
-    wide = meet(meet(df, named, keys), basic, keys).select(*config, *kept, *columns, *[f"w_{c}" for c in columns], *[f"{c}_{n}" for c in columns for n in ("lo", "hi", "avg")], *[e.alias(n) for n, e in parts.items()])
-    if parts:
-        wide = per_group(wide, config, [f(n).alias(f"{n}_{k}") for n in parts for k, f in (("lo", F.min), ("hi", F.max), ("sum", F.sum))])
-    raw = wide.select(*config, *kept, *[SCORERS[m].raw(columns).alias(f"raw_{m}") for m in methods])
-    ends = per_group(raw, config, [f(f"raw_{m}").alias(f"{n}_{m}") for m in methods for n, f in (("lo", F.min), ("hi", F.max))])
-    score = lambda m: F.round((F.col(f"raw_{m}") - F.col(f"lo_{m}")) / _safe(F.col(f"hi_{m}") - F.col(f"lo_{m}")), 9)
-    every = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), score(m).alias("score")) for m in methods])).alias("_s")
-    return ends.select(*config, *kept, every).select(*config, "_s.method", *kept, "_s.score")
+    config, out = [*keys, "weighting"], []
+    for m in methods:
+        parts = SCORERS[m].parts(columns)
+        wide = meet(meet(df, named, keys), basic, keys).select(*config, *kept, *columns, *[f"w_{c}" for c in columns], *[f"{c}_{n}" for c in columns for n in ("lo", "hi", "avg")], *[e.alias(n) for n, e in parts.items()])
+        if parts:
+            wide = per_group(wide, config, [f(n).alias(f"{n}_{k}") for n in parts for k, f in (("lo", F.min), ("hi", F.max), ("sum", F.sum))])
+        raw = wide.select(*config, *kept, SCORERS[m].raw(columns).alias("_raw"))
+        ends = per_group(stored(raw, "raw-scores") if store else raw, config, [f("_raw").alias(f"_{n}") for n, f in (("lo", F.min), ("hi", F.max))])
+        score = F.round((F.col("_raw") - F.col("_lo")) / _safe(F.col("_hi") - F.col("_lo")), 9)
+        out.append(ends.select(*config, F.lit(m).alias("method"), *kept, score.alias("score")))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def ranked(df: DataFrame, rate: float, keys: Sequence[str] = (), id_col: str = "sample_row_id") -> DataFrame:

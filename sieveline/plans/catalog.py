@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import cleaning as cl
 from sieveline.functions.criteria import CRITERIA, with_any_risk, with_criteria
-from sieveline.operators import evolve, governance, learn, metrics, pareto, prepare, profile, ranking, resampling, statistics, validation
+from sieveline.operators import curves, evolve, governance, learn, metrics, pareto, prepare, profile, ranking, resampling, statistics, validation
 from sieveline.plans import sql as q
 from sieveline.sources import fixtures as fx
 from sieveline.sources import readers, writers
@@ -451,18 +451,19 @@ def metric_topk_jaccard(spark, sf_dir):
 
 def grid_scores(val: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scores of every configuration on validation rows, and the weights that the labelled ones give."""
-    rows = stored(ranking.normalized(val, val), "grid-rows")
+    rows = stored(ranking.normalized(val, val).select("normalization", "sample_row_id", "y_cri_high", "y_any_risk", *CRITERIA), "grid-rows")
     weights = ranking.weights(rows.where(F.col("y_cri_high").isNotNull()), ["normalization"])
-    return ranking.scored(rows, weights, ["normalization"]), weights
+    return ranking.scored(rows, weights, ["normalization"], store=True), weights
 
 
 def grid_rows(scores: DataFrame) -> DataFrame:
     """Every configuration's performance on validation rows and its selection score."""
-    # both labels side by side: the scores are computed once
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in ("y_cri_high", "y_any_risk")])).alias("t")
-    long = stored(scores.select(*CONFIG, "sample_row_id", "score", each).select(*CONFIG, "sample_row_id", "score", "t.*"), "grid-scores")
-    keys = [*CONFIG, "target"]
-    both = metrics.average_precision(long, keys).join(metrics.best_threshold(long, keys), keys)
+    # both labels go through one sort of the scores
+    labels = ("y_cri_high", "y_any_risk")
+    named = F.element_at(F.array(*[F.lit(t) for t in labels]), F.col("label") + 1).alias("target")
+    found, keys = curves.measured(scores, CONFIG, labels, metrics.RATES), [*CONFIG, "target"]
+    found = found.select("*", named)
+    both = found.select(*keys, metrics.precision_area()).join(metrics.best_rate(metrics.rate_rows(found, keys, metrics.RATES), keys), keys)
     one = lambda c, t, name: F.max(F.when(F.col("target") == t, F.col(c))).alias(name)
     wide = both.groupBy(*CONFIG).agg(
         one("average_precision", "y_cri_high", "primary_ap"), one("rate", "y_cri_high", "primary_rate"), one("f1", "y_cri_high", "primary_f1"), one("ndcg", "y_cri_high", "primary_ndcg"),
