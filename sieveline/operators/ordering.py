@@ -37,7 +37,8 @@ def with_place(df: DataFrame, keys: Sequence[str], score: str, id_col: str, plac
         *keys, "_range", (F.coalesce(F.sum("_size").over(above), F.lit(0)) - F.col("_first") + 1).alias("_shift"), F.sum("_size").over(over).alias("_rows"),
         *[F.sum(f"_t{i}").over(over).alias(f"_total{i}") for i in range(len(totals))],
     )
-    return known.join(shift, [*keys, "_range"]).withColumn(place, F.col("_at") + F.col("_shift")).drop("_range", "_shift", "_at")
+    # a row for each range and keys that meet
+    return known.join(F.broadcast(shift), [*keys, "_range"]).withColumn(place, F.col("_at") + F.col("_shift")).drop("_range", "_shift", "_at")
 
 
 def running(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column], down: bool = True, buckets: int | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def running(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, C
     shift = known.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in sums]).select(*keys, "_range", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
     inside = Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = known.withColumns({f"c_{n}": F.sum(n).over(inside) for n in sums})
-    return at.join(shift, [*keys, "_range"]).select(*keys, value, *sums, *[(F.col(f"c_{n}") + F.col(f"_b_{n}")).alias(f"c_{n}") for n in sums])
+    return at.join(F.broadcast(shift), [*keys, "_range"]).select(*keys, value, *sums, *[(F.col(f"c_{n}") + F.col(f"_b_{n}")).alias(f"c_{n}") for n in sums])
 
 
 def mid_ranked(df: DataFrame, columns: Sequence[str], id_col: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -70,10 +71,10 @@ def mid_ranked(df: DataFrame, columns: Sequence[str], id_col: str, keys: Sequenc
     earlier = over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select(*by, "_range", "_lo", "_hi", (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     tied = Window.partitionBy(*by, "_range", "_value")
-    placed = known.withColumn("_a", F.min("_at").over(tied)).withColumn("_b", F.max("_at").over(tied)).join(shift, [*by, "_range"])
+    placed = known.withColumn("_a", F.min("_at").over(tied)).withColumn("_b", F.max("_at").over(tied)).join(F.broadcast(shift), [*by, "_range"])
     placed = placed.withColumn("_a", F.col("_a") + F.col("_shift")).withColumn("_b", F.col("_b") + F.col("_shift"))
     # only the first and the last value of a range can be in another: two rows a range
-    ends = known.join(shift, [*by, "_range"]).where((F.col("_value") == F.col("_lo")) | (F.col("_value") == F.col("_hi")))
+    ends = known.join(F.broadcast(shift), [*by, "_range"]).where((F.col("_value") == F.col("_lo")) | (F.col("_value") == F.col("_hi")))
     ends = ends.groupBy(*by, "_range", "_value").agg((F.min("_at") + F.first("_shift")).alias("_a"), (F.max("_at") + F.first("_shift")).alias("_b"))
     ends = ends.groupBy(*by, "_value").agg(F.min("_a").alias("_from"), F.max("_b").alias("_to"), F.count(F.lit(1)).alias("_in")).where("_in > 1").drop("_in")
     ranked = placed.join(F.broadcast(ends), [*by, "_value"], "left").withColumn("_rank", (F.coalesce("_from", "_a") + F.coalesce("_to", "_b")) / 2)
