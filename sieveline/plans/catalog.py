@@ -526,7 +526,7 @@ def _evaluated(spark, sf_dir, split: str):
     val, test = _val_and_test(spark, sf_dir)
     configs = stored(pareto.decoded(fx.configurations(spark, sf_dir, CRITERIA), CRITERIA), "configurations")
     rows = stored(ranking.normalized(val if split == "val" else test, val).select("normalization", "sample_row_id", "y_cri_high", "y_any_risk", *CRITERIA), "archive-rows")
-    scores = stored(pareto.archive_scores(configs, rows, CRITERIA), "archive-scores")
+    scores = pareto.archive_scores(configs, rows, CRITERIA)
     return configs, scores, stored(pareto.evaluated(configs, scores, "y_cri_high", "y_any_risk"), "archive-results")
 
 
