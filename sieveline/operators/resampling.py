@@ -62,9 +62,25 @@ def _paths(ids: DataFrame, depth: int) -> DataFrame:
     return each.select("block", "level", F.expr("shiftright(child, 1)").alias("node"), (F.col("child") % 2 == 0).alias("is_left")).join(below, ["level", "node"]).select("block", "level", "node", "left", "both", "is_left")
 
 
-def repeats(rows: DataFrame, id_col: str, resamples: int, seed: int, draw: Callable = exact_repeats, each: int = _BLOCK) -> DataFrame:
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as bits, each so many ones and a zero: two bits for a count of mean 1, which is near what its distribution needs."""
+    bits = np.ones(len(counts) + int(counts.sum()), bool)
+    bits[np.cumsum(counts + 1) - 1] = False
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(packs: Sequence[bytes], resamples: int) -> np.ndarray:
+    """Rows of packed as a matrix."""
+    out = np.empty((len(packs), resamples), np.int64)
+    for i, own in enumerate(packs):
+        zeros = np.flatnonzero(np.unpackbits(np.frombuffer(own, np.uint8)) == 0)[:resamples]
+        out[i] = np.diff(zeros, prepend=-1) - 1
+    return out
+
+
+def repeats(rows: DataFrame, id_col: str, resamples: int, seed: int, draw: Callable = exact_repeats, each: int = _BLOCK, pack: bool = False) -> DataFrame:
     """rows (id_col, strategy, score, y) as (block, strategy, score, y, rows, w): w holds the repeats of rows of a block that
-    are equal but for their id, two bytes a resample. All rows of an id have the same repeats. Ids are dealt to blocks of
+    are equal but for their id, two bytes a resample or, with pack, as packed has them. All rows of an id have the same repeats. Ids are dealt to blocks of
     about `each` by hash."""
     named = stored(rows.select(F.col(id_col).cast("string").alias("name"), "strategy", F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(-math.inf)), F.lit(-math.inf)).alias("score"), F.col("y").cast("int").alias("y")), "resampled-rows")
     known = named.select("name").distinct()
@@ -78,9 +94,9 @@ def repeats(rows: DataFrame, id_col: str, resamples: int, seed: int, draw: Calla
         out = []
         for keys, index in own.groupby(["strategy", "score", "y"], sort=True).indices.items():
             sums = w[at[index]].sum(axis=0, dtype=np.int64)
-            if sums.max(initial=0) > np.iinfo(np.uint16).max:
+            if not pack and sums.max(initial=0) > np.iinfo(np.uint16).max:
                 raise ValueError("a block's equal rows are drawn more than 65,535 times: ids aren't unique in a strategy")
-            out.append((number, *keys, len(index), sums.astype(np.uint16).tobytes()))
+            out.append((number, *keys, len(index), packed(sums) if pack else sums.astype(np.uint16).tobytes()))
         return pd.DataFrame(out, columns=["block", "strategy", "score", "y", "rows", "w"])
 
     dealt_rows = named.select(block, "*").groupBy("block")
@@ -88,10 +104,6 @@ def repeats(rows: DataFrame, id_col: str, resamples: int, seed: int, draw: Calla
     return dealt_rows.cogroup(paths).applyInPandas(run, "block int, strategy string, score double, y int, rows long, w binary")
 
 
-def _matrix(w: pd.Series, resamples: int) -> np.ndarray:
-    return np.frombuffer(b"".join(w), np.uint16).reshape(-1, resamples)
-
-
 def bootstrap(long: DataFrame, strategies: Sequence[str], resamples: int = 1000, seed: int = 7, rate: float = 0.2, id_col: str = "sample_row_id", draw: Callable = exact_repeats, block: int = _BLOCK, rows_each: int = _RANGE) -> DataFrame:
     """iteration, strategy, average_precision and f1_at_rate of resampled rows; all strategies see the same resamples.
 
@@ -104,7 +116,7 @@ def bootstrap(long: DataFrame, strategies: Sequence[str], resamples: int = 1000,
     pass adds up the metrics within ranges. Scores at a range's ends may go on in others and are added up over ranges first.
     """
     labelled = long.where(F.col("y").isNotNull() & F.col("strategy").isin(*strategies))
-    drawn = stored(repeats(labelled, id_col, resamples, seed, draw, block), "repeats")
+    drawn = stored(repeats(labelled, id_col, resamples, seed, draw, block, pack=True), "repeats")
     ranges = max(1, -(-drawn.count() // rows_each))
     known = dealt(drawn, ["strategy", F.desc("score"), "block", "y"], ranges, "repeats-dealt").drop("block", "rows")
     ends = stored(known.groupBy("_range", "strategy").agg(F.max("score").alias("first"), F.min("score").alias("last")), "repeats-ends")
@@ -114,7 +126,7 @@ def bootstrap(long: DataFrame, strategies: Sequence[str], resamples: int = 1000,
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            w, y, out = _matrix(batch["w"], resamples), batch["y"].to_numpy(), []
+            w, y, out = unpacked(batch["w"], resamples), batch["y"].to_numpy(), []
             for keys, index in batch.groupby(["_range", "strategy", "slot", "at"]).indices.items():
                 out.append((*keys, w[index].sum(axis=0, dtype=np.int64).tolist(), w[index[y[index] > 0]].sum(axis=0, dtype=np.int64).tolist()))
             yield pd.DataFrame(out, columns=["_range", "strategy", "slot", "at", "n", "tp"])
@@ -134,13 +146,13 @@ def bootstrap(long: DataFrame, strategies: Sequence[str], resamples: int = 1000,
         out, starts = [], dict([*starts.groupby("strategy")])
         for strategy, own in rows.groupby("strategy"):
             own, at = own.sort_values("score", ascending=False, kind="stable"), starts[strategy].sort_values("iteration")
-            w, y, s = _matrix(own["w"], resamples), own["y"].to_numpy()[:, None], own["score"].to_numpy()
+            w, y, s = unpacked(own["w"], resamples), own["y"].to_numpy()[:, None], own["score"].to_numpy()
             firsts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             cn0, ctp0, k = (at[c].to_numpy() for c in ("cn", "ctp", "k"))
             for lo in range(0, resamples, 50):
                 part = slice(lo, lo + 50)
-                n = np.add.reduceat(w[:, part].astype(np.int64), firsts)
-                tp = np.add.reduceat(w[:, part] * (y > 0).astype(np.int64), firsts)
+                n = np.add.reduceat(w[:, part], firsts)
+                tp = np.add.reduceat(w[:, part] * (y > 0), firsts)
                 cn, ctp = cn0[part] + n.cumsum(axis=0), ctp0[part] + tp.cumsum(axis=0)
                 area = (tp * ctp / np.maximum(cn, 1)).sum(axis=0)
                 top = (tp * np.clip(k[part] - (cn - n), 0, n) / np.maximum(n, 1)).sum(axis=0)
