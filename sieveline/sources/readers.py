@@ -44,7 +44,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     opened = stored(blocks.withColumn("_open", F.coalesce(F.sum("_q").over(before), F.lit(0)) % 2), "csv-blocks").drop("_q")
     split = ["_file", "_block"]
-    known = lines.join(opened, split)
+    known = lines.join(F.broadcast(opened), split)  # a row a split
     plain = known.where((F.col("_odd") == 0) & (F.col("_open") == 0)).select(*_PLACE, F.col("value").alias("record"))
     earlier = Window.partitionBy(*split).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     so_far = Window.partitionBy(*split).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -57,7 +57,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     from_before = last.select(*split, F.last(held, ignorenulls=True).over(before).alias("_from"))
     at = F.when(F.col("_first").isNotNull(), F.struct(F.col("_block").alias("b"), F.col("_first").alias("f"))).otherwise(F.col("_from"))
     # a record that no line begins is one that its file never closes
-    placed = other.join(from_before, split).select("_file", at.alias("_record"), "_block", "_at", "value", "_quotes")
+    placed = other.join(F.broadcast(from_before), split).select("_file", at.alias("_record"), "_block", "_at", "value", "_quotes")
     single = (F.col("_block") == F.col("_record.b")) & (F.col("_at") == F.col("_record.f")) & (F.col("_quotes") % 2 == 0)
     alone = placed.where(single).select(*_PLACE, F.col("value").alias("record"))
     parts = placed.where(~single).groupBy("_file", F.col("_record.b").alias("_record_block"), F.col("_record.f").alias("_record_at"))
@@ -82,7 +82,7 @@ def _parsed(records: DataFrame, schema: T.StructType | None = None) -> tuple[Dat
     width = heads[0]["record"].count(",") + 1
     row = records.sparkSession.createDataFrame([(heads[0]["record"],)], "record string").select(_fields(F.col("record"), [f"c{i}" for i in range(width)]).alias("f")).first()["f"]
     names = [n for n in row if n is not None]
-    body = records.join(first.select("_file", F.lit(0).cast("long").alias("_block"), "_at"), _PLACE, "left_anti")
+    body = records.join(F.broadcast(first.select("_file", F.lit(0).cast("long").alias("_block"), "_at")), _PLACE, "left_anti")  # a row a file
     return body.select(_fields(F.col("record"), names, schema).alias("f")), names
 
 
