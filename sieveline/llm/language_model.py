@@ -25,8 +25,8 @@ _LONG = 256
 _GATHERED, _WINDOW, _MERGED = 1_000_000, 250_000, 1_000_000
 #: Characters that are scored together, but for a longer text; bytes of text for each part of the filter, and the largest number of parts.
 _TOGETHER, _PART, _PARTS = 1_500_000, 16 << 20, 1 << 16
-#: Bytes of tables that are broadcast at once.
-_PIECE = 16 << 20
+#: Bytes of tables that are broadcast at once; bytes that a task holds in one pass over the texts, but for single tokens' counts.
+_PIECE, _HELD = 16 << 20, 64 << 20
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,13 +100,19 @@ class Model:
     def look(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct grams of kind tokens: exact for single tokens, a level's middle for longer ones."""
         out = np.zeros(len(keys), np.float64)
-        part = part_of(keys, self.parts)
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
-        for s, e in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-            if (table := self.tables.get((kind, int(part[s])))) is not None:
+        for part, s, e in _by_part(keys, self.parts):
+            if (table := self.tables.get((kind, part))) is not None:
                 out[s:e] = answer(table, keys[s:e], self.levels)
         return out
 
+    def look_levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Levels of sorted distinct grams of kind tokens, 0 where their table isn't among those held."""
+        out = np.zeros(len(keys), np.uint8)
+        for part, s, e in _by_part(keys, self.parts):
+            if (table := self.tables.get((kind, part))) is not None:
+                out[s:e] = table.levels(keys[s:e])
+        return out
+
 
 def answer(table, keys: np.ndarray, levels: Levels) -> np.ndarray:
     if isinstance(table, CountFilter):
@@ -116,15 +122,20 @@ def answer(table, keys: np.ndarray, levels: Levels) -> np.ndarray:
     return np.where(held[at] == keys, counts[at], 0).astype(np.float64)
 
 
-def log_probabilities(tokens: np.ndarray, place: np.ndarray, model: Model, look: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log_probabilities(
+    tokens: np.ndarray, place: np.ndarray, model: Model, look: Callable[[int, np.ndarray], np.ndarray], found: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(base, model's, count) of each token. The base is (c + 1) / (N + V + 1). From there on each longer context h mixes in its
     own share: p = (c(h w) + K p) / (c(h) + K) with K = c(h) ** power, so that probabilities after h add up to 1 as far as levels
-    have the counts. A gram can't be more frequent than its context or its end, which also mends most false hits of the filter."""
+    have the counts. A gram can't be more frequent than its context or its end, which also mends most false hits of the filter.
+    found has the levels of grams of two and more tokens that other tables than look's know, a row for each length."""
     known = []
     for k, grams in enumerate(grams_of(tokens, place, model.order), 1):
         keys, at = np.unique(grams, return_inverse=True)
         known.append(look(k, keys)[at])
         if k > 1:
+            if found is not None:
+                known[-1] = np.maximum(known[-1], model.levels.middles[found[k - 2]])
             context = np.where(place > 0, np.concatenate([[0], known[-2][:-1]]), model.texts)
             known[-1] = np.minimum(np.minimum(known[-1], context), known[-2])
             give = np.where(context > 0, context ** model.powers[k - 1], 1)
@@ -134,22 +145,36 @@ def log_probabilities(tokens: np.ndarray, place: np.ndarray, model: Model, look:
     return np.log10(base), np.log10(p), known[0]
 
 
-def text_scores(texts: list[str | None], model: Model, look: Callable[[int, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+def text_scores(texts: list[str | None], model: Model, look: Callable[[int, np.ndarray], np.ndarray], found: np.ndarray | None = None) -> list[np.ndarray]:
     """[tokens, known tokens, base score, score] of the texts, some tokens at a time. Sums are taken text by text in billionths,
-    so they don't depend on what else is scored."""
+    so they don't depend on what else is scored. found: as in log_probabilities."""
     tokens, n = tokens_of(texts)
     place, doc = places(n), np.repeat(np.arange(len(n)), n)
     known, base, score = (np.zeros(len(n), np.int64) for _ in range(3))
     for s in range(0, len(tokens), _WINDOW):
         lead = min(s, model.order - 1)
         span = slice(s - lead, s + _WINDOW)
-        low, high, count = (x[lead:] for x in log_probabilities(tokens[span], place[span], model, look))
+        low, high, count = (x[lead:] for x in log_probabilities(tokens[span], place[span], model, look, None if found is None else found[:, span]))
         own = doc[s : s + _WINDOW]
         for out, x in ((known, count > 0), (base, np.rint(low * 1e9)), (score, np.rint(high * 1e9))):
             np.add.at(out, own, x.astype(np.int64))
     return [n, known, base / 1e9, score / 1e9]
 
 
+def text_levels(texts: list[str | None], model: Model, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the grams of two and more tokens that end at each token, a row for each length, as far as the model's tables and
+    found have them; and the number of tokens of each text."""
+    tokens, n = tokens_of(texts)
+    place, out = places(n), np.zeros((model.order - 1, n.sum()), np.uint8)
+    for s in range(0, len(tokens), _WINDOW):
+        lead = min(s, model.order - 1)
+        span = slice(s - lead, s + _WINDOW)
+        for k, grams in enumerate(grams_of(tokens[span], place[span], model.order)[1:], 2):
+            keys, at = np.unique(grams[lead:], return_inverse=True)
+            out[k - 2, s : s + _WINDOW] = model.look_levels(k, keys)[at]
+    return out if found is None else np.maximum(out, found), n
+
+
 def _counted(order: int, parts: int):
     """Training texts in; the counts of their grams by part of the filter out, as two arrays of bytes."""
 
@@ -304,23 +329,33 @@ def train(texts: DataFrame, order: int = 2, growth: float = 1.3, hashes: int = 6
 _SCORES = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def _scored(model: Model, pieces, hashes: int):
+def _scored(model: Model, pieces, hashes: int, last: bool = True):
+    """Rows (id, text) or, after another pass, (id, text, found) in; scores out if this pass is the last, else (id, text, found):
+    the levels that passes have found so far, text by text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**{**vars(model), "tables": {k: _table_of(r, hashes) for p in pieces for k, r in p.value.items()}})
-        ids, texts, size = [], [], 0
+        ids, texts, before, size = [], [], [], 0
 
         def scores() -> pa.RecordBatch:
-            found = text_scores(texts, own, own.look)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(x, t) for x, (_, t) in zip(found, _SCORES, strict=True))], ["id", *(n for n, _ in _SCORES)])
+            found = np.concatenate([np.frombuffer(x, np.uint8).reshape(own.order - 1, -1) for x in before], axis=1) if before else None
+            if last:
+                columns = [pa.array(x, t) for x, (_, t) in zip(text_scores(texts, own, own.look, found), _SCORES, strict=True)]
+                return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], ["id", *(n for n, _ in _SCORES)])
+            levels, n = text_levels(texts, own, found)
+            ends = n.cumsum().tolist()
+            each = pa.array([levels[:, e - m : e].tobytes() for e, m in zip(ends, n.tolist(), strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(texts, pa.string()), each], ["id", "text", "found"])
 
         for batch in in_slices(batches, 64):
             more = batch.column(1).to_pylist()
             ids.append(batch.column(0))
             texts += more
+            before += batch.column(2).to_pylist() if batch.num_columns > 2 else []
             size += sum(map(len, filter(None, more)))
             if size >= _TOGETHER:
                 yield scores()
-                ids, texts, size = [], [], 0
+                ids, texts, before, size = [], [], [], 0
         if ids:
             yield scores()
 
@@ -416,25 +451,54 @@ def _scored_by_answers(model):
     return run
 
 
+def _passes(trained: Trained) -> list[Column]:
+    """Conditions on tables that deal them to passes of _HELD bytes at most or of one table; single tokens' counts are exact, so
+    they are all in the last."""
+    size = F.length("data") + F.length("counts")
+    sizes = trained.tables.select("kind", "part", size.alias("size")).collect()  # a row for each table
+    ends, total = [], sum(r["size"] for r in sizes if r["kind"] == 1)
+    if trained.bytes > _HELD:
+        # the last pass, which has single tokens, is filled first
+        for r in sorted((r for r in sizes if r["kind"] > 1), key=lambda r: (r["kind"], r["part"])):
+            if total and total + r["size"] > _HELD:
+                ends.append((r["kind"], r["part"]))
+                total = 0
+            total += r["size"]
+    at = F.struct(F.col("kind"), F.col("part"))
+    bounds = [F.struct(F.lit(k).cast("int").alias("kind"), F.lit(p).cast("int").alias("part")) for k, p in ends]
+    conditions = [F.lit(True) if i == 0 else at >= bounds[i - 1] for i in range(len(bounds) + 1)]
+    return [c & (at < bounds[i]) if i < len(bounds) else c for i, c in enumerate(conditions)][::-1]
+
+
+def _broadcast(trained: Trained, own: Column) -> list:
+    """The tables that fulfil own, in pieces, so that neither driver nor executors hold them more than once."""
+    pieces, held, size = [], {}, 0
+    for r in trained.tables.where(own).select("part", "kind", "data", "counts").toLocalIterator():
+        held[r["kind"], r["part"]] = r.asDict()
+        size += len(r["data"]) + len(r["counts"])
+        if size >= _PIECE:
+            pieces.append(trained.tables.sparkSession.sparkContext.broadcast(held))
+            held, size = {}, 0
+    return [*pieces, trained.tables.sparkSession.sparkContext.broadcast(held)]
+
+
 def score_rows(rows: DataFrame, trained: Trained, most_bytes: int = 256 << 20) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) for each row (id, text).
 
-    Tables of no more than most_bytes go to every task. Larger ones stay in parts: each batch of some texts sends its distinct
-    grams to the parts that hold them, and scores its texts by the answers, the same to the last digit."""
+    Tables of no more than most_bytes go to every task, _HELD bytes at a time: each pass over the texts but the last notes the
+    levels that its tables have, a byte for each gram. Larger ones stay in parts: each batch of some texts sends its distinct
+    grams to the parts that hold them, and scores its texts by the answers. All are the same to the last digit."""
     spark, model = rows.sparkSession, trained.model
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, n_known long, base_score double, score double"
     if trained.bytes <= most_bytes:
-        # in pieces, so that neither driver nor executors hold the whole more than once
-        pieces, held, size = [], {}, 0
-        for r in trained.tables.select("part", "kind", "data", "counts").toLocalIterator():
-            held[r["kind"], r["part"]] = r.asDict()
-            size += len(r["data"]) + len(r["counts"])
-            if size >= _PIECE:
-                pieces.append(spark.sparkContext.broadcast(held))
-                held, size = {}, 0
-        pieces.append(spark.sparkContext.broadcast(held))
-        return rows.mapInArrow(_scored(model, pieces, trained.hashes), schema)
+        *earlier, last = _passes(trained)
+        for own in earlier:
+            pieces = _broadcast(trained, own)
+            rows = stored(rows.mapInArrow(_scored(model, pieces, trained.hashes, last=False), f"id {kind}, text string, found binary"), "model-found")
+            for p in pieces:
+                p.destroy()
+        return rows.mapInArrow(_scored(model, _broadcast(trained, last), trained.hashes), schema)
     asked = stored(rows.mapInArrow(_asked(model.order, model.parts), f"id {kind}, {_ASKED}"), "model-asked")
     nothing = F.lit(None)
     tables = trained.tables.select("part", F.lit(0).alias("question"), "kind", nothing.cast("long").alias("batch"), "data", "counts")

@@ -157,3 +157,26 @@ def test_odd_rows(spark):
     alone = lm.score_texts(odd_documents(spark), F.lit(True)).collect()
     assert {(r["train_tokens"], r["n_known"], r["base_score"], r["score"]) for r in alone} == {(0, 0, 0.0, 0.0)}
     assert lm.score_texts(odd_documents(spark), F.lit(True), most_bytes=-1).count() == 11
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_passes_over_few_tables_at_a_time(spark, monkeypatch, order):
+    """Tables that a task doesn't hold at once are dealt to passes; scores are the same to the last digit."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 80)) % 200) for _ in range(150)] + [None, "", " \t"]
+    df = spark.createDataFrame([(i % 140, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "_PART", 2000)
+    trained = lm.train(df.select("text"), order)
+    rows = df.select(F.col("doc_id").alias("id"), "text")
+    assert len(lm._passes(trained)) == 1
+    want = sorted(map(tuple, lm.score_rows(rows, trained).collect()))
+    monkeypatch.setattr(lm, "_WINDOW", 50)
+    monkeypatch.setattr(lm, "_TOGETHER", 400)
+    held = trained.bytes // 4 if order > 1 else 1
+    monkeypatch.setattr(lm, "_HELD", held)
+    passes = lm._passes(trained)
+    assert len(passes) == 1 if order == 1 else len(passes) > 2
+    dealt = [trained.tables.where(p).select("kind", "part", F.length("data").alias("size")).collect() for p in passes]
+    assert sorted((r["kind"], r["part"]) for own in dealt for r in own) == sorted((r["kind"], r["part"]) for r in trained.tables.collect())
+    assert all(len(own) == 1 or sum(r["size"] for r in own) <= held for own in dealt[:-1]) and all(r["kind"] > 1 for own in dealt[:-1] for r in own)
+    assert sorted(map(tuple, lm.score_rows(rows, trained).collect())) == want
