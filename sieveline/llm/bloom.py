@@ -20,10 +20,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _spread(keys: np.ndarray, level: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each key at a level, and the bits that it has in its word."""
     h = mixed(keys + np.uint64(_STEP * level % (1 << 64)))
-    bits, mask = mixed(h ^ _MIX[0]), np.zeros(len(keys), np.uint64)
+    bits, mask, bit = mixed(h ^ _MIX[0]), np.zeros(len(keys), np.uint64), np.empty(len(keys), np.uint64)
     for i in range(hashes):
-        mask |= np.uint64(1) << (bits & np.uint64(63))
-        bits = bits >> np.uint64(6) if i % 10 < 9 else mixed(h + np.uint64(i))
+        np.bitwise_and(bits, np.uint64(63), out=bit)
+        np.left_shift(np.uint64(1), bit, out=bit)
+        mask |= bit
+        if i % 10 < 9:
+            bits >>= np.uint64(6)
+        else:
+            bits = mixed(h + np.uint64(i))
     return h >> np.uint64(32), mask
 
 
@@ -69,12 +74,17 @@ class CountFilter:
     def _place(self, at: np.ndarray) -> np.ndarray:
         return (at * np.uint64(len(self.words)) >> np.uint64(32)).astype(np.int64)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, 0 if it isn't held: probed from 1 on until a level is missing."""
+    def levels(self, keys: np.ndarray, starts: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+        """The level of each key, 0 if it isn't held: probed from 1 on until a level is missing. starts and sizes: of each key's own
+        words, where several filters lie behind one another; they are probed together."""
         found, left, level = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
-        while len(left) and level < 255:
+        while len(keys) and level < 255:
             level += 1
-            at, mask = _spread(keys[left], level, self.hashes)
-            left = left[(self.words[self._place(at)] & mask) == mask]
+            at, mask = _spread(keys, level, self.hashes)
+            place = self._place(at) if sizes is None else starts + (at * sizes >> np.uint64(32)).astype(np.int64)
+            held = np.flatnonzero((self.words[place] & mask) == mask)
+            keys, left = keys[held], left[held]
+            if sizes is not None:
+                starts, sizes = starts[held], sizes[held]
             found[left] = level
         return found

@@ -22,9 +22,9 @@ _SPACE = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
 #: Words longer than this are hashed one by one.
 _LONG = 256
 #: Grams that a task gathers before it passes counts on; tokens scored at a time; grams merged at a time.
-_GATHERED, _WINDOW, _MERGED = 1_000_000, 250_000, 1_000_000
+_GATHERED, _WINDOW, _MERGED = 1_000_000, 125_000, 1_000_000
 #: Characters that are scored together, but for a longer text; bytes of text for each part of the filter, and the largest number of parts.
-_TOGETHER, _PART, _PARTS = 1_500_000, 16 << 20, 1 << 16
+_TOGETHER, _PART, _PARTS = 750_000, 8 << 20, 1 << 16
 #: Bytes of tables that are broadcast at once; bytes that a task holds in one pass over the texts, but for single tokens' counts.
 _PIECE, _HELD = 16 << 20, 64 << 20
 
@@ -83,6 +83,51 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+@dataclass
+class Pack:
+    """Tables of several parts behind one another, so that grams of all of them are looked up at once. starts and sizes: by kind, of
+    each part's filter in words, size 0 where it isn't here. Single tokens are sorted, as parts grow with the key."""
+
+    hashes: int
+    starts: dict[int, np.ndarray]
+    sizes: dict[int, np.ndarray]
+    words: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray] | CountFilter], parts: int) -> Pack:
+        out, words, keys, counts, at = Pack(0, {}, {}, *(np.zeros(0, np.uint64),) * 3), [], [], [], 0
+        for (kind, part), table in sorted(tables.items(), key=lambda x: x[0]):
+            if kind == 1:
+                keys.append(table[0])
+                counts.append(table[1])
+                continue
+            if kind not in out.sizes:
+                out.starts[kind], out.sizes[kind] = np.zeros(parts, np.int64), np.zeros(parts, np.uint64)
+            out.hashes, out.starts[kind][part], out.sizes[kind][part] = table.hashes, at, len(table.words)
+            words.append(table.words)
+            at += len(table.words)
+        out.words, out.keys, out.counts = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (words, keys, counts))
+        return out
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of single tokens."""
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0).astype(np.float64)
+
+    def levels(self, kind: int, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Levels of grams of kind tokens, whose parts are given; 0 where their filter isn't here."""
+        out = np.zeros(len(keys), np.uint8)
+        if kind in self.sizes:
+            here = np.flatnonzero(self.sizes[kind][parts])
+            own = parts[here]
+            out[here] = CountFilter(self.hashes, self.words).levels(keys[here], self.starts[kind][own], self.sizes[kind][own])
+        return out
+
+
 @dataclass
 class Model:
     """Totals of the training tokens, and what each length's contexts give to shorter ones: a context of count c gives as much
@@ -96,23 +141,29 @@ class Model:
     levels: Levels
     parts: int
     tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray] | CountFilter] = field(default_factory=dict)
+    packs: list[Pack] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        if self.tables and not self.packs:
+            self.packs = [Pack.of(self.tables, self.parts)]
 
     def look(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct grams of kind tokens: exact for single tokens, a level's middle for longer ones."""
-        out = np.zeros(len(keys), np.float64)
-        for part, s, e in _by_part(keys, self.parts):
-            if (table := self.tables.get((kind, part))) is not None:
-                out[s:e] = answer(table, keys[s:e], self.levels)
-        return out
+        """Counts of distinct grams of kind tokens: exact for single tokens, a level's middle for longer ones."""
+        if kind > 1:
+            return self.levels.middles[self.look_levels(kind, keys)]
+        return sum((p.look(keys) for p in self.packs), np.zeros(len(keys)))  # a token is in one of them at most
 
     def look_levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Levels of sorted distinct grams of kind tokens, 0 where their table isn't among those held."""
-        out = np.zeros(len(keys), np.uint8)
-        for part, s, e in _by_part(keys, self.parts):
-            if (table := self.tables.get((kind, part))) is not None:
-                out[s:e] = table.levels(keys[s:e])
+        """Levels of distinct grams of kind tokens, 0 where their table isn't among those held."""
+        out, parts = np.zeros(len(keys), np.uint8), part_of(keys, self.parts)
+        for p in self.packs:
+            out |= p.levels(kind, keys, parts)
         return out
 
+    def held(self, kind: int) -> np.ndarray:
+        """Of each part, whether its table of grams of kind tokens is among those held."""
+        return sum((p.sizes[kind] > 0 for p in self.packs if kind in p.sizes), np.zeros(self.parts, bool))
+
 
 def answer(table, keys: np.ndarray, levels: Levels) -> np.ndarray:
     if isinstance(table, CountFilter):
@@ -128,27 +179,25 @@ def log_probabilities(
     """(base, model's, count) of each token. The base is (c + 1) / (N + V + 1). From there on each longer context h mixes in its
     own share: p = (c(h w) + K p) / (c(h) + K) with K = c(h) ** power, so that probabilities after h add up to 1 as far as levels
     have the counts. A gram can't be more frequent than its context or its end, which also mends most false hits of the filter.
-    found has the levels of grams of two and more tokens that other tables than look's know, a row for each length."""
+    found has the levels of grams of two and more tokens, a row for each length; without it, look is asked for their counts, too."""
     known = []
-    for k, grams in enumerate(grams_of(tokens, place, model.order), 1):
+    for k, grams in enumerate(grams_of(tokens, place, model.order if found is None else 1), 1):
         keys, at = np.unique(grams, return_inverse=True)
         known.append(look(k, keys)[at])
-        if k > 1:
-            if found is not None:
-                known[-1] = np.maximum(known[-1], model.levels.middles[found[k - 2]])
-            context = np.where(place > 0, np.concatenate([[0], known[-2][:-1]]), model.texts)
-            known[-1] = np.minimum(np.minimum(known[-1], context), known[-2])
-            give = np.where(context > 0, context ** model.powers[k - 1], 1)
-            p = np.where(context > 0, (known[-1] + give * p) / (context + give), p)
-        else:
-            p = base = (known[0] + 1) / (model.tokens + model.types + 1)
+    if found is not None:
+        known += [model.levels.middles[x] for x in found]
+    p = base = (known[0] + 1) / (model.tokens + model.types + 1)
+    for k in range(1, model.order):
+        context = np.where(place > 0, np.concatenate([[0], known[k - 1][:-1]]), model.texts)
+        known[k] = np.minimum(np.minimum(known[k], context), known[k - 1])
+        give = np.where(context > 0, context ** model.powers[k], 1)
+        p = np.where(context > 0, (known[k] + give * p) / (context + give), p)
     return np.log10(base), np.log10(p), known[0]
 
 
-def text_scores(texts: list[str | None], model: Model, look: Callable[[int, np.ndarray], np.ndarray], found: np.ndarray | None = None) -> list[np.ndarray]:
-    """[tokens, known tokens, base score, score] of the texts, some tokens at a time. Sums are taken text by text in billionths,
-    so they don't depend on what else is scored. found: as in log_probabilities."""
-    tokens, n = tokens_of(texts)
+def text_scores(tokens: np.ndarray, n: np.ndarray, model: Model, look: Callable[[int, np.ndarray], np.ndarray], found: np.ndarray | None = None) -> list[np.ndarray]:
+    """[tokens, known tokens, base score, score] of texts of n tokens each, some tokens at a time. Sums are taken text by text in
+    billionths, so they don't depend on what else is scored. found: as in log_probabilities."""
     place, doc = places(n), np.repeat(np.arange(len(n)), n)
     known, base, score = (np.zeros(len(n), np.int64) for _ in range(3))
     for s in range(0, len(tokens), _WINDOW):
@@ -161,18 +210,19 @@ def text_scores(texts: list[str | None], model: Model, look: Callable[[int, np.n
     return [n, known, base / 1e9, score / 1e9]
 
 
-def text_levels(texts: list[str | None], model: Model, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Levels of the grams of two and more tokens that end at each token, a row for each length, as far as the model's tables and
-    found have them; and the number of tokens of each text."""
-    tokens, n = tokens_of(texts)
-    place, out = places(n), np.zeros((model.order - 1, n.sum()), np.uint8)
+def text_levels(tokens: np.ndarray, n: np.ndarray, model: Model, found: np.ndarray | None = None) -> np.ndarray:
+    """Levels of the grams of two and more tokens that end at each token of texts of n tokens each, a row for each length, as far as
+    the model's tables and found have them. Only grams of parts that the model holds are sorted and looked up."""
+    place, out = places(n), np.zeros((model.order - 1, len(tokens)), np.uint8) if found is None else found.copy()
     for s in range(0, len(tokens), _WINDOW):
         lead = min(s, model.order - 1)
         span = slice(s - lead, s + _WINDOW)
         for k, grams in enumerate(grams_of(tokens[span], place[span], model.order)[1:], 2):
-            keys, at = np.unique(grams[lead:], return_inverse=True)
-            out[k - 2, s : s + _WINDOW] = model.look_levels(k, keys)[at]
-    return out if found is None else np.maximum(out, found), n
+            grams = grams[lead:]
+            here = np.flatnonzero(model.held(k)[part_of(grams, model.parts)])
+            keys, at = np.unique(grams[here], return_inverse=True)
+            out[k - 2, s + here] = model.look_levels(k, keys)[at]
+    return out
 
 
 def _counted(order: int, parts: int):
@@ -306,14 +356,14 @@ class Trained:
 
 
 def train(texts: DataFrame, order: int = 2, growth: float = 1.3, hashes: int = 6) -> Trained:
-    """The model of a column of texts. All grams of all texts are counted: tasks pass counts on by part of the filter, about 32 MB
+    """The model of a column of texts. All grams of all texts are counted: tasks pass counts on by part of the filter, about 8 MB
     of text each, and one task merges a part and writes its table. A gram that most texts have is one key of each task, so no
-    part is hot."""
+    part is hot; parts are dealt by number, as a hash would give some tasks several, and all that a task reads is one Arrow batch."""
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     parts = int(min(_PARTS, max(1, -(-size // _PART))))
     rows = texts.mapInArrow(_counted(order, parts), "part int, kind int, keys binary, counts binary")
     # a part's rows must be whole and in order within a task
-    merged = rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_tables(growth, hashes), _TABLE_COLUMNS)
+    merged = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(_tables(growth, hashes), _TABLE_COLUMNS)
     tables = stored(merged, "model")
     levels = Levels(growth)
     counts = {r["kind"]: r for r in tables.groupBy("kind").agg(F.sum("distinct").alias("distinct"), F.sum("total").alias("total"), F.sum("ends").alias("ends"), F.sum(F.length("data") + F.length("counts")).alias("bytes")).collect()}
@@ -329,20 +379,21 @@ def train(texts: DataFrame, order: int = 2, growth: float = 1.3, hashes: int = 6
 _SCORES = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def _scored(model: Model, pieces, hashes: int, last: bool = True):
+def _scored(model: Model, pieces, last: bool = True):
     """Rows (id, text) or, after another pass, (id, text, found) in; scores out if this pass is the last, else (id, text, found):
     the levels that passes have found so far, text by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(**{**vars(model), "tables": {k: _table_of(r, hashes) for p in pieces for k, r in p.value.items()}})
+        own = Model(**{**vars(model), "packs": [p.value for p in pieces]})
         ids, texts, before, size = [], [], [], 0
 
         def scores() -> pa.RecordBatch:
             found = np.concatenate([np.frombuffer(x, np.uint8).reshape(own.order - 1, -1) for x in before], axis=1) if before else None
+            tokens, n = tokens_of(texts)
+            levels = text_levels(tokens, n, own, found)
             if last:
-                columns = [pa.array(x, t) for x, (_, t) in zip(text_scores(texts, own, own.look, found), _SCORES, strict=True)]
-                return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], ["id", *(n for n, _ in _SCORES)])
-            levels, n = text_levels(texts, own, found)
+                columns = [pa.array(x, t) for x, (_, t) in zip(text_scores(tokens, n, own, own.look, levels), _SCORES, strict=True)]
+                return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], ["id", *(c for c, _ in _SCORES)])
             ends = n.cumsum().tolist()
             each = pa.array([levels[:, e - m : e].tobytes() for e, m in zip(ends, n.tolist(), strict=True)], pa.binary())
             return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(texts, pa.string()), each], ["id", "text", "found"])
@@ -430,7 +481,7 @@ def _scored_by_answers(model):
         def scores() -> pa.RecordBatch:
             tokens, n = tokens_of(texts)
             known = {k: (np.unique(g), np.concatenate(answers[k])) for k, g in enumerate(grams_of(tokens, places(n), own.order), 1)}
-            found = text_scores(texts, own, lambda k, keys: known[k][1][np.searchsorted(known[k][0], keys)])
+            found = text_scores(tokens, n, own, lambda k, keys: known[k][1][np.searchsorted(known[k][0], keys)])
             return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(x, t) for x, (_, t) in zip(found, _SCORES, strict=True))], ["id", *(c for c, _ in _SCORES)])
 
         for batch in in_slices(batches):
@@ -472,14 +523,20 @@ def _passes(trained: Trained) -> list[Column]:
 
 def _broadcast(trained: Trained, own: Column) -> list:
     """The tables that fulfil own, in pieces, so that neither driver nor executors hold them more than once."""
-    pieces, held, size = [], {}, 0
+    spark, pieces, held, size = trained.tables.sparkSession, [], {}, 0
+
+    def sent() -> None:
+        pieces.append(spark.sparkContext.broadcast(Pack.of(held, trained.model.parts)))
+
     for r in trained.tables.where(own).select("part", "kind", "data", "counts").toLocalIterator():
-        held[r["kind"], r["part"]] = r.asDict()
+        held[r["kind"], r["part"]] = _table_of(r, trained.hashes)
         size += len(r["data"]) + len(r["counts"])
         if size >= _PIECE:
-            pieces.append(trained.tables.sparkSession.sparkContext.broadcast(held))
+            sent()
             held, size = {}, 0
-    return [*pieces, trained.tables.sparkSession.sparkContext.broadcast(held)]
+    if held or not pieces:
+        sent()
+    return pieces
 
 
 def score_rows(rows: DataFrame, trained: Trained, most_bytes: int = 256 << 20) -> DataFrame:
@@ -495,16 +552,16 @@ def score_rows(rows: DataFrame, trained: Trained, most_bytes: int = 256 << 20) -
         *earlier, last = _passes(trained)
         for own in earlier:
             pieces = _broadcast(trained, own)
-            rows = stored(rows.mapInArrow(_scored(model, pieces, trained.hashes, last=False), f"id {kind}, text string, found binary"), "model-found")
+            rows = stored(rows.mapInArrow(_scored(model, pieces, last=False), f"id {kind}, text string, found binary"), "model-found")
             for p in pieces:
                 p.destroy()
-        return rows.mapInArrow(_scored(model, _broadcast(trained, last), trained.hashes), schema)
+        return rows.mapInArrow(_scored(model, _broadcast(trained, last)), schema)
     asked = stored(rows.mapInArrow(_asked(model.order, model.parts), f"id {kind}, {_ASKED}"), "model-asked")
     nothing = F.lit(None)
     tables = trained.tables.select("part", F.lit(0).alias("question"), "kind", nothing.cast("long").alias("batch"), "data", "counts")
     questions = asked.where("kind > 0").select("part", F.lit(1), "kind", "batch", "keys", nothing.cast("binary"))
     # a part's rows, and then a batch's, must be whole and in order within a task
-    met = tables.union(questions).repartition(model.parts, "part").sortWithinPartitions("part", "question")
+    met = tables.union(questions).repartitionById(model.parts, F.col("part")).sortWithinPartitions("part", "question")
     answers = met.mapInArrow(_answered(model.levels, trained.hashes), "batch long, kind int, part int, counts binary")
     texts = asked.where("kind = 0").select("id", "batch", "kind", "part", "text", nothing.cast("binary").alias("counts"))
     back = answers.select(nothing.cast(kind).alias("id"), "batch", (-F.col("kind")).alias("kind"), "part", nothing.cast("string").alias("text"), "counts")
