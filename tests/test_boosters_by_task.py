@@ -65,3 +65,18 @@ def test_metrics_of_groups_equal_those_of_rows(spark):
     long = df.withColumnRenamed("id", "sample_row_id")
     want = metrics.average_precision(long, ["k"]).join(metrics.roc_auc(long, ["k"]), "k").join(metrics.threshold_table(long, ["k"], [0.2]).select("k", "f1"), "k")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize(("name", "boosters", "trees"), [("hyper_parameter_grid", 18, 480)])
+def test_queries_grow_the_reference_numbers_of_trees(spark, monkeypatch, name, boosters, trees):
+    def asked(train, others, settings, *_):
+        assert len(settings) == boosters and {s.trees for s in settings} == {trees}
+        raise Asked
+
+    monkeypatch.setattr(learn, "boosted", asked)
+    with pytest.raises(Asked):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
