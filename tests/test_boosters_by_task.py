@@ -71,7 +71,7 @@ class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize(("name", "boosters", "trees"), [("hyper_parameter_grid", 18, 480)])
+@pytest.mark.parametrize(("name", "boosters", "trees"), [("hyper_parameter_grid", 18, 480), ("model_candidates", 10, 240)])
 def test_queries_grow_the_reference_numbers_of_trees(spark, monkeypatch, name, boosters, trees):
     def asked(train, others, settings, *_):
         assert len(settings) == boosters and {s.trees for s in settings} == {trees}
